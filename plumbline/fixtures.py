@@ -51,7 +51,7 @@ SELECT o_orderkey AS request_id, concat('case_', CAST(o_orderkey AS STRING)) AS
    WHEN 9 THEN CASE o_orderkey % 5 WHEN 0 THEN 'SELECT * FROM orders' WHEN 1 THEN 'drop table lineitem' WHEN 2 THEN 'Email of every buyer'
         WHEN 3 THEN 'What is the weather tomorrow?' ELSE 'show me the numbers' END
    WHEN 10 THEN concat(alias, ' across ', n1, ' in 2020')
-   ELSE concat('unselected ', alias, ' last year by ', n2) END AS nl_query
+   ELSE concat(CASE WHEN CAST(floor(o_orderkey / 12) AS BIGINT) % 3 = 0 THEN 'unselected ' ELSE '' END, alias, ' last year by ', n2) END AS nl_query
 FROM (SELECT o_orderkey, o_orderkey % 12 AS tpl, {pick(METRIC_IDS, M)} AS g_metric, {ALIAS} AS alias,
    {pick(NAMES_CJK, M)} AS cm, {pick(DIM_IDS, D1)} AS d1, {pick(DIM_IDS, D2)} AS d2, {pick(DIM_NAMES, D1)} AS n1,
    {pick(DIM_NAMES, D2)} AS n2, {pick(DIM_CJK, D1)} AS c1 FROM @orders) b"""
@@ -101,6 +101,37 @@ FROM (SELECT request_id, case_id, g_metric, concat('{"action": "', CASE WHEN tpl
    '", "metric_id": "', g_metric, ' ", "dimensions": ["', d1, '", " ", "', d2, '"], "time_window": "1997", "reason": "by rule"}') AS obj FROM @requests r) o"""
 
 
+# A large metric catalog: one metric per part, with evidence that is complete for some and not for others.
+FIX["part_metrics"] = """
+SELECT p_partkey, concat('m_', CAST(p_partkey AS STRING)) AS metric_id, p_brand AS domain_id,
+ CASE p_partkey % 5 WHEN 0 THEN concat('SUM(a', CAST(p_size AS STRING), ')') WHEN 1 THEN 'SUM(num_x) / NULLIF(SUM(den_x), 0)' WHEN 2 THEN 'SUM(sales) / 1' WHEN 3 THEN '' ELSE 'COUNT(*)' END AS formula,
+ CASE WHEN p_partkey % 7 = 0 THEN 'ratio' ELSE 'additive' END AS metric_type, (p_partkey % 6 = 0) AS scoped_ratio,
+ CASE WHEN p_partkey % 10 = 3 THEN 'SUM(top)' ELSE '' END AS numerator, CASE WHEN p_partkey % 20 = 3 THEN 'COUNT(bottom)' ELSE '' END AS denominator,
+ CASE WHEN p_partkey % 12 = 0 THEN concat('n', CAST(p_size % 10 AS STRING), '|n', CAST((p_size + 1) % 10 AS STRING)) ELSE '' END AS numerator_nodes,
+ CASE WHEN p_partkey % 12 = 0 THEN concat('d', CAST(p_size % 10 AS STRING)) ELSE '' END AS denominator_nodes,
+ CASE WHEN p_partkey % 3 = 0 THEN concat('n', CAST(p_size % 10 AS STRING), '|d', CAST(p_size % 10 AS STRING)) ELSE '' END AS coverage_nodes,
+ (p_partkey % 9 = 4) AS coverage_required, (p_partkey % 13 <> 5) AS answerable,
+ CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'region|nation|month' WHEN 2 THEN 'brand' ELSE 'region|brand|segment|quarter' END AS allowed_dimensions
+FROM @part"""
+FIX["part_edges"] = """
+SELECT concat('n', CAST(p_size % 10 AS STRING)) AS src, metric_id AS dst, 'numerator_of' AS edge_type, CASE WHEN p_partkey % 4 = 1 THEN metric_id END AS metric_id, domain_id
+ FROM (SELECT m.*, p.p_size FROM @part_metrics m JOIN @part p ON m.p_partkey = p.p_partkey) a WHERE p_partkey % 8 <> 4
+UNION ALL SELECT concat('n', CAST((p_size + 1) % 10 AS STRING)), metric_id, 'numerator_of', metric_id, domain_id
+ FROM (SELECT m.*, p.p_size FROM @part_metrics m JOIN @part p ON m.p_partkey = p.p_partkey) b WHERE p_partkey % 24 <> 0
+UNION ALL SELECT concat('d', CAST(p_size % 10 AS STRING)), metric_id, 'denominator_of', CASE WHEN p_partkey % 36 = 0 THEN 'm_other' ELSE metric_id END, domain_id
+ FROM (SELECT m.*, p.p_size FROM @part_metrics m JOIN @part p ON m.p_partkey = p.p_partkey) c WHERE p_partkey % 10 <> 6
+UNION ALL SELECT metric_id, 'region', 'measures_of', metric_id, domain_id FROM @part_metrics d"""
+FIX["part_bindings"] = """
+SELECT concat('b', CAST(p_partkey AS STRING), '_', side) AS binding_id, metric_id, domain_id, concat(side, CAST(p_size % 10 AS STRING)) AS dependency_node_id,
+ CASE WHEN p_partkey % 45 = 0 THEN NULL WHEN p_partkey % 21 = 0 THEN 'phys_lost' ELSE concat('phys_', CAST(p_size % 10 AS STRING)) END AS physical_node_id
+FROM (SELECT m.metric_id, m.domain_id, m.p_partkey, p.p_size, EXPLODE['n', 'd'] AS side FROM @part_metrics m JOIN @part p ON m.p_partkey = p.p_partkey) x
+WHERE NOT (side = 'd' AND p_partkey % 15 = 0)"""
+FIX["part_coverage"] = """
+SELECT DISTINCT p_brand AS domain_id, concat('phys_', CAST(p_size % 10 AS STRING)) AS semantic_node_id FROM @part WHERE p_size < 40
+UNION SELECT DISTINCT p_brand, concat('n', CAST(p_size % 10 AS STRING)) FROM @part WHERE p_size % 3 <> 0
+UNION SELECT DISTINCT p_brand, concat('d', CAST(p_size % 10 AS STRING)) FROM @part WHERE p_size % 4 <> 0"""
+
+
 def expand(sql, table):
     """Replace every @name: fixtures inline as subqueries, tables through `table`."""
 

@@ -56,7 +56,7 @@ DIMENSIONS = [
 
 # Refusal policies. Triggers keep their trailing blank; the compile step strips it.
 POLICIES = [
-    dict(policy_id="sql_or_ddl", trigger="sql or ddl text", refusal_triggers=[], ambiguous_queries=[]),
+    dict(policy_id="sql_or_ddl", trigger="sql or ddl text", refusal_triggers=["select "], ambiguous_queries=[]),
     dict(policy_id="sensitive", trigger="personal data", refusal_triggers=["phone list"], ambiguous_queries=["show me the numbers"]),
     dict(policy_id="off_domain", trigger="off-domain", refusal_triggers=[], ambiguous_queries=[]),
 ]
@@ -68,9 +68,10 @@ PROFILE = dict(
     policy_rules=[dict(policy_id="row_level", contains=["raw rows"], exact=["dump everything"])],
 )
 
+# Columns of the joined fact table the contract covers; p_type is deliberately not among them.
 SCHEMA_COLUMNS = (
     "l_extendedprice l_discount l_quantity is_return o_orderkey o_custkey o_orderdate o_orderpriority "
-    "c_name c_mktsegment n_name r_name p_brand p_type"
+    "c_name c_mktsegment n_name r_name p_brand"
 ).split()
 
 # Names our dimension expressions use that are functions, not columns.

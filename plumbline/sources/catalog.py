@@ -2,7 +2,9 @@
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Above this many entries a catalog stays a DataFrame and is matched by joins instead.
 MAX_INLINE = 512
@@ -93,7 +95,13 @@ class Catalog:
 
 
 def rows_of(spark, rows, schema) -> DataFrame:
-    return spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
+    """Catalog rows as a local relation: its exact size is known to the planner, so joins with it need no hint."""
+    if len(rows) > MAX_INLINE:
+        raise ValueError(f"catalog has more than {MAX_INLINE} rows: use the join forms")
+    table = pa.table(
+        [pa.array([r.get(f.name) for r in rows], to_arrow_type(f.dataType)) for f in schema.fields], names=schema.names
+    )
+    return spark.createDataFrame(table, schema)
 
 
 def bounded_rows(df: DataFrame, limit=MAX_INLINE) -> list:
