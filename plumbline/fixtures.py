@@ -5,6 +5,7 @@
 
 import re
 
+from plumbline.operators import scale
 from plumbline.plans.governed import DIMENSIONS, METRICS
 
 
@@ -166,3 +167,7 @@ class Tables:
 
     def sql(self, text):
         return self.spark.sql(spark_sql(text, self.folder))
+
+    def spread(self, text, key="request_id"):
+        """Rows of a fixture or a SQL text dealt over the cores."""
+        return scale.spread(self.fx(text) if text in FIX else self.sql(text), key)

@@ -25,12 +25,12 @@ def identifiers(c, stop=tuple(SQL_WORDS)) -> Column:
     """Sorted distinct identifiers of an expression without literals and SQL words."""
     bare = F.regexp_replace(F.coalesce(c, F.lit("")), "'[^']*'|\"[^\"]*\"", " ")
     found = F.transform(F.regexp_extract_all(bare, F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)), F.lower)
-    return F.array_sort(F.array_except(F.array_distinct(found), lit_list(list(stop))))
+    return F.sort_array(F.array_except(F.array_distinct(found), lit_list(list(stop))))
 
 
 def alias_pattern(aliases):
     """One regex that finds any of the aliases: whole words for plain ones, anywhere for the others."""
-    aliases = [a for a in (re.sub(r"\s+", " ", (x or "").lower()).strip() for x in aliases) if a]
+    aliases = list(dict.fromkeys(a for a in (re.sub(r"\s+", " ", (x or "").lower()).strip() for x in aliases) if a))
     words = [a for a in aliases if re.fullmatch(r"[a-z0-9_ ]+", a)]
     parts = [f"(?<!{WORD})(?:{'|'.join(words)})(?!{WORD})"] if words else []
     parts += [re.escape(a) for a in aliases if a not in words]
@@ -79,7 +79,7 @@ def stable_hash(c, n=16) -> Column:
 
 def norm_dims(c) -> Column:
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[;,]"), lambda x: F.trim(x))
-    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
+    return F.sort_array(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 
 def clip(c, n, marker="...(truncated)") -> Column:

@@ -27,7 +27,7 @@ def or_empty(c) -> Column:
 
 
 def set_of(c) -> Column:
-    return F.array_sort(F.array_distinct(c))
+    return F.sort_array(F.array_distinct(c))
 
 
 # --- requests -----------------------------------------------------------------------------------
@@ -57,26 +57,35 @@ def dimension_aliases(d):
     return [d["dimension_id"], d.get("name") or "", *(d.get("aliases") or [])]
 
 
-def detect_dimensions(q: Column, catalog: Catalog, domain=None) -> Column:
-    """Dimensions named in the grouping part of a normalised request, by grain rank and id."""
-    scope = grouping_scope(q)
+def with_scope(df: DataFrame, text="nl_query") -> DataFrame:
+    """Add the normalised text `_q` and its grouping part `_scope`, each computed once."""
+    return df.withColumn("_q", X.normalize(F.col(text))).withColumn("_scope", grouping_scope(F.col("_q")))
+
+
+def gather(cases, kind=STRINGS) -> Column:
+    """Array of the values whose condition holds, in order; stays in generated code."""
+    none = F.array().cast(kind)
+    arrays = [F.when(cond, F.array(value)).otherwise(none) for cond, value in cases]
+    return F.concat(*arrays) if arrays else none
+
+
+def detect_dimensions(scope: Column, catalog: Catalog, domain=None) -> Column:
+    """Dimensions named in a grouping part, by grain rank and id."""
     found = []
     for d in catalog.ranked_dimensions:
         hit = X.contains_any_alias(scope, dimension_aliases(d))
         if domain is not None and d.get("domain_id"):
             hit = hit & (F.coalesce(domain, F.lit("")).isin("", d["domain_id"]))
-        found.append(F.when(hit, F.lit(d["dimension_id"])))
-    return F.array_compact(F.array(*found)) if found else no_strings()
+        found.append((hit, F.lit(d["dimension_id"])))
+    return gather(found)
 
 
 def finest(requested: Column, catalog: Catalog) -> Column:
     """Requested dimensions that are no ancestor of another one, in request order."""
     shadowed = [
-        F.when(F.array_contains(requested, d), X.lit_list(up)) for d, up in catalog.closure().items() if up
+        F.when(F.array_contains(requested, d), X.lit_list(up)).otherwise(no_strings()) for d, up in catalog.closure().items() if up
     ]
-    if not shadowed:
-        return F.array_distinct(requested)
-    return F.array_except(F.array_distinct(requested), F.flatten(F.array_compact(F.array(*shadowed))))
+    return F.array_except(requested, F.concat(*shadowed)) if shadowed else F.array_distinct(requested)
 
 
 def detect_time(q: Column, profile) -> Column:
@@ -89,23 +98,21 @@ def detect_time(q: Column, profile) -> Column:
 def policy_hits(q: Column, metric_id, known, answerable, catalog: Catalog) -> Column:
     """Distinct (policy_id, trigger) reasons to refuse; the released triggers lose their outer blanks."""
     row = lambda p, t: F.struct(F.lit(p).alias("policy_id"), (t if isinstance(t, Column) else F.lit(t)).alias("trigger"))
-    hits = [
-        F.when(~known, row("no_governed_metric", "empty_metric_candidate")).when(answerable == F.lit(False), row("unsupported_metric", metric_id))
-    ]
+    hits = [(~known, row("no_governed_metric", "empty_metric_candidate")), (known & ~F.coalesce(answerable, F.lit(True)), row("unsupported_metric", metric_id))]
     norm = lambda s: " ".join(str(s or "").lower().split())
     for p in catalog.policies:
         pid = p.get("policy_id") or "policy"
         phrases = [norm(a) for a in p.get("ambiguous_queries") or []]
         if phrases:
-            hits.append(F.when(q.isin(*phrases), row(pid, "ambiguous_query")))
-        hits += [F.when(q.contains(norm(t)), row(pid, t)) for t in p.get("refusal_triggers") or []]
-        hits += [F.when(q.contains(t), row(pid, t)) for t in P.expand_trigger(p.get("trigger") or "")]
+            hits.append((q.isin(*phrases), row(pid, "ambiguous_query")))
+        hits += [(q.contains(norm(t)), row(pid, t)) for t in p.get("refusal_triggers") or []]
+        hits += [(q.contains(t), row(pid, t)) for t in P.expand_trigger(p.get("trigger") or "")]
     for r in catalog.profile.get("policy_rules") or []:
         if r.get("contains"):
-            hits.append(F.when(P.contains_any(q, [norm(t) for t in r["contains"]]), row(r["policy_id"], "contains")))
+            hits.append((P.contains_any(q, [norm(t) for t in r["contains"]]), row(r["policy_id"], "contains")))
         if r.get("exact"):
-            hits.append(F.when(q.isin(*[norm(t) for t in r["exact"]]), row(r["policy_id"], "exact")))
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+            hits.append((q.isin(*[norm(t) for t in r["exact"]]), row(r["policy_id"], "exact")))
+    return F.array_distinct(gather(hits, "array<struct<policy_id:string,trigger:string>>"))
 
 
 # --- metrics ------------------------------------------------------------------------------------
@@ -263,8 +270,8 @@ def required_dimension_fields(resolved: Column, catalog: Catalog) -> Column:
     for d in catalog.dimensions:
         bare = re.sub(r"'[^']*'|\"[^\"]*\"", " ", d.get("sql") or "")
         words[d["dimension_id"]] = sorted({w.lower() for w in re.findall(r"[A-Za-z_]\w*", bare)} - stop)
-    picked = [F.when(F.array_contains(resolved, d), X.lit_list(w)) for d, w in words.items() if w]
-    return F.flatten(F.array_compact(F.array(*picked))) if picked else no_strings()
+    picked = [F.when(F.array_contains(resolved, d), X.lit_list(w)).otherwise(no_strings()) for d, w in words.items() if w]
+    return F.concat(*picked) if picked else no_strings()
 
 
 def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog, disabled=(), columns_left="coverage_remove") -> DataFrame:
@@ -273,13 +280,12 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
     Optional request columns: `requested` replaces the detected dimensions, `time_binding` the detected
     anchor, and `coverage_remove` lists schema columns to take away for that request.
     """
-    q = X.normalize(F.col("nl_query"))
     has = set(requests.columns)
-    j = requests.join(contract, "metric_id", "left")
+    j = with_scope(requests.join(contract, "metric_id", "left"))
     c = lambda name: F.col(f"contract.{name}")
     known = F.coalesce(c("known"), F.lit(False))
-    detected = detect_dimensions(q, catalog, c("domain"))
-    j = j.select("*", F.coalesce(F.col("requested"), detected).alias("_requested") if "requested" in has else detected.alias("_requested"), q.alias("_q"))
+    detected = detect_dimensions(F.col("_scope"), catalog, c("domain"))
+    j = j.select("*", F.coalesce(F.col("requested"), detected).alias("_requested") if "requested" in has else detected.alias("_requested"))
     q, requested = F.col("_q"), F.col("_requested")
     anchor = detect_time(q, catalog.profile)
     j = j.select("*", finest(requested, catalog).alias("_resolved"), (F.coalesce(F.col("time_binding"), anchor) if "time_binding" in has else anchor).alias("_time"))
@@ -291,8 +297,9 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
         have = X.lit_list([s.lower() for s in catalog.schema_columns])
         if columns_left in has:
             have = F.array_except(have, or_empty(columns_left))
-        required = set_of(F.array_union(or_empty(c("fields")), required_dimension_fields(resolved, catalog)))
-        gone = F.array_except(required, have)
+        j = j.withColumn("_required", set_of(F.array_union(or_empty(c("fields")), required_dimension_fields(resolved, catalog))))
+        j = j.withColumn("_gone", F.array_except("_required", have))
+        required, gone = F.col("_required"), F.col("_gone")
         covered = F.struct(
             F.lit(True).alias("active"), (F.size(gone) == 0).alias("passed"), F.lit("physical_schema_columns").alias("mode"), required.alias("required"), gone.alias("missing")
         )
@@ -323,8 +330,8 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
     j = j.select("*", F.struct(*[
         F.struct(active.alias("active"), passed.alias("passed"), *detail).alias(name) for name, (active, passed, *detail) in checks.items()
     ]).alias("_checks"))
-    failed = [F.when(F.col(f"_checks.{f}.active") & ~F.col(f"_checks.{f}.passed"), F.lit(f)) for f in FAMILIES]
-    j = j.select("*", F.array_compact(F.array(*failed)).alias("_failed"))
+    failed = [(F.col(f"_checks.{f}.active") & ~F.col(f"_checks.{f}.passed"), F.lit(f)) for f in FAMILIES]
+    j = j.select("*", gather(failed).alias("_failed"))
     ok = F.size("_failed") == 0
     primary = F.get("_failed", F.lit(0))
     certificate = F.when(~ok, F.struct(
@@ -371,7 +378,7 @@ def validate_plans(plans: DataFrame, contract: DataFrame, catalog: Catalog, trig
     barred = F.when(known & (F.size(or_empty("_allowed")) > 0), F.array_except(in_catalog, "_allowed")).otherwise(no_strings())
     closure = catalog.closure()
     clashes = F.flatten(F.array_compact(F.array(*[
-        F.when(F.array_contains(chosen, d), F.transform(F.array_intersect(F.array_sort(X.lit_list(up)), chosen), lambda a: row("finest_grain_violation", F.concat(a, F.lit(">"), F.lit(d)))))
+        F.when(F.array_contains(chosen, d), F.transform(F.array_intersect(F.sort_array(X.lit_list(up)), chosen), lambda a: row("finest_grain_violation", F.concat(a, F.lit(">"), F.lit(d)))))
         for d, up in sorted(closure.items()) if up
     ])))
     failing = lambda f: F.col(f"decision.trace.checks.{f}.active") & ~F.col(f"decision.trace.checks.{f}.passed")
@@ -382,7 +389,7 @@ def validate_plans(plans: DataFrame, contract: DataFrame, catalog: Catalog, trig
         each(F.filter(chosen, lambda d: ~d.isin(*dims)), "dimension_not_in_catalog"),
         each(barred, "dimension_not_allowed"),
         clashes,
-        one(F.size(hits) > 0, "missed_refusal", F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["trigger"]))), ",")),
+        one(F.size(hits) > 0, "missed_refusal", F.array_join(F.sort_array(F.array_distinct(F.transform(hits, lambda h: h["trigger"]))), ",")),
         one(known & failing("caliber"), "caliber_dependency_failure", ""),
         one(known & failing("coverage"), "physical_coverage_failure", F.array_join("decision.trace.checks.coverage.missing", ",")),
         one(known & failing("time"), "temporal_anchor_failure", F.col("decision.trace.checks.time.detected")),

@@ -48,11 +48,11 @@ def leaked_columns(df: DataFrame, forbidden=()) -> list:
 def leaked_keys(json_text: Column, forbidden=()) -> Column:
     """Forbidden or label keys of a JSON object, sorted."""
     keys = F.json_object_keys(json_text)
-    return F.array_sort(F.filter(keys, lambda k: k.startswith("expected_") | k.isin(*forbidden) if forbidden else k.startswith("expected_")))
+    return F.sort_array(F.filter(keys, lambda k: k.startswith("expected_") | k.isin(*forbidden) if forbidden else k.startswith("expected_")))
 
 
 def unexpected_keys(json_text: Column, allowed) -> Column:
-    return F.array_sort(F.array_except(F.json_object_keys(json_text), X.lit_list(list(allowed))))
+    return F.sort_array(F.array_except(F.json_object_keys(json_text), X.lit_list(list(allowed))))
 
 
 def filled(c, kind="string") -> Column:
@@ -89,17 +89,18 @@ def expand_trigger(text) -> list:
 def expanded_terms(text: Column) -> Column:
     """The same expansion for policy texts in a column."""
     low = X.normalize(text)
-    rules = [F.when(contains_any(low, words), X.lit_list(terms)) for words, terms in TERM_RULES]
-    return F.flatten(F.array_compact(F.array(*rules)))
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(contains_any(low, words), X.lit_list(terms)).otherwise(none) for words, terms in TERM_RULES])
 
 
 def substring_hits(text: Column, triggers) -> Column:
     """Structs (policy_id, trigger) of the triggers found, in catalog order; the trigger list is bounded."""
-    if not triggers:
-        return F.array().cast("array<struct<policy_id:string,trigger:string>>")
-    return F.array_compact(F.array(*[
-        F.when(text.contains(match), F.struct(F.lit(p).alias("policy_id"), F.lit(raw).alias("trigger"))) for p, raw, match in triggers
-    ]))
+    none = F.array().cast("array<struct<policy_id:string,trigger:string>>")
+    found = [
+        F.when(text.contains(match), F.array(F.struct(F.lit(p).alias("policy_id"), F.lit(raw).alias("trigger")))).otherwise(none)
+        for p, raw, match in triggers
+    ]
+    return F.array_distinct(F.concat(*found)) if found else none
 
 
 def substring_join(texts: DataFrame, key, text, terms: DataFrame, term="term", gram=3, longest=64) -> DataFrame:

@@ -3,6 +3,15 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+def spread(df: DataFrame, key) -> DataFrame:
+    """Deal the rows of a few input files over the cores before CPU-heavy column work.
+
+    With at least as many files as cores, as in any large table, this changes nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def draw_key(seed, key) -> Column:
     """Order of a reproducible draw: md5 of seed and key, the same in every engine."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string") if isinstance(key, str) else key))

@@ -67,12 +67,11 @@ DEC = "WITH " + sql_decisions()
 
 
 def decided(t, raw=RAW, **kw):
-    return C.compile_requests(t.sql(raw), C.contract_of(t.spark, CAT), CAT, **kw)
+    return C.compile_requests(t.spread(raw), C.contract_of(t.spark, CAT), CAT, **kw)
 
 
 def requested(t):
-    q = X.normalize(F.col("nl_query"))
-    return t.sql(RAW).select("request_id", "metric_id", q.alias("q"), C.detect_dimensions(q, CAT).alias("dims"))
+    return C.with_scope(t.spread(RAW)).select("request_id", "metric_id", "_q", C.detect_dimensions(F.col("_scope"), CAT).alias("dims"))
 
 
 @query("ct_detect_dimensions", DEC + " SELECT request_id, requested AS dims FROM chk")
@@ -87,14 +86,14 @@ def _(t):
 
 @query("ct_detect_time", DEC + " SELECT request_id, anchor FROM tm")
 def _(t):
-    return requested(t).select("request_id", C.detect_time(F.col("q"), PROFILE).alias("anchor"))
+    return requested(t).select("request_id", C.detect_time(F.col("_q"), PROFILE).alias("anchor"))
 
 
 UNKNOWN = "SELECT request_id, nl_query, CASE WHEN request_id % 31 = 7 THEN 'ghost' ELSE g_metric END AS metric_id, concat(d1, CASE WHEN request_id % 5 = 0 THEN '|planet' ELSE '' END) AS dims FROM @requests r0"
 
 
 def checks(t, raw, name, *cols):
-    d = t.sql(raw)
+    d = t.spread(raw)
     if "dims" in d.columns:
         d = d.withColumn("requested", LIST("dims"))
     c = C.compile_requests(d, C.contract_of(t.spark, CAT), CAT).select("request_id", F.col(f"decision.trace.checks.{name}").alias("k"))
@@ -156,7 +155,7 @@ def _(t):
 @query("ct_check_coverage_schema", DEC + """ SELECT request_id, coverage_ok AND NOT (request_id % 10 = 3 AND metric_id = 'units') AS passed,
  concat_ws('|', CASE WHEN request_id % 10 = 3 AND metric_id = 'units' THEN 'l_quantity' END, CASE WHEN NOT coverage_ok THEN 'p_type' END) AS missing FROM chk""")
 def _(t):
-    d = t.sql(RAW).withColumn("coverage_remove", F.when((F.col("request_id") % 10 == 3) & (F.col("metric_id") == "units"), F.array(F.lit("l_quantity"))))
+    d = t.spread(RAW).withColumn("coverage_remove", F.when((F.col("request_id") % 10 == 3) & (F.col("metric_id") == "units"), F.array(F.lit("l_quantity"))))
     c = C.compile_requests(d, C.contract_of(t.spark, CAT), CAT).select("request_id", F.col("decision.trace.checks.coverage").alias("k"))
     return c.select("request_id", "k.passed", J("k.missing").alias("missing"))
 
@@ -221,7 +220,7 @@ CAND = """SELECT request_id * 10 + rank AS request_id, request_id AS case_key, r
 @query("ct_compile_candidates", "WITH " + sql_decisions(CAND) + f""" SELECT case_key, metric_id, f = '' AS passed, CAST(rank AS BIGINT) AS rank FROM (SELECT case_key, chk.metric_id, rank, {sql_failed()} AS f,
  row_number() OVER (PARTITION BY case_key ORDER BY {sql_failed()} <> '', rank) AS rn FROM chk JOIN (SELECT request_id, case_key, rank FROM r) k USING (request_id)) z WHERE rn = 1""")
 def _(t):
-    b = C.compile_candidates(t.sql(CAND), C.contract_of(t.spark, CAT), CAT, "case_key")
+    b = C.compile_candidates(t.spread(CAND), C.contract_of(t.spark, CAT), CAT, "case_key")
     return b.select("case_key", "metric_id", (F.col("decision.action") == "answer").alias("passed"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -240,7 +239,7 @@ MUTATIONS = ["field", "caliber", "grain", "coverage", "time", "policy", "none"]
 
 
 def mutated(t):
-    base = t.requests.filter("tpl IN (0, 1, 3)").select("request_id", F.explode(X.lit_list(MUTATIONS)).alias("mutation"), F.col("nl_query").alias("q0"))
+    base = t.spread("requests").filter("tpl IN (0, 1, 3)").select("request_id", F.explode(X.lit_list(MUTATIONS)).alias("mutation"), F.col("nl_query").alias("q0"))
     is_ = lambda m: F.col("mutation") == m
     return base.select(
         "request_id", "mutation", F.when(is_("policy"), F.concat(F.lit("raw rows of "), "q0")).otherwise(F.concat(F.lit("report "), "q0")).alias("nl_query"),
@@ -294,7 +293,7 @@ PAIRS = """SELECT request_id * 2 + side AS request_id, request_id AS base, side,
   FROM (SELECT *, CASE WHEN dims = 'nation|region' THEN 'nation' ELSE dims END AS fin FROM ({PAIRS}) p) p JOIN mv a USING (metric_id) JOIN (SELECT request_id AS base, time_ok FROM chk) k USING (base)
   JOIN (SELECT r.request_id AS base, count(pid) FILTER (pid NOT IN ('no_governed_metric', 'unsupported_metric')) AS phits FROM r LEFT JOIN hit USING (request_id) GROUP BY 1) h USING (base)) z GROUP BY 1""")
 def _(t):
-    p = t.sql(PAIRS).withColumn("requested", LIST("dims"))
+    p = t.spread(PAIRS).withColumn("requested", LIST("dims"))
     d = C.compile_requests(p, C.contract_of(t.spark, CAT), CAT)
     failed = F.coalesce(J("decision.trace.certificate.failed_constraints", ","), F.lit(""))
     return d.groupBy("base").agg(
@@ -325,7 +324,7 @@ PLAN_DEC = "WITH " + sql_decisions(PLANS) + f""", pd AS (SELECT request_id, d FR
 
 
 def plans(t):
-    p = t.sql(PLANS).withColumn("pred_metric_id", F.col("metric_id")).withColumn("pred_dimensions", LIST("dims")).drop("metric_id", "dims")
+    p = t.spread(PLANS).withColumn("pred_metric_id", F.col("metric_id")).withColumn("pred_dimensions", LIST("dims")).drop("metric_id", "dims")
     return p
 
 
