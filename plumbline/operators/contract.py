@@ -7,7 +7,7 @@ catalog become column expressions, so deciding a request is one broadcast join a
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators import filters as P
+from plumbline.operators import filters as P, scale
 from plumbline.sources.catalog import Catalog
 
 # The check families in the order failures are reported.
@@ -59,7 +59,8 @@ def dimension_aliases(d):
 
 def with_scope(df: DataFrame, text="nl_query") -> DataFrame:
     """Add the normalised text `_q` and its grouping part `_scope`, each computed once."""
-    return df.withColumn("_q", X.normalize(F.col(text))).withColumn("_scope", grouping_scope(F.col("_q")))
+    scoped = df.withColumn("_q", X.normalize(F.col(text))).withColumn("_scope", grouping_scope(F.col("_q")))
+    return scale.fenced(scoped, "_q", "_scope")
 
 
 def gather(cases, kind=STRINGS) -> Column:
@@ -343,7 +344,7 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
         F.when(ok, "witness_satisfied").otherwise(F.concat(F.lit("constraint_failure:"), primary)).alias("reason"),
         F.struct(F.col("_checks").alias("checks"), certificate.alias("certificate"), F.lit(False).alias("used_gold_label")).alias("trace"),
     )
-    return j.select(*requests.columns, decision.alias("decision"))
+    return scale.fenced(j.select(*requests.columns, decision.alias("decision")), "decision")
 
 
 def compile_candidates(candidates: DataFrame, contract: DataFrame, catalog: Catalog, key, rank="rank") -> DataFrame:
@@ -399,7 +400,7 @@ def validate_plans(plans: DataFrame, contract: DataFrame, catalog: Catalog, trig
     found = F.when(broken, F.array(row("output_not_parseable", F.col("parse_status")))).when(
         refused, F.when(F.size(hits) == 0, F.array(row("unjustified_refusal", ""))).otherwise(none)
     ).otherwise(F.flatten(F.array_compact(F.array(*answer))))
-    return j.select(*plans.columns, F.coalesce(found, none).alias("violations"))
+    return scale.fenced(j.select(*plans.columns, F.coalesce(found, none).alias("violations")), "violations")
 
 
 def feedback_text(plan: Column, violations: Column, rules: dict) -> Column:

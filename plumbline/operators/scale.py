@@ -12,6 +12,16 @@ def spread(df: DataFrame, key) -> DataFrame:
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
+def fenced(df: DataFrame, *cols) -> DataFrame:
+    """Compute the given columns once: filters on them are not rewritten into what they were made of.
+
+    Without it a filter on a decision would be pushed through every step below and repeat their expressions.
+    """
+    keep = [c for c in df.columns if c not in cols]
+    one = F.explode(F.array(F.struct(*cols))).alias("_x")
+    return df.select(*keep, one).select(*keep, *[F.col(f"_x.{c}").alias(c) for c in cols])
+
+
 def draw_key(seed, key) -> Column:
     """Order of a reproducible draw: md5 of seed and key, the same in every engine."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string") if isinstance(key, str) else key))
