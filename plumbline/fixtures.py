@@ -102,6 +102,32 @@ FROM (SELECT request_id, case_id, g_metric, concat('{"action": "', CASE WHEN tpl
    '", "metric_id": "', g_metric, ' ", "dimensions": ["', d1, '", " ", "', d2, '"], "time_window": "1997", "reason": "by rule"}') AS obj FROM @requests r) o"""
 
 
+# Repair rounds of each request: up to four, better with every round.
+FIX["rounds"] = f"""
+SELECT request_id, case_id, nl_query, query_family, round, expected_action, expected_metric_id, expected_dims,
+ CASE WHEN ok THEN expected_action WHEN request_id % 3 = 1 THEN 'refuse' ELSE 'answer' END AS action,
+ CASE WHEN ok THEN expected_metric_id WHEN request_id % 3 = 1 THEN '' ELSE {pick(METRIC_IDS, 'request_id + round')} END AS pred_metric_id,
+ CASE WHEN ok THEN expected_dims WHEN request_id % 3 = 1 THEN '' ELSE 'brand' END AS pred_dims,
+ CASE WHEN ok THEN '' WHEN request_id % 4 = 0 THEN 'metric_not_in_catalog' WHEN request_id % 4 = 1 THEN 'dimension_not_allowed|finest_grain_violation' WHEN request_id % 4 = 2 THEN 'missed_refusal' ELSE '' END AS violations,
+ (request_id % 13 <> round) AS has_prediction, CAST(500 + (request_id * 31 + round) % 400 AS BIGINT) AS prompt_tokens, CAST(20 + request_id % 9 AS BIGINT) AS completion_tokens,
+ CAST((request_id * 17 + round * 5) % 1000 AS DOUBLE) AS latency_ms
+FROM (SELECT *, (request_id % 5 + round >= 3 AND request_id % 41 <> 0) AS ok FROM (SELECT *, EXPLODE[0, 1, 2, 3] AS round FROM @labelled l) e WHERE round <= request_id % 4) x"""
+# Five sampled answers per request, three annotators per request, a logged attempt or two per request.
+FIX["samples"] = f"""
+SELECT request_id, case_id, query_family, sample_idx, expected_action, expected_metric_id, expected_dims,
+ CASE WHEN v < 6 THEN expected_action WHEN v = 6 THEN 'refuse' ELSE 'answer' END AS action,
+ CASE WHEN v < 6 THEN expected_metric_id WHEN v = 6 THEN '' ELSE {pick(METRIC_IDS, 'v')} END AS pred_metric_id, CASE WHEN v < 6 THEN expected_dims ELSE '' END AS pred_dims
+FROM (SELECT *, (request_id * 13 + sample_idx * sample_idx * (request_id % 7)) % 9 AS v FROM (SELECT *, EXPLODE[0, 1, 2, 3, 4] AS sample_idx FROM @labelled l) e) x"""
+FIX["annotations"] = f"""
+SELECT request_id, case_id, query_family, annotator, expected_action, expected_metric_id, expected_dims, CASE WHEN flip THEN CASE WHEN expected_action = 'answer' THEN 'refuse' ELSE 'answer' END ELSE expected_action END AS action,
+ CASE WHEN flip THEN CASE WHEN expected_action = 'answer' THEN '' ELSE 'units' END WHEN expected_action = 'answer' AND request_id % 23 = 5 THEN 'units' ELSE expected_metric_id END AS metric,
+ CASE WHEN flip THEN '' ELSE expected_dims END AS dims, CASE WHEN request_id % 19 = 2 THEN 'y' ELSE '' END AS uncertain, split_part('A|B|C|D|E', '|', CAST(1 + (request_id + CASE WHEN flip THEN 1 ELSE 0 END) % 5 AS INT)) AS option
+FROM (SELECT *, ((request_id * (CASE annotator WHEN 'A' THEN 3 WHEN 'B' THEN 5 ELSE 7 END)) % 29 < 2) AS flip FROM (SELECT *, EXPLODE['A', 'B', 'C'] AS annotator FROM @labelled l) e) x"""
+FIX["attempts"] = """
+SELECT request_id, case_id, query_family, seq, CASE WHEN (request_id + seq) % 3 = 0 THEN 'timeout' ELSE '' END AS error, concat('reply ', CAST(request_id * 10 + seq AS STRING)) AS reply,
+ concat('2024-01-0', CAST(1 + seq AS STRING), 'T00:', CAST(10 + request_id % 50 AS STRING), ':00Z') AS ts_utc FROM (SELECT *, EXPLODE[0, 1, 2] AS seq FROM @labelled l) e WHERE request_id % 11 <> 10 AND seq <= request_id % 4"""
+
+
 # A large metric catalog: one metric per part, with evidence that is complete for some and not for others.
 FIX["part_metrics"] = """
 SELECT p_partkey, concat('m_', CAST(p_partkey AS STRING)) AS metric_id, p_brand AS domain_id,
@@ -166,7 +192,9 @@ class Tables:
         return self.sql(FIX[name])
 
     def sql(self, text):
-        return self.spark.sql(spark_sql(text, self.folder))
+        df = self.spark.sql(spark_sql(text, self.folder))
+        # a made-up text is a large expression; compute it once, as a stored column would be
+        return scale.fenced(df, "nl_query") if "nl_query" in df.columns else df
 
     def spread(self, text, key="request_id"):
         """Rows of a fixture or a SQL text dealt over the cores."""

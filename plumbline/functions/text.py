@@ -174,13 +174,12 @@ def tokens(c) -> Column:
 
 
 def bigrams(c, keep_blanks=False) -> Column:
+    """Distinct pairs of neighbouring characters; linear in the length of the text."""
     text = F.lower(F.coalesce(c, F.lit("")))
     if not keep_blanks:
         text = F.regexp_replace(text, r"\s+", "")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
-    return F.when(F.length(text) < 2, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(2))))
-    )
+    # a zero-width match at every position, so pairs overlap
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1)))
 
 
 def year_of(c) -> Column:

@@ -110,7 +110,7 @@ def substring_join(texts: DataFrame, key, text, terms: DataFrame, term="term", g
     Terms shorter than the key join on what they have.
     """
     keyed = terms.withColumn("_g", F.least(F.length(term), F.lit(gram))).withColumn("_key", F.expr(f"substring({term}, 1, _g)"))
-    windows = texts.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(F.col(text), i, F.lit(longest)))).alias("_w"))
+    windows = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1))).alias("_w"))
     grams = windows.select(key, "_w", F.explode(F.array(*[F.substring("_w", 1, n) for n in range(1, gram + 1)])).alias("_key"))
     hits = grams.join(keyed, "_key").filter((F.length(F.col("_key")) == F.col("_g")) & F.col("_w").startswith(F.col(term)))
     return hits.drop("_key", "_g", "_w").distinct()

@@ -306,7 +306,7 @@ def _(t):
 PLANS = """SELECT request_id, nl_query, CASE WHEN request_id % 19 = 4 THEN 'refuse' ELSE 'answer' END AS action, CASE request_id % 23 WHEN 1 THEN '' WHEN 2 THEN 'ghost' ELSE g_metric END AS metric_id,
  CASE request_id % 4 WHEN 0 THEN d1 WHEN 1 THEN 'region|nation' WHEN 2 THEN concat(d1, '|planet') ELSE 'part_type' END AS dims, CASE WHEN request_id % 37 = 0 THEN 'parse_error' ELSE 'ok' END AS parse_status FROM @requests r0"""
 TRIG_RAW = values([(t, t.lower()) for t in dict.fromkeys(x[1] for x in P.trigger_rows(POLICIES, strip=False))], ["trig", "needle"])
-PLAN_DEC = "WITH " + sql_decisions(PLANS) + f""", pd AS (SELECT request_id, d FROM (SELECT request_id, unnest(string_split(dims, '|')) AS d FROM r) u),
+PLAN_DEC = "WITH " + sql_decisions(PLANS) + f""", pd AS (SELECT request_id, d FROM (SELECT request_id, unnest(string_split(dims, '|')) AS d FROM r) u WHERE d <> ''),
  ok AS (SELECT r.*, metric_id IN (SELECT metric_id FROM mv) AS known FROM r WHERE parse_status = 'ok' AND action = 'answer'),
  th AS (SELECT request_id, string_agg(trig, ',' ORDER BY trig) AS ts FROM r JOIN ({TRIG_RAW}) t ON contains(lower(trim(nl_query)), needle) GROUP BY 1),
  vio AS (SELECT request_id, 'output_not_parseable' AS type, parse_status AS detail FROM r WHERE parse_status <> 'ok'
