@@ -53,9 +53,14 @@ def _(t):
     return t.sql(SQLS).select("p_partkey", X.norm_sql(F.col("q")).alias("flat"), X.norm_expr(F.col("q")).alias("expr"))
 
 
-@query("fn_mask_digits", """SELECT page_id, regexp_replace(regexp_replace(url, '[0-9]', '*', 'g'), '\\*+', '*', 'g') AS masked, regexp_replace(url, '[0-9]', '', 'g') AS removed FROM pages""")
+@query("fn_mask_digits", """SELECT page_id, regexp_replace(regexp_replace(url, '[0-9]', '*', 'g'), '\\*+', '*', 'g') AS masked FROM pages""")
 def _(t):
-    return t.pages.select("page_id", X.mask_digits(F.col("url")).alias("masked"), X.remove_digits(F.col("url")).alias("removed"))
+    return t.pages.select("page_id", X.mask_digits(F.col("url")).alias("masked"))
+
+
+@query("fn_remove_digits", """SELECT page_id, regexp_replace(url, '[0-9]', '', 'g') AS removed, length(regexp_replace(html, '[0-9]', '', 'g')) AS n FROM pages""")
+def _(t):
+    return t.pages.select("page_id", X.remove_digits(F.col("url")).alias("removed"), F.length(X.remove_digits(F.col("html"))).cast("bigint").alias("n"))
 
 
 @query("fn_stable_hash", "SELECT doc_id, substr(sha256(text), 1, 16) AS id16, substr(sha1(text), 1, 12) AS id12 FROM documents")
