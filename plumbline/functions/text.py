@@ -38,7 +38,13 @@ def alias_pattern(aliases):
 
 
 def contains_any_alias(text: Column, aliases) -> Column:
-    return text.rlike(alias_pattern(aliases))
+    """Any alias by the boundary rule; the pattern runs only where one occurs at all."""
+    plain = dict.fromkeys(re.sub(r"\s+", " ", (a or "").lower()).strip() for a in aliases)
+    occurs = F.lit(False)
+    for a in plain:
+        if a:
+            occurs = occurs | text.contains(a)
+    return occurs & text.rlike(alias_pattern(aliases))
 
 
 def contains_alias(text: Column, alias: Column) -> Column:

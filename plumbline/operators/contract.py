@@ -96,8 +96,8 @@ def detect_time(q: Column, profile) -> Column:
     return F.coalesce(*found, F.when(year != "", year), F.lit(profile.get("default_time_anchor") or ""))
 
 
-def policy_hits(q: Column, metric_id, known, answerable, catalog: Catalog) -> Column:
-    """Distinct (policy_id, trigger) reasons to refuse; the released triggers lose their outer blanks."""
+def policy_cases(q: Column, metric_id, known, answerable, catalog: Catalog) -> list:
+    """(condition, struct(policy_id, trigger)) of every reason to refuse; released triggers lose their outer blanks."""
     row = lambda p, t: F.struct(F.lit(p).alias("policy_id"), (t if isinstance(t, Column) else F.lit(t)).alias("trigger"))
     hits = [(~known, row("no_governed_metric", "empty_metric_candidate")), (known & ~F.coalesce(answerable, F.lit(True)), row("unsupported_metric", metric_id))]
     norm = lambda s: " ".join(str(s or "").lower().split())
@@ -113,7 +113,7 @@ def policy_hits(q: Column, metric_id, known, answerable, catalog: Catalog) -> Co
             hits.append((P.contains_any(q, [norm(t) for t in r["contains"]]), row(r["policy_id"], "contains")))
         if r.get("exact"):
             hits.append((q.isin(*[norm(t) for t in r["exact"]]), row(r["policy_id"], "exact")))
-    return F.array_distinct(gather(hits, "array<struct<policy_id:string,trigger:string>>"))
+    return hits
 
 
 # --- metrics ------------------------------------------------------------------------------------
@@ -258,12 +258,8 @@ def contract_of(spark, catalog: Catalog) -> DataFrame:
 # --- decisions ----------------------------------------------------------------------------------
 
 
-def disallowed(resolved: Column, allowed: Column) -> Column:
-    return F.when(F.size(allowed) == 0, no_strings()).otherwise(set_of(F.array_except(resolved, allowed)))
-
-
-def required_dimension_fields(resolved: Column, catalog: Catalog) -> Column:
-    """Identifiers in the expressions of the resolved dimensions."""
+def dimension_fields(catalog: Catalog) -> dict:
+    """dimension -> identifiers its expression reads."""
     import re
 
     stop = set(X.SQL_WORDS + catalog.extra_sql_words)
@@ -271,8 +267,13 @@ def required_dimension_fields(resolved: Column, catalog: Catalog) -> Column:
     for d in catalog.dimensions:
         bare = re.sub(r"'[^']*'|\"[^\"]*\"", " ", d.get("sql") or "")
         words[d["dimension_id"]] = sorted({w.lower() for w in re.findall(r"[A-Za-z_]\w*", bare)} - stop)
-    picked = [F.when(F.array_contains(resolved, d), X.lit_list(w)).otherwise(no_strings()) for d, w in words.items() if w]
-    return F.concat(*picked) if picked else no_strings()
+    return words
+
+
+def gather_all(chosen: Column, values: dict) -> Column:
+    """Values of the chosen keys, one after another."""
+    found = [F.when(F.array_contains(chosen, k), X.lit_list(v)).otherwise(no_strings()) for k, v in values.items() if v]
+    return F.concat(*found) if found else no_strings()
 
 
 def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog, disabled=(), columns_left="coverage_remove") -> DataFrame:
@@ -282,57 +283,70 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
     anchor, and `coverage_remove` lists schema columns to take away for that request.
     """
     has = set(requests.columns)
+    by_schema = bool(catalog.schema_columns)
+    have = X.lit_list([s.lower() for s in catalog.schema_columns])
+    if by_schema:
+        # what a metric misses does not depend on the request
+        contract = contract.withColumn("_lacks", F.array_except("contract.fields", have))
     j = with_scope(requests.join(contract, "metric_id", "left"))
     c = lambda name: F.col(f"contract.{name}")
     known = F.coalesce(c("known"), F.lit(False))
     detected = detect_dimensions(F.col("_scope"), catalog, c("domain"))
-    j = j.select("*", F.coalesce(F.col("requested"), detected).alias("_requested") if "requested" in has else detected.alias("_requested"))
+    given = "requested" in has
+    j = j.select("*", F.coalesce(F.col("requested"), detected).alias("_requested") if given else detected.alias("_requested"))
     q, requested = F.col("_q"), F.col("_requested")
     anchor = detect_time(q, catalog.profile)
     j = j.select("*", finest(requested, catalog).alias("_resolved"), (F.coalesce(F.col("time_binding"), anchor) if "time_binding" in has else anchor).alias("_time"))
     resolved, bound = F.col("_resolved"), F.col("_time")
 
-    unknown = set_of(F.array_except(requested, X.lit_list([d["dimension_id"] for d in catalog.dimensions])))
-    barred = disallowed(resolved, or_empty(c("allowed")))
-    if catalog.schema_columns:
-        have = X.lit_list([s.lower() for s in catalog.schema_columns])
+    # detected dimensions are known ones
+    unknown = F.array_except(requested, X.lit_list([d["dimension_id"] for d in catalog.dimensions])) if given else no_strings()
+    allowed = or_empty(c("allowed"))
+    barred = F.when(F.size(allowed) == 0, no_strings()).otherwise(F.array_except(resolved, allowed))
+    fields = dimension_fields(catalog)
+    if by_schema:
+        required = set_of(F.array_union(or_empty(c("fields")), gather_all(resolved, fields)))
         if columns_left in has:
-            have = F.array_except(have, or_empty(columns_left))
-        j = j.withColumn("_required", set_of(F.array_union(or_empty(c("fields")), required_dimension_fields(resolved, catalog))))
-        j = j.withColumn("_gone", F.array_except("_required", have))
-        required, gone = F.col("_required"), F.col("_gone")
-        covered = F.struct(
-            F.lit(True).alias("active"), (F.size(gone) == 0).alias("passed"), F.lit("physical_schema_columns").alias("mode"), required.alias("required"), gone.alias("missing")
-        )
+            gone = F.array_except(required, F.array_except(have, or_empty(columns_left)))
+        else:
+            lacking = {d: [w for w in words if w not in catalog.schema_columns] for d, words in fields.items()}
+            gone = F.array_union(or_empty("_lacks"), gather_all(resolved, lacking))
+    else:
+        gone = no_strings()
+    j = j.select("*", unknown.alias("_unknown"), barred.alias("_barred"), gone.alias("_gone"))
+    if by_schema:
+        covered = [F.lit(True), F.size("_gone") == 0, F.lit("physical_schema_columns").alias("mode"), required.alias("required"), F.sort_array("_gone").alias("missing")]
     else:
         e = lambda name, d: F.coalesce(c(f"coverage.{name}"), d)
-        covered = F.struct(
-            e("active", F.lit(False)).alias("active"), e("passed", F.lit(True)).alias("passed"), e("mode", F.lit("not_required_by_metric_contract")).alias("mode"),
-            e("required", no_strings()).alias("required"), e("missing", no_strings()).alias("missing"),
-        )
+        covered = [e("active", F.lit(False)), e("passed", F.lit(True)), e("mode", F.lit("not_required_by_metric_contract")).alias("mode"),
+                   e("required", no_strings()).alias("required"), e("missing", no_strings()).alias("missing")]
     available = sorted(catalog.profile.get("available_time_anchors") or [])
     temporal = F.coalesce(c("temporal"), F.lit(False))
     in_window = (bound == "") | bound.isin(*available) if available else F.lit(True)
-    hits = policy_hits(q, F.col("metric_id"), known, c("answerable"), catalog)
-    j = j.select("*", hits.alias("_hits"), unknown.alias("_unknown"), barred.alias("_barred"))
+    cases = policy_cases(q, F.col("metric_id"), known, c("answerable"), catalog)
+    any_hit = F.lit(False)
+    for cond, _ in cases:
+        any_hit = any_hit | cond
+    hits = F.array_distinct(gather(cases, "array<struct<policy_id:string,trigger:string>>"))
+    no_unknown = F.size("_unknown") == 0
     checks = {
-        "field": [F.lit(True), known & (F.size("_unknown") == 0), F.col("_unknown").alias("unknown_dimensions")],
+        "field": [F.lit(True), known & no_unknown, F.sort_array(F.array_distinct("_unknown")).alias("unknown_dimensions")],
         "caliber": [F.lit(True), F.coalesce(c("caliber.passed"), F.lit(True)), F.coalesce(c("caliber.ratio_like"), F.lit(False)).alias("ratio_like"),
                     or_empty(c("caliber.found_numerator")).alias("numerator"), or_empty(c("caliber.found_denominator")).alias("denominator"),
                     F.coalesce(c("caliber.route_source"), F.lit("not_required")).alias("route_source")],
-        "grain": [F.lit(True), (F.size("_unknown") == 0) & (F.size("_barred") == 0), requested.alias("requested"), resolved.alias("resolved_finest"),
-                  set_of(F.array_except(requested, resolved)).alias("removed_ancestors"), F.col("_barred").alias("disallowed")],
-        "coverage": [covered["active"], covered["passed"], covered["mode"].alias("mode"), covered["required"].alias("required"), covered["missing"].alias("missing")],
+        "grain": [F.lit(True), no_unknown & (F.size("_barred") == 0), requested.alias("requested"), resolved.alias("resolved_finest"),
+                  set_of(F.array_except(requested, resolved)).alias("removed_ancestors"), F.sort_array("_barred").alias("disallowed")],
+        "coverage": covered,
         "time": [temporal | F.lit(bool(available)), (~temporal | (bound != "")) & in_window, temporal.alias("required"), bound.alias("detected"), X.lit_list(available).alias("available")],
-        "policy": [F.lit(True), F.size("_hits") == 0, F.col("_hits").alias("hits")],
+        "policy": [F.lit(True), ~any_hit, hits.alias("hits")],
     }
     for name in disabled:
         checks[name][0], checks[name][1] = F.lit(False), F.lit(True)
-    j = j.select("*", F.struct(*[
-        F.struct(active.alias("active"), passed.alias("passed"), *detail).alias(name) for name, (active, passed, *detail) in checks.items()
-    ]).alias("_checks"))
-    failed = [(F.col(f"_checks.{f}.active") & ~F.col(f"_checks.{f}.passed"), F.lit(f)) for f in FAMILIES]
-    j = j.select("*", gather(failed).alias("_failed"))
+    failing = [(active & ~passed, F.lit(f)) for f, (active, passed, *_) in checks.items()]
+    # the list of failures is fenced; the details around it are only computed when somebody reads them
+    j = scale.fenced(j.select("*", gather(failing).alias("_failed")), "_failed")
+    off = lambda f: F.array_contains("_failed", f)
+    detail = F.struct(*[F.struct(active.alias("active"), (~off(f) if f not in disabled else F.lit(True)).alias("passed"), *more).alias(f) for f, (active, _, *more) in checks.items()])
     ok = F.size("_failed") == 0
     primary = F.get("_failed", F.lit(0))
     certificate = F.when(~ok, F.struct(
@@ -342,9 +356,9 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
         F.when(ok, F.col("metric_id")).otherwise("").alias("pred_metric_id"),
         F.when(ok, resolved).otherwise(no_strings()).alias("pred_dimensions"),
         F.when(ok, "witness_satisfied").otherwise(F.concat(F.lit("constraint_failure:"), primary)).alias("reason"),
-        F.struct(F.col("_checks").alias("checks"), certificate.alias("certificate"), F.lit(False).alias("used_gold_label")).alias("trace"),
+        F.struct(detail.alias("checks"), certificate.alias("certificate"), F.lit(False).alias("used_gold_label")).alias("trace"),
     )
-    return scale.fenced(j.select(*requests.columns, decision.alias("decision")), "decision")
+    return j.select(*requests.columns, decision.alias("decision"))
 
 
 def compile_candidates(candidates: DataFrame, contract: DataFrame, catalog: Catalog, key, rank="rank") -> DataFrame:
