@@ -198,4 +198,6 @@ class Tables:
 
     def spread(self, text, key="request_id"):
         """Rows of a fixture or a SQL text dealt over the cores."""
-        return scale.spread(self.fx(text) if text in FIX else self.sql(text), key)
+        if " " in text:
+            return scale.spread(self.sql(text), key)
+        return scale.spread(getattr(self, text), key)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators import contract as C, scoring as S
+from plumbline.operators import contract as C, scale
 
 OUT = "struct<tbl:string,col:string,agg:string>"
 PRED = "struct<tbl:string,col:string,op:string,literal:string,negated:boolean>"
@@ -55,8 +55,9 @@ def extract_facts(df: DataFrame, sql="sql") -> DataFrame:
                         F.when(op == "", "?").when(op == "<>", "!=").otherwise(op).alias("op"), F.when(op != "", F.lower(literal)).alias("literal"), negated.alias("negated"))
 
     order = F.trim(F.regexp_replace(F.lower(F.regexp_extract(sql, r"(?is)order\s+by\s+(.+?)(?:limit\b|$)", 1)), r"\s+", " "))
-    return df.select("*", F.filter(F.transform(parts, output), lambda o: o["col"] != "").alias("outs"), F.transform(refs, predicate).alias("preds"), referenced_tables(sql).alias("tables"),
+    facts = df.select("*", F.filter(F.transform(parts, output), lambda o: o["col"] != "").alias("outs"), F.transform(refs, predicate).alias("preds"), referenced_tables(sql).alias("tables"),
                      table_aliases(sql).alias("aliases"), F.col(sql).rlike(r"(?i)\bwhere\b").alias("has_where"), null_if_blank(order).alias("order_sig"))
+    return scale.fenced(facts, "outs", "preds", "tables", "aliases", "has_where", "order_sig")
 
 
 def resolve_columns(facts: DataFrame, key, schema: DataFrame) -> DataFrame:
@@ -69,10 +70,12 @@ def resolve_columns(facts: DataFrame, key, schema: DataFrame) -> DataFrame:
     named = lambda c: F.transform(c, lambda x: x.withField("tbl", F.coalesce(F.try_element_at("_real", x["tbl"]), x["tbl"])))
     f = f.withColumn("outs", named("outs")).withColumn("preds", named("preds"))
     need = f.select(key, F.explode(F.filter("outs", lambda o: o["tbl"].isNull())).alias("o"), "tables").select(key, F.col("o.col").alias("col"), F.posexplode("tables").alias("at", "tbl"))
-    owner = need.join(schema.select("tbl", "col").distinct(), ["tbl", "col"]).groupBy(key, "col").agg(F.min_by("tbl", "at").alias("tbl"))
-    owners = owner.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("col", "tbl"))).alias("_own"))
+    owner = need.join(schema.select("tbl", "col").distinct(), ["tbl", "col"])
+    # outputs and tables of one query are few
+    owners = owner.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("at", "tbl", "col"))).alias("_own"))
     j = f.join(owners, key, "left")
-    return j.withColumn("outs", F.transform("outs", lambda o: o.withField("tbl", F.coalesce(o["tbl"], F.try_element_at("_own", o["col"]))))).drop("_real", "_own")
+    first = lambda o: F.get(F.filter("_own", lambda w: w["col"] == o["col"]), F.lit(0))["tbl"]
+    return j.withColumn("outs", F.transform("outs", lambda o: o.withField("tbl", F.coalesce(o["tbl"], first(o))))).drop("_real", "_own")
 
 
 # --- policies -----------------------------------------------------------------------------------
@@ -95,6 +98,9 @@ def policy_nodes(replies: DataFrame, key, text) -> DataFrame:
                     F.coalesce(idents, none("struct<tbl:string,col:string>")).alias("idents"), F.col("p").isNull().alias("unreadable"))
 
 
+RULES = ["R1", "R1a_minmax", "R1a_narrowed", "R2", "R1_row_access"]
+
+
 def covers(pc, o) -> Column:
     return pc["tbl"].eqNullSafe(o["tbl"]) & (pc["col"] == o["col"])
 
@@ -143,39 +149,48 @@ def with_rules(facts: DataFrame, policies: DataFrame, key) -> DataFrame:
         F.exists("outs", lambda o: is_protected(o)).alias("_p"), (F.size(others) > 0).alias("_o"), F.exists(others, is_ident).alias("_d"))
 
 
-def align_rule(ruled: DataFrame, key) -> DataFrame:
-    """Conversations in which row-aligned queries together show a protected and another column.
+def evidence(ruled: DataFrame, key) -> DataFrame:
+    """(key, kind, sig, n, a, b): what the queries of a conversation show together, from one pass and one aggregate.
 
-    Queries align when they share tables and order, or read one whole table unordered. A pair that shows both
-    exists exactly when an aligned group of two or more queries does, so no pair is formed.
+    Queries align when they share tables and order, or read one whole table unordered. A pair that shows a
+    protected and another column exists exactly when an aligned group of two or more queries does, and a pair of
+    complements when one aggregate occurs under a negated filter and without any; so no pair is ever formed.
     """
     tables = F.array_join(F.sort_array("tables"), ",")
     sig = F.when(F.col("order_sig").isNotNull(), F.concat_ws("\u0001", F.lit("o"), "order_sig", tables)).when(~F.col("has_where") & (F.size("tables") == 1), F.concat_ws("\u0001", F.lit("n"), tables))
     named = (F.col("kind") == "attribution") & (F.size("idents") > 0)
-    g = ruled.filter("compilable").withColumn("_sig", sig).filter("_sig is not null").groupBy(key, "_sig").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or("_p").alias("p"), F.bool_or(F.when(named, F.col("_d")).otherwise(F.col("_o"))).alias("o"))
-    return g.filter("n > 1 AND p AND o").select(key).distinct()
+    negated, free = F.exists("preds", lambda p: p["negated"]), F.size("preds") == 0
+    row = lambda kind, s, a, b: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("sig"), s, F.lit("a"), a, F.lit("b"), b)
+    none = F.array().cast("array<struct<kind:string,sig:string,a:boolean,b:boolean>>")
+    aggs = F.transform(F.filter("outs", lambda o: o["agg"].isin("sum", "avg", "count")), lambda o: row("complement", F.concat_ws("\u0001", F.coalesce(o["tbl"], F.lit("")), o["col"], o["agg"]), F.col("_neg"), F.col("_free")))
+    own = [F.when(F.col(r), F.array(row("rule", F.lit(r), F.lit(True), F.lit(True)))).otherwise(none) for r in RULES]
+    state = F.array(row("state", F.lit(""), ~F.col("compilable"), F.size("outs") == 0))
+    align = F.when(F.col("compilable") & F.col("_sig").isNotNull(), F.array(row("align", F.col("_sig"), F.col("_p"), F.when(named, F.col("_d")).otherwise(F.col("_o"))))).otherwise(none)
+    e = ruled.withColumn("_sig", sig).withColumn("_neg", negated).withColumn("_free", free)
+    e = e.select(key, F.explode(F.concat(state, align, *own, F.when(F.col("compilable"), aggs).otherwise(none))).alias("e")).select(key, "e.*")
+    return e.groupBy(key, "kind", "sig").agg(F.count(F.lit(1)).alias("n"), F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
 
 
-def complement_rule(ruled: DataFrame, key) -> DataFrame:
-    """Conversations with the same aggregate once under a negated filter and once without any."""
-    aggs = F.filter("outs", lambda o: o["agg"].isin("sum", "avg", "count"))
-    e = ruled.filter("compilable").select(key, F.explode(aggs).alias("a"), F.exists("preds", lambda p: p["negated"]).alias("neg"), (F.size("preds") == 0).alias("free"))
-    g = e.groupBy(key, F.coalesce("a.tbl", F.lit("")).alias("t"), F.col("a.col").alias("c"), F.col("a.agg").alias("f")).agg(F.bool_or("neg").alias("neg"), F.bool_or("free").alias("free"))
-    return g.filter("neg AND free").select(key).distinct()
+def align_rule(ruled: DataFrame, key) -> DataFrame:
+    """Conversations in which row-aligned queries together show a protected and another column."""
+    return evidence(ruled, key).filter("kind = 'align' AND n > 1 AND a AND b").select(key).distinct()
 
 
-RULES = ["R1", "R1a_minmax", "R1a_narrowed", "R2", "R1_row_access"]
+def complement_rule(ruled: DataFrame, key) -> DataFrame:
+    """Conversations with the same aggregate once under a negated filter and once without any."""
+    return evidence(ruled, key).filter("kind = 'complement' AND a AND b").select(key).distinct()
 
 
 def judge(ruled: DataFrame, key) -> DataFrame:
     """Safe or unsafe per conversation with the fired rules; what cannot be compiled or read is unsafe."""
-    per = ruled.groupBy(key).agg(F.bool_and("compilable").alias("ok"), F.bool_or(F.size("outs") == 0).alias("unread"), *[F.bool_or(r).alias(r) for r in RULES])
-    flag = lambda df, name: df.withColumn(name, F.lit(True))
-    j = per.join(flag(align_rule(ruled, key), "R3a"), key, "left").join(flag(complement_rule(ruled, key), "R3b"), key, "left")
-    fired = F.sort_array(C.gather([(F.coalesce(r, F.lit(False)), F.lit(r)) for r in [*RULES, "R3a", "R3b"]]))
-    fired = F.when(~F.col("ok"), F.array(F.lit("FALLBACK_uncompilable"))).when(F.col("unread"), F.array(F.lit("FALLBACK_undecidable_sql"))).otherwise(fired)
-    return j.select(key, fired.alias("fired")).withColumn("verdict", F.when(F.size("fired") > 0, "unsafe").otherwise("safe"))
+    kind, both = F.col("kind"), F.col("a") & F.col("b")
+    found = {"R3a": (kind == "align") & (F.col("n") > 1) & both, "R3b": (kind == "complement") & both, **{r: (kind == "rule") & (F.col("sig") == r) for r in RULES}}
+    state = kind == "state"
+    g = evidence(ruled, key).groupBy(key).agg(
+        F.bool_or(state & F.col("a")).alias("bad"), F.bool_or(state & F.col("b")).alias("unread"), *[F.bool_or(c).alias(r) for r, c in found.items()])
+    fired = F.sort_array(C.gather([(F.col(r), F.lit(r)) for r in found]))
+    fired = F.when(F.col("bad"), F.array(F.lit("FALLBACK_uncompilable"))).when(F.col("unread"), F.array(F.lit("FALLBACK_undecidable_sql"))).otherwise(fired)
+    return g.select(key, fired.alias("fired")).withColumn("verdict", F.when(F.size("fired") > 0, "unsafe").otherwise("safe"))
 
 
 def schema_reference_errors(df: DataFrame, key, schema: DataFrame, sql="sql") -> DataFrame:

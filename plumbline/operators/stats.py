@@ -71,15 +71,16 @@ def uniform(text: Column, part=0) -> Column:
     return (F.conv(F.substring(F.md5(text), 1 + 8 * part, 8), 16, 10).cast("double") + 0.5) / float(2**32)
 
 
-def poisson(lam: Column, text: Column) -> Column:
-    """A Poisson draw for a whole rate: exact below 30, the rounded normal above."""
-    u, v = uniform(text), uniform(text, 1)
+def with_poisson(df: DataFrame, lam, text: Column, name="w") -> DataFrame:
+    """Add a Poisson draw for a whole rate: exact below 30, the rounded normal above."""
+    d = scale.fenced(df.withColumn("_u", uniform(text)).withColumn("_v", uniform(text, 1)), "_u", "_v")
+    rate, u, v = F.col(lam).cast("double"), F.col("_u"), F.col("_v")
     low = F.aggregate(
-        F.sequence(F.lit(0), F.lit(79)), F.struct(F.exp(-lam).alias("t"), F.exp(-lam).alias("cdf"), F.lit(0).alias("k")),
-        lambda s, j: F.struct((s["t"] * lam / (j + 1)).alias("t"), (s["cdf"] + s["t"] * lam / (j + 1)).alias("cdf"), (s["k"] + F.when(s["cdf"] < u, 1).otherwise(0)).alias("k")),
+        F.sequence(F.lit(0), F.lit(79)), F.struct(F.exp(-rate).alias("t"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k")),
+        lambda s, j: F.struct((s["t"] * rate / (j + 1)).alias("t"), (s["cdf"] + s["t"] * rate / (j + 1)).alias("cdf"), (s["k"] + F.when(s["cdf"] < u, 1).otherwise(0)).alias("k")),
         lambda s: s["k"].cast("double"))
     z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
-    return F.when(lam < 30, low).otherwise(F.greatest(F.floor(lam + F.sqrt(lam) * z + 0.5).cast("double"), F.lit(0.0)))
+    return d.withColumn(name, F.when(rate < 30, low).otherwise(F.greatest(F.floor(rate + F.sqrt(rate) * z + 0.5).cast("double"), F.lit(0.0)))).drop("_u", "_v")
 
 
 def bootstrap_interval(kinds: DataFrame, keys, replicates, seed, width=0.001) -> DataFrame:
@@ -89,9 +90,11 @@ def bootstrap_interval(kinds: DataFrame, keys, replicates, seed, width=0.001) ->
     interchangeable, so their total weight in a replicate is one Poisson draw, whatever their number.
     """
     keys = list(keys)
-    r = kinds.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    # few kinds, many replicates: deal the replicates over the cores
+    each = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
+    r = kinds.withColumn("rep", each).repartition(kinds.sparkSession.sparkContext.defaultParallelism, "rep")
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.col("n").cast("string"), F.col("diff").cast("string"))
-    w = r.withColumn("w", poisson(F.col("units").cast("double"), text))
+    w = with_poisson(r, "units", text)
     per = w.groupBy(*keys, "rep").agg(F.round(F.sum(F.col("w") * F.col("diff")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0.0)), 9).alias("x"))
     ranks = scale.value_ranks(per, "x", keys, width)
     at = lambda q: scale.value_at(F.floor(F.lit(q) * (F.col("total") - 1)) + 1)

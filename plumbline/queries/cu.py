@@ -26,7 +26,7 @@ def redact(e):
 @query("cu_desensitize", f"SELECT doc_id, md5({redact("replace(replace(text, 'The ', 'Die '), 'the', '[the]')")}) AS h, length({redact('text')}) AS n FROM documents")
 def _(t):
     c = F.col("text")
-    return t.documents.select("doc_id", F.md5(CU.desensitize(c, {"The ": "Die ", "the": "[the]"})).alias("h"), F.length(CU.desensitize(c, {})).cast("bigint").alias("n"))
+    return t.spread("documents", "doc_id").select("doc_id", F.md5(CU.desensitize(c, {"The ": "Die ", "the": "[the]"})).alias("h"), F.length(CU.desensitize(c, {})).cast("bigint").alias("n"))
 
 
 @query("cu_public_ids", "SELECT c_name, 'pub_' || CASE WHEN length(r::VARCHAR) >= 4 THEN r::VARCHAR ELSE lpad(r::VARCHAR, 4, '0') END AS public_id FROM (SELECT c_name, dense_rank() OVER (ORDER BY c_name) AS r FROM customer)")
@@ -52,7 +52,7 @@ TERMS = ["example", "license", "password", "the", "und", "que"]
 
 @query("cu_private_term_scan", "SELECT doc_id, term FROM documents, (SELECT unnest(['example', 'license', 'password', 'the', 'und', 'que']) AS term) t WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || term || '([^\\p{L}\\p{N}_]|$)')")
 def _(t):
-    return CU.term_scan(t.documents, "doc_id", "text", TERMS)
+    return CU.term_scan(t.spread("documents", "doc_id"), "doc_id", "text", TERMS)
 
 
 NAMES = {"part_type": "part type", "segment": "market segment"}

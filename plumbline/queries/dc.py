@@ -34,7 +34,7 @@ ROW = "(prot AND kind = 'row_access' AND k IN (0, 1, 2, 3, 5, 6) AND NOT (scoped
 
 def facts(t):
     schema = t.sql(SCHEMA)
-    return D.resolve_columns(D.extract_facts(t.sql(LOG)), "pos", schema)
+    return D.resolve_columns(D.extract_facts(t.spread(LOG, "pos")), "pos", schema)
 
 
 def policies(t):

@@ -10,7 +10,7 @@ J = lambda a, sep=",": F.array_join(a, sep)
 
 @query("fn_normalize", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS norm FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.md5(X.normalize(F.col("text"))).alias("norm"))
+    return t.spread("documents", "doc_id").select("doc_id", F.md5(X.normalize(F.col("text"))).alias("norm"))
 
 
 FORMULAS = """SELECT p_partkey, concat('SUM(', p_type, '_amt * ', CASE WHEN p_partkey % 3 = 0 THEN 'Rate' ELSE 'rate_2' END,

@@ -18,13 +18,13 @@ SQUEEZE = lambda e: f"regexp_replace({e}, '\\s+', '', 'g')"
 
 @query("lk_tokenize", f"SELECT doc_id, len(tk) AS n, md5(array_to_string(list_sort(tk), ' ')) AS h FROM (SELECT doc_id, {TOKENS('lower(text)')} AS tk FROM documents)")
 def _(t):
-    d = t.documents.select("doc_id", X.tokens(F.col("text")).alias("tk"))
+    d = t.spread("documents", "doc_id").select("doc_id", X.tokens(F.col("text")).alias("tk"))
     return d.select("doc_id", F.size("tk").cast("bigint").alias("n"), F.md5(J(F.sort_array("tk"), " ")).alias("h"))
 
 
 @query("lk_char_bigrams", f"SELECT doc_id, len(a) AS n, md5(array_to_string(list_sort(a), ' ')) AS h, len(b) AS n_blanks FROM (SELECT doc_id, {PAIRS(SQUEEZE('lower(text)'))} AS a, {PAIRS('lower(text)')} AS b FROM documents)")
 def _(t):
-    d = t.documents.select("doc_id", X.bigrams(F.col("text")).alias("a"), X.bigrams(F.col("text"), True).alias("b"))
+    d = t.spread("documents", "doc_id").select("doc_id", X.bigrams(F.col("text")).alias("a"), X.bigrams(F.col("text"), True).alias("b"))
     return d.select("doc_id", F.size("a").cast("bigint").alias("n"), F.md5(J(F.sort_array("a"), " ")).alias("h"), F.size("b").cast("bigint").alias("n_blanks"))
 
 
