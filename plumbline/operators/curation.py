@@ -44,7 +44,7 @@ def desensitize(text: Column, replacements: dict) -> Column:
 def public_ids(values: DataFrame, col, prefix, digits=3) -> DataFrame:
     """Dense public ids of the distinct values in sorted order."""
     d = values.select(col).filter(F.col(col) != "").distinct()
-    p = scale.positions(d, [col], F.substring(col, 1, 2), name="_p")
+    p = scale.positions(d, [col], (F.substring(col, 1, 8), F.substring(col, 1, 16)), name="_p")
     number = F.col("_p").cast("string")
     return p.select(col, F.concat(F.lit(prefix), F.when(F.length(number) >= digits, number).otherwise(F.lpad(number, digits, "0"))).alias("public_id"))
 
@@ -203,9 +203,8 @@ def perturb_conditions(df: DataFrame, condition, entities, lists, schema_names:
 
 def injected(pool: DataFrame, key, size, templates: list, seed, label=None) -> DataFrame:
     """Sample a pool, split it evenly over templates, and put the template before the last question."""
-    s = drawn(pool, seed, key).filter(F.col("draw_rank") <= size)
-    k = len(templates)
-    split = WN.split_evenly(s, ["draw_rank"], F.floor(F.col("draw_rank") / 4096), k, name="template")
+    s = WN.with_total(drawn(pool, seed, key).filter(F.col("draw_rank") <= size), [])
+    split = s.withColumn("template", WN.chunk_of(F.col("draw_rank"), F.col("_n"), len(templates))).drop("_n")
     text = F.get(F.array(*[t if isinstance(t, Column) else F.lit(t) for t in templates]), (F.col("template") - 1).cast("int"))
     q = F.concat(F.slice("questions", F.lit(1), F.size("questions") - 1), F.array(F.concat(text, F.lit(" "), F.element_at("questions", -1))))
     out = split.withColumn("questions", q).drop("draw_rank")

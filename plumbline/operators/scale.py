@@ -35,17 +35,32 @@ def draw_bucket(draw) -> Column:
 def positions(df: DataFrame, order, bucket, keys=(), name="pos") -> DataFrame:
     """Exact 1-based position of every row by `order` within `keys`, without one task holding a group.
 
-    `bucket` is a coarse column that orders the same way as `order`; rows are ranked inside their
-    bucket and shifted by the counts of the buckets before it.
+    `bucket` orders the same way as `order`, coarser: one column, or a (coarse, fine) pair where one column would
+    have too many values. Rows are ranked inside their bucket and shifted by the counts of the buckets before it;
+    those are summed inside the coarse bucket first, so the last running sum sees the coarse ones only.
     """
     keys = list(keys)
-    b = df.withColumn("_b", bucket)
-    counts = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    shift = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = W.partitionBy(*keys, "_b").orderBy(*order)
-    ranked = b.withColumn("_r", F.row_number().over(inside))
-    return ranked.join(shift, [*keys, "_b"]).withColumn(name, F.col("_r") + F.col("_shift")).drop("_b", "_r", "_shift")
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    before = lambda n, w: F.coalesce(F.sum(n).over(upto(w)), F.lit(0))
+    two = isinstance(bucket, tuple)
+    b = df.withColumn("_c", bucket[0] if two else bucket)
+    level = ["_c"]
+    if two:
+        b, level = b.withColumn("_f", bucket[1]), ["_c", "_f"]
+    counts = b.groupBy(*keys, *level).agg(F.count(F.lit(1)).alias("_n"))
+    if two:
+        inner = counts.withColumn("_in", before("_n", W.partitionBy(*keys, "_c").orderBy("_f")))
+        outer = counts.groupBy(*keys, "_c").agg(F.sum("_n").alias("_m")).withColumn("_out", before("_m", W.partitionBy(*keys).orderBy("_c")))
+        shift = inner.join(outer, [*keys, "_c"]).select(*keys, *level, (F.col("_in") + F.col("_out")).alias("_shift"))
+    else:
+        shift = counts.select(*keys, *level, before("_n", W.partitionBy(*keys).orderBy("_c")).alias("_shift"))
+    ranked = b.withColumn("_r", F.row_number().over(W.partitionBy(*keys, *level).orderBy(*order)))
+    return ranked.join(shift, [*keys, *level]).withColumn(name, F.col("_r") + F.col("_shift")).drop(*level, "_r", "_shift")
+
+
+def key_buckets(key, fine=64, coarse=1 << 22):
+    """(coarse, fine) buckets of a whole-number key."""
+    return F.floor(F.col(key) / coarse), F.floor(F.col(key) / fine)
 
 
 def first_k(df: DataFrame, keys, order, k, name="rank") -> DataFrame:

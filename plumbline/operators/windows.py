@@ -17,13 +17,18 @@ def with_total(positioned: DataFrame, keys) -> DataFrame:
     return positioned.withColumn("_k", F.lit(1)).join(n, "_k").drop("_k")
 
 
+def chunk_of(pos, n, k) -> Column:
+    """Chunk of a position when n rows are cut into k contiguous, nearly equal parts."""
+    size, more = F.floor(n / k), n % k
+    big = more * (size + 1)
+    chunk = F.when(pos <= big, F.ceil(pos / (size + 1))).otherwise(more + F.ceil((pos - big) / F.greatest(size, F.lit(1))))
+    return chunk.cast("long")
+
+
 def split_evenly(df: DataFrame, order, bucket, k, keys=(), name="chunk") -> DataFrame:
     """k contiguous chunks of nearly equal size; the first ones take the remainder."""
     p = with_total(scale.positions(df, order, bucket, keys, "_p"), keys)
-    size, more = F.floor(F.col("_n") / k), F.col("_n") % k
-    big = more * (size + 1)
-    chunk = F.when(F.col("_p") <= big, F.ceil(F.col("_p") / (size + 1))).otherwise(more + F.ceil((F.col("_p") - big) / F.greatest(size, F.lit(1))))
-    return p.withColumn(name, chunk.cast("long")).drop("_p", "_n")
+    return p.withColumn(name, chunk_of(F.col("_p"), F.col("_n"), k)).drop("_p", "_n")
 
 
 def half_split(df: DataFrame, order, bucket, keys=(), name="half") -> DataFrame:

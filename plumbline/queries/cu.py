@@ -334,7 +334,7 @@ def _(t):
 def _(t):
     from plumbline.operators import windows as WN
 
-    b = WN.batches(t.documents.select("doc_id", F.length("text").cast("bigint").alias("single")), ["doc_id"], F.floor(F.col("doc_id") / 1000), 8)
+    b = WN.batches(t.documents.select("doc_id", F.length("text").cast("bigint").alias("single")), ["doc_id"], scale.key_buckets("doc_id", 1024), 8)
     per = b.groupBy("batch").agg(F.round((500 + F.sum("single")) / F.count(F.lit(1)), 6).alias("batched"))
     return b.join(per, "batch").select("doc_id", "single", "batched")
 

@@ -120,10 +120,10 @@ def _(t):
     return JN.entity_reach(t.sql(ENTITIES))
 
 
-@query("jn_star_metric", f"""SELECT r_name, p_brand, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(sum(l_quantity * is_return) / sum(l_quantity), 6) AS return_share FROM {FACT} f GROUP BY ALL""")
+@query("jn_star_metric", f"""SELECT r_name, p_brand, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, round(sum(l_quantity * is_return) / sum(l_quantity), 6) AS return_share FROM {FACT} f GROUP BY ALL""")
 def _(t):
     f = M.star(t.lineitem, t.orders, t.customer, t.nation, t.region, t.part)
-    return f.groupBy("r_name", "p_brand").agg(F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"),
+    return f.groupBy("r_name", "p_brand").agg(F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 4).alias("revenue"),
                                               F.round(M.ratio(F.sum(F.expr("l_quantity * is_return")), F.sum("l_quantity")), 6).alias("return_share"))
 
 
@@ -182,7 +182,7 @@ def _(t):
 def _(t):
     q = t.lineitem.select("l_suppkey", "l_linestatus", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")).distinct()
     keys = ["l_suppkey", "l_linestatus"]
-    links = JN.next_in_group(q, keys, "pos", F.floor(F.col("pos") / 100000))
+    links = JN.next_in_group(q, keys, "pos", scale.key_buckets("pos", 100_000, 1 << 30))
     return links.unionByName(JN.pair_counts(q, keys), allowMissingColumns=True)
 
 

@@ -64,13 +64,13 @@ def _(t):
 SETS = [["region"], ["nation"], ["segment", "year"], ["brand"], ["month"], ["part_type", "region"], []]
 SET_SQL = " UNION ALL ".join(
     f"SELECT '{'|'.join(sorted(s))}' AS dims, " + ("concat_ws('|', " + ", ".join(SQL_DIM[d] for d in sorted(s)) + ")" if s else "''") +
-    f" AS key, round(sum(l_extendedprice * (1 - l_discount)), 2) AS rev, round(sum(l_quantity), 2) AS qty FROM f" + (" GROUP BY " + ", ".join(SQL_DIM[d] for d in s) if s else "") for s in SETS)
+    f" AS key, round(sum(l_extendedprice * (1 - l_discount)), 4) AS rev, round(sum(l_quantity), 2) AS qty FROM f" + (" GROUP BY " + ", ".join(SQL_DIM[d] for d in s) if s else "") for s in SETS)
 
 
 @query("mx_grouping_sets", f"WITH f AS (SELECT * FROM {FACT} f0) {SET_SQL}")
 def _(t):
     g = M.grouping_sets(fact(t), DIMS, SETS, [("rev", F.expr("l_extendedprice * (1 - l_discount)")), ("qty", F.col("l_quantity"))])
-    return g.select("dims", "key", F.round("rev", 2).alias("rev"), F.round("qty", 2).alias("qty"))
+    return g.select("dims", "key", F.round("rev", 4).alias("rev"), F.round("qty", 2).alias("qty"))
 
 
 def accepted(t):
@@ -141,7 +141,7 @@ KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
 @query("mx_surrogate_key", f"SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY {', '.join(KEY)}) AS sale_line_id FROM lineitem")
 def _(t):
     li = t.lineitem.select(*KEY)
-    return scale.positions(li, KEY, F.floor(F.col("l_orderkey") / 64), name="sale_line_id").select("l_orderkey", "l_linenumber", "l_partkey", "sale_line_id")
+    return scale.positions(li, KEY, scale.key_buckets("l_orderkey"), name="sale_line_id").select("l_orderkey", "l_linenumber", "l_partkey", "sale_line_id")
 
 
 @query("mx_data_parity", """SELECT unnest(['row_count', 'sum_price', 'sum_quantity', 'sum_discount', 'distinct_orders', 'distinct_parts', 'distinct_suppliers', 'min_ship', 'max_ship']) AS check, true AS match, unnest([

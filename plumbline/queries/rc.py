@@ -77,7 +77,7 @@ def _(t):
     return RC.candidate_fallback(t.sql(STAGE), t.sql(REVISED), ["instance"])
 
 
-RUNS = """SELECT l_orderkey AS item, CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS pos, CASE WHEN l_suppkey % 11 = 0 THEN NULL WHEN l_suppkey % 7 = 0 THEN 0 ELSE l_suppkey END AS rows, split_part('SA|SU|DI|safe|RE', '|', CAST(1 + l_orderkey % 5 AS INT)) AS label, l_orderkey % 25 AS db FROM @lineitem"""
+RUNS = """SELECT l_orderkey AS item, CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 100000 + l_suppkey AS pos, CASE WHEN l_suppkey % 11 = 0 THEN NULL WHEN l_suppkey % 7 = 0 THEN 0 ELSE l_suppkey END AS rows, split_part('SA|SU|DI|safe|RE', '|', CAST(1 + l_orderkey % 5 AS INT)) AS label, l_orderkey % 25 AS db FROM @lineitem"""
 
 
 @query("rc_nonempty_split", f"""WITH r AS ({RUNS}), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY item ORDER BY pos DESC) = 1), k AS (SELECT item, CASE WHEN db IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2) THEN 'in_list' ELSE 'out_list' END AS part FROM l WHERE lower(label) IN ('sa', 'su', 'safe') AND rows > 0)

@@ -107,8 +107,8 @@ def _(t):
 @query("src_positional_pair", """SELECT o_orderkey, l_orderkey, l_linenumber, pos FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos FROM orders)
  JOIN (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem) USING (pos)""")
 def _(t):
-    left = scale.positions(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], F.floor(F.col("o_totalprice") / 1000))
-    right = scale.positions(t.lineitem, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.to_date("l_shipdate"))
+    left = scale.positions(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], (F.floor(F.col("o_totalprice") / 1000), F.floor(F.col("o_totalprice"))))
+    right = scale.positions(t.lineitem, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], (F.to_date("l_shipdate"), F.floor(F.col("l_orderkey") / 65536)))
     return R.positional_pair(left.select("o_orderkey", "pos"), right.select("l_orderkey", "l_linenumber", "pos"))
 
 

@@ -35,18 +35,18 @@ def _(t):
 
 @query("wn_split_evenly", "SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderdate, o_orderkey) AS chunk FROM orders")
 def _(t):
-    return WN.split_evenly(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], F.to_date("o_orderdate"), 7).select("o_orderkey", "chunk")
+    return WN.split_evenly(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], (F.to_date("o_orderdate"), F.floor(F.col("o_orderkey") / 65536)), 7).select("o_orderkey", "chunk")
 
 
 @query("wn_half_split", "SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, CASE WHEN row_number() OVER w <= count(*) OVER (PARTITION BY l_suppkey) // 2 THEN 1 ELSE 2 END AS half FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)")
 def _(t):
     li = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return WN.half_split(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], F.floor(F.col("l_orderkey") / 1024), ["l_suppkey"]).drop("l_extendedprice")
+    return WN.half_split(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], scale.key_buckets("l_orderkey", 1024), ["l_suppkey"]).drop("l_extendedprice")
 
 
 @query("wn_batch_assign", "SELECT doc_id, batch, round(sum(length(text)) OVER (PARTITION BY batch) / count(*) OVER (PARTITION BY batch), 6) AS chars_each FROM (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM documents)")
 def _(t):
-    b = WN.batches(t.documents.select("doc_id", F.length("text").alias("n")), ["doc_id"], F.floor(F.col("doc_id") / 1000), 16)
+    b = WN.batches(t.documents.select("doc_id", F.length("text").alias("n")), ["doc_id"], scale.key_buckets("doc_id", 1024), 16)
     per = b.groupBy("batch").agg(F.round(F.sum("n") / F.count(F.lit(1)), 6).alias("chars_each"))
     return b.join(per, "batch").select("doc_id", "batch", "chars_each")
 
