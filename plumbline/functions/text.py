@@ -14,7 +14,8 @@ WORD = "[a-z0-9_]"
 
 
 def lit_list(values):
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """An array literal of strings; the planner folds the split, which is one call however long the list."""
+    return F.split(F.lit("\u0001".join(values)), "\u0001") if values else F.array().cast("array<string>")
 
 
 def normalize(c) -> Column:
