@@ -5,7 +5,7 @@ from importlib import import_module
 from plumbline.fixtures import Tables, duck
 
 QUERIES, ORACLE = {}, {}
-FAMILIES = []
+
 
 
 def query(name, sql=None):

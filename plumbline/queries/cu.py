@@ -13,7 +13,6 @@ from plumbline.queries.lk import TOP_SQL, ranked
 J = lambda c, s="|": F.array_join(c, s)
 DRAW = lambda seed, key: f"md5(concat('{seed}|', {key}))"
 
-REPL = {"The ": "Die ", "the": "[the]", "a@b": "x"}
 RX = "regexp_replace({}, '{}', '[REDACTED_ID]', 'g')"
 
 
