@@ -53,3 +53,15 @@ def per_document(df: DataFrame, ddl: str, make) -> DataFrame:
     return text_of(df).mapInArrow(run, "doc_id long," + ddl)
 
 
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, share=1000) -> DataFrame:
+    """Inner join of rows to one row per key (with `n`, the rows of that key) that no hot key can clog.
+
+    Keys with over 1/share of all rows are fewer than `share`, whatever the input's size, and are broadcast; the rest
+    meet in a shuffle in which no key holds more than that share.
+    """
+    hot = F.broadcast(groups.filter(F.col("n") * share > total))
+    cold = groups.filter(F.col("n") * share <= total)
+    cols = [*rows.columns, *[c for c in groups.columns if c not in keys]]
+    return rows.join(hot, keys).select(*cols).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys).select(*cols))
