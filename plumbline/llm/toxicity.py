@@ -27,7 +27,7 @@ CODES = {c: i for i, c in enumerate(LETTERS, 1)}
 #: What a sign may stand for beside itself.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "¡": "i", "(": "c", "*": "aeiou"}
 BETWEEN = frozenset(" \t.-_*/'~,:;")
-SWAPPED, DROPPED, SPACE_KEPT = 1.0, 0.5, 4.0
+SWAPPED, DROPPED, DIGIT_KEPT, SPACE_KEPT = 1.0, 0.5, 3.0, 4.0
 EDGES = ".,;:?\"'…()[]{}«»“”‘’¿"
 RUN = re.compile(r"([^\W\d_])\1\1")
 SIGN = re.compile(r"[0-9@$!|+€¡(*]")
@@ -89,7 +89,7 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
         if c in BETWEEN:
             slots.append([("", 0.0)] + ([(" ", SPACE_KEPT)] if c in " \t" else []) + [(x, SWAPPED) for x in LOOKS.get(c, "")])
         elif c in LOOKS:
-            one = [(x, SWAPPED) for x in LOOKS[c]] + ([(c, SWAPPED)] if c.isdigit() else [])
+            one = [(x, SWAPPED) for x in LOOKS[c]] + ([(c, DIGIT_KEPT)] if c.isdigit() else [])
             slots += [one] * n if n < 3 else [one]
         elif n > 2:
             slots.append([(c, DROPPED), (c + c, DROPPED)])
@@ -124,10 +124,7 @@ def readings_of(token: str, model: np.ndarray) -> list[str]:
     if not LETTER.search(core):
         return []
     if RUN.search(core) or DOTTED.search(core) or (SIGN.search(core) and plain.isalpha() is False):
-        found = decode(core, model)
-        if plain != core and SIGN.search(plain) is None:
-            found.append(plain)
-        return [core, *found]
+        return [core, *decode(plain, model)]
     return [plain]
 
 
