@@ -65,3 +65,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int,
     cold = groups.filter(F.col("n") * share <= total)
     cols = [*rows.columns, *[c for c in groups.columns if c not in keys]]
     return rows.join(hot, keys).select(*cols).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys).select(*cols))
+
+
+#: Bytes of text that a chunk of documents holds on average: what one call of a grouped function works on.
+CHUNK_BYTES = 2 << 20
+
+
+def chunked(df: DataFrame, id_col="doc_id", text_col="text") -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text): documents dealt into chunks by their hash; and how many chunks there are.
+
+    Steps that go over the texts again take the chunks from the same exchange: Spark reuses it, as the plans are equal.
+    """
+    texts = text_of(df, id_col, text_col)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = size // CHUNK_BYTES + 1
+    return texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n
+
+
+def batch_of(schema: pa.Schema, rows: list) -> pa.Table:
+    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
