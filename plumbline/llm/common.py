@@ -55,8 +55,8 @@ def per_document(df: DataFrame, ddl: str, make) -> DataFrame:
 
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, share=1000) -> DataFrame:
-    """Inner join of rows to one row per key (with `n`, the rows of that key) that no hot key can clog.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, how="inner", share=1000) -> DataFrame:
+    """Join of rows (inner or left) to one row per key, with `n`, the rows of that key, that no hot key can clog.
 
     Keys with over 1/share of all rows are fewer than `share`, whatever the input's size, and are broadcast; the rest
     meet in a shuffle in which no key holds more than that share.
@@ -64,7 +64,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int,
     hot = F.broadcast(groups.filter(F.col("n") * share > total))
     cold = groups.filter(F.col("n") * share <= total)
     cols = [*rows.columns, *[c for c in groups.columns if c not in keys]]
-    return rows.join(hot, keys).select(*cols).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys).select(*cols))
+    return rows.join(hot, keys).select(*cols).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how).select(*cols))
 
 
 #: Bytes of text that a chunk of documents holds on average: what one call of a grouped function works on.
@@ -84,3 +84,21 @@ def chunked(df: DataFrame, id_col="doc_id", text_col="text") -> tuple[DataFrame,
 
 def batch_of(schema: pa.Schema, rows: list) -> pa.Table:
     return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
+
+
+def whole_groups(batches):
+    """Arrow batches sorted by their first column, cut anew so that no group of equal values is divided."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not len(table):
+            continue
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        key = table.column(0).to_numpy()
+        cut = int((key != key[-1]).sum()) if key[0] != key[-1] else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut)
+    if held is not None:
+        yield held
