@@ -25,7 +25,23 @@ def small_batches(spark: SparkSession) -> None:
 def text_of(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """Just `doc_id` and `text` (null: empty), whatever else the table has."""
     small_batches(df.sparkSession)
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table written as Parquet below the shared folder, and read again."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="plumbline-")
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -71,15 +87,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int,
 CHUNK_BYTES = 2 << 20
 
 
-def chunked(df: DataFrame, id_col="doc_id", text_col="text") -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text): documents dealt into chunks by their hash; and how many chunks there are.
+def chunked(df: DataFrame, id_col="doc_id", text_col="text", carry=()) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text, _0, _1, ...: the columns to carry): documents dealt into chunks by their hash; and how many.
 
     Steps that go over the texts again take the chunks from the same exchange: Spark reuses it, as the plans are equal.
     """
-    texts = text_of(df, id_col, text_col)
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = size // CHUNK_BYTES + 1
-    return texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n
+    small_batches(df.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n = (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // CHUNK_BYTES + 1
+    cells = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *cells)
+    return texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "*"), n
 
 
 def batch_of(schema: pa.Schema, rows: list) -> pa.Table:

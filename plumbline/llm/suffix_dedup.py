@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.common import arrow_schema, batch_of, chunked
 from plumbline.llm.rolling import NONE, anchors, covered, lowest, runs, windows
@@ -223,8 +223,8 @@ def whole_characters(data: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return ~kept[char]
 
 
-def suffix_dedup(df: DataFrame, window=50, id_col="doc_id", text_col="text", with_text=False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with_text: and `cleaned`).
+def suffix_dedup(df: DataFrame, window=50, id_col="doc_id", text_col="text", with_text=False, carry=()) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with_text: and `cleaned`; and `carry`, columns of df).
 
     Removed is each byte in a string of `window` bytes that also begins in a document with a smaller id; strings are
     those of the input. A null or empty text has no bytes. Rows with the same id are one document to each other: nothing
@@ -233,7 +233,7 @@ def suffix_dedup(df: DataFrame, window=50, id_col="doc_id", text_col="text", wit
     """
     if window <= FIRST:
         raise ValueError(f"windows are of more than {FIRST} bytes")
-    docs, chunks = chunked(df, id_col, text_col)
+    docs, chunks = chunked(df, id_col, text_col, carry)
     buckets = chunks // 4 + 1
     post = arrow_schema(POST)
     final = "doc_id long,n_bytes long,n_removed long,n_spans long,kept_sha256 string" + ",cleaned string" * with_text
@@ -265,14 +265,19 @@ def suffix_dedup(df: DataFrame, window=50, id_col="doc_id", text_col="text", wit
             begins, _ = runs(mask)
             cells = doc_id, len(data), int(mask.sum()), len(begins), hashlib.sha256(without(data, mask)).hexdigest()
             out.append((*cells, without(data, whole_characters(data, mask) if len(begins) else mask).decode("utf-8", "replace")) if with_text else cells)
-        return batch_of(result, out)
+        table = batch_of(result, out)
+        for i in range(len(carry)):
+            table = table.append_column(f"_{i}", rows[f"_{i}"])
+        return table
 
     by_chunk = docs.groupBy("chunk")
     with_answers = lambda *given: by_chunk.cogroup(reduce_union(given).groupBy("chunk"))
     one = answered(by_chunk.applyInArrow(round_1, POST), 1)
     two = answered(with_answers(one).applyInArrow(round_2, POST), 2)
     three = answered(with_answers(one, two).applyInArrow(round_3, POST), 3)
-    return with_answers(one, two, three).applyInArrow(removed, final)
+    cells = "".join(f",_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    out = with_answers(one, two, three).applyInArrow(removed, final + cells)
+    return out.select(*result.names, *[F.col(f"_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def reduce_union(frames) -> DataFrame:
