@@ -167,9 +167,14 @@ def quote_spaced(c, names) -> Column:
     return c
 
 
+def quoted(surface: Column) -> Column:
+    """A pattern that matches the text literally, whatever it holds."""
+    return F.regexp_replace(surface, r"([^A-Za-z0-9\s\x{80}-\x{10FFFF}])", r"\\$1")
+
+
 def word_replace(c, surface: Column, replacement: Column) -> Column:
     """Whole-word, case-insensitive replacement; the surface is taken literally."""
-    rx = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), surface, F.lit(r"\E(?![A-Za-z0-9_])"))
+    rx = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), quoted(surface), F.lit(r"(?![A-Za-z0-9_])"))
     return F.regexp_replace(c, rx, F.regexp_replace(replacement, r"([\\$])", r"\\$1"))
 
 
@@ -257,8 +262,8 @@ def last_json_object(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def parse_reply(raw) -> Column:
-    """A model reply as a struct with a parse status.
+def parse_reply(raw, reason_chars=None) -> Column:
+    """A model reply as a struct with a parse status; `reason_chars` cuts the reason if it is given.
 
     Texts that are one whole object stay inside the engine; only others pay for the Python helper.
     """
@@ -281,7 +286,7 @@ def parse_reply(raw) -> Column:
         F.trim(as_text("$.metric_id")).alias("metric_id"),
         F.filter(F.transform(F.coalesce(dims, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda d: d != "").alias("dimensions"),
         F.trim(as_text("$.time_window")).alias("time_window"),
-        F.substring(as_text("$.reason"), 1, 400).alias("reason"),
+        (as_text("$.reason") if reason_chars is None else F.substring(as_text("$.reason"), 1, reason_chars)).alias("reason"),
     )
 
 

@@ -171,19 +171,30 @@ def mixture(base: DataFrame, others, key, seed) -> DataFrame:
 
 
 def entity_map(condition, entities, schema_names) -> Column:
-    """Usable entities of a condition with their replacement: literally present, long enough, first of their name, pool not used up."""
+    """Usable entities of a condition with their replacement: literally present, long enough, first of their name.
+
+    A type without a pool counts as "other". An entity beyond its pool has no replacement: see skipped_entities.
+    """
     e = F.filter(F.col(entities), lambda x: (F.length(F.trim(x["surface"])) >= 3) & ~F.array_contains(schema_names, F.lower(x["surface"]))
-                 & F.rlike(F.col(condition), F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), x["surface"], F.lit(r"\E(?![A-Za-z0-9_])"))))
+                 & F.rlike(F.col(condition), F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])"), X.quoted(F.trim(x["surface"])), F.lit(r"(?![A-Za-z0-9_])"))))
+    e = F.transform(e, lambda x: F.struct(F.trim(x["surface"]).alias("surface"), F.when(x["type"].isin(*POOLS), x["type"]).otherwise("other").alias("type")))
     low = F.transform(e, lambda x: F.lower(x["surface"]))
     first = F.filter(F.transform(e, lambda x, i: F.struct(x["surface"].alias("surface"), x["type"].alias("type"), (F.array_position(low, F.lower(x["surface"])) == i + 1).alias("first"))), lambda x: x["first"])
     pools = F.create_map(*[y for k, v in POOLS.items() for y in (F.lit(k), X.lit_list(v))])
     nth = lambda x, i: F.size(F.filter(F.slice(first, F.lit(1), i), lambda y: y["type"] == x["type"]))
-    placed = F.transform(first, lambda x, i: F.struct(x["surface"].alias("surface"), F.get(F.element_at(pools, x["type"]), nth(x, i)).alias("replacement")))
-    return F.filter(placed, lambda x: x["replacement"].isNotNull())
+    return F.transform(first, lambda x, i: F.struct(x["surface"].alias("surface"), F.get(F.element_at(pools, x["type"]), nth(x, i)).alias("replacement")))
+
+
+def skipped_entities(entities: Column, placed: Column) -> Column:
+    """Entities that keep their name, each with the reason; `placed` is their entity_map."""
+    name = lambda x: F.lower(F.trim(x["surface"]))
+    of = lambda x: F.filter(placed, lambda y: F.lower(y["surface"]) == name(x))
+    why = lambda x: F.when(F.length(F.trim(x["surface"])) < 3, "too short").when(F.size(of(x)) == 0, "not in the condition or a schema name").when(F.get(of(x), F.lit(0))["replacement"].isNull(), "pool used up")
+    return F.filter(F.transform(entities, lambda x: F.struct(x["surface"].alias("surface"), why(x).alias("reason"))), lambda x: x["reason"].isNotNull())
 
 
 def substitute(text: Column, entities: Column) -> Column:
-    return F.aggregate(entities, text, lambda t, e: X.word_replace(t, e["surface"], e["replacement"]))
+    return F.aggregate(F.filter(entities, lambda e: e["replacement"].isNotNull()), text, lambda t, e: X.word_replace(t, e["surface"], e["replacement"]))
 
 
 def perturb_conditions(df: DataFrame, condition, entities, lists, schema_names: Column) -> DataFrame:

@@ -103,17 +103,18 @@ def substring_hits(text: Column, triggers) -> Column:
     return F.array_distinct(F.concat(*found)) if found else none
 
 
-def substring_join(texts: DataFrame, key, text, terms: DataFrame, term="term", gram=3, longest=64) -> DataFrame:
-    """Term rows whose text occurs in a row's text, for term tables of any size.
+def substring_join(texts: DataFrame, key, text, terms: DataFrame, term="term", gram=8) -> DataFrame:
+    """Term rows whose text occurs in a row's text, for term tables of any size and terms of any length.
 
-    Each start position emits a window as long as the longest term; its first letters are an equi-join key.
-    Terms shorter than the key join on what they have.
+    A term meets the texts that hold its first characters, at most `gram` of them; the whole term is then looked for in
+    the whole text.
     """
-    keyed = terms.withColumn("_g", F.least(F.length(term), F.lit(gram))).withColumn("_key", F.expr(f"substring({term}, 1, _g)"))
-    windows = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1))).alias("_w"))
-    grams = windows.select(key, "_w", F.explode(F.array(*[F.substring("_w", 1, n) for n in range(1, gram + 1)])).alias("_key"))
-    hits = grams.join(keyed, "_key").filter((F.length(F.col("_key")) == F.col("_g")) & F.col("_w").startswith(F.col(term)))
-    return hits.drop("_key", "_g", "_w").distinct()
+    keyed = terms.filter(F.length(term) > 0).withColumn("_g", F.least(F.length(term), F.lit(gram))).withColumn("_key", F.expr(f"substring({term}, 1, _g)"))
+    starts = F.sequence(F.lit(1), F.length(text))
+    cuts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.substring(F.col(text), i, n)))))
+    probe = texts.filter(F.length(text) > 0).select(key, F.explode(cuts).alias("_key"))
+    near = probe.join(keyed, "_key").drop("_key", "_g").distinct()
+    return near.join(texts.select(key, text), key).filter(F.col(text).contains(F.col(term))).select(key, *terms.columns).distinct()
 
 
 def exact_trigger(df: DataFrame, text, phrases: DataFrame, phrase="phrase") -> DataFrame:

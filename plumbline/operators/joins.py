@@ -39,18 +39,21 @@ def unknown_members(df: DataFrame, catalog: DataFrame, on) -> DataFrame:
     return df.join(catalog.select(on), on, "left_anti")
 
 
-def closure(parents: DataFrame, depth_cap=32) -> DataFrame:
-    """(child, ancestor, depth) of a parent table; a cycle ends where it closes."""
-    step = parents.filter("parent <> ''").select("child", F.col("parent").alias("ancestor")).distinct()
-    up = step.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_next"))
-    found = frontier = checkpointed(step.withColumn("depth", F.lit(1)))
-    for depth in range(2, depth_cap + 1):
-        nxt = frontier.join(up, "ancestor").select("child", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        frontier = checkpointed(nxt.join(found, ["child", "ancestor"], "left_anti"))
-        if frontier.isEmpty():
+def closure(parents: DataFrame) -> DataFrame:
+    """(child, ancestor, depth) of a parent table of any depth; a cycle ends where it closes.
+
+    Paths double: every round joins all known paths end to end, so the rounds grow with the logarithm of the depth.
+    """
+    found = checkpointed(parents.filter("parent <> ''").select("child", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1)))
+    state = None
+    while True:
+        now = found.agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("steps")).first()
+        if now == state:
             return found
-        found = checkpointed(found.union(frontier))
-    return found
+        state = now
+        behind = found.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("depth").alias("_more"))
+        longer = found.join(behind, "ancestor").select("child", F.col("_next").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        found = checkpointed(found.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
 
 
 def finest(requested: DataFrame, closed: DataFrame, key, dim="dim") -> DataFrame:

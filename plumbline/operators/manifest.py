@@ -93,19 +93,17 @@ def resolve(pending: DataFrame, resolved: DataFrame) -> DataFrame:
         F.when(ok, grain_at(g)).otherwise("").alias("grain"), F.when(ok, F.col("_cov")).otherwise(none()).alias("coverage"), pick("numerator", 0).alias("numerator_nodes"), pick("denominator", 1).alias("denominator_nodes"))
 
 
-def contract_of_manifest(models, entities, dimensions, measures, metrics, depth_cap=32) -> DataFrame:
+def contract_of_manifest(models, entities, dimensions, measures, metrics) -> DataFrame:
     """The metric catalog of a manifest; ratio and derived metrics resolve level by level."""
     done = checkpointed(base_metrics(models, entities, dimensions, measures, metrics))
     pending = checkpointed(metrics.filter("type in ('ratio', 'derived')"))
-    for _ in range(depth_cap):
-        if pending.isEmpty():
-            return done
+    while not pending.isEmpty():
         level = checkpointed(resolve(pending, done))
         if level.isEmpty():
-            break
+            raise ValueError("metrics with unresolved inputs remain")
         done = done.unionByName(level)
         pending = checkpointed(pending.join(level.select("metric_id"), "metric_id", "left_anti"))
-    raise ValueError("metrics with unresolved inputs remain")
+    return done
 
 
 def edges_of(contract: DataFrame, parents: DataFrame, measures: DataFrame, models: DataFrame):

@@ -3,13 +3,17 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+#: Session setting: partitions to deal the rows of single-file tables into.
+DEAL = "spark.plumbline.deal"
+
+
 def spread(df: DataFrame, key) -> DataFrame:
-    """Deal the rows of a few input files over the cores before CPU-heavy column work.
+    """Rows dealt into the partitions that the session asks for by DEAL, before CPU-heavy column work.
 
-    With at least as many files as cores, as in any large table, this changes nothing.
+    For tables of one file with one row group, as in the local bench; unset, as on a cluster, nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    parts = df.sparkSession.conf.get(DEAL, None)
+    return df.repartition(int(parts), key) if parts else df
 
 
 def fenced(df: DataFrame, *cols) -> DataFrame:

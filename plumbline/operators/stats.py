@@ -20,17 +20,24 @@ def majority_labels(annotations: DataFrame, key, raters=3) -> DataFrame:
 
 
 def mcnemar_p(b, c) -> Column:
-    """Exact two-sided binomial p of two discordant counts; terms are carried as logarithms."""
+    """Exact two-sided binomial p of two discordant counts.
+
+    Terms are summed outward from the middle, relative to it, for 18 standard deviations: what lies beyond is under
+    1e-70. So the work grows with the root of the counts.
+    """
     b, c = F.col(b).cast("long"), F.col(c).cast("long")
     n, low = b + c, F.least(b, c)
-    start = F.struct(F.lit(0.0).alias("ln"), F.lit(0.0).alias("sum"))
-    half = n * F.lit(math.log(2.0))
+    middle = F.floor(n / 2)
+    reach = F.least(middle, F.ceil(9 * F.sqrt(n.cast("double"))) + 50)
 
-    def step(acc, k):
-        return F.struct((acc["ln"] + F.ln((n - k).cast("double")) - F.ln((k + 1).cast("double"))).alias("ln"), (acc["sum"] + F.exp(acc["ln"] - half)).alias("sum"))
+    def step(acc, i):
+        k, t = middle - i, acc["t"]
+        return F.struct((t * k / (n - k + 1)).alias("t"), (acc["half"] + t).alias("half"), (acc["tail"] + F.when(k <= low, t).otherwise(0.0)).alias("tail"))
 
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), low), start, step, lambda a: a["sum"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("half"), F.lit(0.0).alias("tail"))
+    whole = lambda a: 2 * a["half"] - F.when(n % 2 == 0, 1.0).otherwise(0.0)
+    p = F.aggregate(F.sequence(F.lit(0).cast("long"), reach), start, step, lambda a: 2 * a["tail"] / whole(a))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), p))
 
 
 def wilson(ok: Column, n: Column, z=1.959963984540054) -> Column:
@@ -42,15 +49,22 @@ def wilson(ok: Column, n: Column, z=1.959963984540054) -> Column:
 
 
 def fisher_p(a, b, c, d) -> Column:
-    """Two-sided exact p of a 2×2 table: two passes over the support that keep only running sums."""
+    """Two-sided exact p of a 2×2 table: two passes over the support that keep only running sums.
+
+    The support is taken 18 standard deviations to each side of its mean: what lies beyond is under 1e-60.
+    """
     a, b, c, d = (F.col(x).cast("long") for x in (a, b, c, d))
     n, row, col = a + b + c + d, a + b, a + c
     lo, hi = F.greatest(F.lit(0).cast("long"), row + col - n), F.least(row, col)
+    d_n, d_row, d_col = (x.cast("double") for x in (n, row, col))
+    mean = d_row * d_col / F.greatest(d_n, F.lit(1.0))
+    reach = 18 * F.sqrt(mean * (d_n - d_row) / F.greatest(d_n, F.lit(1.0)) * (d_n - d_col) / F.greatest(d_n - 1, F.lit(1.0))) + 50
+    lo, hi = F.greatest(lo, F.floor(mean - reach)), F.least(hi, F.ceil(mean + reach))
     xs = F.sequence(lo, hi)
     ln = lambda v: F.ln(v.cast("double"))
     move = lambda lp, x: F.when(x < hi, lp + ln(row - x) + ln(col - x) - ln(x + 1) - ln(n - row - col + x + 1)).otherwise(lp)
     first = F.aggregate(
-        xs, F.struct(F.lit(0.0).alias("lp"), F.lit(-1e300).alias("top"), F.lit(0.0).alias("obs")),
+        xs, F.struct(F.lit(0.0).alias("lp"), F.lit(-1e300).alias("top"), F.lit(-1e300).alias("obs")),
         lambda s, x: F.struct(move(s["lp"], x).alias("lp"), F.greatest(s["top"], s["lp"]).alias("top"), F.when(x == a, s["lp"]).otherwise(s["obs"]).alias("obs")))
     second = F.aggregate(
         xs, F.struct(F.lit(0.0).alias("lp"), F.lit(0.0).alias("all"), F.lit(0.0).alias("le")),

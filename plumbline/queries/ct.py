@@ -239,7 +239,7 @@ MUTATIONS = ["field", "caliber", "grain", "coverage", "time", "policy", "none"]
 
 
 def mutated(t):
-    base = t.spread("requests").filter("tpl IN (0, 1, 3)").select("request_id", F.explode(X.lit_list(MUTATIONS)).alias("mutation"), F.col("nl_query").alias("q0"))
+    base = t.spread("requests").select("request_id", F.explode(X.lit_list(MUTATIONS)).alias("mutation"), F.col("nl_query").alias("q0"))
     is_ = lambda m: F.col("mutation") == m
     return base.select(
         "request_id", "mutation", F.when(is_("policy"), F.concat(F.lit("raw rows of "), "q0")).otherwise(F.concat(F.lit("report "), "q0")).alias("nl_query"),
@@ -248,8 +248,9 @@ def mutated(t):
         F.when(is_("time"), "2025").otherwise("1997").alias("time_binding"), F.when(is_("coverage"), F.array(F.lit("l_quantity"))).alias("coverage_remove"))
 
 
-@query("ct_mutation_suite", """SELECT mutation, count(*) AS n, CASE mutation WHEN 'none' THEN 'answer' ELSE 'refuse' END AS action, CASE mutation WHEN 'none' THEN '' ELSE mutation END AS primary_failure
- FROM (SELECT unnest(['field', 'caliber', 'grain', 'coverage', 'time', 'policy', 'none']) AS mutation FROM @requests r WHERE tpl IN (0, 1, 3)) z GROUP BY 1""")
+@query("ct_mutation_suite", f"""SELECT mutation, count(*) AS n, CASE failure WHEN '' THEN 'answer' ELSE 'refuse' END AS action, failure AS primary_failure
+ FROM (SELECT mutation, CASE WHEN mutation <> 'none' THEN mutation WHEN hit THEN 'policy' ELSE '' END AS failure FROM (SELECT unnest(['field', 'caliber', 'grain', 'coverage', 'time', 'policy', 'none']) AS mutation,
+  EXISTS (SELECT 1 FROM ({TRIGGERS}) t WHERE contains(trim(regexp_replace(lower('report ' || nl_query), '\\s+', ' ', 'g')), needle)) AS hit FROM @requests r) y) z GROUP BY 1, 3, 4""")
 def _(t):
     patched = [dict(m, metric_id="average_unit_price_patched", formula="SUM(l_extendedprice) / 1") for m in METRICS if m["metric_id"] == "average_unit_price"]
     cat = Catalog(**{**CAT.__dict__, "metrics": METRICS + patched})

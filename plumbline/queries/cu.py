@@ -172,12 +172,12 @@ def _(t):
     return CU.reserve_sample(t.labelled.select("request_id", "query_family"), "request_id", F.col("query_family") == "policy_refusal", 300)
 
 
-@query("cu_position_balance", f"""WITH i AS (SELECT metric_id, domain_id, coalesce(physical_node_id, '') AS correct FROM @part_bindings b WHERE dependency_node_id LIKE 'n%' AND physical_node_id IS NOT NULL),
+@query("cu_position_balance", f"""WITH i AS (SELECT metric_id, domain_id, coalesce(physical_node_id, '') AS correct FROM @part_bindings b WHERE physical_node_id IS NOT NULL),
  s AS (SELECT *, ntile(4) OVER (ORDER BY {DRAW('p', 'metric_id')}, metric_id) AS slot FROM i), d AS (SELECT s.metric_id, semantic_node_id AS nd, row_number() OVER (PARTITION BY metric_id ORDER BY md5(concat_ws('|', metric_id, semantic_node_id)), semantic_node_id) AS r
   FROM s JOIN @part_coverage c USING (domain_id) WHERE semantic_node_id <> correct), w AS (SELECT metric_id, list(nd ORDER BY r) AS wr FROM d WHERE r <= 3 GROUP BY 1)
  SELECT metric_id, correct, slot, array_to_string(list_concat(list_concat(wr[1:slot - 1], [correct]), wr[slot:]), '|') AS options FROM s JOIN w USING (metric_id)""")
 def _(t):
-    items = t.part_bindings.filter("dependency_node_id LIKE 'n%' AND physical_node_id IS NOT NULL").select("metric_id", "domain_id", F.col("physical_node_id").alias("correct"))
+    items = t.part_bindings.filter("physical_node_id IS NOT NULL").select("metric_id", "domain_id", F.col("physical_node_id").alias("correct"))
     b = CU.position_balance(items, "metric_id", "domain_id", "correct", t.part_coverage, "semantic_node_id", 4, "p")
     return b.select("metric_id", "correct", "slot", J("options").alias("options"))
 

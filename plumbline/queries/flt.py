@@ -124,10 +124,10 @@ def _(t):
     return P.keyword_clean(t.sql(WITHS), "q")
 
 
-@query("flt_columns_mentioned", """SELECT request_id FROM @requests r WHERE contains(nl_query, split_part(d1, '_', 1)) AND contains(nl_query, ' ')""")
+@query("flt_columns_mentioned", """SELECT request_id FROM @requests r WHERE contains(nl_query, split_part(d1, '_', 1))""")
 def _(t):
     listing = F.concat(F.lit("["), F.split_part(F.col("d1"), F.lit("_"), F.lit(1)), F.lit(" (text), (none) ]"))
-    return t.requests.filter(P.columns_mentioned(listing, F.col("nl_query")) & F.col("nl_query").contains(" ")).select("request_id")
+    return t.requests.filter(P.columns_mentioned(listing, F.col("nl_query"))).select("request_id")
 
 
 @query("flt_time_range", """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'""")

@@ -153,7 +153,7 @@ def _(t):
     return JN.window_match(t.sql(TCAT).select("tbl").distinct(), "tbl", targets, "target")
 
 
-TABLES_OF = """SELECT l_partkey AS pos, concat('t_', CAST(l_partkey AS STRING), CASE WHEN l_partkey % 3 = 0 THEN '_x' ELSE '' END) AS tbl, concat(l_returnflag, '_', l_linestatus) AS col FROM @lineitem WHERE l_linenumber < 4"""
+TABLES_OF = """SELECT l_partkey AS pos, concat('t_', CAST(l_partkey AS STRING), CASE WHEN l_partkey % 3 = 0 THEN '_x' ELSE '' END) AS tbl, concat(l_returnflag, '_', l_linestatus) AS col FROM @lineitem"""
 
 
 @query("jn_similar_tables", f"""WITH t AS (SELECT tbl, min(pos) AS pos, array_to_string(list_sort(list_distinct(list(col))), ',') AS cols FROM ({TABLES_OF}) x GROUP BY 1)

@@ -63,10 +63,10 @@ def _(t):
     return scale.positions(li, ["l_quantity", "l_linenumber", "l_partkey", "l_extendedprice"], F.floor("l_quantity"), ["l_orderkey"]).drop("l_quantity", "l_extendedprice")
 
 
-@query("se_union_layers", "SELECT 'base' AS layer, request_id, action FROM @predictions p WHERE mode = 'guarded' UNION ALL SELECT 'rounds', request_id, action FROM @rounds r UNION ALL SELECT 'samples', request_id, action FROM @samples s")
+@query("se_union_layers", "SELECT 'base' AS layer, request_id, action FROM @predictions p UNION ALL SELECT 'rounds', request_id, action FROM @rounds r UNION ALL SELECT 'samples', request_id, action FROM @samples s")
 def _(t):
     tag = lambda df, name: df.select(F.lit(name).alias("layer"), "request_id", "action")
-    return tag(t.predictions.filter("mode = 'guarded'"), "base").unionByName(tag(t.rounds, "rounds")).unionByName(tag(t.samples, "samples"))
+    return tag(t.predictions, "base").unionByName(tag(t.rounds, "rounds")).unionByName(tag(t.samples, "samples"))
 
 
 @query("se_intersect_scope", "SELECT l_partkey, l_returnflag FROM (SELECT l_partkey, l_returnflag, count(DISTINCT l_linestatus) AS have FROM lineitem GROUP BY 1, 2) JOIN (SELECT l_partkey, count(DISTINCT l_linestatus) AS n FROM lineitem GROUP BY 1) USING (l_partkey) WHERE have = n")

@@ -31,7 +31,7 @@ def compare(spark, con, fn, sql, folder):
     got_cols, got = df.columns, [tuple(r) for r in df.collect()]
     t_spark = time.time() - t
     if sql is None:
-        return len(got), None, t_spark, 0.0
+        return len(got), "no SQL to compare with", t_spark, 0.0
     t = time.time()
     res = con.execute(sql)
     want_cols, want = [d[0] for d in res.description], res.fetchall()

@@ -20,6 +20,53 @@ def test_substring_join_is_contains(spark):
     assert {tuple(r) for r in got.select("id", "term").collect()} == {(i, x) for i, t in texts for x in terms if x in t}
 
 
+def test_substring_join_finds_long_terms(spark):
+    long = "x" * 300 + "needle" + "y" * 300
+    texts, terms = [(1, "before " + long + " after"), (2, long[:500]), (3, None), (4, "")], [(long,), (long[:70],), ("needle",), ("",)]
+    got = P.substring_join(spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame(terms, "term string"))
+    assert {tuple(r) for r in got.select("id", "term").collect()} == {(1, long), (1, long[:70]), (1, "needle"), (2, long[:70]), (2, "needle")}
+
+
+def test_closure_of_a_long_chain(spark):
+    n = 100
+    got = JN.closure(spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(n)], "child string, parent string")).collect()
+    assert {(r["child"], r["ancestor"], r["depth"]) for r in got} == {(f"c{i}", f"c{j}", j - i) for i in range(n + 1) for j in range(i + 1, n + 1)}
+
+
+def test_exact_tests_of_large_counts(spark):
+    from math import comb
+
+    from plumbline.operators import stats as ST
+
+    rows = [(0, 0), (1, 0), (5, 9), (40, 80), (300, 310), (10**9, 10**9), (10**9, 10**9 + 200_000), (3, 10**6)]
+    got = spark.createDataFrame(rows, "b long, c long").withColumn("p", ST.mcnemar_p("b", "c")).collect()
+    for r in got[:5]:
+        n, low = r["b"] + r["c"], min(r["b"], r["c"])
+        want = min(1.0, 2 * sum(comb(n, k) for k in range(low + 1)) / 2**n)
+        assert abs(r["p"] - want) < 1e-9
+    assert got[5]["p"] == 1.0 and 1e-6 < got[6]["p"] < 1e-4 and got[7]["p"] < 1e-60
+    tables = [(3, 1, 2, 6), (10, 0, 0, 10), (200, 180, 150, 190), (10**6, 10**6, 10**6, 10**6 + 3000)]
+    got = ST.with_fisher(spark.createDataFrame(tables, "a long, b long, c long, d long"), "a", "b", "c", "d").collect()
+    for r in got[:3]:
+        a, b, c, d = r["a"], r["b"], r["c"], r["d"]
+        p = lambda x: comb(a + b, x) * comb(c + d, a + c - x) / comb(a + b + c + d, a + c)
+        want = sum(p(x) for x in range(max(0, a - d), min(a + b, a + c) + 1) if p(x) <= p(a) * (1 + 1e-9))
+        assert abs(r["p"] - want) < 1e-8
+    assert 0.1 < got[3]["p"] < 0.3
+
+
+def test_entities_beyond_their_pool_are_named(spark):
+    from plumbline.operators import curation as CU
+
+    names = [f"Place{i}x" for i in range(9)] + ["A.B\\E(c)", "zz"]
+    rows = [(" and ".join(names), [(n, "place") for n in names[:9]] + [("A.B\\E(c)", "planet"), ("zz", "other")])]
+    df = spark.createDataFrame(rows, "t string, e array<struct<surface:string,type:string>>").withColumn("m", CU.entity_map("t", "e", F.array(F.lit("orders"))))
+    r = df.select(CU.substitute(F.col("t"), F.col("m")).alias("new"), CU.skipped_entities(F.col("e"), F.col("m")).alias("skipped")).first()
+    pool = CU.POOLS["place"]
+    assert r["new"] == " and ".join([*pool, *names[len(pool):9], CU.POOLS["other"][0], "zz"])
+    assert [tuple(x) for x in r["skipped"]] == [(n, "pool used up") for n in names[len(pool):9]] + [("zz", "too short")]
+
+
 def test_alias_join_is_the_inline_rule(spark):
     texts = [(0, "orders by market segment"), (1, "reorders by segments"), (2, "按客户的订单数"), (3, "a-b test, price per unit"), (4, "")]
     aliases = ["orders", "segment", "market segment", "客户", "a-b", "price per unit", "per"]
