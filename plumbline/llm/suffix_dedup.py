@@ -120,8 +120,8 @@ class Chunk:
         self.at = np.concatenate(self.places)[take]
         self.pairs = np.zeros(len(self.at), np.uint64)
         edge = np.zeros(self.side, np.uint8)
-        for doc in np.unique(self.owner):
-            mine, data = self.owner == doc, self.data[doc]
+        for doc, mine in self.by_owner():
+            data = self.data[doc]
             around, = windows(np.concatenate([edge, data, edge]), FIRST + 2 * self.side)
             left, right = np.minimum(self.at[mine], self.side), np.minimum(len(data) - FIRST - self.at[mine], self.side)
             self.pairs[mine] = around[self.at[mine]] + (left * (self.side + 1) + right).astype(np.uint64)  # what is cut off counts
@@ -131,6 +131,11 @@ class Chunk:
         self.pair_order = (posted, names, pairs)
         return posted
 
+    def by_owner(self):
+        """(document, slice of its anchors), for the documents that have some."""
+        docs, first = np.unique(self.owner, return_index=True)
+        return [(int(d), slice(int(a), int(b))) for d, a, b in zip(docs, first, np.append(first[1:], len(self.owner)))]
+
     def starts(self, doc: int, at: np.ndarray) -> np.ndarray:
         """Begins of the windows that chose the anchors at these places of a document."""
         low = lowest(self.ranks[doc], self.width)
@@ -151,14 +156,14 @@ class Chunk:
         decided = (answer == LATER) | ((answer > ALONE) & ~self.pair_first)
         pending = (answer == FIRST_OF_SEVERAL) & self.pair_first
         self.found, opened = {}, []
-        for doc in np.unique(self.owner[decided | pending]):
-            mine = self.owner == doc
-            if (sure := mine & decided).any():
-                self.found[doc] = self.starts(doc, self.at[sure])
-            if (maybe := mine & pending).any():
-                begin = self.starts(doc, self.at[maybe])
+        for doc, mine in self.by_owner():
+            sure, maybe = self.at[mine][decided[mine]], self.at[mine][pending[mine]]
+            if len(sure):
+                self.found[doc] = self.starts(doc, sure)
+            if len(maybe):
+                begin = self.starts(doc, maybe)
                 ranks, = windows(self.data[doc], self.window)
-                opened.append((doc, begin, ranks[begin], np.full(len(begin), self.docs[maybe][0])))
+                opened.append((doc, begin, ranks[begin], np.full(len(begin), self.docs[mine][0])))
         self.open = opened
         ranks = np.concatenate([x[2] for x in opened]) if opened else NONE
         docs = np.concatenate([x[3] for x in opened]) if opened else np.zeros(0, np.int64)
