@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-# Above this many entries a catalog stays a DataFrame and is matched by joins instead.
+# Dimensions and aliases become expressions: above this many the join forms match them instead.
 MAX_INLINE = 512
 
 
@@ -50,7 +50,7 @@ PROFILE_SCHEMA = (
 
 @dataclass
 class Catalog:
-    """Rows of the released catalog files; every list is bounded by MAX_INLINE."""
+    """Rows of the released catalog files. All but dimensions and policies are joined as tables, of any size."""
 
     metrics: list = field(default_factory=list)
     dimensions: list = field(default_factory=list)
@@ -79,6 +79,8 @@ class Catalog:
 
     @property
     def ranked_dimensions(self):
+        if len(self.dimensions) > MAX_INLINE:
+            raise ValueError(f"more than {MAX_INLINE} dimensions: use the join forms")
         return sorted(self.dimensions, key=lambda d: (d.get("grain_rank") or 0, d["dimension_id"]))
 
     def closure(self):
@@ -96,8 +98,6 @@ class Catalog:
 
 def rows_of(spark, rows, schema) -> DataFrame:
     """Catalog rows as a local relation: its exact size is known to the planner, so joins with it need no hint."""
-    if len(rows) > MAX_INLINE:
-        raise ValueError(f"catalog has more than {MAX_INLINE} rows: use the join forms")
     table = pa.table(
         [pa.array([r.get(f.name) for r in rows], to_arrow_type(f.dataType)) for f in schema.fields], names=schema.names
     )

@@ -67,6 +67,20 @@ def test_entities_beyond_their_pool_are_named(spark):
     assert [tuple(x) for x in r["skipped"]] == [(n, "pool used up") for n in names[len(pool):9]] + [("zz", "too short")]
 
 
+def test_contracts_of_thousands_of_rows(spark):
+    """600 metrics and more than 1,000 edges: the copies decide as the metrics they were copied from."""
+    small = catalog()
+    copies = [dict(m, metric_id=f"{m['metric_id']}_{i}") for i in range(600 // len(METRICS) + 1) for m in METRICS]
+    edges = [dict(e, **{k: f"{e[k]}_{i}" for k in ("src", "dst", "metric_id") if e.get(k) in {m["metric_id"] for m in METRICS}}) for i in range(600 // len(METRICS) + 1) for e in small.edges]
+    edges += [dict(small.edges[0], src=f"s{i}", dst=f"d{i}") for i in range(max(0, 1100 - len(edges)))] if small.edges else []
+    large = type(small)(**{**small.__dict__, "metrics": copies, "edges": edges})
+    assert len(copies) > 512
+    rows = [(i, f"{m['metric_name']} by region in 1997", m["metric_id"]) for i, m in enumerate(METRICS)]
+    ask = lambda name: spark.createDataFrame([(i, q, name(m)) for i, q, m in rows], "request_id int, nl_query string, metric_id string")
+    decide = lambda df, cat: {r["request_id"]: r["a"] for r in C.compile_requests(df, C.contract_of(spark, cat), cat).select("request_id", F.col("decision.action").alias("a")).collect()}
+    assert decide(ask(lambda m: f"{m}_7"), large) == decide(ask(lambda m: m), small)
+
+
 def test_alias_join_is_the_inline_rule(spark):
     texts = [(0, "orders by market segment"), (1, "reorders by segments"), (2, "按客户的订单数"), (3, "a-b test, price per unit"), (4, "")]
     aliases = ["orders", "segment", "market segment", "客户", "a-b", "price per unit", "per"]
