@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.common import arrow_schema, batch_of, durable, join_groups, text_of, whole_groups
 from plumbline.llm.components import components
-from plumbline.llm.rolling import NONE, mixed, windows
+from plumbline.llm.rolling import NONE, WordPrints, mixed, windows
 
 SKETCH, TREES, LEAF, WIDE, DEPTH = 128, 4, 512, 4, 8
 #: Sketches of similar sets agree in the threshold less this share of places, but for one pair in a million.
@@ -27,21 +27,12 @@ FACTORS = np.random.default_rng(20).integers(1, 2**63, SKETCH, dtype=np.uint64)
 LAST = np.iinfo(np.int64).max
 
 
-class WordPrints(dict):
-    def __missing__(self, word):
-        if len(self) >= 400_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
 def shingles(text: str, words: int, prints: WordPrints) -> np.ndarray:
     """Sorted fingerprints of the distinct shingles: A-Z lower-cased, words cut at ASCII white space."""
     ws = text.encode("utf-8", "surrogatepass").lower().split()
     if not ws:
         return NONE
-    values = np.fromiter(map(prints.__getitem__, ws), np.uint64, len(ws))
-    return np.unique(windows(values, min(words, len(ws)))[0])
+    return np.unique(windows(prints.of(ws), min(words, len(ws)))[0])
 
 
 def class_of(found: np.ndarray) -> int:
@@ -252,6 +243,8 @@ def near_dedup(df: DataFrame, words=5, percent=80, id_col="doc_id", text_col="te
     total = members.count()
     sized = rooted.join(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("_c")), "root").filter("n > 1 or _c > 1")
     known = durable(sized.join(least, "root").select("cls", "n", "component_id"))
-    out = join_groups(members, known, ["cls"], total, how="left")
+    out = join_groups(members.filter(F.col("cls").isNotNull()), known, ["cls"], total, how="left").drop("n")
+    # rows without shingles have no class to join by; as nulls they would all meet in one task
+    out = out.unionByName(members.filter(F.col("cls").isNull()), allowMissingColumns=True)
     component = F.nullif(F.coalesce("component_id", "key"), F.lit(LAST))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -1,12 +1,30 @@
 """Fingerprints of all windows of a sequence, and its content-chosen anchors; numpy, for use inside tasks."""
 
 import numpy as np
+import xxhash
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 S29, S32 = np.uint64(29), np.uint64(32)
 NONE = np.zeros(0, np.uint64)
 
 
+class WordPrints(dict):
+    """Word (bytes) -> its 64-bit fingerprint; starts anew when it has grown to `most` words."""
+
+    def __init__(self, most=400_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word):
+        if len(self) >= self.most:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> S32)) * M2
     h = (h ^ (h >> S29)) * M3
