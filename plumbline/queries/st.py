@@ -157,9 +157,9 @@ def _(t):
     return g.select("mode", F.round("acc", 6).alias("acc"), b.alias("branch"))
 
 
-@query("st_cross_pass", """WITH s AS (SELECT request_id, sample_idx, concat_ws('/', action, pred_metric_id, pred_dims) AS ans, action = expected_action AND pred_metric_id = expected_metric_id AND pred_dims = expected_dims AS ok FROM @samples s0 WHERE sample_idx < 3),
+@query("st_cross_pass", """WITH s AS (SELECT request_id, sample_idx, concat_ws('/', action, pred_metric_id, pred_dims) AS ans, action = expected_action AND pred_metric_id = expected_metric_id AND pred_dims = expected_dims AS ok FROM @samples s0),
  c AS (SELECT request_id, ans, count(*) AS c, bool_or(ok) AS ok, min(sample_idx) AS f FROM s GROUP BY 1, 2), i AS (SELECT request_id, max(c) AS c, arg_max(ans, c) AS top, arg_max(ok, c) AS ok, arg_min(ans, f) AS one FROM c GROUP BY 1)
- SELECT count(*) AS n, round(avg((c = 3)::INT), 6) AS agree, round(avg((c >= 2 AND ok)::INT), 6) AS majority_right, count(*) FILTER (c < 2 OR top <> one) AS flips FROM i""")
+ SELECT count(*) AS n, round(avg((c = 5)::INT), 6) AS agree, round(avg((c >= 3 AND ok)::INT), 6) AS majority_right, count(*) FILTER (c < 3 OR top <> one) AS flips FROM i""")
 def _(t):
-    s = t.samples.filter("sample_idx < 3").withColumn("ans", F.concat_ws("/", *TUP)).withColumn("ok", F.expr("action = expected_action AND pred_metric_id = expected_metric_id AND pred_dims = expected_dims"))
+    s = t.samples.withColumn("ans", F.concat_ws("/", *TUP)).withColumn("ok", F.expr("action = expected_action AND pred_metric_id = expected_metric_id AND pred_dims = expected_dims"))
     return ST.cross_pass(s, "request_id", "sample_idx", "ans", "ok")
