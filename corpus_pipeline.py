@@ -37,11 +37,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     n_chars follows the text. A document that loses everything stays as an empty text; a null text stays null.
     """
-    rest = [c for c in docs.columns if c != "doc_id"]
-    found = suffix_dedup(docs, window=50, with_text=True, carry=rest)
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("cleaned"))
-    chars = F.when(F.col("n_removed") > 0, F.length("cleaned")).otherwise(F.col("n_chars"))
-    return found.withColumns({"text": text, "n_chars": chars.cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    whole = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("void"), F.struct(*rest).alias("rest")).alias("row"))
+    found = suffix_dedup(whole, window=50, with_text=True, carry=["row"])
+    text = F.when(~F.col("row.void"), F.col("cleaned"))
+    out = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("n_removed") > 0, F.length("cleaned")).otherwise(F.col("row.rest.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[out.get(c, F.col("row").getField("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

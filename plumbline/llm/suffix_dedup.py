@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.common import arrow_schema, batch_of, chunked
 from plumbline.llm.rolling import NONE, anchors, covered, lowest, runs, windows
@@ -280,8 +280,10 @@ def suffix_dedup(df: DataFrame, window=50, id_col="doc_id", text_col="text", wit
     one = answered(by_chunk.applyInArrow(round_1, POST), 1)
     two = answered(with_answers(one).applyInArrow(round_2, POST), 2)
     three = answered(with_answers(one, two).applyInArrow(round_3, POST), 3)
-    cells = "".join(f",_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = with_answers(one, two, three).applyInArrow(removed, final + cells)
+    schema = T.StructType.fromDDL(final)
+    for i, c in enumerate(carry):
+        schema.add(f"_{i}", df.schema[c].dataType)
+    out = with_answers(one, two, three).applyInArrow(removed, schema)
     return out.select(*result.names, *[F.col(f"_{i}").alias(c) for i, c in enumerate(carry)])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from tests.llm.test_operators import brute_components, edits, sentence
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, chunk string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, chunk string, cleaned string, n_removed string, predicted string, kept string, item_id string"
 
 
 def corpus():
@@ -35,7 +35,7 @@ def corpus():
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("corpus"))
     rows, labels, bench = corpus()
-    full = [(d, t, "en", "s", None if t is None else len(t), "c") for d, t in rows]
+    full = [(d, t, "en", "s", None if t is None else len(t), "c", "x", "x", "x", "x", "x") for d, t in rows]
     spark.createDataFrame(full, COLUMNS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
