@@ -113,7 +113,24 @@ def _(t):
     return t.requests.select("request_id", L.first_mention(X.normalize(F.col("nl_query")), PHRASES).alias("metric_id"))
 
 
-@query("lk_fuzzy_alias")
+FUZZY_ALIASES = values([("m", m["metric_id"], a) for m in METRICS for a in m["aliases"]] + [("d", d["dimension_id"], a) for d in DIMENSIONS for a in d["aliases"]], ["kind", "id", "alias"])
+PLAIN = lambda e: f"trim(lower(regexp_replace({e}, '[^\\p{{L}}\\p{{N}}_]', ' ', 'g')))"
+WORD_SET = lambda e: f"list_sort(list_distinct(list_filter(string_split(regexp_replace({PLAIN(e)}, '\\s+', ' ', 'g'), ' '), lambda x: x <> '')))"
+# The longest common subsequence by bits: a row of ones loses a bit per letter that is matched.
+FUZZY = f"""WITH n AS (SELECT request_id, replace(nl_query, 'ue', 'eu') AS q FROM @requests r), u AS (SELECT DISTINCT q, {WORD_SET('q')} AS w FROM n), al AS (SELECT kind, id, {WORD_SET('alias')} AS a, len({PLAIN('alias')}) AS size FROM ({FUZZY_ALIASES}) v),
+ p AS (SELECT q, kind, id, size, len(w) = 0 OR len(a) = 0 AS nothing, array_to_string(list_filter(w, lambda x: list_contains(a, x)), ' ') AS b, array_to_string(list_filter(w, lambda x: NOT list_contains(a, x)), ' ') AS l,
+  array_to_string(list_filter(a, lambda x: NOT list_contains(w, x)), ' ') AS r FROM u CROSS JOIN al),
+ m AS (SELECT *, (1::HUGEINT << len(r)) - 1 AS ones, list_transform(string_split(l, ''), lambda c: coalesce(list_sum(list_transform(range(0, len(r)), lambda i: CASE WHEN r[i + 1] = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END)), 0)::HUGEINT) AS masks FROM p),
+ c AS (SELECT *, CASE WHEN l = '' OR r = '' THEN 0 ELSE len(r) - bit_count(list_reduce(list_prepend(ones, masks), lambda v, k: ((v + (v & k)) | (v - (v & k))) & ones)) END AS common, len(b) AS base, CASE WHEN b = '' THEN 0 ELSE 1 END AS gap FROM m),
+ s AS (SELECT *, 100 * (1 - (len(l) + len(r) - 2 * common) / (2 * (base + gap) + len(l) + len(r))::DOUBLE) AS whole FROM c),
+ f AS (SELECT q, kind, id, size, CASE WHEN nothing THEN 0 WHEN base > 0 AND (l = '' OR r = '') THEN 100 WHEN base = 0 THEN whole
+  ELSE greatest(whole, 100 * (1 - (gap + len(l)) / (base + base + gap + len(l))::DOUBLE), 100 * (1 - (gap + len(r)) / (base + base + gap + len(r))::DOUBLE)) END AS score FROM s),
+ top AS (SELECT q, id, score FROM f WHERE kind = 'm' QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, size DESC, id) = 1),
+ d AS (SELECT q, string_agg(DISTINCT id, '|' ORDER BY id) AS dims FROM f WHERE kind = 'd' AND score >= 85 GROUP BY 1)
+ SELECT request_id, CASE WHEN score >= 60 THEN id ELSE '' END AS metric_id, round(score, 6) AS score, coalesce(dims, '') AS dims FROM n JOIN top USING (q) LEFT JOIN d USING (q)"""
+
+
+@query("lk_fuzzy_alias", FUZZY)
 def _(t):
     noisy = t.requests.select("request_id", F.regexp_replace("nl_query", "ue", "eu").alias("q"))
     links = L.fuzzy_links(scale.spread(noisy, "q"), "q", [(m["metric_id"], a) for m in METRICS for a in m["aliases"]], [(d["dimension_id"], a) for d in DIMENSIONS for a in d["aliases"]])
