@@ -18,26 +18,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import WORD, arrow_schema, batch_of, chunked
-from plumbline.llm.rolling import anchors, covered, windows
+from plumbline.llm.common import arrow_schema, batch_of, chunked
+from plumbline.llm.rolling import WordPrints, anchors, covered, windows
 
 SENT = "bucket int,chunk int,names binary,twice binary"
 REPLY = "chunk int,names binary"
 
 
+#: Of this worker process.
+_prints = WordPrints()
+
+
 class Words:
-    """The documents of a chunk as word numbers, and the fingerprints of those words."""
+    """The documents of a chunk as words (UTF-8) and their fingerprints."""
 
     def __init__(self, texts: list[str]):
-        import xxhash
-
-        vocabulary: dict[str, int] = {}
-        self.words = [WORD.findall(t) for t in texts]
-        self.numbers = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in self.words]
-        self.prints = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64)
+        self.words = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # bytes are split at ASCII white space
+        self.prints = [_prints.of(ws) for ws in self.words]
 
     def windows(self, doc: int, *lengths: int):
-        return windows(self.prints[self.numbers[doc]], *lengths)
+        return windows(self.prints[doc], *lengths)
+
+    def numbers(self) -> list[list[int]]:
+        """The words numbered within the chunk."""
+        _, flat = np.unique(np.concatenate(self.prints), return_inverse=True)
+        return [x.tolist() for x in np.split(flat, np.cumsum([len(p) for p in self.prints])[:-1])]
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are in `known`, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def post(chunk: int, names: np.ndarray, buckets: int, schema: pa.Schema) -> pa.Table:
@@ -77,17 +89,21 @@ def locate(words: Words, phrases: np.ndarray, phrase: int, window: int):
     import ahocorasick
 
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for doc, numbers in enumerate(words.numbers):
+    numbered, added = words.numbers(), set()
+    for doc, numbers in enumerate(numbered):
         prints, = words.windows(doc, phrase)
         chosen = np.flatnonzero(anchors(prints, window - phrase + 1))
-        for at in chosen[np.isin(prints[chosen], phrases)]:
-            automaton.add_word(tuple(numbers[at : at + phrase].tolist()))
-    if not len(automaton):
+        chosen = chosen[among(prints[chosen], phrases)]
+        for at, name in zip(chosen.tolist(), prints[chosen].tolist()):
+            if name not in added:
+                added.add(name)
+                automaton.add_word(tuple(numbers[at : at + phrase]))
+    if not added:
         return
     automaton.make_automaton()
-    for doc, numbers in enumerate(words.numbers):
+    for doc, numbers in enumerate(numbered):
         if len(numbers) >= window:
-            ends = np.fromiter((end for end, _ in automaton.iter(tuple(numbers.tolist()))), np.int64)
+            ends = np.array([end for end, _ in automaton.iter(tuple(numbers))], np.int64)
             if len(ends):
                 yield doc, ends - phrase + 1
 
@@ -114,7 +130,8 @@ def substring_dedup(df: DataFrame, window=35, id_col="doc_id", text_col="text",
             return batch_of(sent, [])
         words = Words(rows["text"].to_pylist())
         names = []
-        for doc, places in locate(words, np.frombuffer(b"".join(replies["names"].to_pylist()), np.uint64), phrase, window):
+        phrases = np.sort(np.frombuffer(b"".join(replies["names"].to_pylist()), np.uint64))
+        for doc, places in locate(words, phrases, phrase, window):
             prints, = words.windows(doc, window)
             near = covered(np.maximum(places - (window - phrase), 0), window - phrase + 1, len(prints) + window)[: len(prints)]
             names.append(prints[near])
@@ -128,14 +145,13 @@ def substring_dedup(df: DataFrame, window=35, id_col="doc_id", text_col="text",
             gone = 0
             if len(again) and len(ws) >= window:
                 prints, = words.windows(doc, window)
-                found = np.minimum(np.searchsorted(again, prints), len(again) - 1)
-                starts = np.flatnonzero(again[found] == prints)
+                starts = np.flatnonzero(among(prints, again))
                 if len(starts):
                     mask = covered(starts, window, len(ws))
                     gone = int(mask.sum())
                     ws = [w for w, m in zip(ws, mask.tolist()) if not m]
-            text = " ".join(ws)
-            out.append((doc_id, len(ws) + gone, gone, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), *([text] if with_text else [])))
+            text = b" ".join(ws)
+            out.append((doc_id, len(ws) + gone, gone, hashlib.sha256(text).hexdigest(), *([text.decode("utf-8", "replace")] if with_text else [])))
         return batch_of(result, out)
 
     by_chunk = docs.groupBy("chunk")
