@@ -37,11 +37,15 @@ SPACED = re.compile(r"(?<![^\x20\x09-\x0d])[\w@$!|](?:[ \t.\-_*/]{1,3}[\w@$!|]){
 #: Hash buckets of the word weights (4 bytes each are broadcast), blocks they are summed in, weight of the prior in rows,
 #: entries of a worker's cache, and the best readings of an obfuscated word that are scored.
 BUCKETS, BLOCKS, PRIOR, CACHE, READINGS = 1 << 21, 64, 5.0, 400_000, 3
+#: Labelled rows that are learned from, about: of more, a part by the hash of their id. They are broadcast.
+LABELS = 60_000
 
 
 # ---- the language model
 
-_table = np.zeros(0x180, np.int64)
+#: Characters counted at a time.
+SLICE = 1 << 19
+_table = np.zeros(0x180, np.int32)
 for _c, _i in CODES.items():
     _table[ord(_c)] = _i
 
@@ -52,11 +56,27 @@ def trigram_counts(df: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(SIZE**3, np.int64)
-        for batch in batches:
-            points = np.frombuffer("\n".join(batch.column(0).to_pylist()).lower().encode("utf-32-le", "replace"), np.uint32)
-            codes = np.where(points < len(_table), _table[np.minimum(points, len(_table) - 1)], np.where(points >= 0x370, OTHER, 0))
+
+        def count(text):
+            points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+            codes = np.where(points < len(_table), _table[np.minimum(points, len(_table) - 1)], np.where(points >= 0x370, OTHER, 0).astype(np.int32))
             if len(codes) > 2:
-                total += np.bincount(codes[:-2] * SIZE * SIZE + codes[1:-1] * SIZE + codes[2:], minlength=SIZE**3)
+                np.add(total, np.bincount(codes[:-2] * (SIZE * SIZE) + codes[1:-1] * SIZE + codes[2:], minlength=SIZE**3), out=total)
+
+        for batch in batches:
+            held, size = [], 0
+            for text in batch.column(0).to_pylist():
+                if len(text) > SLICE:  # pieces share two letters, so that each triple counts once
+                    text = f"\n{text}\n"
+                    for at in range(0, len(text) - 2, SLICE):
+                        count(text[at : at + SLICE + 2])
+                    continue
+                held.append(text)
+                size += len(text)
+                if size >= SLICE:
+                    count("\n" + "\n".join(held) + "\n")
+                    held, size = [], 0
+            count("\n" + "\n".join(held) + "\n")
         met = np.flatnonzero(total)
         yield pa.record_batch([pa.array(met, pa.int32()), pa.array(total[met])], schema=schema)
 
@@ -228,9 +248,19 @@ def logistic(cells: list[tuple[float, float, float, int]], rounds=40) -> np.ndar
     return w
 
 
-def toxicity(df: DataFrame, labels: DataFrame, threshold=0.3, held_fold=2, id_col="doc_id", text_col="text") -> DataFrame:
+def sample(labels: DataFrame, most: int) -> DataFrame:
+    """About `most` labelled documents at most, chosen by the hash of their id; a document is toxic if any label says so."""
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    n = known.count()
+    parts = 1 << 30
+    return known if n <= most else known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < parts * most // n)
+
+
+def toxicity(df: DataFrame, labels: DataFrame, threshold=0.3, held_fold=2, most_labels=LABELS, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
+    The classifier is fitted on a sample of about `most_labels` labelled rows; the language model on all texts.
+
     `labels` has doc_id and toxic (0 or 1; null: no label; a document labelled twice is toxic if either says so). Rows in
     fold `held_fold` by their id are never learned from. A null or empty text, and any row when there are no labels,
     gets the score of a text without telling words. Repeated rows and null ids (never held out) are each scored.
@@ -238,7 +268,7 @@ def toxicity(df: DataFrame, labels: DataFrame, threshold=0.3, held_fold=2, id_co
     spark = df.sparkSession
     texts = text_of(df, id_col, text_col)
     model = spark.sparkContext.broadcast(language_model(trigram_counts(texts)))  # 64^3 numbers
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = F.broadcast(sample(labels.filter(fold("doc_id") != held_fold), most_labels))  # two numbers a row
     weights_folds = [f for f in range(4) if f != held_fold][:2]
     learn = texts.filter(fold("doc_id").isin(weights_folds)).join(known, "doc_id").select("text", "toxic")
     weights = spark.sparkContext.broadcast(word_weights(learn, model))  # BUCKETS numbers
