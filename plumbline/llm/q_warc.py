@@ -5,4 +5,4 @@ from plumbline.llm.warc import read_records, write_records
 
 @query("op6_warc")
 def op6(spark, folder):
-    return read_records(durable(write_records(spark.read.parquet(f"{folder}/pages.parquet"))))
+    return read_records(durable(write_records(spark.read.parquet(f"{folder}/pages.parquet"))), in_order=True)

@@ -1,12 +1,14 @@
 """WARC archives as chunked record tables.
 
 A record is rows of (archive, record, chunk): its header first, then its block in chunks of at most CHUNK bytes, each
-with the digest of the payload so far. The rows' bytes in that order are a WARC/1.1 file. Writing and reading stream the
-chunks: neither puts a record together in memory, so a payload of any size costs one chunk.
+with the digest of the payload so far. A record is one gzip member, so the rows' bytes in that order are a .warc.gz file
+(WARC/1.1). Writing and reading stream the chunks: neither puts a record together in memory, so a payload of any size
+costs one chunk.
 """
 
 import base64
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -79,19 +81,20 @@ def write_records(pages: DataFrame, least=0, id_col="page_id", url_col="url", bo
     schema = arrow_schema(TABLE)
 
     def run(batches):
-        record, digest = -1, None
+        record, digest, member = -1, None, None
         for batch in batches:
             out = []
             for archive, page, url, size, sha1, refers, chunk, last, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if chunk == 0:
-                    record, digest = record + 1, hashlib.sha1()
+                    record, digest, member = record + 1, hashlib.sha1(), zlib.compressobj(6, zlib.DEFLATED, 31)
                     data = header(page, url, size, sha1, refers)
                 else:
                     digest.update(data)
+                data = member.compress(data)
                 if chunk == last:
                     if refers is None and digest.hexdigest() != sha1:
                         raise ValueError(f"page {page}: chunks do not give its payload")
-                    data += END
+                    data += member.compress(END) + member.flush()
                 out.append((archive, record, chunk, data, digest.hexdigest()))
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * len(schema), schema.types)], schema=schema)
 
@@ -103,8 +106,14 @@ class Reader:
 
     def __init__(self):
         self.head, self.fields, self.left, self.http, self.digest, self.size, self.tail = b"", None, 0, b"", hashlib.sha1(), 0, b""
+        self.member = zlib.decompressobj(31)
 
-    def feed(self, data: bytes) -> None:
+    def feed(self, packed: bytes) -> None:
+        while packed:
+            self.take(self.member.decompress(packed, CHUNK))
+            packed = self.member.unconsumed_tail
+
+    def take(self, data: bytes) -> None:
         if self.fields is None:
             self.head += data
             at = self.head.find(END)
@@ -129,8 +138,9 @@ class Reader:
         self.size += len(block)
 
     def row(self):
+        self.take(self.member.flush())
         f = self.fields
-        if f is None or self.left or self.tail != END:
+        if f is None or self.left or self.tail != END or not self.member.eof:
             raise ValueError("a record is cut off")
         digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
         if f["WARC-Type"] == "response" and (base32(self.digest.digest()), self.size) != (digest, int(f["X-Payload-Length"])):
@@ -139,8 +149,12 @@ class Reader:
         return page_of(f["WARC-Record-ID"]), int(f["X-Payload-Length"]), digest, f["WARC-Type"], refers and page_of(refers)
 
 
-def read_records(table: DataFrame) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, read from the bytes and verified."""
+def read_records(table: DataFrame, in_order=False) -> DataFrame:
+    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, read from the bytes and verified.
+
+    `in_order` says that each partition of the table has whole archives in their order, as a checkpoint of written
+    records has; else rows are brought together by record first. A record that is cut off is an error either way.
+    """
     small_batches(table.sparkSession)
     ddl = "page_id long,payload_bytes long,payload_digest string,record_type string,refers_to long"
     schema = arrow_schema(ddl)
@@ -166,12 +180,12 @@ def read_records(table: DataFrame) -> DataFrame:
         yield rows()
 
     order = ["archive", "record", "chunk"]
-    rows = table.repartition("archive", "record").sortWithinPartitions(*order).select("archive", "record", "data")
-    return rows.mapInArrow(run, ddl)
+    rows = table if in_order else table.repartition("archive", "record").sortWithinPartitions(*order)
+    return rows.select("archive", "record", "data").mapInArrow(run, ddl)
 
 
 def save_files(table: DataFrame, folder: str) -> DataFrame:
-    """Write each archive to `folder` (mounted on every executor) as a .warc file; per archive its path and bytes."""
+    """Write each archive to `folder` (mounted on every executor) as a .warc.gz file; per archive its path and bytes."""
     ddl = "path string,bytes long"
     schema = arrow_schema(ddl)
 
@@ -181,7 +195,7 @@ def save_files(table: DataFrame, folder: str) -> DataFrame:
         files, done = None, {}
         for batch in batches:
             for archive, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                path = os.path.join(folder, f"{archive:06d}.warc")
+                path = os.path.join(folder, f"{archive:06d}.warc.gz")
                 if path not in done:
                     if files:
                         files.close()

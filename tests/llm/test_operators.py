@@ -293,7 +293,9 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     pages = [(1, "http://a", "<p>x</p>"), (5, "http://b", "<p>x</p>"), (3, None, "<p>x</p>"), (7, "http://c\r\nX: y", big), (8, "u", big), (9, "v", big + "\r\n\r\n"),
              (10, "e", ""), (11, "n", None), (None, "z", "<p>x</p>"), (None, "z", "only here"), (12, "r", "twice"), (12, "r", "twice"), (2, "s", "twice")]
     table = durable(warc.write_records(frame(spark, pages, "page_id long, url string, html string")))
-    got = sorted_rows(warc.read_records(table), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    fields = "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    got = sorted_rows(warc.read_records(table), *fields)
+    assert sorted_rows(warc.read_records(table, in_order=True), *fields) == got
     top = {}
     for p, _, h in pages:
         if p is not None:
@@ -458,6 +460,16 @@ def test_toxicity_awkward(spark, awkward, nothing):
     assert toxicity(nothing, labels).count() == 0
 
 
+def test_letter_counts_do_not_depend_on_slices(spark, monkeypatch):
+    from plumbline.llm import toxicity as T
+
+    df = spark.createDataFrame([("The Idiot é said ß 日本 stuff" * 9,), ("a",), ("",), ("zz zz ",)], "text string").coalesce(1)
+    whole = T.trigram_counts(df)
+    monkeypatch.setattr(T, "SLICE", 5)
+    inside = T.trigram_counts(df)
+    assert whole[:, 1:].sum() and (inside[:, 1:] == whole[:, 1:]).all()  # but for what has a text's end in its middle
+
+
 def test_deobfuscation():
     from plumbline.llm import toxicity as T
 
