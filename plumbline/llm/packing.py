@@ -7,38 +7,92 @@ numbers. Rounded patterns become a table of rank ranges per length, and ranked p
 """
 
 import zlib
+from unicodedata import is_normalized
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from plumbline.llm.common import WORD, arrow_schema, durable, text_of
+from plumbline.llm.common import arrow_schema, batch_of, durable, text_of
 from plumbline.operators.scale import positions
 
-#: Entries and longest word of a worker's cache.
-CACHE, LONGEST = 400_000, 48
+#: Entries of a worker's newer words (it keeps as many older ones), the longest word it keeps, the bytes of text whose new
+#: words are encoded together, and the words of one call of the tokenizer.
+CACHE, LONGEST, GROUP, CALL = 300_000, 48, 1 << 20, 20_000
+TAIL = b".,;:!?%#$&*|"
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write each byte as: itself if it prints, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordIds(dict):
-    """Word -> its token ids as little-endian unsigned 32-bit bytes.
+    """Word (UTF-8) -> its token ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its words.
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its words; nor does it
+    merge a letter or digit with a sign behind it, so words are encoded without the signs that end them. It takes a-z
+    and A-Z alike, but for the names of its special tokens. Words of lower-case letters pass its normalizer and splitter
+    unchanged: many of them go through its merges in one call without these.
     """
 
     def __init__(self, path):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.model, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.long, self.older, self.letters = [], {}, byte_letters()
+
+    def words(self, text: str) -> list[bytes]:
+        data = text.encode("utf-8", "replace")
+        return (data if b"<|" in data else data.lower()).split()
 
-        self.model = Tokenizer.from_file(path)
+    def encoded(self, words: list[bytes]):
+        """(word, ids) of words that are not known."""
+        plain, other = [], []
+        for w in words:
+            text = w.decode()
+            if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+                plain.append((w, text if text.isascii() else w.decode("latin-1").translate(self.letters)))
+            else:
+                other.append((w, text))
+        for at in range(0, len(plain), CALL):
+            part = plain[at : at + CALL]
+            found = self.merges.encode(" ".join(t for _, t in part), add_special_tokens=False)
+            ids, ends = np.array(found.ids, "<u4").tobytes(), np.cumsum(np.bincount(found.word_ids, minlength=len(part))) * 4
+            begin = 0
+            for (w, _), end in zip(part, ends.tolist()):
+                yield w, ids[begin:end]
+                begin = end
+        for (w, _), found in zip(other, self.model.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+            yield w, np.array(found.ids, "<u4").tobytes()
 
-    def __missing__(self, word):
-        ids = np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
-        return ids
+    def learn(self, words: set[bytes]) -> None:
+        """After this all `words` are here; those too long to keep are gone with the next call."""
+        for w in self.long:
+            self.pop(w, None)
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+        cut = {}
+        for w in words:
+            if w not in self:
+                if w in self.older:
+                    self[w] = self.older[w]
+                else:
+                    core = w.rstrip(TAIL)
+                    cut[w] = len(core) if core and core[-1] < 128 and chr(core[-1]).isalnum() else len(w)
+        parts = {p for w, n in cut.items() for p in (w[:n], w[n:]) if p and p not in self}
+        ask = [p for p in parts if p not in self.older]
+        self.update((p, self.older[p]) for p in parts if p in self.older)
+        self.update(self.encoded(ask))
+        for w, n in cut.items():
+            if n < len(w):
+                self[w] = self[w[:n]] + self[w[n:]]
+        self.long = [x for x in (*ask, *cut) if len(x) > LONGEST]
 
 
 #: Of this worker process, by tokenizer.
@@ -51,19 +105,33 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, length: int, id_col="
     schema = arrow_schema(ddl)
 
     def run(batches):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         if tokenizer not in _words:
             _words[tokenizer] = WordIds(tokenizer)
-        ids_of, end = _words[tokenizer].__getitem__, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        known, end = _words[tokenizer], np.array([end_id], "<u4").tobytes()
+
+        def pieces(held):
+            known.learn({w for _, ws in held for w in ws})
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(b"".join(map(ids_of, WORD.findall(text))) + end)
+            for doc_id, ws in held:
+                ids = memoryview(b"".join(map(known.__getitem__, ws)) + end)
                 n = len(ids) // 4
                 for at in range(0, n, length):
                     piece = ids[4 * at : 4 * (at + length)]
                     rows.append((doc_id, at, len(piece) // 4, zlib.crc32(piece), n, *([bytes(piece)] if with_ids else [])))
-            columns = zip(*rows) if rows else [[] for _ in schema]
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, schema.types)], schema=schema)
+            return batch_of(schema, rows).to_batches()
+
+        for batch in batches:
+            held, size = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((doc_id, known.words(text)))
+                size += len(text)
+                if size >= GROUP:
+                    yield from pieces(held)
+                    held, size = [], 0
+            yield from pieces(held)
 
     return text_of(df, id_col, text_col).mapInArrow(run, ddl)
 
@@ -89,52 +157,82 @@ def knapsack(value: np.ndarray, width: np.ndarray, room: int) -> tuple[float, np
     return best[room], counts
 
 
-def patterns(demand: dict[int, int], room: int) -> list[tuple[int, dict[int, int]]]:
+def first_fit(width: np.ndarray, need: np.ndarray, room: int) -> list[tuple[int, np.ndarray]]:
+    """(copies, pieces of each width) by first fit in decreasing order, in runs of equal sequences."""
+    runs = []  # [room left, copies, pieces]
+    for i in reversed(range(len(width))):
+        w, todo, grown = int(width[i]), int(need[i]), []
+        for left, copies, pieces in runs:
+            per = min(left // w, todo)
+            if per:
+                all_of = min(copies, todo // per)
+                todo -= all_of * per
+                more = pieces.copy()
+                more[i] += per
+                grown.append([left - per * w, all_of, more])
+                copies -= all_of
+            if copies:
+                grown.append([left, copies, pieces])
+        per = room // w
+        for n, copies in ((per, todo // per), (todo % per, 1)):
+            if n and copies:
+                pieces = np.zeros(len(width), int)
+                pieces[i] = n
+                grown.append([room - n * w, copies, pieces])
+        runs = grown
+    return [(copies, pieces) for _, copies, pieces in runs]
+
+
+def patterns(demand: dict[int, int], room: int, gap=0.001) -> list[tuple[int, dict[int, int]]]:
     """(copies, width -> pieces) that hold exactly `demand` (width -> pieces) in sequences of `room`, in close to the fewest.
 
-    Revised simplex from one pattern per width; columns come from the knapsack until none improves. The rounded-down
-    solution takes nearly all pieces; what is left, fewer than the widths' patterns hold, is put in first-fit order.
+    Revised simplex from one pattern per width. Columns come from a pool, which first fit begins, and when none of it
+    improves from the knapsack, until it finds none either or the solution is within `gap` of the sequences that prices
+    prove necessary. The rounded-down solution takes nearly all pieces; first fit puts what is left.
     """
     width = np.array(sorted(demand))
-    need = np.array([demand[w] for w in width], float)
+    need = np.array([demand[w] for w in width])
     m = len(width)
+    simple = first_fit(width, need, room)
+    pool = np.array([pieces for _, pieces in simple], float)
     columns = np.diag(room // width).astype(float)
     inverse = np.diag(1.0 / (room // width))
-    for _ in range(60 * m):
-        dual = inverse.sum(axis=0)
-        value, counts = knapsack(np.maximum(dual, 0), width, room)
-        if value <= 1 + 1e-7:
+    centre, bound = width / room, need @ width / room  # prices that are feasible, and the sequences they prove necessary
+    for step_number in range(40 * m):
+        if step_number % 100 == 99:
+            inverse = np.linalg.inv(columns)
+        have, dual = inverse @ need, inverse.sum(axis=0)
+        if have.sum() <= bound * (1 + gap):
             break
-        step, have = inverse @ counts, inverse @ need
-        ratio = np.where(step > 1e-9, np.maximum(have, 0) / np.where(step > 1e-9, step, 1), np.inf)
+        worth = pool @ dual
+        counts = pool[int(worth.argmax())]
+        if worth.max() <= 1 + 1e-7:
+            for prices in (0.7 * centre + 0.3 * np.maximum(dual, 0), np.maximum(dual, 0)):  # smoothed prices wander less
+                value, counts = knapsack(prices, width, room)
+                if need @ prices / value > bound:
+                    centre, bound = prices / value, need @ prices / value
+                if dual @ counts > 1 + 1e-7:
+                    break
+            else:
+                break
+            pool = np.vstack([pool, counts])
+        move = inverse @ counts
+        ratio = np.where(move > 1e-9, np.maximum(have, 0) / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
         columns[:, out] = counts
-        pivot = inverse[out] / step[out]
-        inverse -= np.outer(step, pivot)
+        pivot = inverse[out] / move[out]
+        inverse -= np.outer(move, pivot)
         inverse[out] = pivot
-    found = Counter()
-    left = need.astype(int)
-    for copies, column in zip(np.floor(inverse @ need).astype(int), columns.T.astype(int)):
-        copies = int(min([copies, *(left[column > 0] // column[column > 0])]))
+    found, left = [], need.copy()
+    for copies, column in zip(np.floor(inverse @ need + 1e-9).astype(int), columns.T.astype(int)):
+        copies = min([int(copies), *(left[column > 0] // column[column > 0])])
         if copies > 0:
             left -= copies * column
-            found[tuple(column)] += int(copies)
-    bins = []  # [room left, width -> pieces]
-    for i in reversed(range(m)):
-        todo = int(left[i])
-        for b in bins:
-            fit = min(todo, b[0] // int(width[i]))
-            if fit:
-                b[1][i] += fit
-                b[0] -= fit * int(width[i])
-                todo -= fit
-        per = room // int(width[i])
-        while todo > 0:
-            n = min(per, todo)
-            bins.append([room - n * int(width[i]), Counter({i: n})])
-            todo -= n
-    out = [(copies, {int(width[i]): int(c) for i, c in enumerate(column) if c}) for column, copies in found.items()]
-    return out + [(1, {int(width[i]): int(c) for i, c in b[1].items()}) for b in bins]
+            found.append((int(copies), column))
+    found += first_fit(width, left, room)
+    if sum(c for c, _ in found) > sum(c for c, _ in simple):
+        found = simple
+    return [(copies, {int(width[i]): int(pieces[i]) for i in np.flatnonzero(pieces)}) for copies, pieces in found]
 
 
 def rank_ranges(made: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, int, int]]:
