@@ -31,16 +31,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> S32)
 
 
+#: Fingerprints of the 256 bytes.
+BYTE = mixed(np.arange(256, dtype=np.uint64))
+
+
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Fingerprint of two neighbouring (or overlapping) windows from theirs: the pair of ranks of prefix doubling."""
-    out = left * M1 + right
+    out = left * M1
+    out += right
     out ^= out >> S29
     return out
 
 
 def windows(values: np.ndarray, *lengths: int) -> list[np.ndarray]:
     """For each length the fingerprint of every window of that many values (64-bit), by doubling."""
-    level, size, done = mixed(values), 1, {}
+    level, size, done = BYTE[values] if values.dtype == np.uint8 else mixed(values), 1, {}
     for length in sorted(lengths):
         while size * 2 <= length and len(level) > size:
             level, size = joined(level[:-size], level[size:]), size * 2
@@ -49,22 +54,22 @@ def windows(values: np.ndarray, *lengths: int) -> list[np.ndarray]:
     return [done[n] for n in lengths]
 
 
-def lowest(values: np.ndarray, width: int) -> np.ndarray:
-    """Smallest value of every `width` neighbours."""
+def lowest(values: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
+    """Smallest value (or what `pick` picks) of every `width` neighbours."""
     out, size = values, 1
     while size * 2 <= width:
-        out, size = np.minimum(out[:-size], out[size:]), size * 2
+        out, size = pick(out[:-size], out[size:]), size * 2
     rest, n = width - size, len(values) - width + 1
-    return out if not rest else np.minimum(out[:n], out[rest : rest + n])
+    return out if not rest else pick(out[:n], out[rest : rest + n])
 
 
 def anchors(values: np.ndarray, width: int) -> np.ndarray:
     """Which values are the smallest of some `width` neighbours: content alone decides, alike wherever a passage stands."""
     if len(values) < width:
         return np.zeros(len(values), bool)
-    low = lowest(values, width)
-    pad = np.zeros(width - 1, np.uint64)
-    return ~lowest(~np.concatenate([pad, low, pad]), width) == values
+    low = np.zeros(len(values) + width - 1, np.uint64)
+    low[width - 1 : len(values)] = lowest(values, width)
+    return lowest(low, width, np.maximum) == values
 
 
 def covered(starts: np.ndarray, width: int, size: int) -> np.ndarray:
