@@ -30,5 +30,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or not now.n:
             break
         state = now
-        pairs = durable(_stars(_stars(pairs, larger=True), larger=False))
+        pairs = durable(_stars(durable(_stars(pairs, larger=True)), larger=False))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -20,7 +20,7 @@ from plumbline.llm.common import arrow_schema, batch_of, durable, join_groups, t
 from plumbline.llm.components import components
 from plumbline.llm.rolling import NONE, WordPrints, mixed, windows
 
-SKETCH, TREES, LEAF, WIDE, DEPTH = 128, 4, 512, 4, 8
+SKETCH, TREES, LEAF, WIDE, DEPTH = 128, 4, 2048, 4, 8
 #: Sketches of similar sets agree in the threshold less this share of places, but for one pair in a million.
 DOUBT = 0.15
 FACTORS = np.random.default_rng(20).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,10 +78,10 @@ def small_nodes(classes: DataFrame) -> DataFrame:
         live = durable(live)
         sizes = live.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         total = live.count()
-        sized = join_groups(live, sizes, ["node"], total)
+        sized = durable(join_groups(live, sizes, ["node"], total))
         leaves = sized.filter(F.col("n") <= LEAF).select("node", "cls")
         found = leaves if found is None else found.unionByName(leaves)
-        large = durable(sized.filter(F.col("n") > LEAF).select("node", "cls"))
+        large = sized.filter(F.col("n") > LEAF).select("node", "cls")
         if large.isEmpty():
             return found.join(classes, "cls").select("node", "cls", "sketch")
         if depth < DEPTH:
@@ -238,11 +238,10 @@ def near_dedup(df: DataFrame, words=5, percent=80, id_col="doc_id", text_col="te
     groups = durable(suspects(small_nodes(classes.select("cls", "sketch")), round((percent / 100 - DOUBT) * SKETCH)))
     links = exact_links(df, groups, members, words, percent, id_col, text_col)
     # only links point from class to class; a class alone, and not copied, is its own component
-    rooted = classes.select("cls", "key", "n").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = rooted.groupBy("root").agg(F.min("key").alias("component_id"))
-    total = members.count()
-    sized = rooted.join(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("_c")), "root").filter("n > 1 or _c > 1")
-    known = durable(sized.join(least, "root").select("cls", "n", "component_id"))
+    rooted = durable(classes.select("cls", "key", "n").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    total = rooted.agg(F.sum("n")).first()[0] or 0
+    whole = rooted.groupBy("root").agg(F.min("key").alias("component_id"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows")).filter("rows > 1").drop("rows")
+    known = durable(join_groups(rooted.withColumnRenamed("n", "copies"), whole, ["root"], total).select("cls", F.col("copies").alias("n"), "component_id"))
     out = join_groups(members.filter(F.col("cls").isNotNull()), known, ["cls"], total, how="left").drop("n")
     # rows without shingles have no class to join by; as nulls they would all meet in one task
     out = out.unionByName(members.filter(F.col("cls").isNull()), allowMissingColumns=True)
