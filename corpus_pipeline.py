@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences: each stage's Parquet output is the next one's input.
 
-A row's id names its document: rows that share an id are one document and go or stay together, and the near-duplicate
-stage leaves one row of them. A row with a null id can't be named by a decision: it stays, as text that others are held
-against. Stages keep all columns of `documents`, in their order, extra ones too.
+Every row is judged by its own text, whatever other rows have its id, or none: decisions are taken by id and a
+fingerprint of the text. Only rows of one id and one text are the same to them; the near-duplicate stage leaves one of
+those. It keeps rows with a null id, as texts that others are held against, and the repeated strings of rows that share
+an id are no repeats of each other. Stages keep all columns of `documents`, in their order, extra ones too.
 """
 
 import public_tokenizers
@@ -16,20 +17,36 @@ from plumbline.llm.suffix_dedup import suffix_dedup
 from plumbline.llm.toxicity import toxicity
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row_key, row): row_key is a fingerprint of the text, row all columns."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_key"), F.struct(*docs.columns).alias("row"))
+
+
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of `docs` but those whose (doc_id, row_key) is in `found`; null ids are equal to each other."""
+    gone = found.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
+    rows = keyed(docs)
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_anti").select("row.*")
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score does not reject; null and empty texts stay."""
-    told = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(told.filter("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    told = toxicity(keyed(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), key_col="row_key")
+    return without(docs, told.filter("predicted = 1"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (words of five, similarity of 0.8) the document with the smallest id.
+    """Of each component of near copies (words of five, similarity of 0.8) the row with the smallest id.
 
-    Texts without words have no copies.
+    Of several rows with that id the one with the smallest fingerprint. Texts without words have no copies: all stay.
     """
-    found = near_dedup(docs, words=5, percent=80)
-    kept = docs.join(found.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    found = near_dedup(keyed(docs), words=5, percent=80, key_col="row_key").filter("doc_id IS NOT NULL")
+    best = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("best")).select("best.*")
+    # rows of one id and text are reduced before the join, so that no flood of them meets in one task
+    rows = keyed(docs).groupBy("doc_id", "row_key").agg(F.first("row").alias("row"))
+    kept = rows.join(best.distinct(), ["doc_id", "row_key"]).select("row.*")
+    bare = keyed(docs).filter(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x09-\\x0d\\x20]"))
+    return kept.unionByName(bare.select("row.*"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +66,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = contaminated(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key_col="row_key")
+    return without(docs, found)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

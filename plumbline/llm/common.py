@@ -22,10 +22,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def text_of(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """Just `doc_id` and `text` (null: empty), whatever else the table has."""
+def text_of(df: DataFrame, id_col="doc_id", text_col="text", key_col=None) -> DataFrame:
+    """Just `doc_id` and `text` (null: empty), whatever else the table has; and `row_key`, a whole number, if asked for."""
     small_batches(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    key = [F.col(key_col).cast("long").alias("row_key")] if key_col else []
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *key)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -54,19 +55,21 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(","))])
 
 
-def per_document(df: DataFrame, ddl: str, make) -> DataFrame:
-    """`make()` runs once a task and returns a function of (doc_id, text) giving the cells after doc_id."""
-    schema = arrow_schema("doc_id long," + ddl)
+def per_document(df: DataFrame, ddl: str, make, key_col=None) -> DataFrame:
+    """`make()` runs once a task and returns a function of (doc_id, text) giving the cells after doc_id; `row_key` is last."""
+    ddl = "doc_id long," + ddl + ",row_key long" * bool(key_col)
+    schema = arrow_schema(ddl)
 
     def run(batches):
         row = make()
         for batch in batches:
             ids = batch.column(0)
             cells = [row(text) for text in batch.column(1).to_pylist()]
-            columns = zip(*cells) if cells else [[] for _ in schema.names[1:]]
-            yield pa.record_batch([ids.cast(pa.int64()), *(pa.array(list(c), k) for c, k in zip(columns, schema.types[1:]))], schema=schema)
+            columns = zip(*cells) if cells else [[] for _ in schema.names[1 : len(schema) - bool(key_col)]]
+            made = [pa.array(list(c), k) for c, k in zip(columns, schema.types[1:])]
+            yield pa.record_batch([ids.cast(pa.int64()), *made, *batch.columns[2:]], schema=schema)
 
-    return text_of(df).mapInArrow(run, "doc_id long," + ddl)
+    return text_of(df, key_col=key_col).mapInArrow(run, ddl)
 
 
 

@@ -134,20 +134,21 @@ def scan(docs: list[bytes], index: Index):
         yield d, index.ids[i], distance, start, end
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, rate=0.1, id_col="doc_id", text_col="text") -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, rate=0.1, id_col="doc_id", text_col="text", key_col=None) -> DataFrame:
     """One row for each document and benchmark item it holds within rate * (bytes of the item) edits.
 
     doc_id, item_id, distance (edits), start and end (bytes of the normalised text) of the nearest passage. Clean
     documents have no row. Items of under 8 bytes, empty or null, can't be told from chance and are left out; null or
-    empty texts hold nothing. Repeated rows are each reported; null ids stay null; other columns are ignored.
+    empty texts hold nothing. Repeated rows are each reported; null ids stay null; other columns are ignored but for
+    `key_col`, if given: it is handed through as `row_key`.
     """
     spark = df.sparkSession
-    ddl = "doc_id long,item_id long,distance int,start long,end long"
+    ddl = "doc_id long,item_id long,distance int,start long,end long" + ",row_key long" * bool(key_col)
     schema = arrow_schema(ddl)
     items = durable(benchmark.filter(F.octet_length("text") >= Q).select("item_id", "text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    texts = text_of(df, id_col, text_col)
+    texts = text_of(df, id_col, text_col, key_col)
 
     def one(block):
         rows = [(r.item_id, normal(r.text)) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toLocalIterator()]
@@ -162,11 +163,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, rate=0.1, id_col="doc_id",
                 out, held, size = [], [], 0
 
                 def flush():
-                    for d, i, distance, start, end in scan([t for _, t in held], index):
-                        out.append((held[d][0], i, distance, start, end))
+                    for d, i, distance, start, end in scan([t for _, t, *_ in held], index):
+                        out.append((held[d][0], i, distance, start, end, *held[d][2:]))
 
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    held.append((doc_id, normal(text)))
+                for doc_id, text, *key in zip(*(c.to_pylist() for c in batch.columns)):
+                    held.append((doc_id, normal(text), *key))
                     size += len(held[-1][1])
                     if size >= BUFFER:
                         flush()

@@ -47,21 +47,21 @@ def sketch(found: np.ndarray) -> bytes:
     return (mixed(out) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
-def sketched(df: DataFrame, words: int, id_col, text_col) -> DataFrame:
-    """Per row: doc_id, n_shingles, cls (null for an empty set), sketch."""
-    ddl = "doc_id long,n_shingles long,cls long,sketch binary"
+def sketched(df: DataFrame, words: int, id_col, text_col, key_col=None) -> DataFrame:
+    """Per row: doc_id, n_shingles, cls (null for an empty set), sketch; and row_key, if asked for."""
+    ddl = "doc_id long,n_shingles long,cls long,sketch binary" + ",row_key long" * bool(key_col)
     schema = arrow_schema(ddl)
 
     def run(batches):
         prints = WordPrints()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, *key in zip(*(c.to_pylist() for c in batch.columns)):
                 found = shingles(text, words, prints)
-                rows.append((doc_id, len(found), class_of(found), sketch(found)) if len(found) else (doc_id, 0, None, None))
+                rows.append((doc_id, len(found), class_of(found), sketch(found), *key) if len(found) else (doc_id, 0, None, None, *key))
             yield from batch_of(schema, rows).to_batches()
 
-    return text_of(df, id_col, text_col).mapInArrow(run, ddl)
+    return text_of(df, id_col, text_col, key_col).mapInArrow(run, ddl)
 
 
 def child(node, place):
@@ -224,15 +224,18 @@ def exact_links(df: DataFrame, groups: DataFrame, members: DataFrame, words: int
     return full.repartition("gid").sortWithinPartitions("gid").mapInArrow(solve, "a long,b long").distinct()
 
 
-def near_dedup(df: DataFrame, words=5, percent=80, id_col="doc_id", text_col="text") -> DataFrame:
+def near_dedup(df: DataFrame, words=5, percent=80, id_col="doc_id", text_col="text", key_col=None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets of `words` words; a component's
     id is the smallest doc_id in it. Texts of fewer words are one shingle; a null, empty or blank text has none and is a
     component of its own. Repeated rows are linked to each other; a null id is larger than all others (component_id is
     null where there is no other, and kept false). An empty table gives no rows; other columns are ignored.
+
+    With `key_col` there are also row_key, that column of df, and root, which names the component (null: no words) even
+    where rows of several components share an id.
     """
-    rows = durable(sketched(df, words, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(LAST))))
+    rows = durable(sketched(df, words, id_col, text_col, key_col).withColumn("key", F.coalesce("doc_id", F.lit(LAST))))
     members = rows.drop("sketch")
     classes = durable(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("sketch").alias("sketch"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n")))
     groups = durable(suspects(small_nodes(classes.select("cls", "sketch")), round((percent / 100 - DOUBT) * SKETCH)))
@@ -241,9 +244,10 @@ def near_dedup(df: DataFrame, words=5, percent=80, id_col="doc_id", text_col="te
     rooted = durable(classes.select("cls", "key", "n").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     total = rooted.agg(F.sum("n")).first()[0] or 0
     whole = rooted.groupBy("root").agg(F.min("key").alias("component_id"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows")).filter("rows > 1").drop("rows")
-    known = durable(join_groups(rooted.withColumnRenamed("n", "copies"), whole, ["root"], total).select("cls", F.col("copies").alias("n"), "component_id"))
+    known = durable(join_groups(rooted.withColumnRenamed("n", "copies"), whole, ["root"], total).select("cls", F.col("copies").alias("n"), "component_id", *["root"] * bool(key_col)))
     out = join_groups(members.filter(F.col("cls").isNotNull()), known, ["cls"], total, how="left").drop("n")
     # rows without shingles have no class to join by; as nulls they would all meet in one task
     out = out.unionByName(members.filter(F.col("cls").isNull()), allowMissingColumns=True)
     component = F.nullif(F.coalesce("component_id", "key"), F.lit(LAST))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    extra = ["row_key", F.coalesce("root", "cls").alias("root")] if key_col else []
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), *extra).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -256,8 +256,8 @@ def sample(labels: DataFrame, most: int) -> DataFrame:
     return known if n <= most else known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < parts * most // n)
 
 
-def toxicity(df: DataFrame, labels: DataFrame, threshold=0.3, held_fold=2, most_labels=LABELS, id_col="doc_id", text_col="text") -> DataFrame:
-    """Per row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
+def toxicity(df: DataFrame, labels: DataFrame, threshold=0.3, held_fold=2, most_labels=LABELS, id_col="doc_id", text_col="text", key_col=None) -> DataFrame:
+    """Per row: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold); and row_key, `key_col` of df, if given.
 
     The classifier is fitted on a sample of about `most_labels` labelled rows; the language model on all texts.
 
@@ -266,7 +266,7 @@ def toxicity(df: DataFrame, labels: DataFrame, threshold=0.3, held_fold=2, most_
     gets the score of a text without telling words. Repeated rows and null ids (never held out) are each scored.
     """
     spark = df.sparkSession
-    texts = text_of(df, id_col, text_col)
+    texts = text_of(df, id_col, text_col, key_col)
     model = spark.sparkContext.broadcast(language_model(trigram_counts(texts)))  # 64^3 numbers
     known = F.broadcast(sample(labels.filter(fold("doc_id") != held_fold), most_labels))  # two numbers a row
     weights_folds = [f for f in range(4) if f != held_fold][:2]
@@ -286,9 +286,11 @@ def toxicity(df: DataFrame, labels: DataFrame, threshold=0.3, held_fold=2, most_
 
         return row
 
-    told = durable(per_document(texts, "first double,second double", make))
+    key = ["row_key"] if key_col else []
+    told = durable(per_document(texts, "first double,second double", make, *key))
     fitted = told.filter(~fold("doc_id").isin([*weights_folds, held_fold])).join(known, "doc_id")
     cells = fitted.groupBy(F.round("first", 1).alias("a"), F.round("second", 1).alias("b"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     w = logistic([(r.a, r.b, r.toxic, r.n) for r in cells])
     score = 1 / (1 + F.exp(-(F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("first") + F.lit(float(w[2])) * F.col("second"))))
-    return told.select("doc_id", (fold("doc_id") == held_fold).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    told = told.select("doc_id", (fold("doc_id") == held_fold).alias("held_out"), score.alias("score"), *key)
+    return told.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *key)

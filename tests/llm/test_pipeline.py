@@ -115,3 +115,32 @@ def test_run(spark, folder, tmp_path):
     for table in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, folder, tmp_path):
+    rng = random.Random(5)
+    texts = [sentence(rng, 40) for _ in range(12)]
+    item = sentence(rng, 14)
+    toxic = " vermin ".join(sentence(rng, 8) for _ in range(5))
+    bad = [(0, toxic), (None, toxic)]
+    held = [(0, f"{sentence(rng, 20)} {item} end"), (None, f"{item} {sentence(rng, 20)}")]
+    # the first text is the copy of a smaller id's; the others of id 0 are alone, as are rows without words
+    rows = [(-1, texts[0]), (0, texts[0] + " more"), *[(0, t) for t in texts[1:8]], (0, texts[7]), (0, texts[6] + " more"), (0, None), (0, ""), (0, ""), (None, texts[9])]
+    frame = lambda given: spark.createDataFrame([(*r, f"e{i}") for i, r in enumerate(given)], "doc_id long, text string, extra string")
+
+    out = P.without_near_copies(spark, frame(rows), folder)
+    left = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    either = [t for t in (texts[6], texts[6] + " more") if (0, t) in left]
+    assert out.columns == ["doc_id", "text", "extra"] and len(either) == 1
+    want = [(-1, texts[0]), *[(0, t) for t in [*texts[1:6], texts[7], *either]], (0, None), (0, ""), (0, ""), (None, texts[9])]
+    assert left == sorted(want, key=repr)
+
+    plain = [(0, t) for t in texts] + [(None, texts[0])]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = P.without_benchmark(spark, frame(plain + held), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(plain, key=repr)
+
+    learn = [(1000 + i, (" vermin " if i % 2 else " ").join(sentence(rng, 8) for _ in range(5))) for i in range(120)]
+    spark.createDataFrame([(d, d % 2) for d, _ in learn], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = P.without_toxic(spark, frame(plain + bad + learn), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got if r.doc_id in (0, None)), key=repr) == sorted(plain, key=repr)
