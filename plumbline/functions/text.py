@@ -326,11 +326,39 @@ def repair_json(c) -> Column:
     return F.regexp_replace(t, r",(\s*[}\]])", "$1")
 
 
+# The tools a reply may call.
+LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+CALL = re.compile(rf"(?:\A|[{LINE_ENDS}])[^\S{LINE_ENDS}]*(@(?:schema_retrieval|sql_execution|sql_draft|sql_exploration|add_schema)\(|@stop\(\))")
+BRACKET = re.compile(r"[()]")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def call_blocks(texts: pd.Series) -> pd.Series:
+    """Calls of known tools that begin a line, each up to the bracket that closes it; one that never closes is none."""
+
+    def blocks(text):
+        if text is None:
+            return None
+        out, at = [], 0
+        closes, opened = {}, []
+        for m in BRACKET.finditer(text):
+            if m[0] == "(":
+                opened.append(m.start())
+            elif opened:
+                closes[opened.pop()] = m.end()
+        while m := CALL.search(text, at):
+            end = closes.get(text.index("(", m.start(1)))
+            if end:
+                out.append(text[m.start(1) : end])
+            at = end or m.end()
+        return out
+
+    return texts.map(blocks)
+
+
 def tool_calls(c) -> Column:
-    """@tool(args) blocks of a reply as an array of structs, in order of appearance."""
-    # The tools a reply may call.
-    names = "schema_retrieval|sql_execution|sql_draft|sql_exploration|add_schema"
-    blocks = F.regexp_extract_all(c, F.lit(rf"(?m)^\s*(@(?:{names})\([^()]*(?:\([^()]*\)[^()]*)*\)|@stop\(\))"), F.lit(1))
+    """@tool(args) blocks of a reply as an array of structs, in order of appearance; brackets nest to any depth."""
+    blocks = call_blocks(c)
 
     def arg(block, name):
         return F.regexp_extract(block, rf"{name}\s*[:=]\s*[\"']([^\"']*)[\"']", 1)

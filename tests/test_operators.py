@@ -173,3 +173,13 @@ def test_decisions_over_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     want = {(r["id"], r["action"]) for r in C.compile_requests(df, C.contract_of(spark, cat), cat).select("id", "decision.action").collect()}
     assert {(r["id"], r["action"]) for r in spark.read.parquet(out).collect()} == want
+
+
+def test_tool_calls_nest_to_any_depth(spark):
+    deep = "select " + "f(" * 40 + "x" + ")" * 40
+    queries = ["select sum(round(x, 1)) from t", "select count(distinct lower(trim(x))) from t", deep, "select 1"]
+    reply = "plan (a\n" + "\n".join(f'  @sql_execution(query="{q}")' for q in queries) + '\ntext @sql_draft(query="no")\n@add_schema(table="t",\n column="u")\n@sql_draft(query="open(\n@stop()'
+    rows = spark.createDataFrame([(0, reply), (1, None), (2, "")], "id int, r string").select("id", X.tool_calls(F.col("r")).alias("c")).orderBy("id").collect()
+    assert [(c.tool, c.query) for c in rows[0].c] == [*(("sql_execution", q) for q in queries), ("add_schema", ""), ("stop", "")]
+    assert (rows[0].c[4].table, rows[0].c[4].column) == ("t", "u")
+    assert rows[1].c is None and rows[2].c == []
