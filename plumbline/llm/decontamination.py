@@ -3,7 +3,8 @@
 A passage within e edits of an item of m bytes shares at least m + 1 - q (e + 1) of its q-grams, on diagonals that lie
 within e of each other. Documents are scanned for q-grams of the benchmark; hits are counted in diagonal bands of e + 1,
 two neighbours together, so that any such passage falls into one; regions that meet the bound are verified by banded
-alignment of the whole item. Texts are compared in lower case with runs of white space as one blank.
+alignment of the whole item. q is 8, but smaller for short items whose bound would be 0: the largest that gives 1, which
+is m // (e + 1); each q has an index of its own. Texts are compared in lower case with runs of white space as one blank.
 
 The benchmark is sent to the executors in blocks of at most BLOCK_BYTES; each block is one scan of the documents.
 """
@@ -27,8 +28,13 @@ def normal(text: str) -> bytes:
     return " ".join(text.lower().split()).encode("utf-8", "replace")
 
 
-def q_grams(data: np.ndarray) -> np.ndarray:
-    """Every 8 bytes of `data` as one number."""
+def q_grams(data: np.ndarray, q=Q) -> np.ndarray:
+    """Every q bytes of `data` as one number."""
+    if q < Q:
+        out = np.zeros(max(0, len(data) - q + 1), np.uint64)
+        for k in range(q):
+            out = (out << np.uint64(8)) | data[k : k + len(out)]
+        return out
     out, step = data.astype(np.uint64), 1
     while step < Q:
         out = (out[:-step] << np.uint64(8 * step)) | out[step:]
@@ -43,13 +49,14 @@ def slot(grams: np.ndarray) -> np.ndarray:
 class Index:
     """Q-grams of a block of items, with where they stand."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float):
+    def __init__(self, items: list[tuple[int, bytes]], rate: float, q=Q):
+        self.q = q
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.floor(self.sizes * rate).astype(np.int64)
-        self.least = np.maximum(1, self.sizes + 1 - Q * (self.edits + 1))
-        grams = [q_grams(np.frombuffer(t, np.uint8)) for t in self.texts]
+        self.least = np.maximum(1, self.sizes + 1 - q * (self.edits + 1))
+        grams = [q_grams(np.frombuffer(t, np.uint8), q) for t in self.texts]
         flat = np.concatenate(grams)
         order = np.argsort(flat, kind="stable")
         self.item = np.repeat(np.arange(len(items)), [len(g) for g in grams])[order]
@@ -61,8 +68,8 @@ class Index:
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in `data` with a q-gram of the block, and which one it is."""
         places, which = [], []
-        for begin in range(0, max(0, len(data) - Q + 1), BUFFER):
-            grams = q_grams(data[begin : begin + BUFFER + Q - 1])
+        for begin in range(0, max(0, len(data) - self.q + 1), BUFFER):
+            grams = q_grams(data[begin : begin + BUFFER + self.q - 1], self.q)
             near = np.flatnonzero(self.seen[slot(grams)])
             found = np.minimum(np.searchsorted(self.grams, grams[near]), len(self.grams) - 1)
             same = self.grams[found] == grams[near]
@@ -71,6 +78,14 @@ class Index:
         return (np.concatenate(places), np.concatenate(which)) if places else (np.zeros(0, int), np.zeros(0, int))
 
 
+def indexes(items: list[tuple[int, bytes]], rate: float) -> list[Index]:
+    """An index for each q that items need: a passage within their edits shares at least one of their q-grams."""
+    by_q = {}
+    for i, text in items:
+        by_q.setdefault(max(1, min(Q, len(text) // (math.floor(len(text) * rate) + 1))), []).append((i, text))
+    return [Index(some, rate, q) for q, some in by_q.items()]
+
+
 def align(item: bytes, text: bytes, band: int, most: int):
     """(distance, start, end) of the passage of `text` nearest to `item` that starts in its first `band` bytes, if within `most` edits."""
     at = text.find(item)
@@ -158,12 +173,13 @@ def contaminated(df: DataFrame, benchmark: DataFrame, rate=0.1, id_col="doc_id",
         sent = spark.sparkContext.broadcast(rows)  # about BLOCK_BYTES
 
         def run(batches):
-            index = Index(sent.value, rate)
+            made = indexes(sent.value, rate)
             for batch in batches:
                 out, held, size = [], [], 0
 
                 def flush():
-                    for d, i, distance, start, end in scan([t for _, t, *_ in held], index):
+                    bodies = [t for _, t, *_ in held]
+                    for d, i, distance, start, end in (row for index in made for row in scan(bodies, index)):
                         out.append((held[d][0], i, distance, start, end, *held[d][2:]))
 
                 for doc_id, text, *key in zip(*(c.to_pylist() for c in batch.columns)):

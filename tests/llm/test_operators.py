@@ -500,3 +500,22 @@ def test_empty_tables(spark, nothing):
                  substring_dedup(nothing), pack(nothing, public_tokenizers.path("word_bpe_49k.json")), quality_rules(nothing)):
         assert made.count() == 0
     assert contaminated(frame(spark, awkward_rows()), bench.limit(0)).count() == 0
+
+
+def test_decontamination_of_short_items(spark):
+    from plumbline.llm.decontamination import contaminated
+
+    rng = random.Random(8)
+    items, docs = [], []
+    for i, size in enumerate([8, 9, 10, 12, 15, 19, 20, 23, 29, 30, 31, 39, 40, 55]):
+        item = "".join(rng.choice("abcdefghijklmnop") for _ in range(size))
+        items.append((i, item))
+        for n in range(size // 10 + 2):  # so many substitutions, evenly spread, the last one too many
+            text = list(item)
+            for k in range(n):
+                text[(k + 1) * size // (n + 1)] = "#"
+            docs.append((100 * i + n, f"zz {''.join(text)} yy"))
+    want = sorted((d, i, edits(x.encode(), t.encode())) for d, t in docs for i, x in items if edits(x.encode(), t.encode()) <= len(x) // 10)
+    assert len(want) == sum(len(x) // 10 + 1 for _, x in items)
+    out = contaminated(frame(spark, docs), frame(spark, items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in out.collect()) == want
