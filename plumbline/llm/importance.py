@@ -9,8 +9,8 @@ decides about speed only; bucket totals are exact. A document's weight is the me
 import math
 import uuid
 import zlib
-from collections import Counter
-from itertools import repeat
+from collections import Counter, defaultdict
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,9 @@ from plumbline.llm.common import arrow_schema, batch_of, durable, text_of
 
 #: A-Z in lower case; all ASCII but digits and letters ends a word.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-#: Head words and pairs, the longest head word in bytes, candidates that a task keeps while it counts.
-WORDS, PAIRS, LONGEST, KEPT = 1 << 15, 1 << 16, 32, 1 << 18
+#: Head words and pairs, the longest head word in bytes, candidates that a task keeps while it counts, and the share
+#: (1 in so many) of all counts that a candidate has.
+WORDS, PAIRS, LONGEST, KEPT, SHARE = 1 << 15, 1 << 16, 32, 1 << 18, 1 << 18
 #: Bytes of text whose features are looked up together, and pieces that longer texts are cut into.
 GROUP = 1 << 20
 
@@ -60,38 +61,55 @@ def groups(texts):
 # ---- the head
 
 
-class Frequent(Counter):
-    """Counts that keep about `most` keys: when there are twice as many, the rarer half goes."""
-
-    def __init__(self, most):
-        super().__init__()
-        self.most = most
-
-    def add(self, keys):
-        self.update(keys)
-        if len(self) > 2 * self.most:
-            kept = self.most_common(self.most)
-            self.clear()
-            dict.update(self, kept)
+def repeated(held):
+    """(words, pairs) that occur twice or more in a group of pieces, with their counts."""
+    numbers = defaultdict(count().__next__)
+    words = [w for _, ws, _ in held for w in ws]
+    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    names, ends = list(numbers), np.cumsum([len(ws) for _, ws, _ in held])
+    own = np.ones(len(words), bool)
+    own[np.concatenate([[0], ends[:-1]])[[led for _, _, led in held]]] = False
+    inner = np.ones(len(words), bool)
+    inner[ends - 1] = False
+    often = np.bincount(ids[own], minlength=len(names))
+    pairs, times = np.unique(ids[:-1][inner[:-1]] * len(names) + ids[1:][inner[:-1]], return_counts=True)
+    pairs, times = pairs[times > 1], times[times > 1]
+    firsts, seconds = np.divmod(pairs, max(len(names), 1))
+    ones = {names[i]: n for i, n in zip(np.flatnonzero(often > 1).tolist(), often[often > 1].tolist())}
+    return ones, {names[i] + b" " + names[j]: n for i, j, n in zip(firsts.tolist(), seconds.tolist(), times.tolist())}
 
 
 def head(texts: DataFrame) -> tuple[list[bytes], list[bytes]]:
-    """The most frequent words, and the most frequent pairs of them (joined by a space): WORDS and PAIRS of them at most."""
+    """The most frequent words, and the most frequent pairs of them (joined by a space): WORDS and PAIRS of them at most.
+
+    A task counts what recurs within its groups of texts and forgets the rarer half of more than 2 KEPT. Candidates hold
+    at least 1 in SHARE of all that was counted, so there are at most SHARE of them at the driver.
+    """
     schema = arrow_schema("size int,feature binary,n long")
 
     def run(batches):
-        seen = Frequent(KEPT), Frequent(KEPT)
+        seen = Counter(), Counter()
         for batch in batches:
             for held in groups(batch.column(1).to_pylist()):
-                for _, words, led in held:
-                    seen[0].add(words[led:])
-                    seen[1].add(zip(words, words[1:]))
-        rows = [(1, w, n) for w, n in seen[0].most_common(2 * WORDS) if len(w) <= LONGEST]
-        rows += [(2, b" ".join(p), n) for p, n in seen[1].most_common(2 * PAIRS) if n > 1 and len(p[0]) <= LONGEST and len(p[1]) <= LONGEST]
+                for kept, found in zip(seen, repeated(held)):
+                    kept.update(found)
+                    if len(kept) > 2 * KEPT:
+                        some = kept.most_common(KEPT)
+                        kept.clear()
+                        kept.update(dict(some))
+        rows = []
+        for size, kept in enumerate(seen, 1):
+            least = kept.total() // SHARE
+            rows += [(size, f, n) for f, n in kept.items() if n >= least and max(map(len, f.split(b" "))) <= LONGEST]
         yield from batch_of(schema, rows).to_batches()
 
     counted = durable(texts.mapInArrow(run, "size int,feature binary,n long").groupBy("size", "feature").agg(F.sum("n").alias("n")))
-    top = lambda size, most: [bytes(r.feature) for r in counted.filter(F.col("size") == size).orderBy(F.desc("n"), "feature").limit(most).select("feature").collect()]
+    total = {r[0]: r[1] for r in counted.groupBy("size").agg(F.sum("n")).collect()}
+
+    def top(size, most):
+        found = counted.filter((F.col("size") == size) & (F.col("n") * SHARE >= total.get(size, 0))).select("n", "feature").collect()
+        return [bytes(f) for _, f in sorted(found, key=lambda r: (-r[0], bytes(r[1])))[:most]]
+
     return top(1, WORDS), top(2, PAIRS)
 
 
