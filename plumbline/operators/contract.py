@@ -1,13 +1,15 @@
 """Contract checks: is a candidate plan justified by the governed catalog?
 
-Metric-side evidence is joined and aggregated over catalogs of any size. Request-side rules of a bounded
-catalog become column expressions, so deciding a request is one broadcast join and a projection.
+Metric-side evidence is joined and aggregated over catalogs of any size. What a request's dimensions amount to comes
+from `dimensions`: as column expressions for a small catalog, so that deciding a request is one broadcast join and a
+projection, and through joins for a catalog of any size.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators import filters as P, scale
+from plumbline.operators import dimensions as D, filters as P, scale
+from plumbline.operators.dimensions import gather
 from plumbline.sources.catalog import Catalog
 
 # The check families in the order failures are reported.
@@ -53,40 +55,27 @@ def grouping_scope(q: Column) -> Column:
     return F.coalesce(words, F.lit(""))
 
 
-def dimension_aliases(d):
-    return [d["dimension_id"], d.get("name") or "", *(d.get("aliases") or [])]
-
-
 def with_scope(df: DataFrame, text="nl_query") -> DataFrame:
     """Add the normalised text `_q` and its grouping part `_scope`, each computed once."""
     scoped = df.withColumn("_q", X.normalize(F.col(text))).withColumn("_scope", grouping_scope(F.col("_q")))
     return scale.fenced(scoped, "_q", "_scope")
 
 
-def gather(cases, kind=STRINGS) -> Column:
-    """Array of the values whose condition holds, in order; stays in generated code."""
-    none = F.array().cast(kind)
-    arrays = [F.when(cond, F.array(value)).otherwise(none) for cond, value in cases]
-    return F.concat(*arrays) if arrays else none
+def detect_dimensions(scope: Column, catalog: Catalog, domain=None) -> Column:
+    """Dimensions of a small catalog named in a grouping part, by grain rank and id."""
+    return in_domain(D.found_inline(scope, catalog), domain)
 
 
-def detect_dimensions(scope: Column, catalog: Catalog, domain=None) -> Column:
-    """Dimensions named in a grouping part, by grain rank and id."""
-    found = []
-    for d in catalog.ranked_dimensions:
-        hit = X.contains_any_alias(scope, dimension_aliases(d))
-        if domain is not None and d.get("domain_id"):
-            hit = hit & (F.coalesce(domain, F.lit("")).isin("", d["domain_id"]))
-        found.append((hit, F.lit(d["dimension_id"])))
-    return gather(found)
+def in_domain(found: Column, domain=None) -> Column:
+    """Ids of the found dimensions of a domain, or of none; an empty domain sees all."""
+    if domain is not None:
+        found = F.filter(found, lambda d: (d["domain_id"] == "") | F.coalesce(domain, F.lit("")).isin("", d["domain_id"]))
+    return F.transform(found, lambda d: d["dimension_id"])
 
 
 def finest(requested: Column, catalog: Catalog) -> Column:
-    """Requested dimensions that are no ancestor of another one, in request order."""
-    shadowed = [
-        F.when(F.array_contains(requested, d), X.lit_list(up)).otherwise(no_strings()) for d, up in catalog.closure().items() if up
-    ]
-    return F.array_except(requested, F.concat(*shadowed)) if shadowed else F.array_distinct(requested)
+    """Requested dimensions of a small catalog that are no ancestor of another one, in request order."""
+    return D.set_inline(requested, catalog)["_resolved"]
 
 
 def detect_time(q: Column, profile) -> Column:
@@ -239,7 +228,7 @@ def metric_contract(metrics: DataFrame, edges: DataFrame, bindings=None, coverag
         F.struct(
             F.lit(True).alias("known"), "answerable", or_empty("allowed_dimensions").alias("allowed"), metric_fields(stop).alias("fields"),
             F.coalesce("temporal_anchor_required", F.lit(False)).alias("temporal"), F.coalesce("domain_id", F.lit("")).alias("domain"),
-            F.struct(F.lit(True).alias("active"), caliber_passed().alias("passed"), "ratio_like", "found_numerator", "found_denominator", "route_source").alias("caliber"),
+            F.struct(F.lit(True).alias("active"), caliber_passed().alias("passed"), "ratio_like", "found_numerator", "found_denominator", "required_numerator", "required_denominator", "route_source").alias("caliber"),
             F.struct(*COVERAGE).alias("coverage"),
         ).alias("contract"),
     )
@@ -258,68 +247,53 @@ def contract_of(spark, catalog: Catalog) -> DataFrame:
 # --- decisions ----------------------------------------------------------------------------------
 
 
-def dimension_fields(catalog: Catalog) -> dict:
-    """dimension -> identifiers its expression reads."""
-    import re
-
-    stop = set(X.SQL_WORDS + catalog.extra_sql_words)
-    words = {}
-    for d in catalog.dimensions:
-        bare = re.sub(r"'[^']*'|\"[^\"]*\"", " ", d.get("sql") or "")
-        words[d["dimension_id"]] = sorted({w.lower() for w in re.findall(r"[A-Za-z_]\w*", bare)} - stop)
-    return words
-
-
-def gather_all(chosen: Column, values: dict) -> Column:
-    """Values of the chosen keys, one after another."""
-    found = [F.when(F.array_contains(chosen, k), X.lit_list(v)).otherwise(no_strings()) for k, v in values.items() if v]
-    return F.concat(*found) if found else no_strings()
-
-
-def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog, disabled=(), columns_left="coverage_remove") -> DataFrame:
+def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog, disabled=(), columns_left="coverage_remove", form="auto", keep=()) -> DataFrame:
     """Add `decision`: a witness or a typed refusal for each (nl_query, metric_id) row.
 
-    Optional request columns: `requested` replaces the detected dimensions, `time_binding` the detected
-    anchor, and `coverage_remove` lists schema columns to take away for that request.
+    Optional request columns: `requested` replaces the detected dimensions, `time_binding` the detected anchor,
+    `coverage_remove` lists schema columns to take away for that request, `coverage_override` the columns that cover it
+    (null: as released), `candidate_metrics` goes into the trace. `form` as in `dimensions`; `keep` adds columns of what
+    was joined ("_known", "_allowed", "_unknown", "_above").
     """
     has = set(requests.columns)
     by_schema = bool(catalog.schema_columns)
     have = X.lit_list([s.lower() for s in catalog.schema_columns])
-    if by_schema:
-        # what a metric misses does not depend on the request
-        contract = contract.withColumn("_lacks", F.array_except("contract.fields", have))
     j = with_scope(requests.join(contract, "metric_id", "left"))
     c = lambda name: F.col(f"contract.{name}")
-    known = F.coalesce(c("known"), F.lit(False))
-    detected = detect_dimensions(F.col("_scope"), catalog, c("domain"))
+    j = j.select("*", F.coalesce(c("known"), F.lit(False)).alias("_known"), or_empty(c("allowed")).alias("_allowed"))
+    known, allowed = F.col("_known"), F.col("_allowed")
+    j = D.with_found(j, "_scope", catalog, form)
+    detected = in_domain(F.col("_found"), c("domain"))
     given = "requested" in has
-    j = j.select("*", F.coalesce(F.col("requested"), detected).alias("_requested") if given else detected.alias("_requested"))
+    j = j.select("*", (F.coalesce(F.col("requested"), detected) if given else detected).alias("_requested"))
     q, requested = F.col("_q"), F.col("_requested")
     anchor = detect_time(q, catalog.profile)
-    j = j.select("*", finest(requested, catalog).alias("_resolved"), (F.coalesce(F.col("time_binding"), anchor) if "time_binding" in has else anchor).alias("_time"))
+    j = D.with_sets(j, "_requested", catalog, form)
+    j = j.select("*", (F.coalesce(F.col("time_binding"), anchor) if "time_binding" in has else anchor).alias("_time"))
     resolved, bound = F.col("_resolved"), F.col("_time")
 
-    # detected dimensions are known ones
-    unknown = F.array_except(requested, X.lit_list([d["dimension_id"] for d in catalog.dimensions])) if given else no_strings()
-    allowed = or_empty(c("allowed"))
     barred = F.when(F.size(allowed) == 0, no_strings()).otherwise(F.array_except(resolved, allowed))
-    fields = dimension_fields(catalog)
+    required = set_of(F.array_union(or_empty(c("fields")), F.col("_dim_fields")))
     if by_schema:
-        required = set_of(F.array_union(or_empty(c("fields")), gather_all(resolved, fields)))
-        if columns_left in has:
-            gone = F.array_except(required, F.array_except(have, or_empty(columns_left)))
-        else:
-            lacking = {d: [w for w in words if w not in catalog.schema_columns] for d, words in fields.items()}
-            gone = F.array_union(or_empty("_lacks"), gather_all(resolved, lacking))
+        left = F.array_except(have, or_empty(columns_left)) if columns_left in has else have
+        gone = F.array_except(F.array_union(or_empty(c("fields")), F.col("_dim_fields")), left)
     else:
         gone = no_strings()
-    j = j.select("*", unknown.alias("_unknown"), barred.alias("_barred"), gone.alias("_gone"))
+    # detected dimensions are known ones
+    j = j.select("*", (F.col("_unknown") if given else no_strings()).alias("_strange"), barred.alias("_barred"), gone.alias("_gone"))
+    e = lambda name, d: F.coalesce(c(f"coverage.{name}"), d)
     if by_schema:
-        covered = [F.lit(True), F.size("_gone") == 0, F.lit("physical_schema_columns").alias("mode"), required.alias("required"), F.sort_array("_gone").alias("missing")]
+        covered = [F.lit(True), F.size("_gone") == 0, F.lit("physical_schema_columns"), required, F.sort_array("_gone"), no_strings(), no_strings()]
     else:
-        e = lambda name, d: F.coalesce(c(f"coverage.{name}"), d)
-        covered = [e("active", F.lit(False)), e("passed", F.lit(True)), e("mode", F.lit("not_required_by_metric_contract")).alias("mode"),
-                   e("required", no_strings()).alias("required"), e("missing", no_strings()).alias("missing")]
+        mode = e("mode", F.lit("not_required_by_metric_contract"))
+        needs = F.when(mode == "not_available_in_released_contract", required).otherwise(e("required", no_strings()))
+        covered = [e("active", F.lit(False)), e("passed", F.lit(True)), mode, needs, e("missing", no_strings()), e("missing_bindings", no_strings()), e("missing_physical_assets", no_strings())]
+    if "coverage_override" in has:
+        over = F.transform("coverage_override", lambda x: F.lower(x))
+        lost, on = F.array_except(required, over), F.col("coverage_override").isNotNull()
+        forced = [F.lit(True), F.size(lost) == 0, F.lit("explicit_override"), required, lost, no_strings(), no_strings()]
+        covered = [F.when(on, f).otherwise(x) for f, x in zip(forced, covered)]
+    covered = covered[:2] + [x.alias(n) for x, n in zip(covered[2:], ["mode", "required", "missing", "missing_bindings", "missing_physical_assets"])]
     available = sorted(catalog.profile.get("available_time_anchors") or [])
     temporal = F.coalesce(c("temporal"), F.lit(False))
     in_window = (bound == "") | bound.isin(*available) if available else F.lit(True)
@@ -328,11 +302,12 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
     for cond, _ in cases:
         any_hit = any_hit | cond
     hits = F.array_distinct(gather(cases, "array<struct<policy_id:string,trigger:string>>"))
-    no_unknown = F.size("_unknown") == 0
+    no_unknown = F.size("_strange") == 0
     checks = {
-        "field": [F.lit(True), known & no_unknown, F.sort_array(F.array_distinct("_unknown")).alias("unknown_dimensions")],
+        "field": [F.lit(True), known & no_unknown, F.col("metric_id"), F.sort_array(F.array_distinct("_strange")).alias("unknown_dimensions")],
         "caliber": [F.lit(True), F.coalesce(c("caliber.passed"), F.lit(True)), F.coalesce(c("caliber.ratio_like"), F.lit(False)).alias("ratio_like"),
-                    or_empty(c("caliber.found_numerator")).alias("numerator"), or_empty(c("caliber.found_denominator")).alias("denominator"),
+                    F.col("metric_id"), or_empty(c("caliber.found_numerator")).alias("numerator"), or_empty(c("caliber.found_denominator")).alias("denominator"),
+                    or_empty(c("caliber.required_numerator")).alias("required_numerator"), or_empty(c("caliber.required_denominator")).alias("required_denominator"),
                     F.coalesce(c("caliber.route_source"), F.lit("not_required")).alias("route_source")],
         "grain": [F.lit(True), no_unknown & (F.size("_barred") == 0), requested.alias("requested"), resolved.alias("resolved_finest"),
                   set_of(F.array_except(requested, resolved)).alias("removed_ancestors"), F.sort_array("_barred").alias("disallowed")],
@@ -346,7 +321,7 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
     # the list of failures is fenced; the details around it are only computed when somebody reads them
     j = scale.fenced(j.select("*", gather(failing).alias("_failed")), "_failed")
     off = lambda f: F.array_contains("_failed", f)
-    detail = F.struct(*[F.struct(active.alias("active"), (~off(f) if f not in disabled else F.lit(True)).alias("passed"), *more).alias(f) for f, (active, _, *more) in checks.items()])
+    detail = F.struct(*[F.struct(active.alias("active"), (~off(f) if f not in disabled else F.lit(True)).alias("passed"), F.lit(f in disabled).alias("disabled_for_ablation"), *more).alias(f) for f, (active, _, *more) in checks.items()])
     ok = F.size("_failed") == 0
     primary = F.get("_failed", F.lit(0))
     certificate = F.when(~ok, F.struct(
@@ -356,14 +331,17 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
         F.when(ok, F.col("metric_id")).otherwise("").alias("pred_metric_id"),
         F.when(ok, resolved).otherwise(no_strings()).alias("pred_dimensions"),
         F.when(ok, "witness_satisfied").otherwise(F.concat(F.lit("constraint_failure:"), primary)).alias("reason"),
-        F.struct(detail.alias("checks"), certificate.alias("certificate"), F.lit(False).alias("used_gold_label")).alias("trace"),
+        F.struct(
+            (or_empty("candidate_metrics") if "candidate_metrics" in has else no_strings()).alias("candidate_metrics"),
+            detail.alias("checks"), certificate.alias("certificate"), F.lit(False).alias("used_gold_label"),
+        ).alias("trace"),
     )
-    return j.select(*requests.columns, decision.alias("decision"))
+    return j.select(*requests.columns, *keep, decision.alias("decision"))
 
 
-def compile_candidates(candidates: DataFrame, contract: DataFrame, catalog: Catalog, key, rank="rank") -> DataFrame:
+def compile_candidates(candidates: DataFrame, contract: DataFrame, catalog: Catalog, key, rank="rank", form="auto") -> DataFrame:
     """Compile every linked candidate of a request and keep the best-ranked one that passes, else the refusal of the first."""
-    d = compile_requests(candidates, contract, catalog)
+    d = compile_requests(candidates, contract, catalog, form=form)
     order = F.struct((F.col("decision.action") != "answer").alias("refused"), F.col(rank).alias("rank"))
     best = d.groupBy(key).agg(F.min_by(F.struct("metric_id", rank, "decision"), order).alias("b"))
     return best.select(key, "b.*")
@@ -372,36 +350,31 @@ def compile_candidates(candidates: DataFrame, contract: DataFrame, catalog: Cata
 # --- validation of given plans ------------------------------------------------------------------
 
 
-def validate_plans(plans: DataFrame, contract: DataFrame, catalog: Catalog, triggers, unanswerable) -> DataFrame:
+def validate_plans(plans: DataFrame, contract: DataFrame, catalog: Catalog, triggers, unanswerable, form="auto") -> DataFrame:
     """Typed violations of each plan (action, pred_metric_id, pred_dimensions, parse_status, nl_query), in rule order.
 
     Released triggers keep their blanks here, unlike in compile_requests.
     """
-    dims = [d["dimension_id"] for d in catalog.dimensions]
-    j = compile_requests(
-        plans.withColumn("metric_id", F.col("pred_metric_id")).withColumn("requested", F.col("pred_dimensions")), contract, catalog
-    ).join(contract.select(F.col("metric_id"), F.col("contract.known").alias("_known"), F.col("contract.allowed").alias("_allowed")), "metric_id", "left")
+    asked = plans.withColumn("metric_id", F.col("pred_metric_id")).withColumn("requested", F.col("pred_dimensions"))
+    j = compile_requests(asked, contract, catalog, form=form, keep=("_known", "_allowed", "_unknown", "_above"))
     hits = P.substring_hits(F.lower(F.trim("nl_query")), triggers)
     broken = F.col("parse_status").isin("parse_error", "api_error", "missing")
     refused = F.col("action") == "refuse"
     metric, chosen = F.col("pred_metric_id"), F.col("pred_dimensions")
-    known = F.coalesce("_known", F.lit(False))
+    known, allowed = F.col("_known"), F.col("_allowed")
     row = lambda kind, detail: F.struct(F.lit(kind).alias("type"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"))
     one = lambda cond, kind, detail: F.when(cond, F.array(row(kind, detail)))
     each = lambda values, kind: F.transform(values, lambda v: row(kind, v))
-    in_catalog = F.filter(chosen, lambda d: d.isin(*dims))
-    barred = F.when(known & (F.size(or_empty("_allowed")) > 0), F.array_except(in_catalog, "_allowed")).otherwise(no_strings())
-    closure = catalog.closure()
-    clashes = F.flatten(F.array_compact(F.array(*[
-        F.when(F.array_contains(chosen, d), F.transform(F.array_intersect(F.sort_array(X.lit_list(up)), chosen), lambda a: row("finest_grain_violation", F.concat(a, F.lit(">"), F.lit(d)))))
-        for d, up in sorted(closure.items()) if up
-    ])))
+    strange = lambda d: F.array_contains("_unknown", d)
+    barred = F.when(known & (F.size(allowed) > 0), F.array_except(F.filter(chosen, lambda d: ~strange(d)), allowed)).otherwise(no_strings())
+    clashes = F.flatten(F.transform(F.sort_array("_above"), lambda x: F.transform(
+        F.array_intersect(F.sort_array(x["up"]), chosen), lambda a: row("finest_grain_violation", F.concat(a, F.lit(">"), x["d"])))))
     failing = lambda f: F.col(f"decision.trace.checks.{f}.active") & ~F.col(f"decision.trace.checks.{f}.passed")
     answer = [
         F.when(metric == "", F.array(row("answer_without_metric", "")))
         .when(~known & (metric != "__parse_error__"), F.array(row("metric_not_in_catalog", metric)))
         .when(metric.isin(*unanswerable) if unanswerable else F.lit(False), F.array(row("unanswerable_metric", metric))),
-        each(F.filter(chosen, lambda d: ~d.isin(*dims)), "dimension_not_in_catalog"),
+        each(F.filter(chosen, strange), "dimension_not_in_catalog"),
         each(barred, "dimension_not_allowed"),
         clashes,
         one(F.size(hits) > 0, "missed_refusal", F.array_join(F.sort_array(F.array_distinct(F.transform(hits, lambda h: h["trigger"]))), ",")),
@@ -425,17 +398,17 @@ def feedback_text(plan: Column, violations: Column, rules: dict) -> Column:
     return F.when(F.size(violations) > 0, F.concat(F.lit("Plan: "), plan, F.lit("\n"), F.array_join(items, "\n"))).otherwise("")
 
 
-def conformance(plans: DataFrame, contract: DataFrame, catalog: Catalog, keys=()) -> DataFrame:
+def conformance(plans: DataFrame, contract: DataFrame, catalog: Catalog, keys=(), form="auto") -> DataFrame:
     """Rates of four violation kinds over answered plans."""
-    dims = X.lit_list([d["dimension_id"] for d in catalog.dimensions])
     a = plans.filter((F.col("action") != "refuse") & (F.col("pred_metric_id") != "")).join(
         contract.select(F.col("metric_id").alias("pred_metric_id"), F.col("contract.allowed").alias("_allowed")), "pred_metric_id", "left")
+    a = D.with_sets(a, "pred_dimensions", catalog, form)
     chosen = F.col("pred_dimensions")
-    known = F.array_intersect(chosen, dims)
-    clash = F.size(finest(chosen, catalog)) < F.size(F.array_distinct(chosen))
+    known = F.array_except(chosen, "_unknown")
+    clash = F.size("_resolved") < F.size(F.array_distinct(chosen))
     flags = {
         "metric_not_in_catalog": F.col("_allowed").isNull(),
-        "dimension_not_in_catalog": F.size(F.array_except(chosen, dims)) > 0,
+        "dimension_not_in_catalog": F.size("_unknown") > 0,
         "dimension_not_allowed": F.col("_allowed").isNotNull() & (F.size(F.array_except(known, F.coalesce("_allowed", known))) > 0),
         "finest_grain_violation": clash,
     }
@@ -447,10 +420,10 @@ def conformance(plans: DataFrame, contract: DataFrame, catalog: Catalog, keys=()
     return a.groupBy(*keys).agg(*out)
 
 
-def posthoc_baselines(plans: DataFrame, catalog: Catalog, refusal: Column) -> DataFrame:
+def posthoc_baselines(plans: DataFrame, catalog: Catalog, refusal: Column, form="auto") -> DataFrame:
     """Two derived modes per plan: refuse on policy; additionally refuse on a hierarchy conflict."""
-    conflict = F.size(finest(F.col("pred_dimensions"), catalog)) < F.size(F.array_distinct("pred_dimensions"))
-    e = plans.withColumnRenamed("mode", "source_mode").withColumn("mode", F.explode(X.lit_list(["semantic_layer_validator", "posthoc_answerability_validator"])))
+    conflict = F.size("_resolved") < F.size(F.array_distinct("pred_dimensions"))
+    e = D.with_sets(plans, "pred_dimensions", catalog, form).withColumnRenamed("mode", "source_mode").withColumn("mode", F.explode(X.lit_list(["semantic_layer_validator", "posthoc_answerability_validator"])))
     blocked = F.when(refusal, F.concat("mode", F.lit("_policy_refusal"))).when(
         (F.col("mode") == "posthoc_answerability_validator") & conflict, F.lit("posthoc_hierarchy_conflict_no_replan"))
     e = e.withColumn("_blocked", blocked)

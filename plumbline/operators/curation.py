@@ -106,9 +106,9 @@ def paraphrase_gate(text: Column, anchors: Column, fallback: Column) -> Column:
 
 def safe_dimensions(dimensions) -> list:
     """Dimensions whose first alias does not contain a phrase of another one as whole words; the list is bounded."""
-    from plumbline.operators.contract import dimension_aliases
+    from plumbline.operators.dimensions import aliases
 
-    rx = {d["dimension_id"]: X.alias_pattern(dimension_aliases(d)) for d in dimensions}
+    rx = {d["dimension_id"]: X.alias_pattern(aliases(d)) for d in dimensions}
     return [d["dimension_id"] for d in dimensions if not any(re.search(p, d["aliases"][0].lower()) for e, p in rx.items() if e != d["dimension_id"])]
 
 

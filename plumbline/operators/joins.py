@@ -17,16 +17,19 @@ def same_keys(a: DataFrame, b: DataFrame, key) -> DataFrame:
 def alias_join(texts: DataFrame, key, text, aliases: DataFrame, alias="alias") -> DataFrame:
     """Alias rows that occur in a text, for alias tables of any size.
 
-    A plain alias meets texts that have its first word, any other alias texts that have its first
-    unusual character; the boundary rule is checked on what meets.
+    An alias meets the texts that have the one of its words (of its unusual characters, if it has any) that the fewest
+    aliases share; the boundary rule is checked on what meets. Words that many aliases share thus bring none of them up
+    that have a rarer one.
     """
     plain = F.col(alias).rlike("^[a-z0-9_ ]+$")
-    keyed = aliases.filter(F.col(alias) != "").withColumn(
-        "_key", F.when(plain, F.regexp_extract(alias, "^([a-z0-9_]+)", 1)).otherwise(F.regexp_extract(alias, "([^a-z0-9_ ])", 1)))
-    words = F.regexp_extract_all(text, F.lit("([a-z0-9_]+)"), F.lit(1))
-    odd = F.regexp_extract_all(text, F.lit("([^a-z0-9_ ])"), F.lit(1))
-    probe = texts.select(key, text, F.explode(F.array_distinct(F.concat(words, odd))).alias("_key"))
-    return probe.join(keyed, "_key").filter(X.contains_alias(F.col(text), F.col(alias))).drop("_key", text)
+    words = lambda c: F.regexp_extract_all(c, F.lit("([a-z0-9_]+)"), F.lit(1))
+    odd = lambda c: F.regexp_extract_all(c, F.lit("([^a-z0-9_ ])"), F.lit(1))
+    parts = aliases.select(alias).filter(F.col(alias) != "").distinct().select(alias, F.explode(F.array_distinct(F.when(plain, words(alias)).otherwise(odd(alias)))).alias("_key"))
+    shared = parts.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = parts.join(shared, "_key").groupBy(alias).agg(F.min(F.struct("_n", "_key"))["_key"].alias("_key"))
+    probe = texts.select(key, text, F.explode(F.array_distinct(F.concat(words(text), odd(text)))).alias("_key"))
+    met = probe.join(keyed, "_key").filter(X.contains_alias(F.col(text), F.col(alias))).select(key, alias)
+    return met.join(aliases, alias).select(key, *aliases.columns)
 
 
 def not_allowed(requested: DataFrame, allowed: DataFrame, metric="metric_id", dim="dim") -> DataFrame:

@@ -191,11 +191,11 @@ def _(t):
     return h.select("request_id", "h.policy_id", F.col("h.trigger").alias("trig"))
 
 
-def outcome(d):
+def outcome(d, *more):
     cert = "decision.trace.certificate"
     return d.select("request_id", F.col("decision.action").alias("action"), F.col("decision.pred_metric_id").alias("pred_metric_id"), J("decision.pred_dimensions").alias("dims"),
                     F.col("decision.reason").alias("reason"), F.coalesce(J(f"{cert}.failed_constraints", ","), F.lit("")).alias("failed"),
-                    F.coalesce(f"{cert}.repairable", F.lit(False)).alias("repairable"))
+                    F.coalesce(f"{cert}.repairable", F.lit(False)).alias("repairable"), *more)
 
 
 def sql_outcome(failed):

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from plumbline.fixtures import values
 from plumbline.functions import text as X
-from plumbline.operators import contract as C, joins as JN, metrics as M, scale
+from plumbline.operators import joins as JN, metrics as M, scale
+from plumbline.operators.dimensions import aliases as dimension_aliases
 from plumbline.plans.governed import DIMENSIONS
 from plumbline.queries import query
 from plumbline.queries.ct import ALIASES, CAT, DEC, METRIC_V, NODES, part_metrics
@@ -31,7 +32,7 @@ def _(t):
 @query("jn_alias_theta", f"""SELECT DISTINCT request_id, dim FROM (SELECT request_id, trim(regexp_replace(lower(nl_query), '\\s+', ' ', 'g')) AS q FROM @requests r0) r
  JOIN ({ALIASES}) a ON CASE WHEN regexp_full_match(alias, '[a-z0-9_ ]+') THEN regexp_matches(q, '(^|[^a-z0-9_])' || alias || '([^a-z0-9_]|$)') ELSE contains(q, alias) END""")
 def _(t):
-    rows = [{"dim": d["dimension_id"], "alias": " ".join(a.lower().split())} for d in DIMENSIONS for a in C.dimension_aliases(d)]
+    rows = [{"dim": d["dimension_id"], "alias": " ".join(a.lower().split())} for d in DIMENSIONS for a in dimension_aliases(d)]
     from pyspark.sql import types as T
     from plumbline.sources.catalog import rows_of
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-# Dimensions and aliases become expressions: above this many the join forms match them instead.
+# Dimensions of a catalog of up to this many become expressions, those of a larger one are joined (see operators.dimensions).
 MAX_INLINE = 512
 
 
@@ -79,8 +79,6 @@ class Catalog:
 
     @property
     def ranked_dimensions(self):
-        if len(self.dimensions) > MAX_INLINE:
-            raise ValueError(f"more than {MAX_INLINE} dimensions: use the join forms")
         return sorted(self.dimensions, key=lambda d: (d.get("grain_rank") or 0, d["dimension_id"]))
 
     def closure(self):
