@@ -1,51 +1,16 @@
-"""Comparison of result sets held as cells (instance, candidate, row_no, col, value)."""
+"""Comparison of result sets held as cells (instance, candidate, row_no, col, value).
+
+Columns with the same content are one class; a class is ranked and compared once, however many candidates hold it.
+Classes are equal when their numbers, sorted, differ by no more than a tolerance and all else is the same.
+"""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators import scale
+from plumbline.session import checkpointed
 
 CELL = ["instance", "candidate", "row_no", "col", "value"]
-
-
-def ranked_cells(cells: DataFrame, keys, ordered=False, width=100.0) -> DataFrame:
-    """Cells with the number `num` they hold, if any, and their rank in the column: by value, or by row when order counts.
-
-    Nulls rank last; a large column is ranked bucket by bucket.
-    """
-    c = cells.withColumn("num", F.col("value").try_cast("double"))
-    if ordered:
-        return scale.positions(c, ["row_no"], F.floor(F.col("row_no") / 65536), keys, "rank")
-    # texts by their first characters, then numbers by size, then nulls
-    kind = F.when(F.col("value").isNull(), 2).when(F.col("num").isNull(), 0).otherwise(1)
-    text_only = F.when(F.col("num").isNull(), F.col("value"))
-    flat = c.withColumn("_kind", kind).withColumn("_t", text_only)
-    bucket = F.struct(F.col("_kind"), F.substring("_t", 1, 2).alias("t"), F.floor(F.col("num") / width).alias("n"))
-    return scale.positions(flat, ["_kind", "_t", "num", "row_no"], bucket, keys, "rank").drop("_kind", "_t")
-
-
-def column_match(pred: DataFrame, gold: DataFrame, ordered=False, tol=1e-2) -> DataFrame:
-    """Per (instance, candidate): every gold column equals some predicted column within the tolerance; null equals null.
-
-    Columns are paired first by length and kind, so that only plausible pairs are compared row by row.
-    """
-    p = ranked_cells(pred, ["instance", "candidate", "col"], ordered)
-    g = ranked_cells(gold, ["instance", "col"], ordered)
-    sums = [F.count(F.lit(1)).alias("n"), F.count("value").alias("filled"), F.count("num").alias("nums"), F.sum("num").alias("s")]
-    ps = p.groupBy("instance", "candidate", "col").agg(*sums)
-    gs = g.groupBy("instance", F.col("col").alias("gcol")).agg(*[a.alias(f"g_{n}") for a, n in zip((F.count(F.lit(1)), F.count("value"), F.count("num"), F.sum("num")), ("n", "filled", "nums", "s"))])
-    # sums of equal columns differ by at most the tolerance per number, plus rounding
-    slack = F.col("n") * tol + F.abs("s") * 1e-9
-    near = (F.col("n") == F.col("g_n")) & (F.col("filled") == F.col("g_filled")) & (F.col("nums") == F.col("g_nums")) & (F.coalesce(F.abs(F.col("s") - F.col("g_s")) <= slack, F.lit(True)))
-    pairs = ps.join(gs, "instance").filter(near).select("instance", "candidate", "col", "gcol")
-    left = p.join(pairs, ["instance", "candidate", "col"]).select("instance", "candidate", "col", "gcol", "rank", "value", "num")
-    right = g.select("instance", F.col("col").alias("gcol"), "rank", F.col("value").alias("gv"), F.col("num").alias("gn"))
-    same = F.when(F.col("value").isNull() | F.col("gv").isNull(), F.col("value").isNull() & F.col("gv").isNull()).when(
-        F.col("num").isNotNull() & F.col("gn").isNotNull(), F.abs(F.col("num") - F.col("gn")) <= tol).otherwise(F.col("value") == F.col("gv"))
-    ok = left.join(right, ["instance", "gcol", "rank"]).groupBy("instance", "candidate", "gcol", "col").agg(F.bool_and(same).alias("ok")).filter("ok")
-    found = ok.groupBy("instance", "candidate").agg(F.count_distinct("gcol").alias("found"))
-    want = gold.groupBy("instance").agg(F.count_distinct("col").alias("want"))
-    every = pred.select("instance", "candidate").distinct()
-    return every.join(want, "instance").join(found, ["instance", "candidate"], "left").select("instance", "candidate", (F.coalesce("found", F.lit(0)) == F.col("want")).alias("match"))
+TOLERANCE = 1e-2
 
 
 def content(*cols) -> Column:
@@ -54,14 +19,76 @@ def content(*cols) -> Column:
     return F.concat_ws("/", F.count(F.lit(1)).cast("string"), h(1).cast("string"), h(2).cast("string"))
 
 
+def column_classes(cells: DataFrame, who: str, ordered=False, tol=TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """(instance, who, col, cls) of all columns, and the pairs (instance, cls, other) of equal classes, both ways, not reflexive.
+
+    Equal columns have means, least and greatest numbers within the tolerance: classes meet in buckets of means and their
+    neighbours, and what meets is compared rank by rank. Order counts only if `ordered`.
+    """
+    c = cells.select("instance", who, "row_no", "col", "value").withColumn("num", F.col("value").try_cast("double"))
+    at = []
+    if ordered:
+        c, at = scale.positions(c, ["row_no"], F.floor(F.col("row_no") / 65536), ["instance", who, "col"], "rank"), ["rank"]
+    text = F.when(F.col("num").isNull(), F.coalesce("value", F.lit("\u0000")))
+    # one row per column: what follows reads these, the cells only once more
+    sig = checkpointed(c.groupBy("instance", who, "col").agg(
+        content(F.coalesce("value", F.lit("\u0000")), *at).alias("cls"), content(F.coalesce(text, F.lit("\u0001")), *at).alias("texts"), F.count("num").alias("nums"),
+        F.avg("num").alias("mean"), F.min("num").alias("least"), F.max("num").alias("most")))
+    one = sig.groupBy("instance", "cls").agg(F.min(F.struct(who, "col")).alias("rep"), *[F.first(x).alias(x) for x in ("texts", "nums", "mean", "least", "most")]).filter("nums > 0")
+    bucket = F.floor(F.col("mean") / (2 * tol))
+    left = one.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    right = one.withColumn("_b", bucket).select("instance", "texts", "nums", "_b", F.col("cls").alias("other"), F.col("rep").alias("rep2"), F.col("least").alias("l2"), F.col("most").alias("m2"))
+    ends = (F.abs(F.col("least") - F.col("l2")) <= tol) & (F.abs(F.col("most") - F.col("m2")) <= tol)
+    pairs = left.join(right, ["instance", "texts", "nums", "_b"]).filter((F.col("cls") < F.col("other")) & ends).select("instance", "cls", "other", "nums", "rep", "rep2")
+    # numbers of the classes that met, by rank: from one column of each
+    side = lambda cls, rep: pairs.select("instance", F.col(cls).alias("cls"), F.col(f"{rep}.{who}").alias(who), F.col(f"{rep}.col").alias("col"))
+    met = side("cls", "rep").unionByName(side("other", "rep2")).distinct()
+    numbers = c.filter("num IS NOT NULL").join(met, ["instance", who, "col"]).select("instance", "cls", "num", *at)
+    if not ordered:
+        numbers = scale.positions(numbers, ["num"], F.floor(F.col("num") / 100.0), ["instance", "cls"], "rank")
+    a = pairs.select("instance", "cls", "other", "nums").join(numbers, ["instance", "cls"])
+    b = numbers.select("instance", F.col("cls").alias("other"), "rank", F.col("num").alias("num2"))
+    ok = a.join(b, ["instance", "other", "rank"]).groupBy("instance", "cls", "other").agg(F.bool_and(F.abs(F.col("num") - F.col("num2")) <= tol).alias("ok"), (F.count(F.lit(1)) == F.max("nums")).alias("all"))
+    equal = ok.filter("ok AND all").select("instance", F.explode(F.array(F.struct("cls", "other"), F.struct(F.col("other").alias("cls"), F.col("cls").alias("other")))).alias("x")).select("instance", "x.*")
+    return sig.select("instance", who, "col", "cls"), checkpointed(equal)
+
+
+def covered(wanted: DataFrame, offered: DataFrame, equal: DataFrame) -> DataFrame:
+    """(instance, w, o): every class of the result w equals some class of the result o; both sides have one row per class."""
+    alike = wanted.select("instance", "w", "cls", F.col("cls").alias("other")).unionByName(wanted.join(equal, ["instance", "cls"]).select("instance", "w", "cls", "other"))
+    met = alike.join(offered.select("instance", "o", F.col("cls").alias("other")), ["instance", "other"]).groupBy("instance", "w", "o").agg(F.count_distinct("cls").alias("n"))
+    want = wanted.groupBy("instance", "w").agg(F.count(F.lit(1)).alias("want"))
+    return met.join(want, ["instance", "w"]).filter("n = want").select("instance", "w", "o")
+
+
+def column_match(pred: DataFrame, gold: DataFrame, ordered=False, tol=TOLERANCE) -> DataFrame:
+    """Per (instance, candidate): every gold column equals some predicted column within the tolerance; null equals null."""
+    who = F.struct(F.lit(1).alias("side"), F.col("candidate").cast("long").alias("candidate"))
+    both = pred.select("instance", who.alias("who"), "row_no", "col", "value").unionByName(
+        gold.select("instance", F.struct(F.lit(0).alias("side"), F.lit(None).cast("long").alias("candidate")).alias("who"), "row_no", "col", "value"))
+    columns, equal = column_classes(both, "who", ordered, tol)
+    held = columns.select("instance", "who", "cls").distinct()
+    right = covered(held.filter("who.side = 0").withColumnRenamed("who", "w"), held.filter("who.side = 1").withColumnRenamed("who", "o"), equal)
+    sides = held.groupBy("instance").agg(F.bool_or(F.col("who.side") == 0).alias("asked"), F.collect_set(F.when(F.col("who.side") == 1, F.col("who.candidate"))).alias("c")).filter("asked")
+    every = sides.select("instance", F.explode("c").alias("candidate"))
+    found = right.select("instance", F.col("o.candidate").alias("candidate"), F.lit(True).alias("match"))
+    return every.join(found, ["instance", "candidate"], "left").select("instance", F.col("candidate").cast(pred.schema["candidate"].dataType).alias("candidate"), F.coalesce("match", F.lit(False)).alias("match"))
+
+
 def table_equal(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """Per (instance, candidate): same shape, columns align by name or else by content, and the rows are the same multiset."""
+    """Per (instance, candidate): same shape, columns align by name or else by content, and the rows are the same multiset.
+
+    Both sides are read together, once for the columns and once for the rows.
+    """
     text = F.coalesce(F.col("value"), F.lit("\u0000"))
-    shape = lambda df, keys: df.groupBy(*keys, "col").agg(content(text).alias("f"), F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(
+    kind = pred.schema["candidate"].dataType
+    both = pred.select("instance", F.lit(False).alias("gold"), "candidate", "row_no", "col", text.alias("v")).unionByName(
+        gold.select("instance", F.lit(True).alias("gold"), F.lit(None).cast(kind).alias("candidate"), "row_no", "col", text.alias("v")))
+    shape = both.groupBy("instance", "gold", "candidate", "col").agg(content("v").alias("f"), F.count(F.lit(1)).alias("n")).groupBy("instance", "gold", "candidate").agg(
         F.sort_array(F.collect_list(F.struct("col", "f"))).alias("cols"), F.max("n").alias("rows"))
-    ps = shape(pred, ["instance", "candidate"])
-    gs = shape(gold, ["instance"]).withColumnsRenamed({"cols": "gcols", "rows": "grows"})
-    j = ps.join(gs, "instance")
+    sides = shape.groupBy("instance").agg(
+        F.max(F.when(F.col("gold"), F.struct("cols", "rows"))).alias("g"), F.collect_list(F.when(~F.col("gold"), F.struct("candidate", "cols", "rows"))).alias("p"))
+    j = sides.filter("g IS NOT NULL").select("instance", F.col("g.cols").alias("gcols"), F.col("g.rows").alias("grows"), F.explode("p").alias("p")).select("instance", "gcols", "grows", "p.*")
     names = F.transform("gcols", lambda c: c["col"])
     free = lambda used: F.filter("gcols", lambda c: ~F.array_contains(used, c["col"]))
 
@@ -72,13 +99,15 @@ def table_equal(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
     mapped = F.aggregate("cols", F.array().cast("array<string>"), step)
     a = j.withColumn("mapped", mapped).withColumn("aligned", (F.col("rows") == F.col("grows")) & (F.size("cols") == F.size("gcols")) & ~F.array_contains(F.col("mapped"), "\u0000"))
-    a = a.select("instance", "candidate", "aligned", F.transform("cols", lambda c: c["col"]).alias("pc"), F.col("mapped").alias("gc"))
-    as_row = lambda df, keys: df.groupBy(*keys, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col", text.alias("v")))).alias("r"))
-    tuple_of = lambda cols: F.array_join(F.transform(cols, lambda c: F.try_element_at("r", c)), "\u0001")
-    prow = as_row(pred, ["instance", "candidate"]).join(a.filter("aligned"), ["instance", "candidate"]).groupBy("instance", "candidate").agg(content(tuple_of(F.col("pc"))).alias("pf"))
-    grow = as_row(gold, ["instance"]).join(a.filter("aligned").select("instance", "candidate", "gc"), "instance").groupBy("instance", "candidate").agg(content(tuple_of(F.col("gc"))).alias("gf"))
-    same = prow.join(grow, ["instance", "candidate"]).select("instance", "candidate", (F.col("pf") == F.col("gf")).alias("same"))
-    return a.select("instance", "candidate").join(same, ["instance", "candidate"], "left").select("instance", "candidate", F.coalesce("same", F.lit(False)).alias("equal"))
+    order = lambda gold, who, cols: F.struct(F.lit(gold).alias("gold"), who.cast(kind).alias("who"), cols.alias("order"))
+    reads = F.array(order(False, F.col("candidate"), F.transform("cols", lambda c: c["col"])), order(True, F.lit(None), F.col("mapped")))
+    need = a.filter("aligned").select("instance", "candidate", F.explode(reads).alias("x")).select("instance", "candidate", "x.*")
+    rows = both.groupBy("instance", "gold", F.col("candidate").alias("who"), "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("r"))
+    met = rows.join(need.withColumnsRenamed({"gold": "gold2", "who": "who2", "instance": "instance2"}),
+                    (F.col("instance") == F.col("instance2")) & (F.col("gold") == F.col("gold2")) & F.col("who").eqNullSafe(F.col("who2")))
+    line = F.array_join(F.transform("order", lambda c: F.try_element_at("r", c)), "\u0001")
+    prints = met.groupBy("instance", "candidate", "gold").agg(content(line).alias("f")).groupBy("instance", "candidate").agg((F.count_distinct("f") == 1).alias("same"))
+    return a.select("instance", "candidate").join(prints, ["instance", "candidate"], "left").select("instance", "candidate", F.coalesce("same", F.lit(False)).alias("equal"))
 
 
 def execution_accuracy(judged: DataFrame, keys=()) -> DataFrame:
@@ -87,18 +116,28 @@ def execution_accuracy(judged: DataFrame, keys=()) -> DataFrame:
         F.count("equal").alias("scored"), (F.count(F.lit(1)) - F.count("equal")).alias("skipped"), F.round(F.coalesce(F.avg(F.col("equal").cast("int")), F.lit(0.0)), 6).alias("execution_accuracy"))
 
 
-def clusters(cells: DataFrame, decimals=1) -> DataFrame:
-    """Candidates of an instance with equal results, named by their smallest candidate.
+def clusters(cells: DataFrame, tol=TOLERANCE) -> DataFrame:
+    """Candidates of an instance clustered by their results, each cluster named by its first candidate.
 
-    Results are equal when their columns are the same multisets after numbers are rounded; names and order do not count.
+    In order of their numbers, a candidate joins the first cluster whose head's columns all have an equal among its own,
+    within the tolerance; names and row order do not count. Candidates with the same columns are decided as one.
     """
-    num = F.col("value").try_cast("double")
-    # + 0.0 turns a negative zero into zero
-    canon = F.when(num.isNotNull(), (F.round(num, decimals) + 0.0).cast("string")).otherwise(F.coalesce("value", F.lit("\u0000")))
-    cols = cells.groupBy("instance", "candidate", "col").agg(content(canon).alias("f"))
-    res = cols.groupBy("instance", "candidate").agg(F.array_join(F.sort_array(F.collect_list("f")), "|").alias("f"))
-    head = res.groupBy("instance", "f").agg(F.min("candidate").alias("cluster"), F.count(F.lit(1)).alias("size"))
-    return res.join(head, ["instance", "f"]).select("instance", "candidate", "cluster", "size")
+    columns, equal = column_classes(cells, "candidate", tol=tol)
+    held = columns.select("instance", "candidate", "cls").distinct()
+    whole = held.groupBy("instance", "candidate").agg(content("cls").alias("res"))
+    first = whole.groupBy("instance", "res").agg(F.min("candidate").alias("lead"), F.collect_list("candidate").alias("members"))
+    leads = held.join(first.select("instance", F.col("lead").alias("candidate")), ["instance", "candidate"])
+    covers = covered(leads.withColumnRenamed("candidate", "w"), leads.withColumnRenamed("candidate", "o"), equal).filter("w < o")
+    heads_of = covers.groupBy("instance", F.col("o").alias("lead")).agg(F.sort_array(F.collect_list("w")).alias("ok"))
+    none = F.array().cast(f"array<{cells.schema['candidate'].dataType.simpleString()}>")
+    one = first.join(heads_of, ["instance", "lead"], "left").withColumn("ok", F.coalesce("ok", none))
+    per = one.groupBy("instance").agg(F.sort_array(F.collect_list(F.struct("lead", "ok", "members"))).alias("r"))
+    # a result that covers no earlier head opens a cluster
+    heads = F.aggregate("r", none, lambda heads, x: F.when(F.size(F.array_intersect(heads, x["ok"])) > 0, heads).otherwise(F.array_append(heads, x["lead"])))
+    flat = per.withColumn("heads", heads).select("instance", "heads", F.explode("r").alias("x")).select(
+        "instance", F.coalesce(F.get(F.array_intersect("heads", "x.ok"), F.lit(0)), F.col("x.lead")).alias("cluster"), F.col("x.members").alias("members"))
+    named = flat.groupBy("instance", "cluster").agg(F.flatten(F.collect_list("members")).alias("members"))
+    return named.select("instance", F.explode("members").alias("candidate"), "cluster", F.size("members").cast("long").alias("size"))
 
 
 def select_consistent(clustered: DataFrame, candidates: DataFrame) -> DataFrame:
