@@ -48,8 +48,8 @@ def sketch(found: np.ndarray) -> bytes:
 
 
 def sketched(df: DataFrame, words: int, id_col, text_col, key_col=None) -> DataFrame:
-    """Per row: doc_id, n_shingles, cls (null for an empty set), sketch; and row_key, if asked for."""
-    ddl = "doc_id long,n_shingles long,cls long,sketch binary" + ",row_key long" * bool(key_col)
+    """Per row: doc_id, n_shingles, cls (null for an empty set), sketch; row_key, if asked for; text_key, the text's hash."""
+    ddl = "doc_id long,n_shingles long,cls long,sketch binary" + ",row_key long" * bool(key_col) + ",text_key long"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -61,7 +61,7 @@ def sketched(df: DataFrame, words: int, id_col, text_col, key_col=None) -> DataF
                 rows.append((doc_id, len(found), class_of(found), sketch(found), *key) if len(found) else (doc_id, 0, None, None, *key))
             yield from batch_of(schema, rows).to_batches()
 
-    return text_of(df, id_col, text_col, key_col).mapInArrow(run, ddl)
+    return text_of(df, id_col, text_col, key_col).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, ddl)
 
 
 def child(node, place):
@@ -187,24 +187,38 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
+def chosen_texts(df: DataFrame, wanted: DataFrame, members: DataFrame, id_col, text_col) -> DataFrame:
+    """(text, cls, gids): for each wanted class the text of its first row, by id and hash of the text.
+
+    Rows meet classes by id and text together, so rows that share an id, or have none, are apart. Of rows that share
+    both, those that are over a thousandth of all are reduced to one in the tasks that read them.
+    """
+    kinds = members.filter(F.col("cls").isNotNull()).groupBy("cls", "key", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    keeper = kinds.groupBy("cls").agg(F.min(F.struct("key", "text_key", "n")).alias("k")).select("cls", "k.*")
+    chosen = durable(wanted.join(keeper, "cls"))
+    texts = text_of(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.xxhash64("text").alias("text_key"), "text")
+    on, total = ["key", "text_key"], members.count()
+    often = chosen.filter(F.col("n") * 1000 > total)
+    found = texts.join(chosen.filter(F.col("n") * 1000 <= total), on).select("text", "cls", "gids")
+    if often.isEmpty():
+        return found
+    once = texts.join(F.broadcast(often.select(*on)), on).groupBy(*on).agg(F.first("text").alias("text"))  # fewer than 1,000 rows
+    return found.unionByName(once.join(often, on).select("text", "cls", "gids"))
+
+
 def exact_links(df: DataFrame, groups: DataFrame, members: DataFrame, words: int, percent: int, id_col, text_col) -> DataFrame:
     """Links (a, b) between classes, confirmed on the full sets: in each group a star per component."""
     wanted = groups.groupBy("cls").agg(F.collect_set("gid").alias("gids"))  # a class is in few groups: those of its trees
-    keeper = members.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("key").alias("key"))
-    texts = text_of(df, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(LAST))).select("key", "text")
-    chosen = wanted.join(keeper, "cls").groupBy("key").agg(F.collect_set(F.struct("cls", "gids")).alias("classes"))
     ddl = "gid long,cls long,shingles binary"
     schema = arrow_schema(ddl)
 
     def sets(batches):
         prints = WordPrints()
         for batch in batches:
-            for text, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, cls, gids in zip(*(c.to_pylist() for c in batch.columns)):
                 found = shingles(text, words, prints)
-                cls = class_of(found) if len(found) else None
-                rows = [(gid, cls, found.tobytes()) for c in classes if c["cls"] == cls for gid in c["gids"]]
-                if rows:
-                    yield from batch_of(schema, rows).to_batches()
+                if len(found) and class_of(found) == cls:
+                    yield from batch_of(schema, [(gid, cls, found.tobytes()) for gid in gids]).to_batches()
 
     pair = arrow_schema("a long,b long")
 
@@ -220,7 +234,7 @@ def exact_links(df: DataFrame, groups: DataFrame, members: DataFrame, words: int
                     rows += [(int(names[i]), int(names[r])) for i, r in enumerate(label) if i != r]
             yield from batch_of(pair, rows).to_batches()
 
-    full = texts.join(chosen, "key").select("text", "classes").mapInArrow(sets, ddl)
+    full = chosen_texts(df, wanted, members, id_col, text_col).mapInArrow(sets, ddl)
     return full.repartition("gid").sortWithinPartitions("gid").mapInArrow(solve, "a long,b long").distinct()
 
 
@@ -236,7 +250,7 @@ def near_dedup(df: DataFrame, words=5, percent=80, id_col="doc_id", text_col="te
     where rows of several components share an id.
     """
     rows = durable(sketched(df, words, id_col, text_col, key_col).withColumn("key", F.coalesce("doc_id", F.lit(LAST))))
-    members = rows.drop("sketch")
+    members = rows.select("doc_id", "n_shingles", "cls", "key", "text_key", *["row_key"] * bool(key_col))
     classes = durable(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("sketch").alias("sketch"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n")))
     groups = durable(suspects(small_nodes(classes.select("cls", "sketch")), round((percent / 100 - DOUBT) * SKETCH)))
     links = exact_links(df, groups, members, words, percent, id_col, text_col)
@@ -245,6 +259,7 @@ def near_dedup(df: DataFrame, words=5, percent=80, id_col="doc_id", text_col="te
     total = rooted.agg(F.sum("n")).first()[0] or 0
     whole = rooted.groupBy("root").agg(F.min("key").alias("component_id"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows")).filter("rows > 1").drop("rows")
     known = durable(join_groups(rooted.withColumnRenamed("n", "copies"), whole, ["root"], total).select("cls", F.col("copies").alias("n"), "component_id", *["root"] * bool(key_col)))
+    members = members.drop("text_key")
     out = join_groups(members.filter(F.col("cls").isNotNull()), known, ["cls"], total, how="left").drop("n")
     # rows without shingles have no class to join by; as nulls they would all meet in one task
     out = out.unionByName(members.filter(F.col("cls").isNull()), allowMissingColumns=True)
