@@ -11,6 +11,7 @@ sees weights as they do on new documents. Neither labels nor ids are inputs of a
 
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,11 @@ RUN = re.compile(r"([^\W\d_])\1\1")
 SIGN = re.compile(r"[0-9@$!|+€¡(*]")
 LETTER = re.compile(r"[^\W\d_]")
 DOTTED = re.compile(r"[^\W_](?:[.\-_*/'~][^\W_]){2,}")
-SPACED = re.compile(r"(?<![^\x20\x09-\x0d])[\w@$!|](?:[ \t.\-_*/]{1,3}[\w@$!|]){2,}(?![^\x20\x09-\x0d])")
+# what stands between letters is never a letter itself, so that no stretch can be cut in two ways
+SPACED = re.compile(r"(?<![^\x20\x09-\x0d])(?:[^\W_]|[@$!|])(?:[ \t.\-_*/]{1,3}(?:[^\W_]|[@$!|])){2,}(?![^\x20\x09-\x0d])")
+#: Fingerprints of readings: modulus and base; paths are ordered by score, then fingerprint.
+PRIME, BASE = (1 << 61) - 1, 1_000_003
+ORDER = itemgetter(0, 1)
 #: Hash buckets of the word weights (4 bytes each are broadcast), blocks they are summed in, weight of the prior in rows,
 #: entries of a worker's cache, and the best readings of an obfuscated word that are scored.
 BUCKETS, BLOCKS, PRIOR, CACHE, READINGS = 1 << 21, 64, 5.0, 400_000, 3
@@ -120,21 +125,55 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(text: str, model: np.ndarray, readings=READINGS) -> list[str]:
-    """The likeliest readings of an obfuscated string: Viterbi over its lattice, the state being the last two letters."""
-    beams = {(0, 0): [(0.0, "")]}
+    """The likeliest readings of an obfuscated string: Viterbi over its lattice, the state being the last two letters.
+
+    A path is its score, a fingerprint of its text and its last piece with the path before it: no text is copied on the
+    way, so the work grows with the length of the string.
+    """
+    steps: dict = {}
+
+    def step(state, piece):
+        (x, y), gain = state, 0.0
+        for c in piece:
+            z = 0 if c == " " else CODES.get(c, OTHER if c.isalpha() else 0)
+            gain += float(model[x, y, z])
+            x, y = y, z
+        print_ = 0
+        for c in piece:
+            print_ = print_ * BASE + ord(c) + 1
+        steps[state, piece] = out = (x, y), gain, BASE ** len(piece), print_
+        return out
+
+    def best(paths):
+        paths.sort(key=ORDER, reverse=True)
+        kept, met = [], set()
+        for path in paths:
+            if path[1] not in met:
+                met.add(path[1])
+                kept.append(path)
+                if len(kept) == readings:
+                    break
+        return kept
+
+    beams = {(0, 0): [(0.0, 0, None)]}
     for options in lattice(text):
         grown = {}
-        for (a, b), paths in beams.items():
+        for state, paths in beams.items():
             for piece, cost in options:
-                x, y, gain = a, b, -cost
-                for c in piece:
-                    z = 0 if c == " " else CODES.get(c, OTHER if c.isalpha() else 0)
-                    gain += float(model[x, y, z])
-                    x, y = y, z
-                grown.setdefault((x, y), []).extend((s + gain, t + piece) for s, t in paths)
-        beams = {k: sorted(set(v), reverse=True)[:readings] for k, v in grown.items()}
-    done = [(s + float(model[a, b, 0]), t) for (a, b), paths in beams.items() for s, t in paths]
-    return [t for _, t in sorted(done, reverse=True)[:readings]]
+                to, gain, shift, more = steps.get((state, piece)) or step(state, piece)
+                into = grown.setdefault(to, [])
+                for score, seen, path in paths:
+                    into.append((score + gain - cost, (seen * shift + more) % PRIME, (path, piece) if piece else path))
+        beams = {state: best(paths) for state, paths in grown.items()}
+    done = best([(score + float(model[a, b, 0]), seen, path) for (a, b), paths in beams.items() for score, seen, path in paths])
+    out = []
+    for _, _, path in done:
+        pieces = []
+        while path:
+            path, piece = path
+            pieces.append(piece)
+        out.append("".join(reversed(pieces)))
+    return out
 
 
 def readings_of(token: str, model: np.ndarray) -> list[str]:

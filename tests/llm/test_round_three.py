@@ -251,3 +251,73 @@ def test_queries_equal_their_sql(spark):
     registry.load()
     for name in ("op11_periodic_runs", "op12_importance_resample", "op13_url_filter"):
         assert compare(spark, connect(folder), registry.QUERIES[name], registry.ORACLE[name], folder)[1] is None, name
+
+
+# ---- near-dedup and toxicity: crowds under one id, long obfuscated texts
+
+
+def test_near_dedup_of_rows_that_share_an_id_or_have_none(spark):
+    """Thousands of different texts without an id, and under id 0, are apart; copies among them are found."""
+    from plumbline.llm.near_dedup import near_dedup
+
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(12))
+    rows = [(None, text()) for _ in range(6000)] + [(0, text()) for _ in range(6000)]
+    base = " ".join(f"b{i}" for i in range(60))
+    near = base.replace("b30", "other")
+    rows += [(None, base), (9, near), (12, base), (12, base)] + [(0, "same text of many rows again and again")] * 3000
+    out = near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("doc_id", "component_id", "kept").count().collect()
+    got = {(r.doc_id, r.component_id, r.kept): r["count"] for r in out}
+    assert got == {(None, None, False): 6000, (None, 9, False): 1, (0, 0, True): 9000, (9, 9, True): 1, (12, 9, False): 2}
+
+
+def small_model():
+    from plumbline.llm.toxicity import SIZE, language_model
+
+    rng = np.random.default_rng(1)
+    return language_model(rng.integers(0, 40, (SIZE, SIZE, SIZE)).astype(float))
+
+
+def every_reading(text, model):
+    from plumbline.llm.toxicity import CODES, OTHER, lattice
+
+    found = {"": [((0, 0), 0.0)]}
+    for options in lattice(text):
+        grown = {}
+        for t, ways in found.items():
+            for (x0, y0), score in ways:
+                for piece, cost in options:
+                    x, y, s = x0, y0, score - cost
+                    for c in piece:
+                        z = 0 if c == " " else CODES.get(c, OTHER if c.isalpha() else 0)
+                        s += float(model[x, y, z])
+                        x, y = y, z
+                    grown.setdefault(t + piece, []).append(((x, y), s))
+        found = {t: [max(w, key=lambda v: v[1]) for w in [[v for v in ways if v[0] == st] for st in {v[0] for v in ways}]] for t, ways in grown.items()}
+    return {t: max(s + float(model[x, y, 0]) for (x, y), s in ways) for t, ways in found.items()}
+
+
+def test_decode_is_the_best_of_all_readings():
+    from plumbline.llm.toxicity import decode
+
+    model, rng = small_model(), random.Random(8)
+    for _ in range(120):
+        text = "".join(rng.choice("ab1 5*-$ll0.'!") for _ in range(rng.randrange(1, 8)))
+        scores = every_reading(text, model)
+        best = sorted(scores.values(), reverse=True)[:3]
+        got = decode(text, model)
+        assert len(got) == len(set(got)) and np.allclose([scores[t] for t in got], best)
+
+
+def test_long_spaced_texts_take_linear_time():
+    import time
+
+    from plumbline.llm.toxicity import SPACED, decode
+
+    model = small_model()
+    text = " ".join(random.Random(2).choice("0123456789") for _ in range(30_000))
+    start = time.time()
+    assert SPACED.search(text)[0] == text and len(decode(text, model)) == 3
+    for awkward in ("_" * 5000 + "(", "a_" * 5000 + "b(", "a" + "-_" * 5000 + "c("):
+        assert SPACED.search(awkward) is None
+    assert time.time() - start < 30
