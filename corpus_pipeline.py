@@ -43,7 +43,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     found = near_dedup(keyed(docs), words=5, percent=80, key_col="row_key").filter("doc_id IS NOT NULL")
     best = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("best")).select("best.*")
     # rows of one id and text are reduced before the join, so that no flood of them meets in one task
-    rows = keyed(docs).groupBy("doc_id", "row_key").agg(F.first("row").alias("row"))
+    # to the least of them by a hash of the whole row
+    rows = keyed(docs).groupBy("doc_id", "row_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     kept = rows.join(best.distinct(), ["doc_id", "row_key"]).select("row.*")
     bare = keyed(docs).filter(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x09-\\x0d\\x20]"))
     return kept.unionByName(bare.select("row.*"))
