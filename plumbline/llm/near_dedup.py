@@ -40,16 +40,18 @@ def class_of(found: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64)))
 
 
-def sketch(found: np.ndarray) -> bytes:
+def sketch(found: np.ndarray) -> tuple[bytes, bytes]:
+    """The minwise tokens of a set in 16 bits each; those of the roots in 32 bits, which unlike sets do not share by chance."""
     out = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 512):
         out = np.minimum(out, (found[at : at + 512, None] * FACTORS).min(axis=0))
-    return (mixed(out) >> np.uint64(48)).astype(np.uint16).tobytes()
+    tokens = mixed(out)
+    return (tokens >> np.uint64(48)).astype(np.uint16).tobytes(), (tokens[: 2 * TREES] >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
 def sketched(df: DataFrame, words: int, id_col, text_col, key_col=None) -> DataFrame:
-    """Per row: doc_id, n_shingles, cls (null for an empty set), sketch; row_key, if asked for; text_key, the text's hash."""
-    ddl = "doc_id long,n_shingles long,cls long,sketch binary" + ",row_key long" * bool(key_col) + ",text_key long"
+    """Per row: doc_id, n_shingles, cls (null for an empty set), sketch, roots; row_key, if asked for; text_key, the text's hash."""
+    ddl = "doc_id long,n_shingles long,cls long,sketch binary,roots binary" + ",row_key long" * bool(key_col) + ",text_key long"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -58,7 +60,7 @@ def sketched(df: DataFrame, words: int, id_col, text_col, key_col=None) -> DataF
             rows = []
             for doc_id, text, *key in zip(*(c.to_pylist() for c in batch.columns)):
                 found = shingles(text, words, prints)
-                rows.append((doc_id, len(found), class_of(found), sketch(found), *key) if len(found) else (doc_id, 0, None, None, *key))
+                rows.append((doc_id, len(found), class_of(found), *sketch(found), *key) if len(found) else (doc_id, 0, None, None, None, *key))
             yield from batch_of(schema, rows).to_batches()
 
     return text_of(df, id_col, text_col, key_col).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, ddl)
@@ -71,7 +73,7 @@ def child(node, place):
 
 def small_nodes(classes: DataFrame) -> DataFrame:
     """(node, cls, sketch) for all nodes of all trees that are compared: none has more than 2 * LEAF classes."""
-    roots = F.array(*[child(F.lit(i // 2), F.lit(i)) for i in range(2 * TREES)])
+    roots = F.array(*[F.xxhash64(F.lit(i // 2), F.lit(i), F.col("roots").substr(4 * i + 1, 4)) for i in range(2 * TREES)])
     live = classes.select("cls", F.explode(roots).alias("node"))
     found = None
     for depth in range(1, DEPTH + 1):
@@ -251,8 +253,8 @@ def near_dedup(df: DataFrame, words=5, percent=80, id_col="doc_id", text_col="te
     """
     rows = durable(sketched(df, words, id_col, text_col, key_col).withColumn("key", F.coalesce("doc_id", F.lit(LAST))))
     members = rows.select("doc_id", "n_shingles", "cls", "key", "text_key", *["row_key"] * bool(key_col))
-    classes = durable(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("sketch").alias("sketch"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n")))
-    groups = durable(suspects(small_nodes(classes.select("cls", "sketch")), round((percent / 100 - DOUBT) * SKETCH)))
+    classes = durable(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("sketch").alias("sketch"), F.first("roots").alias("roots"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n")))
+    groups = durable(suspects(small_nodes(classes.select("cls", "sketch", "roots")), round((percent / 100 - DOUBT) * SKETCH)))
     links = exact_links(df, groups, members, words, percent, id_col, text_col)
     # only links point from class to class; a class alone, and not copied, is its own component
     rooted = durable(classes.select("cls", "key", "n").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
