@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.operators import scale
 
@@ -85,31 +85,59 @@ def uniform(text: Column, part=0) -> Column:
     return (F.conv(F.substring(F.md5(text), 1 + 8 * part, 8), 16, 10).cast("double") + 0.5) / float(2**32)
 
 
-def with_poisson(df: DataFrame, lam, text: Column, name="w") -> DataFrame:
-    """Add a Poisson draw for a whole rate: exact below 30, the rounded normal above."""
-    d = scale.fenced(df.withColumn("_u", uniform(text)).withColumn("_v", uniform(text, 1)), "_u", "_v")
-    rate, u, v = F.col(lam).cast("double"), F.col("_u"), F.col("_v")
-    low = F.aggregate(
-        F.sequence(F.lit(0), F.lit(79)), F.struct(F.exp(-rate).alias("t"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k")),
-        lambda s, j: F.struct((s["t"] * rate / (j + 1)).alias("t"), (s["cdf"] + s["t"] * rate / (j + 1)).alias("cdf"), (s["k"] + F.when(s["cdf"] < u, 1).otherwise(0)).alias("k")),
-        lambda s: s["k"].cast("double"))
-    z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
-    return d.withColumn(name, F.when(rate < 30, low).otherwise(F.greatest(F.floor(rate + F.sqrt(rate) * z + 0.5).cast("double"), F.lit(0.0)))).drop("_u", "_v")
+def poisson_table(rates: DataFrame, rate="units") -> DataFrame:
+    """(rate, lo, cdf, steps): the distribution function of each whole rate from `lo` on, exact but for rounding, ten deviations wide.
+
+    Probabilities are running sums of ln(rate / k), scaled by their largest: nothing over- or underflows at any rate.
+    """
+    r = F.col(rate)
+    reach = F.ceil(10 * F.sqrt(r.cast("double"))).cast("bigint") + 20
+    cells = rates.select(r.cast("bigint").alias(rate)).distinct().select(rate, F.greatest(F.lit(0), r - reach).alias("lo"), (r + reach).alias("hi"))
+    cells = cells.select(rate, "lo", F.explode(F.sequence("lo", "hi")).alias("k"))
+    upto = W.partitionBy(rate).orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    logs = cells.withColumn("s", F.sum(F.when(F.col("k") > F.col("lo"), F.ln(r / F.col("k"))).otherwise(0.0)).over(upto))
+    mass = logs.withColumn("p", F.exp(F.col("s") - F.max("s").over(W.partitionBy(rate))))
+    cum = mass.withColumn("c", F.sum("p").over(upto))
+    whole = cum.withColumn("c", F.col("c") / F.max("c").over(W.partitionBy(rate)))
+    table = whole.groupBy(rate, "lo").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
+    return table.withColumn("steps", halvings("cdf"))
+
+
+def halvings(array) -> Column:
+    """The steps of a binary search in an array: powers of two, falling."""
+    most = F.ceil(F.log2(F.size(array) + 1)).cast("int")
+    return F.transform(F.sequence(most, F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2.0), i).cast("int"))
+
+
+def below(cdf: Column, steps: Column, u: Column) -> Column:
+    """How many entries of an ascending array are smaller than u."""
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cdf, at + step - 1) < u, at + step).otherwise(at))
+
+
+#: Replicates that one row draws.
+REPLICATES_AT_ONCE = 500
 
 
 def bootstrap_interval(kinds: DataFrame, keys, replicates, seed, width=0.001) -> DataFrame:
     """95 % interval of a resampled mean difference.
 
     `kinds` has the distinct (n, diff) of the resampled units with their number `units`. Units of one kind are
-    interchangeable, so their total weight in a replicate is one Poisson draw, whatever their number.
+    interchangeable, so their total weight in a replicate is one Poisson draw, whatever their number: the quantile of a
+    uniform number, looked up in the distribution function of the rate, by the same rule for every rate.
     """
     keys = list(keys)
     # few kinds, many replicates: deal the replicates over the cores
-    each = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    r = kinds.withColumn("rep", each).repartition(kinds.sparkSession.sparkContext.defaultParallelism, "rep")
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.col("n").cast("string"), F.col("diff").cast("string"))
-    w = with_poisson(r, "units", text)
-    per = w.groupBy(*keys, "rep").agg(F.round(F.sum(F.col("w") * F.col("diff")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0.0)), 9).alias("x"))
+    parts = -(-replicates // REPLICATES_AT_ONCE)
+    k = kinds.join(poisson_table(kinds), "units").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    k = k.repartition(max(kinds.sparkSession.sparkContext.defaultParallelism, 1), "part", "n", "diff")
+    first = F.col("part") * REPLICATES_AT_ONCE
+    reps = F.sequence(first + 1, F.least(first + REPLICATES_AT_ONCE, F.lit(replicates)))
+    k = k.withColumn("head", F.concat_ws("|", F.lit(str(seed)), *keys, F.lit(""))).withColumn("tail", F.concat_ws("|", F.lit(""), "n", "diff"))
+    k = scale.fenced(k, "head", "tail")
+    text = lambda rep: F.concat("head", rep.cast("string"), "tail")
+    draws = F.transform(reps, lambda rep: F.struct(rep.alias("rep"), (F.col("lo") + below(F.col("cdf"), F.col("steps"), uniform(text(rep)))).alias("w")))
+    w = k.select(*keys, "n", "diff", F.explode(draws).alias("d")).select(*keys, "n", "diff", "d.*")
+    per = w.groupBy(*keys, "rep").agg(F.round(F.sum(F.col("w") * F.col("diff")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0)), 9).alias("x"))
     ranks = scale.value_ranks(per, "x", keys, width)
     at = lambda q: scale.value_at(F.floor(F.lit(q) * (F.col("total") - 1)) + 1)
     return ranks.groupBy(*keys).agg(at(0.025).alias("lo"), at(0.975).alias("hi"))

@@ -45,16 +45,19 @@ def _(t):
     return ST.with_fisher(c, "a", "b", "c", "d").withColumn("p", F.round("p", 6))
 
 
-REPS = 200
+REPS = 10_000
 
 
 def boot_sql(kinds, seed, keys):
-    """The draw rule in SQL: md5 of seed, keys, replicate and kind; Poisson by its table below 30, the rounded normal above."""
+    """The draw rule in SQL: md5 of seed, keys, replicate and kind; the quantile in the distribution function of the rate."""
     k = ", ".join(keys)
     txt = f"md5(concat_ws('|', '{seed}', {''.join(x + '::VARCHAR, ' for x in keys)}rep::VARCHAR, n::VARCHAR, diff::VARCHAR))"
-    return f"""WITH kinds AS ({kinds}), cdf AS (SELECT l, j, sum(exp(-l + j * ln(l) - lgamma(j + 1))) OVER (PARTITION BY l ORDER BY j) AS f FROM range(1, 30) a(l), range(0, 80) b(j)),
- dr AS (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u, (('0x' || substr(h, 9, 8))::BIGINT + 0.5) / 4294967296.0 AS v FROM (SELECT *, {txt} AS h FROM kinds, range(1, {REPS + 1}) r(rep)) x),
- ws AS (SELECT dr.*, CASE WHEN units < 30 THEN (SELECT count(*) FROM cdf WHERE l = units AND f < u)::DOUBLE ELSE greatest(floor(units + sqrt(units) * sqrt(-2 * ln(u)) * cos(2 * pi() * v) + 0.5), 0) END AS w FROM dr),
+    return f"""WITH kinds AS MATERIALIZED ({kinds}), rt AS (SELECT DISTINCT units::BIGINT AS l FROM kinds), kk AS (SELECT l, lo, unnest(range(lo, hi + 1)) AS j FROM (SELECT l, greatest(0, l - ceil(10 * sqrt(l))::BIGINT - 20) AS lo, l + ceil(10 * sqrt(l))::BIGINT + 20 AS hi FROM rt) x),
+ lg AS (SELECT l, lo, j, sum(CASE WHEN j > lo THEN ln(l / j) ELSE 0 END) OVER (PARTITION BY l ORDER BY j) AS s FROM kk),
+ ms AS (SELECT l, lo, j, sum(exp(s - m)) OVER (PARTITION BY l ORDER BY j) AS c FROM (SELECT *, max(s) OVER (PARTITION BY l) AS m FROM lg) y),
+ tb AS MATERIALIZED (SELECT l, lo, list(c / t ORDER BY j) AS cdf FROM (SELECT *, max(c) OVER (PARTITION BY l) AS t FROM ms) z GROUP BY l, lo),
+ dr AS (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM (SELECT *, {txt} AS h FROM kinds, range(1, {REPS + 1}) r(rep)) x),
+ ws AS (SELECT dr.*, lo + len(list_filter(cdf, lambda f: f < u)) AS w FROM dr JOIN tb ON l = units),
  st AS (SELECT {k + ', ' if k else ''}rep, round(sum(w * diff) / nullif(sum(w * n), 0), 9) AS x FROM ws GROUP BY {k + ', ' if k else ''}rep),
  rk AS (SELECT *, row_number() OVER ({'PARTITION BY ' + k if k else ''} ORDER BY x) - 1 AS i, count(*) OVER ({'PARTITION BY ' + k if k else ''}) AS m FROM st WHERE x IS NOT NULL)
  SELECT {k + ', ' if k else ''}max(CASE WHEN i = floor(0.025 * (m - 1)) THEN x END) AS lo, max(CASE WHEN i = floor(0.975 * (m - 1)) THEN x END) AS hi FROM rk {'GROUP BY ' + k if k else ''}"""
