@@ -166,28 +166,68 @@ def group_cue_dimensions(requests: DataFrame, key, text, columns: DataFrame, lim
 # --- vectors ------------------------------------------------------------------------------------
 
 
+#: Queries and vectors of one block, and the queries whose distances to a block of vectors are held at a time.
+QUERY_BLOCK, VECTOR_BLOCK, AT_ONCE = 2048, 16_384, 64
+
+
+def nearest_of(q: np.ndarray, qids, v: np.ndarray, names: np.ndarray, k: int):
+    """(query, name, distance) of the k nearest vectors of each query, by distance rounded to six places, then name.
+
+    Matrix products tell which vectors may be among them; those are measured exactly.
+    """
+    if not len(v):
+        return [], [], []
+    out_q, out_n, out_d, vv, k = [], [], [], (v * v).sum(axis=1), min(k, len(v))
+    for at in range(0, len(q), AT_ONCE):
+        part = q[at : at + AT_ONCE]
+        qq = (part * part).sum(axis=1)
+        rough = np.maximum(qq[:, None] + vv[None] - 2 * (part @ v.T), 0)
+        # distances that round alike, and what the product may be off by
+        reach = (np.sqrt(np.partition(rough, k - 1, axis=1)[:, k - 1]) + 2e-6) ** 2 + 1e-11 * (qq + vv.max()) + 1e-12
+        for i, near in enumerate(rough <= reach[:, None]):
+            cand = np.flatnonzero(near)
+            d = np.round(np.sqrt(((v[cand] - part[i]) ** 2).sum(axis=1)), 6)
+            best = np.lexsort((names[cand], d))[:k]
+            out_q += [qids[at + i]] * len(best)
+            out_n.append(names[cand[best]])
+            out_d.append(d[best])
+    return out_q, np.concatenate(out_n), np.concatenate(out_d)
+
+
 def vector_topk(vectors: DataFrame, vec_id, embedding, queries: DataFrame, k, query_id="query_id") -> DataFrame:
-    """Exact L2 nearest vectors of a bounded set of queries.
+    """Exact L2 nearest vectors of any number of queries.
 
-    Every batch of vectors meets all queries at once and keeps its own k best, so only k rows per query and
-    batch are shuffled. The query matrix is checked to be small before it is shipped to the tasks.
+    A few queries go to every batch of vectors. More are dealt into blocks, and so are the vectors: each block of
+    queries meets each block of vectors in a task of its own, and only k rows per query and block are shuffled on.
     """
-    rows = bounded_rows(queries.select(query_id, F.col("vector").cast("array<double>").alias("vector")))
-    ids, matrix = [r[query_id] for r in rows], np.array([r["vector"] for r in rows])
     schema = T.StructType([queries.schema[query_id], vectors.schema[vec_id], T.StructField("distance", T.DoubleType())])
-
-    def nearest(batches):
-        for b in batches:
-            if len(b) == 0:
-                continue
-            v = np.stack(b["v"].to_numpy()).astype("float64")
-            names = b["id"].to_numpy()
-            for qid, q in zip(ids, matrix):
-                d = np.round(np.sqrt(((v - q) ** 2).sum(axis=1)), 6)
-                best = np.lexsort((names, d))[:k]
-                yield pd.DataFrame({query_id: qid, vec_id: names[best], "distance": d[best]})
-
-    near = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).cast("array<double>").alias("v")).mapInPandas(nearest, schema)
+    v = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    q = queries.select(query_id, F.col("vector").cast("array<double>").alias("q"))
+    matrix = lambda column: np.stack(column.to_numpy()).astype("float64")
+    frame = lambda found: pd.DataFrame(dict(zip((query_id, vec_id, "distance"), found)))
+    asked = q.count()
+    if asked <= MAX_INLINE:
+        rows = [(r[0], r[1]) for r in q.collect()]
+        ids, few = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+
+        def nearest(batches):
+            for b in batches:
+                if len(b) and ids:
+                    yield frame(nearest_of(few, ids, matrix(b["v"]), b["id"].to_numpy(), k))
+
+        return scale.first_k(v.mapInPandas(nearest, schema), [query_id], ["distance", vec_id], k)
+    n_q, n_v = -(-asked // QUERY_BLOCK), max(1, -(-v.count() // VECTOR_BLOCK))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(deal(query_id, n_q).alias("qb"), every(n_v).alias("vb"), F.col(query_id).alias("qid"), "q")
+    right = v.select(every(n_q).alias("qb"), deal("id", n_v).alias("vb"), "id", "v")
+
+    def block(qs, vs):
+        if not len(qs) or not len(vs):
+            return frame((qs["qid"].iloc[:0], vs["id"].iloc[:0], np.zeros(0)))
+        return frame(nearest_of(matrix(qs["q"]), qs["qid"].tolist(), matrix(vs["v"]), vs["id"].to_numpy(), k))
+
+    near = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(block, schema)
     return scale.first_k(near, [query_id], ["distance", vec_id], k)
 
 

@@ -220,6 +220,16 @@ def _(t):
     return page.unionByName(L.page_status(page, used, t.embeddings.agg(F.count(F.lit(1)).alias("total")), 5), allowMissingColumns=True)
 
 
+# Every vector asks for its neighbours.
+MANY = "nr AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings e, embeddings q), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM nr)"
+
+
+@query("lk_vector_many", f"WITH {MANY} SELECT query_id, vec_id, distance, rank FROM rk WHERE rank <= 5")
+def _(t):
+    asked = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return L.vector_topk(t.embeddings, "vec_id", "embedding", asked, 5).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("lk_candidate_recall", TOP_SQL + f""", {RULE_SQL}, h AS (SELECT g.request_id, count(*) FILTER (tk.metric_id = g.expected_metric_id) > 0 AS mh FROM @gold g LEFT JOIN tk ON tk.request_id = g.request_id AND rank <= 3 WHERE expected_action = 'answer' GROUP BY 1),
  x AS (SELECT mh, expected_dims = '' OR list_has_all(string_split(ed.dims, '|'), string_split(expected_dims, '|')) AS dh FROM h JOIN @gold g USING (request_id) JOIN ed USING (request_id))
  SELECT count(*) AS n, round(avg(mh::INT), 6) AS metric_recall, round(avg(dh::INT), 6) AS dim_recall, round(avg((mh AND dh)::INT), 6) AS joint_recall FROM x""")
