@@ -103,18 +103,32 @@ def substring_hits(text: Column, triggers) -> Column:
     return F.array_distinct(F.concat(*found)) if found else none
 
 
-def substring_join(texts: DataFrame, key, text, terms: DataFrame, term="term", gram=8) -> DataFrame:
+def grams(text, lengths) -> Column:
+    """Distinct substrings of the given lengths."""
+    at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[at(n) for n in lengths]))
+
+
+def substring_join(texts: DataFrame, key, text, terms: DataFrame, term="term", gram=4) -> DataFrame:
     """Term rows whose text occurs in a row's text, for term tables of any size and terms of any length.
 
-    A term meets the texts that hold its first characters, at most `gram` of them; the whole term is then looked for in
-    the whole text.
+    A term meets the texts that have its rarest gram: of its substrings of `gram` characters (a shorter term is its own)
+    the one that the fewest texts have. A term with a gram that no text has meets none. The whole term is then looked
+    for in the whole text.
     """
-    keyed = terms.filter(F.length(term) > 0).withColumn("_g", F.least(F.length(term), F.lit(gram))).withColumn("_key", F.expr(f"substring({term}, 1, _g)"))
-    starts = F.sequence(F.lit(1), F.length(text))
-    cuts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.substring(F.col(text), i, n)))))
-    probe = texts.filter(F.length(text) > 0).select(key, F.explode(cuts).alias("_key"))
-    near = probe.join(keyed, "_key").drop("_key", "_g").distinct()
-    return near.join(texts.select(key, text), key).filter(F.col(text).contains(F.col(term))).select(key, *terms.columns).distinct()
+    known = terms.filter(F.length(term) > 0).select(term).distinct().withColumn("_g", F.least(F.length(term), F.lit(gram)))
+    lengths = sorted(r[0] for r in known.select("_g").distinct().collect())  # `gram` numbers at most
+    if not lengths:
+        return texts.select(key).join(terms, F.lit(False)).select(key, *terms.columns)
+    whole = F.coalesce(*[F.when(F.col("_g") == n, grams(term, [n])) for n in lengths])
+    parts = known.select(term, F.explode(whole).alias("_key"))
+    probe = texts.select(key, F.explode(grams(text, lengths)).alias("_key")).join(parts.select("_key").distinct(), "_key")
+    held = probe.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = parts.join(held, "_key", "left").groupBy(term).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_key")).alias("r"))
+    chosen = rarest.filter("r.n > 0").select(term, F.col("r._key").alias("_key"))
+    near = probe.join(chosen, "_key").select(key, term).distinct()
+    hit = near.join(texts.select(key, text), key).filter(F.col(text).contains(F.col(term))).select(key, term).distinct()
+    return hit.join(terms, term).select(key, *terms.columns).distinct()
 
 
 def exact_trigger(df: DataFrame, text, phrases: DataFrame, phrase="phrase") -> DataFrame:
