@@ -84,17 +84,17 @@ def _(t):
     return g.agg(F.count(F.lit(1)).alias("n"), S.yes(F.col("joint_ok")).alias("correct"), S.rate(F.col("joint_ok")).alias("accuracy"))
 
 
-FATE = """SELECT s.*, k, CASE WHEN request_id % 12 < k THEN concat(expected_metric_id, '|units') ELSE 'other' END AS retrieved, request_id % 9 <> 4 AS validator_pass FROM (SELECT *, EXPLODE[1, 3, 5, 10] AS k FROM @scored s1 WHERE mode = 'guarded' AND expected_action = 'answer') s"""
+FATE = """SELECT s.*, k, CASE WHEN request_id % 12 < k THEN concat(expected_metric_id, '|units') ELSE 'other' END AS retrieved, request_id % 9 <> 4 AS validator_pass FROM (SELECT *, EXPLODE[1, 3, 5, 10] AS k FROM @scored s1 WHERE expected_action = 'answer') s"""
 
 
-@query("ag_candidate_fate", f"""WITH f AS (SELECT *, list_contains(string_split(retrieved, '|'), expected_metric_id) AS here FROM {flags_sql(f'({FATE})')} f0), t AS (SELECT k, count(*) AS tot FROM f GROUP BY 1),
- r AS (SELECT k, unnest(['fate', 'strict', 'cross']) AS part, unnest([CASE WHEN NOT here THEN 'candidate_missing' WHEN jo THEN 'candidate_present_joint_correct' ELSE 'candidate_present_final_wrong' END,
+@query("ag_candidate_fate", f"""WITH f AS (SELECT *, list_contains(string_split(retrieved, '|'), expected_metric_id) AS here FROM {flags_sql(f'({FATE})')} f0), t AS (SELECT mode, k, count(*) AS tot FROM f GROUP BY 1, 2),
+ r AS (SELECT mode, k, unnest(['fate', 'strict', 'cross']) AS part, unnest([CASE WHEN NOT here THEN 'candidate_missing' WHEN jo THEN 'candidate_present_joint_correct' ELSE 'candidate_present_final_wrong' END,
  CASE WHEN NOT here THEN 'candidate_missing' WHEN jo AND validator_pass THEN 'candidate_present_md_correct_validator_pass' ELSE 'candidate_present_final_error' END,
  'candidate_' || CASE WHEN here THEN 'present' ELSE 'missing' END || '__joint_' || CASE WHEN jo THEN 'correct' ELSE 'wrong' END]) AS fate FROM f)
- SELECT k, part, fate, count(*) AS n, round(count(*) / any_value(tot), 6) AS share FROM r JOIN t USING (k) GROUP BY 1, 2, 3""")
+ SELECT mode, k, part, fate, count(*) AS n, round(count(*) / any_value(tot), 6) AS share FROM r JOIN t USING (mode, k) GROUP BY 1, 2, 3, 4""")
 def _(t):
     f = S.flagged(arrays(t.sql(FATE))).withColumn("retrieved", LIST("retrieved"))
-    return S.candidate_fate(f, ["k"])
+    return S.candidate_fate(f, ["mode", "k"])
 
 
 FAM = """CASE WHEN er THEN CASE WHEN regexp_matches(lower(nl_query), 'raw|identifier|select |delete |drop ') THEN 'policy_refusal' ELSE 'unsupported_or_refusal' END WHEN expected_dims <> '' AND dr AND NOT dok THEN 'hierarchy_overexpansion' WHEN NOT mo THEN 'metric_identity' ELSE 'other' END"""
