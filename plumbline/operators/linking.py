@@ -65,6 +65,18 @@ def rank_topk(scores: DataFrame, key, k, target="metric_id") -> DataFrame:
     return scale.first_k(scores.filter("score > 0"), [key], [F.desc("score"), F.desc(target)], k)
 
 
+def ranked_texts(requests: DataFrame, key, text, fields, k, boosts=(), target="metric_id", **kw) -> DataFrame:
+    """(key, target, score, rank) of the k best targets, every target scored that shares something; equal texts once.
+
+    For small catalogs; `ranking.best_targets` gives the same for large ones.
+    """
+    asked = requests.select(key, F.lower(F.trim(text)).alias("_q")).withColumn("_u", F.md5("_q"))
+    texts = asked.filter("_q IS NOT NULL").select("_u", "_q").distinct()
+    scores = text_scores(texts, "_u", "_q", fields, target, **kw)
+    top = rank_topk(boosted(scores, texts, "_u", "_q", boosts, target) if boosts else scores, "_u", k, target)
+    return asked.select(key, "_u").join(top, "_u").drop("_u")
+
+
 def longest_alias(q: Column, phrases) -> Column:
     """Target with the longest whole-word phrase in the text, then the smaller id; empty without one."""
     hit = [(X.contains_any_alias(q, [p]), F.struct(F.lit(-len(p)).alias("n"), F.lit(t).alias("target"))) for t, p in phrases if p.strip()]

@@ -32,7 +32,7 @@ COPIES = 8
 
 
 def with_copies():
-    """The catalog beside copies of it whose names carry a distractor prefix."""
+    """The catalog beside copies of it whose names carry a distractor prefix; `lk_wide` has two hundred."""
     out = list(METRICS)
     for i in range(1, COPIES):
         out += [dict(m, metric_id=f"copy_{i}_{m['metric_id']}", metric_name=f"distractor {i} {m['metric_name']}", aliases=[f"distractor {i} {a}" for a in m["aliases"]]) for m in METRICS]
@@ -47,13 +47,13 @@ def field_values(weights, metrics=METRICS):
     return values(rows, ["metric_id", "field", "w"])
 
 
-def score_sql(weights, phrase, bigram, blanks, name="sc", metrics=METRICS):
+def score_sql(weights, phrase, bigram, blanks, name="sc", metrics=METRICS, requests="@requests"):
     sq = (lambda e: e) if blanks else SQUEEZE
     b = f" + coalesce({bigram} * CAST(w AS DOUBLE) * len(list_intersect(qb, fb)) / nullif(sqrt(len(fb)), 0), 0)" if bigram else ""
-    return f"""u AS (SELECT q, {TOKENS('q')} AS qt, {PAIRS(sq('q'))} AS qb FROM (SELECT DISTINCT lower(trim(nl_query)) AS q FROM @requests r0)),
+    return f"""u AS (SELECT q, {TOKENS('q')} AS qt, {PAIRS(sq('q'))} AS qb FROM (SELECT DISTINCT lower(trim(nl_query)) AS q FROM {requests} r0)),
  fv AS (SELECT *, {TOKENS('field')} AS ft, {PAIRS(sq('field'))} AS fb FROM ({field_values(weights, metrics)}) f0),
  uq AS (SELECT q, metric_id, round(sum({phrase} * CAST(w AS DOUBLE) * contains(q, field)::INT + CAST(w AS DOUBLE) * len(list_intersect(qt, ft)){b}), 6) AS score FROM u JOIN fv ON true GROUP BY 1, 2),
- {name} AS (SELECT request_id, metric_id, score FROM @requests r1 JOIN uq ON uq.q = lower(trim(nl_query)) WHERE score > 0)"""
+ {name} AS (SELECT request_id, metric_id, score FROM {requests} r1 JOIN uq ON uq.q = lower(trim(nl_query)) WHERE score > 0)"""
 
 
 def catalog_fields(t, weights):
@@ -87,8 +87,7 @@ TOP_SQL = "WITH " + score_sql(L.METRIC_WEIGHTS, 5, 1, False) + f", bs AS ({BOOST
 
 
 def ranked(t, k):
-    s = L.boosted(scores(t), t.requests, "request_id", "nl_query", BOOSTS)
-    return L.rank_topk(s, "request_id", k)
+    return L.ranked_texts(t.requests, "request_id", "nl_query", catalog_fields(t, L.METRIC_WEIGHTS), k, BOOSTS)
 
 
 @query("lk_rank_topk", TOP_SQL + " SELECT request_id, metric_id, round(score, 6) AS score, rank FROM tk WHERE rank <= 3")
@@ -245,5 +244,4 @@ def _(t):
 @query("lk_catalog_scale", "WITH " + score_sql(L.PANEL_WEIGHTS, 5, 1, False, metrics=with_copies()) + " SELECT request_id, arg_max(metric_id, (score, metric_id)) AS metric_id FROM sc GROUP BY 1")
 def _(t):
     fields = L.field_rows(rows_of(t.spark, with_copies(), METRIC_SCHEMA), L.PANEL_WEIGHTS)
-    s = L.text_scores(t.spread("requests"), "request_id", "nl_query", fields)
-    return s.groupBy("request_id").agg(F.max_by("metric_id", F.struct("score", "metric_id")).alias("metric_id"))
+    return L.ranked_texts(t.requests, "request_id", "nl_query", fields, 1).select("request_id", "metric_id")
