@@ -334,7 +334,7 @@ BRACKET = re.compile(r"[()]")
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def call_blocks(texts: pd.Series) -> pd.Series:
-    """Calls of known tools that begin a line, each up to the bracket that closes it; one that never closes is none."""
+    """Calls of known tools that begin a line, each up to the bracket that closes it, a cut-off one up to the end of the reply."""
 
     def blocks(text):
         if text is None:
@@ -347,22 +347,29 @@ def call_blocks(texts: pd.Series) -> pd.Series:
             elif opened:
                 closes[opened.pop()] = m.end()
         while m := CALL.search(text, at):
-            end = closes.get(text.index("(", m.start(1)))
-            if end:
-                out.append(text[m.start(1) : end])
-            at = end or m.end()
+            at = closes.get(text.index("(", m.start(1)), len(text))
+            out.append(text[m.start(1) : at].rstrip())
         return out
 
     return texts.map(blocks)
 
 
 def tool_calls(c) -> Column:
-    """@tool(args) blocks of a reply as an array of structs, in order of appearance; brackets nest to any depth."""
-    blocks = call_blocks(c)
+    """@tool(args) blocks of a reply as an array of structs, in order of appearance; brackets nest to any depth.
+
+    A query without quotes, or whose quote is never closed, goes to the end of its call.
+    """
+    blocks = F.when(c.contains("@"), call_blocks(F.when(c.contains("@"), c))).when(c.isNotNull(), F.array().cast("array<string>"))
 
     def arg(block, name):
         return F.regexp_extract(block, rf"{name}\s*[:=]\s*[\"']([^\"']*)[\"']", 1)
 
+    def bare(block):
+        rest = F.regexp_extract(block, r"(?s)query\s*[:=]\s*[\"']*(.*)$", 1)
+        number = lambda ch: F.length(F.replace(block, F.lit(ch), F.lit("")))
+        closed = number("(") == number(")")
+        return F.trim(F.when(closed, F.regexp_replace(rest, r"[\"']*\s*\)$", "")).otherwise(rest))
+
     def call(block):
         long_query = F.regexp_extract(block, r'(?s)query\s*[:=]\s*"""(.*?)"""', 1)
         return F.struct(
@@ -370,7 +377,7 @@ def tool_calls(c) -> Column:
             arg(block, "table").alias("table"),
             arg(block, "column").alias("column"),
             arg(block, "description").alias("description"),
-            F.when(long_query != "", long_query).otherwise(arg(block, "query")).alias("query"),
+            F.when(long_query != "", long_query).when(arg(block, "query") != "", arg(block, "query")).otherwise(bare(block)).alias("query"),
         )
 
     return F.transform(blocks, call)

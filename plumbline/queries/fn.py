@@ -167,12 +167,14 @@ def _(t):
 
 
 CALLS = """SELECT p_partkey, concat('plan', chr(10), chr(64), 'schema_retrieval(table="', p_name, '", column="c', CAST(p_size AS STRING), '", description="', p_type, '")', chr(10), 'text ', chr(64), 'no()', chr(10),
- chr(64), 'sql_draft(query="select count(*) from ', p_brand, '")', chr(10), CASE WHEN p_partkey % 3 = 0 THEN concat(chr(64), 'stop()') ELSE concat(chr(64), 'add_schema(table="t", column="u")') END) AS r, p_name, p_brand, p_type, p_size FROM @part"""
+ chr(64), 'sql_draft(query="select count(*) from ', p_brand, '")', chr(10), CASE WHEN p_partkey % 3 = 0 THEN concat(chr(64), 'stop()') ELSE concat(chr(64), 'add_schema(table="t", column="u")') END,
+ CASE p_partkey % 5 WHEN 1 THEN concat(chr(10), ' ', chr(64), 'sql_execution(query = select max(least(a, 1)) from ', p_brand, ')', chr(10), 'done') WHEN 2 THEN concat(chr(10), chr(64), 'sql_execution(query="select p from (select ', p_brand, chr(10)) ELSE '' END) AS r, p_name, p_brand, p_type, p_size FROM @part"""
 
 
 @query("fn_tool_call_extract", f"""SELECT p_partkey, 0::BIGINT AS pos, 'schema_retrieval' AS tool, p_name AS tbl, 'c' || p_size AS col, p_type AS descr, '' AS q FROM ({CALLS}) a
  UNION ALL SELECT p_partkey, 1, 'sql_draft', '', '', '', 'select count(*) from ' || p_brand FROM ({CALLS}) b
- UNION ALL SELECT p_partkey, 2, CASE WHEN p_partkey % 3 = 0 THEN 'stop' ELSE 'add_schema' END, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 't' END, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'u' END, '', '' FROM ({CALLS}) c""")
+ UNION ALL SELECT p_partkey, 2, CASE WHEN p_partkey % 3 = 0 THEN 'stop' ELSE 'add_schema' END, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 't' END, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'u' END, '', '' FROM ({CALLS}) c
+ UNION ALL SELECT p_partkey, 3, 'sql_execution', '', '', '', CASE p_partkey % 5 WHEN 1 THEN 'select max(least(a, 1)) from ' ELSE 'select p from (select ' END || p_brand FROM ({CALLS}) d WHERE p_partkey % 5 IN (1, 2)""")
 def _(t):
     e = t.sql(CALLS).select("p_partkey", F.posexplode(X.tool_calls(F.col("r"))).alias("pos", "c"))
     return e.select("p_partkey", F.col("pos").cast("bigint").alias("pos"), "c.tool", F.col("c.table").alias("tbl"), F.col("c.column").alias("col"),

@@ -180,6 +180,9 @@ def test_tool_calls_nest_to_any_depth(spark):
     queries = ["select sum(round(x, 1)) from t", "select count(distinct lower(trim(x))) from t", deep, "select 1"]
     reply = "plan (a\n" + "\n".join(f'  @sql_execution(query="{q}")' for q in queries) + '\ntext @sql_draft(query="no")\n@add_schema(table="t",\n column="u")\n@sql_draft(query="open(\n@stop()'
     rows = spark.createDataFrame([(0, reply), (1, None), (2, "")], "id int, r string").select("id", X.tool_calls(F.col("r")).alias("c")).orderBy("id").collect()
-    assert [(c.tool, c.query) for c in rows[0].c] == [*(("sql_execution", q) for q in queries), ("add_schema", ""), ("stop", "")]
+    assert [(c.tool, c.query) for c in rows[0].c] == [*(("sql_execution", q) for q in queries), ("add_schema", ""), ("sql_draft", "open(\n@stop()")]  # cut off: up to the end
     assert (rows[0].c[4].table, rows[0].c[4].column) == ("t", "u")
     assert rows[1].c is None and rows[2].c == []
+    bare = "@sql_draft(query = select max(f(x)) from t)\n@sql_execution(query='select 1\nfrom t"
+    cut = spark.createDataFrame([(bare,)], "r string").select(X.tool_calls(F.col("r")).alias("c")).collect()[0].c
+    assert [(c.tool, c.query) for c in cut] == [("sql_draft", "select max(f(x)) from t"), ("sql_execution", "select 1\nfrom t")]
