@@ -246,7 +246,7 @@ def _(t):
 
 
 @query("ag_provenance_hash", """SELECT 'mismatch' AS kind, case_id AS k, sha256(concat('{"content":"', replace(nl_query, '"', '\\"'), '","role":"user"}')) AS h, NULL::BIGINT AS n FROM @requests r WHERE request_id % 50 = 7
- UNION ALL SELECT 'digest', '', sha256(string_agg(h, ',' ORDER BY b)), sum(n)::BIGINT FROM (SELECT substr(md5(case_id), 1, 3) AS b, sha256(string_agg(case_id, ',' ORDER BY case_id)) AS h, count(*) AS n FROM @requests r GROUP BY 1) z""")
+ UNION ALL SELECT 'digest', '', sha256(concat_ws(',', count(*), """ + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)" for i in range(8)) + """)), count(*) FROM (SELECT DISTINCT sha256(case_id) AS h FROM @requests r) z""")
 def _(t):
     want = F.sha2(F.to_json(F.struct(F.col("nl_query").alias("content"), F.lit("user").alias("role"))), 256)
     r = t.requests.withColumn("expected", want).withColumn("stored", F.when(F.col("request_id") % 50 == 7, F.lit("0")).otherwise(F.col("expected")))

@@ -91,7 +91,7 @@ def plan_sql():
 
 
 @query("mx_plan_execute_log", "WITH " + sql_decisions() + f""", p AS (SELECT metric_id AS metric, resolved_s AS dims, count(*) AS requests FROM (SELECT *, array_to_string(list_sort(string_split(resolved, '|')), '|') AS resolved_s, {sql_failed()} AS f FROM chk) z WHERE f = '' GROUP BY 1, 2),
- f AS (SELECT * FROM {FACT} f0), v AS ({plan_sql()}) SELECT metric, dims, any_value(requests) AS requests, true AS execute_ok, least(count(*), 5)::BIGINT AS row_count, round(max(value), 4) AS top_value FROM v JOIN p USING (metric, dims) GROUP BY 1, 2""")
+ f AS (SELECT * FROM {FACT} f0), v AS ({plan_sql()}) SELECT metric, dims, any_value(requests) AS requests, true AS execute_ok, count(*) AS row_count, round(max(value), 4) AS top_value FROM v JOIN p USING (metric, dims) GROUP BY 1, 2""")
 def _(t):
     plans = checkpointed(accepted(t))
     values = E.values_of(plans, fact(t), DIMS)
