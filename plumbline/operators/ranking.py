@@ -9,7 +9,7 @@ from plumbline.session import checkpointed
 #: Terms of a text whose best targets set its first threshold. Any number gives the same result.
 SEED_TERMS = 6
 #: Share of the threshold that unopened terms may add up to: less opens more posting lists and leaves fewer pairs to score.
-UNOPENED = 0.5
+UNOPENED = 0.25
 #: Scores are rounded to six places; bounds leave room for it.
 MARGIN = 1e-5
 
