@@ -51,18 +51,90 @@ def plan_group(fact: DataFrame, dims: dict, value: Column, top=20) -> DataFrame:
     return grouped.orderBy(F.desc("metric_value"), *dims).limit(top)
 
 
-def grouping_sets(fact: DataFrame, dims: dict, sets, values) -> DataFrame:
-    """Every dimension set of a list in one scan.
+def ancestors_of(d, parents: dict) -> list:
+    """The coarser dimensions that a dimension determines, by a child-to-parent map."""
+    out, at = [], parents.get(d)
+    while at and at not in out:
+        out.append(at)
+        at = parents.get(at)
+    return out
+
+
+def cuboids(sets, sizes: dict, rows, parents=None, share=0.1) -> dict:
+    """Which base cuboid each dimension set is rolled up from: base (a frozenset) -> its sets.
+
+    The size of a cuboid is bounded by the product of the distinct counts of its finest dimensions, and by the rows of
+    the fact; a base also holds what its dimensions determine. Sets merge into a base while it stays within `share` of
+    the fact. Sets that are larger themselves are rolled up from one base of their union.
+    """
+    parents = parents or {}
+    closed = lambda s: frozenset(s).union(*[ancestors_of(d, parents) for d in s])
+
+    def size(s):
+        coarser_ones = {a for d in s for a in ancestors_of(d, parents)}
+        n = 1
+        for d in s - coarser_ones:
+            n = min(rows, n * max(1, sizes[d]))
+        return n
+
+    limit, large = max(1, rows * share), frozenset()
+    small = []
+    every = sorted({tuple(sorted(s)) for s in sets}, key=lambda s: (-size(closed(s)), s))
+    for s in every:
+        c = closed(s)
+        if size(c) > limit:
+            large |= c
+        elif not any(c <= b for b in small):
+            fits = [(size(b | c), i) for i, b in enumerate(small) if size(b | c) <= limit]
+            if fits:
+                small[min(fits)[1]] |= c
+            else:
+                small.append(c)
+    out = {}
+    for s in every:
+        c = closed(s)
+        base = large if size(c) > limit else min((b for b in small if c <= b), key=lambda b: (size(b), sorted(b)))
+        out.setdefault(base, []).append(list(s))
+    return out
+
+
+def dimension_sizes(fact: DataFrame, dims: dict) -> tuple:
+    """(rows, estimated distinct values per dimension) in one scan."""
+    got = fact.agg(F.count(F.lit(1)).alias("_rows"), *[F.approx_count_distinct(F.expr(e)).alias(d) for d, e in dims.items()]).first()
+    return got["_rows"], {d: got[d] for d in dims}
+
+
+def grouping_sets(fact: DataFrame, dims: dict, sets, values, parents=None, share=0.1) -> DataFrame:
+    """Every dimension set of a list in one scan, through a lattice of cuboids.
 
-    Rows are first summed at the finest grain the sets need, so the work that repeats per set is bounded by
-    the domain of the dimensions, not by the fact table. `values` are (name, column) sums.
+    The scan sums the fact into a few base cuboids (see `cuboids`); each set is then rolled up from the rows of its
+    base, so the work that repeats per set is bounded by the base, not by the fact table. `values` are (name, column)
+    sums; `parents` maps a dimension to the coarser one it determines.
     """
-    used = sorted({d for s in sets for d in s})
-    base = fact.groupBy(*[F.expr(dims[d]).alias(d) for d in used]).agg(*[F.sum(c).alias(n) for n, c in values])
-    grouped = base.groupingSets([[F.col(d) for d in s] for s in sets], *[F.col(d) for d in used])
-    out = grouped.agg(*[F.sum(n).alias(n) for n, _ in values], *[F.grouping(d).alias(f"_g_{d}") for d in used])
-    plan = F.concat_ws("|", *[F.when(F.col(f"_g_{d}") == 0, F.lit(d)) for d in used])
-    key = F.concat_ws("|", *[F.when(F.col(f"_g_{d}") == 0, F.coalesce(F.col(d).cast("string"), F.lit(""))) for d in used])
+    wanted = sorted({tuple(sorted(s)) for s in sets})
+    used = sorted({d for s in wanted for d in s})
+    if not used:
+        one = fact.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(n) for n, c in values])
+        return one.filter(F.lit(bool(wanted))).select(F.lit("").alias("dims"), F.lit("").alias("key"), *[n for n, _ in values])
+    known = {d: p for d, p in (parents or {}).items() if p in dims}
+    held = sorted({a for d in used for a in [d, *ancestors_of(d, known)]})
+    rows, sizes = dimension_sizes(fact, {d: dims[d] for d in held})
+    lattice = cuboids(wanted, sizes, rows, known, share)
+    bit = {d: 1 << i for i, d in enumerate(held)}
+    mask = lambda s: sum(bit[d] for d in s)
+    keyed = fact.select(*[F.expr(dims[d]).alias(d) for d in held], *[c.alias(f"_v_{n}") for n, c in values])
+    grouped = keyed.groupingSets([[F.col(d) for d in sorted(b)] for b in lattice], *[F.col(d) for d in held])
+    absent = lambda d: F.when(F.grouping(d) == 0, F.lit(bit[d]).cast("long")).otherwise(F.lit(0).cast("long"))
+    base = grouped.agg(*[F.sum(f"_v_{n}").alias(n) for n, _ in values], sum((absent(d) for d in held), F.lit(0).cast("long")).alias("_base"))
+    rolled = F.lit(None).cast("array<bigint>")
+    for b, own in lattice.items():
+        rolled = F.when(F.col("_base") == mask(b), F.array(*[F.lit(mask(s)).cast("long") for s in own])).otherwise(rolled)
+    each = base.withColumn("_set", F.explode(rolled))
+    in_set = lambda d: F.col("_set").bitwiseAND(F.lit(bit[d]).cast("long")) != 0
+    kept = each.select("_set", *[F.when(in_set(d), F.col(d)).alias(d) for d in held], *[n for n, _ in values])
+    out = kept.groupBy("_set", *held).agg(*[F.sum(n).alias(n) for n, _ in values])
+    plan = F.concat_ws("|", *[F.when(in_set(d), F.lit(d)) for d in held])
+    key = F.concat_ws("|", *[F.when(in_set(d), F.coalesce(F.col(d).cast("string"), F.lit(""))) for d in held])
     return out.select(plan.alias("dims"), key.alias("key"), *[n for n, _ in values])
 
 

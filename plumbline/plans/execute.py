@@ -26,15 +26,15 @@ def metric_rows(grouped: DataFrame, metrics: dict) -> DataFrame:
     return grouped.select("dims", "key", F.explode(F.array(*pairs)).alias("x")).select("dims", "key", "x.*")
 
 
-def values_of(plans: DataFrame, fact: DataFrame, dims: dict) -> DataFrame:
+def values_of(plans: DataFrame, fact: DataFrame, dims: dict, parents=None) -> DataFrame:
     """Values of every (metric, dims) plan: one pass over lines and one over orders."""
     mine = lambda names: plans.filter(F.col("metric").isin(*names))
     lines, orders = mine(list(LINE_METRICS)), mine([*ORDER_METRICS, "customer_count"])
-    by_line = M.grouping_sets(fact, dims, dimension_sets(lines), [(n, F.expr(e)) for n, e in LINE_SUMS.items()])
+    by_line = M.grouping_sets(fact, dims, dimension_sets(lines), [(n, F.expr(e)) for n, e in LINE_SUMS.items()], parents)
     keep = [e for e in ("r_name", "n_name", "c_name", "c_mktsegment", "o_orderdate", "o_orderpriority")]
     heads = fact.groupBy("o_orderkey", "o_custkey", *keep).agg(F.sum(F.expr(LINE_SUMS["rev"])).alias("rev"))
     head_sets = dimension_sets(orders)
-    by_order = M.grouping_sets(heads, dims, head_sets, [("rev", F.col("rev")), ("orders", F.lit(1))])
+    by_order = M.grouping_sets(heads, dims, head_sets, [("rev", F.col("rev")), ("orders", F.lit(1))], parents)
     rows = metric_rows(by_line, LINE_METRICS).unionByName(metric_rows(by_order, ORDER_METRICS)).unionByName(buyers(heads, dims, head_sets))
     return plans.join(rows, ["metric", "dims"])
 

@@ -1,5 +1,7 @@
 """Governed metric execution on the star schema."""
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
@@ -11,6 +13,7 @@ from plumbline.session import checkpointed
 from plumbline.queries.ct import CAT, METRIC_V, decided, sql_decisions, sql_failed
 
 DIMS = {d["dimension_id"]: d["sql"] for d in DIMENSIONS}
+PARENTS = {d["dimension_id"]: d["parent"] for d in DIMENSIONS if d["parent"]}
 R6 = lambda c: F.round(c, 6)
 
 FACT = """(SELECT l.*, o.*, c_name, c_mktsegment, n_name, r_name, p_brand, p_type, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_return, strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%Y-%m') AS month,
@@ -69,10 +72,23 @@ SET_SQL = " UNION ALL ".join(
 
 @query("mx_grouping_sets", f"WITH f AS (SELECT * FROM {FACT} f0) {SET_SQL}")
 def _(t):
-    g = M.grouping_sets(fact(t), DIMS, SETS, [("rev", F.expr("l_extendedprice * (1 - l_discount)")), ("qty", F.col("l_quantity"))])
+    g = M.grouping_sets(fact(t), DIMS, SETS, [("rev", F.expr("l_extendedprice * (1 - l_discount)")), ("qty", F.col("l_quantity"))], PARENTS)
     return g.select("dims", "key", F.round("rev", 4).alias("rev"), F.round("qty", 2).alias("qty"))
 
 
+# All sets of at most four dimensions without the customer, and of at most two others with it: 302.
+LATTICE = [list(s) for n in range(5) for s in combinations(sorted(d for d in DIMS if d != "customer"), n)]
+LATTICE += [["customer", *s] for s in LATTICE if len(s) <= 2]
+LATTICE_SQL = f"""SELECT concat_ws('|', {', '.join(f"CASE WHEN grouping({SQL_DIM[d]}) = 0 THEN '{d}' END" for d in sorted(SQL_DIM))}) AS dims, sum(l_extendedprice * (1 - l_discount)) AS rev, sum(l_quantity) AS qty
+ FROM f GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(SQL_DIM[d] for d in s) + ')' for s in LATTICE)})"""
+
+
+@query("mx_cuboid_lattice", f"WITH f AS (SELECT * FROM {FACT} f0), g AS ({LATTICE_SQL}) SELECT dims, count(*) AS cells, round(max(rev), 4) AS top_rev, round(sum(qty), 2) AS qty FROM g GROUP BY 1")
+def _(t):
+    g = M.grouping_sets(fact(t), DIMS, LATTICE, [("rev", F.expr("l_extendedprice * (1 - l_discount)")), ("qty", F.col("l_quantity"))], PARENTS)
+    return g.groupBy("dims").agg(F.count(F.lit(1)).alias("cells"), F.round(F.max("rev"), 4).alias("top_rev"), F.round(F.sum("qty"), 2).alias("qty"))
+
+
 def accepted(t):
     d = decided(t).filter("decision.action = 'answer'")
     return d.groupBy(F.col("decision.pred_metric_id").alias("metric"), F.array_join(F.sort_array("decision.pred_dimensions"), "|").alias("dims")).agg(F.count(F.lit(1)).alias("requests"))
@@ -94,7 +110,7 @@ def plan_sql():
  f AS (SELECT * FROM {FACT} f0), v AS ({plan_sql()}) SELECT metric, dims, any_value(requests) AS requests, true AS execute_ok, count(*) AS row_count, round(max(value), 4) AS top_value FROM v JOIN p USING (metric, dims) GROUP BY 1, 2""")
 def _(t):
     plans = checkpointed(accepted(t))
-    values = E.values_of(plans, fact(t), DIMS)
+    values = E.values_of(plans, fact(t), DIMS, PARENTS)
     log = E.execution_log(plans, values)
     return log.select("metric", "dims", "requests", "execute_ok", "row_count", F.round("top_value", 4).alias("top_value"))
 
