@@ -310,20 +310,165 @@ def parse_json_array(c, element) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)(\[.*\])", 1), f"array<{element}>")
 
 
+TOKEN = re.compile(r"""\s*(?:(?P<open>[{\[])|(?P<close>[}\]])|(?P<mark>[,:])|(?P<quote>\\?["'])|(?P<list>array\([^()]*\))|(?P<word>[^\s,:{}\[\]"']+))""")
+NUMBER = re.compile(r"(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+LITERALS = {"None": "null", "True": "true", "False": "false", "null": "null", "true": "true", "false": "false"}
+PAIRS = [re.compile(r'"([^"]+)":\s*' + value) for value in (r'"([^"]*)"', r"(\d+\.?\d*)", r"(true|false|null)")]
+
+
+def json_pairs(text: str) -> str:
+    """The simple members found anywhere in a text, as one flat object: of texts that have no structure left."""
+    import json
+
+    plain = re.sub(r"\s+", " ", text).replace('\\"', '"').replace("'", '"')
+    for word in ("None", "True", "False"):
+        plain = plain.replace(word, LITERALS[word])
+    out = {}
+    for kind, pattern in enumerate(PAIRS):
+        for key, value in pattern.findall(plain):
+            if kind or NUMBER.fullmatch(value) or value in ("true", "false", "null"):
+                value = json.loads(value if NUMBER.fullmatch(value) or kind == 2 else f'"{value}"')
+            out.setdefault(key, value)
+    return json.dumps(out, ensure_ascii=False)
+
+
+def quoted_at(text: str, at: int, quote: str, ends: str):
+    """(content, position behind it) of a string whose quote opened before `at`; None when the text ends inside it.
+
+    A quote closes the string if what may follow a string follows it. Another double quote inside is left out.
+    """
+    parts, start = [], at
+    for m in re.compile(r"\\.|" + re.escape(quote[-1]), re.S).finditer(text, at):
+        if m[0] == quote or m[0] == quote[-1]:
+            behind = re.compile(r"\s*").match(text, m.end()).end()
+            if behind == len(text) or text[behind] in ends:
+                parts.append(text[start : m.start()])
+                return "".join(parts), m.end()
+            if m[0] == '"' or m[0] == '\\"':
+                parts.append(text[start : m.start()])
+                start = m.end()
+    return None
+
+
+def json_string(content: str) -> str:
+    plain = re.sub(r"\s+", " ", content).replace("\\'", "'")
+    plain = re.sub(r'\\(?:u[0-9a-fA-F]{4}|["\\/bfnrt])|[\\"]|[\x00-\x1f]', lambda m: m[0] if len(m[0]) > 1 else "\\" + m[0] if m[0] in '\\"' else " ", plain)
+    return f'"{plain}"'
+
+
+def repaired_json(text: str):
+    """A broken object or list as JSON text; see repair_json."""
+    import json
+
+    try:
+        json.loads(text)
+        return text.strip()
+    except (ValueError, RecursionError):
+        pass
+    first = re.search(r"[{\[]", text)
+    if not first:
+        return json_pairs(text)
+    # out holds the pieces of the result; a frame is [closing bracket, where its items start in out, a key waits, a comma came]
+    out, frames, at, ended = [], [], first.start(), False
+
+    def item(frame):
+        frame[1].append(len(out))
+        if len(frame[1]) > 1:
+            out.append(", ")
+
+    def place(piece, is_key):
+        frame = frames[-1]
+        if frame[0] == "}" and not frame[2]:
+            item(frame)
+            out.append((piece if piece.startswith('"') else json_string(piece)) + ": ")
+            frame[2] = True
+            return
+        if not frame[2]:
+            item(frame)
+        out.append(piece)
+        frame[2] = frame[3] = False
+
+    while not ended and (m := TOKEN.match(text, at)):
+        at, kind, token = m.end(), m.lastgroup, m[m.lastgroup]
+        if kind == "open":
+            if frames:
+                if frames[-1][0] == "}" and not frames[-1][2]:
+                    return json_pairs(text)
+                if not frames[-1][2]:
+                    item(frames[-1])
+                frames[-1][2] = frames[-1][3] = False
+            out.append(token)
+            frames.append(["}" if token == "{" else "]", [], False, True])
+        elif kind == "close":
+            if frames[-1][0] != token or frames[-1][2]:
+                return json_pairs(text)
+            out.append(token)
+            frames.pop()
+            ended = not frames
+        elif kind == "mark":
+            frames[-1][3] = True
+        else:
+            wants_key = frames[-1][0] == "}" and not frames[-1][2]
+            if kind == "quote":
+                if not frames[-1][3] and not frames[-1][2] and re.compile(r"\s*(?:[,}\]]|$)").match(text, at):
+                    continue  # a stray quote behind a value
+                found = quoted_at(text, at, token, ":" if wants_key else ",}]")
+                if found is None:
+                    at = len(text)
+                    break
+                content, at = found
+                if wants_key:
+                    place(json_string(content), True)
+                elif content == "null" or NUMBER.fullmatch(content) and (frames[-1][0] == "}" and "e" not in content.lower() or "e" in content.lower()):
+                    place(content, False)
+                else:
+                    place(json_string(content), False)
+            elif kind == "list":
+                place("[]", False)
+            elif wants_key:
+                place(json_string(token), True)
+            else:
+                place(LITERALS.get(token) or (token if re.fullmatch("-?" + NUMBER.pattern, token) else json_string(token)), False)
+    if frames:
+        if frames[-1][2]:
+            del out[frames[-1][1].pop() :]
+            frames[-1][2] = False
+        if out[-1] not in ("}", "]"):
+            # the cut may have shortened the last member: back to the comma before it
+            for level in range(len(frames) - 1, -1, -1):
+                if len(frames[level][1]) > 1:
+                    if frames[level][0] == "}":
+                        del out[frames[level][1].pop() :]
+                        del frames[level + 1 :]
+                    break
+        out += [frame[0] for frame in reversed(frames)]
+    fixed = "".join(out)
+    try:
+        if json.loads(fixed):
+            return fixed
+    except RecursionError:
+        return fixed  # nested too deep for the reader that checks it
+    except ValueError:
+        pass
+    return json_pairs(text)
+
+
+@F.pandas_udf(T.StringType())
+def scanned_json(texts: pd.Series) -> pd.Series:
+    """Broken JSON by the scanner; null where there is nothing to repair."""
+    return texts.map(lambda t: None if t is None else repaired_json(t))
+
+
 def repair_json(c) -> Column:
-    """Quotes, Python constants, dangling tails, missing closers and trailing commas."""
-    t = F.regexp_replace(F.trim(c), r"\s+", " ")
-    t = F.regexp_replace(t, r"array\([^)]*\)", "[]")
-    for old, new in (("'", '"'), ("None", "null"), ("True", "true"), ("False", "false")):
-        t = F.replace(t, F.lit(old), F.lit(new))
-    t = F.regexp_replace(t, '"null"', "null")
-    t = F.regexp_replace(t, r'": "(\d+\.?\d*)"([,}\]])', '": $1$2')
-    t = F.regexp_replace(t, r',\s*"[^"]*":\s*"[^"]*$', "")
-    t = F.regexp_replace(t, r',\s*"[^"]*":\s*[^,}]*$', "")
-    for opener, closer in (("{", "}"), ("[", "]")):
-        count = lambda ch: F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))
-        t = F.concat(t, F.repeat(F.lit(closer), F.greatest(count(opener) - count(closer), F.lit(0))))
-    return F.regexp_replace(t, r",(\s*[}\]])", "$1")
+    """JSON text of a reply's object or list, whatever is broken about it.
+
+    A scanner with a stack reads single, doubled and escaped quotes, Python constants, quoted numbers, `array(...)`, stray
+    quotes and commas, and closes what a cut left open, without the member that the cut ended in. A text without structure
+    gives the simple members found in it as one flat object. Texts that parse stay as they are, inside the engine.
+    """
+    text = F.regexp_replace(c, r"^\s+|\s+$", "")
+    whole = F.try_parse_json(text).isNotNull() & text.rlike(r"(?s)^(?:\{.*\}|\[.*\])$")
+    return F.when(whole, text).otherwise(scanned_json(F.when(~whole, text)))
 
 
 # The tools a reply may call.

@@ -190,6 +190,23 @@ def _(t):
     return t.sql(BROKEN).select("p_partkey", fixed.alias("fixed"), F.get_json_object(fixed, "$.name").alias("name"), F.get_json_object(fixed, "$.n").alias("k"))
 
 
+# One kind of damage per row: escaped quotes, a quote inside a value, an exponent in quotes, a stray quote and no list, no braces.
+DAMAGED = """SELECT p_partkey, p_name, p_size, p_brand, CASE p_partkey % 5
+ WHEN 0 THEN concat(chr(123), chr(92), '"k', chr(92), '": ', chr(92), '"', p_name, chr(92), '", ', chr(92), '"n', chr(92), '": ', CAST(p_size AS STRING), ',', chr(125))
+ WHEN 1 THEN concat(chr(123), '"k": "', p_name, '" or "', p_brand, '", "n": ', CAST(p_size AS STRING), chr(125))
+ WHEN 2 THEN concat(chr(123), '"k": "', p_name, '", "n": "', CAST(p_size AS STRING), 'e0",', chr(125))
+ WHEN 3 THEN concat(chr(123), '"k": "', p_name, '", "l": []", "n": array(1, 2), "m": ', CAST(p_size AS STRING), ', "cut": [', chr(123), '"x": "')
+ ELSE concat('the key "k": "', p_name, '" and "n": ', CAST(p_size AS STRING), ' or "n": 0') END AS r FROM @part"""
+
+
+@query("fn_repair_json_rules", f"""SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN p_name || ' or ' || p_brand ELSE p_name END AS k,
+ CASE p_partkey % 5 WHEN 3 THEN '[]' WHEN 2 THEN p_size || 'e0' ELSE p_size::VARCHAR END AS n, CASE WHEN p_partkey % 5 = 3 THEN '[]' END AS l, CASE WHEN p_partkey % 5 = 3 THEN p_size::VARCHAR END AS m FROM ({DAMAGED}) b""")
+def _(t):
+    fixed = t.sql(DAMAGED).select("p_partkey", X.repair_json(F.col("r")).alias("j"))
+    member = lambda name: F.regexp_extract(F.col("j"), rf'"{name}": (\[\]|[0-9e]+)', 1)
+    return fixed.select("p_partkey", F.get_json_object("j", "$.k").alias("k"), member("n").alias("n"), F.nullif(member("l"), F.lit("")).alias("l"), F.nullif(member("m"), F.lit("")).alias("m"))
+
+
 @query("fn_word_replace", """SELECT request_id, trim(regexp_replace(regexp_replace(' ' || nl_query || ' ', '(?i)([^a-z0-9_])' || d1 || '([^a-z0-9_])', '\\1$A\\2', 'g'), '(?i)([^a-z0-9_])' || d1 || '([^a-z0-9_])', '\\1$A\\2', 'g')) AS q FROM @requests r""")
 def _(t):
     return t.requests.select("request_id", F.trim(X.word_replace(F.col("nl_query"), F.col("d1"), F.lit("$A"))).alias("q"))
