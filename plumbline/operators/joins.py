@@ -140,20 +140,34 @@ def similar_tables(columns: DataFrame, order) -> DataFrame:
     return f.join(first, ["stem", "_f"]).select("tbl", "family", "members")
 
 
+def contained_labels(labels: DataFrame, keys, label, gram=4, part="_part") -> DataFrame:
+    """(keys, label, part) of all labels and the labels of the same keys that they contain, themselves included.
+
+    A label is looked for where its rarest gram is: of its substrings of `gram` characters (a shorter label is its own) the
+    one that the fewest labels of its keys have. So a label brings one row per character and length, not one per substring.
+    """
+    size = F.length(label)
+    cut = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(F.col(label), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    held = labels.filter(size > 0).select(*keys, label, F.explode(F.array_distinct(F.flatten(F.array(*[cut(n) for n in range(1, gram + 1)])))).alias("_g"))
+    own = held.filter(F.length("_g") == F.least(size, F.lit(gram)))
+    shared = held.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = own.join(shared, [*keys, "_g"]).groupBy(*keys, F.col(label).alias(part)).agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g"))
+    return held.join(rarest, [*keys, "_g"]).filter(F.col(label).contains(F.col(part))).select(*keys, label, part)
+
+
 def relationships(columns: DataFrame, links: DataFrame) -> DataFrame:
     """Candidate foreign keys between tables of one database.
 
     Same type, equal or contained names once `id` carries its table's name, exactly one sole key side or any key
-    on one side, not linked already. A contained name is found by an equi join with the parts of the longer one.
+    on one side, not linked already. Contained names are found once per different label, see contained_labels.
     """
     label = F.when(F.lower("col") == "id", F.concat("tbl", F.lit("_id"))).otherwise(F.lower("col"))
     c = columns.filter(F.length("col") > 1).withColumn("label", label)
     side = lambda df, p: df.select("db", "type", *[F.col(x).alias(f"{p}{x}") for x in ("tbl", "col", "label", "is_pk", "sole_pk", "seq")])
-    size = F.length("l_label")
-    cut = lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.substring(F.col("l_label"), i, k))
-    long = side(c, "l_").withColumn("_s", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), cut)))))
-    short = side(c, "s_").withColumn("_s", F.col("s_label"))
-    pairs = long.join(short, ["db", "type", "_s"]).filter("l_tbl <> s_tbl AND NOT (l_sole_pk AND l_is_pk AND s_sole_pk AND s_is_pk) AND (l_is_pk OR s_is_pk)")
+    near = contained_labels(c.select("db", "type", "label").distinct(), ["db", "type"], "label")
+    long = side(c, "l_").join(near.withColumnRenamed("label", "l_label"), ["db", "type", "l_label"])
+    short = side(c, "s_").withColumnRenamed("s_label", "_part")
+    pairs = long.join(short, ["db", "type", "_part"]).filter("l_tbl <> s_tbl AND NOT (l_sole_pk AND l_is_pk AND s_sole_pk AND s_is_pk) AND (l_is_pk OR s_is_pk)")
     # the key side is the first table of the catalog that has one
     left_first = F.col("l_seq") < F.col("s_seq")
     from_left = F.when(F.col("l_is_pk") & F.col("s_is_pk"), left_first).otherwise(F.col("l_is_pk"))
