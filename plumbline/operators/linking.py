@@ -104,8 +104,8 @@ def common_length(a: str, b: str) -> int:
     return len(a) - bin(row).count("1")
 
 
-def token_set_ratio(a: set, b: set) -> float:
-    """0–100: how far two word sets agree once their common words are set aside."""
+def token_set_ratio(a: set, b: set, need=0.0) -> float:
+    """0–100: how far two word sets agree once their common words are set aside; exact from `need` on, below it any less."""
     if not a or not b:
         return 0.0
     both, left, right = sorted(a & b), " ".join(sorted(a - b)), " ".join(sorted(b - a))
@@ -115,34 +115,104 @@ def token_set_ratio(a: set, b: set) -> float:
     gap = 1 if base else 0
     la, lb = base + gap + len(left), base + gap + len(right)
     total = la + lb
-    best = 100 * (1 - (len(left) + len(right) - 2 * common_length(left, right)) / total)
-    if base:
-        best = max(best, 100 * (1 - (gap + len(left)) / (base + la)), 100 * (1 - (gap + len(right)) / (base + lb)))
+    best = max(100 * (1 - (gap + len(left)) / (base + la)), 100 * (1 - (gap + len(right)) / (base + lb))) if base else 0.0
+    if 100 * (1 - abs(len(left) - len(right)) / total) >= max(best, need - 1e-9):
+        best = max(best, 100 * (1 - (len(left) + len(right) - 2 * common_length(left, right)) / total))
     return best
 
 
-def fuzzy_links(texts: DataFrame, text, metric_aliases, dimension_aliases, metric_floor=60.0, dimension_floor=85.0) -> DataFrame:
-    """Best metric and all dimensions per distinct text by word-set similarity to bounded alias lists."""
+#: Texts and aliases of one block.
+TEXT_BLOCK, ALIAS_BLOCK = 2048, 4096
+
+
+def alias_words(s) -> set:
     import re
 
-    assert len(metric_aliases) + len(dimension_aliases) <= MAX_INLINE
-    words = lambda s: set(re.sub(r"(?ui)\W", " ", s or "").lower().split())
-    size = lambda s: len(re.sub(r"(?ui)\W", " ", s).lower().strip())
-    metrics = [(m, words(a), size(a)) for m, a in metric_aliases]
-    dims = [(d, words(a)) for d, a in dimension_aliases]
-
-    @F.pandas_udf("metric_id string, score double, dimensions array<string>")
-    def link(qs: pd.Series) -> pd.DataFrame:
-        out = []
-        for q in qs:
-            w = words(q)
-            score, _, metric = min((-token_set_ratio(w, a), -n, m) for m, a, n in metrics)
-            near = sorted({d for d, a in dims if token_set_ratio(w, a) >= dimension_floor})
-            out.append((metric if -score >= metric_floor else "", -score, near))
-        return pd.DataFrame(out, columns=["metric_id", "score", "dimensions"])
-
-    once = texts.select(text).distinct()
-    return once.select(text, link(text).alias("l")).select(text, "l.*")
+    return set(re.sub(r"(?ui)\W", " ", s or "").lower().split())
+
+
+def fuzzy_block(texts, aliases: pd.DataFrame, dimension_floor) -> list:
+    """(score, -length, id of the best metric, near dimensions) of each text over one block of aliases (kind, id, alias).
+
+    Aliases that share a word with a text are scored. Of the others those are whose letters, in whatever order, could
+    reach the best score so far (a dimension: the floor).
+    """
+    import re
+
+    kinds, ids = aliases["kind"].tolist(), aliases["id"].tolist()
+    words = [alias_words(a) for a in aliases["alias"]]
+    sizes = [len(re.sub(r"(?ui)\W", " ", a or "").lower().strip()) for a in aliases["alias"]]
+    plain = [" ".join(sorted(w)) for w in words]
+    column = {ch: i for i, ch in enumerate(sorted(set("".join(plain))))}
+    letters = np.zeros((len(plain), len(column)), np.int32)
+    holders = {}
+    for i, text in enumerate(plain):
+        for ch in text:
+            letters[i, column[ch]] += 1
+        for w in words[i]:
+            holders.setdefault(w, []).append(i)
+    lengths = np.array([len(x) for x in plain], float)
+    metric = np.array([k == "m" for k in kinds], bool)
+    out = []
+    for q in texts:
+        w = alias_words(q)
+        joined = " ".join(sorted(w))
+        mine = np.zeros(len(column), np.int32)
+        for ch in joined:
+            if ch in column:
+                mine[column[ch]] += 1
+        total = len(joined) + lengths
+        bound = 200 * np.minimum(letters, mine).sum(axis=1) / np.where(total > 0, total, 1)
+        bound[sorted({i for x in w for i in holders.get(x, ())})] = 200.0  # scored in any case
+        best, near = (1.0, 0, ""), set()
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < min(-best[0], dimension_floor) - 1e-9:
+                break
+            if metric[i]:
+                if bound[i] >= -best[0] - 1e-9:
+                    best = min(best, (-token_set_ratio(w, words[i], -best[0]), -sizes[i], ids[i]))
+            elif ids[i] not in near and bound[i] >= dimension_floor - 1e-9 and token_set_ratio(w, words[i], dimension_floor) >= dimension_floor:
+                near.add(ids[i])
+        out.append((-best[0], best[1], best[2], sorted(near)))
+    return out
+
+
+def fuzzy_links(texts: DataFrame, text, aliases: DataFrame, metric_floor=60.0, dimension_floor=85.0) -> DataFrame:
+    """Best metric and all dimensions per distinct text by word-set similarity, for alias tables of any size.
+
+    `aliases` holds (kind, id, alias), kind 'm' or 'd'. A few aliases go with every batch of texts; of more, blocks of
+    texts meet blocks of aliases in tasks of their own, and one row per text and block is merged. Ties of the best metric
+    go to the longer alias, then to the smaller id. Without aliases of metrics the score is 0.
+    """
+    schema = "q string, score double, length long, id string, near array<string>"
+    once, table = texts.select(F.col(text).alias("q")).distinct(), aliases.select("kind", "id", "alias").distinct()
+
+    def frame(qs, block):
+        found = fuzzy_block(qs, block, dimension_floor)
+        return pd.DataFrame([(q, *f) for q, f in zip(qs, found)], columns=["q", "score", "length", "id", "near"])
+
+    few = table.limit(MAX_INLINE + 1).collect()
+    if len(few) <= MAX_INLINE:
+        block = pd.DataFrame([tuple(r) for r in few], columns=["kind", "id", "alias"])
+
+        def linked(batches):
+            for b in batches:
+                yield frame(b["q"].tolist(), block)
+
+        parts = once.mapInPandas(linked, schema)
+    else:
+        n_q, n_a = max(1, -(-once.count() // TEXT_BLOCK)), -(-table.count() // ALIAS_BLOCK)
+        deal = lambda key, n: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = once.select(deal(["q"], n_q).alias("qb"), every(n_a).alias("ab"), "q")
+        right = table.select(every(n_q).alias("qb"), deal(["kind", "id", "alias"], n_a).alias("ab"), "kind", "id", "alias")
+        meet = lambda qs, block: frame(qs["q"].tolist(), block)
+        parts = left.groupBy("qb", "ab").cogroup(right.groupBy("qb", "ab")).applyInPandas(meet, schema)
+    # a block without a metric says -1, so that it loses to any that has one
+    best = F.min(F.struct((-F.col("score")).alias("s"), "length", "id"))
+    merged = parts.groupBy("q").agg(best.alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("dimensions"))
+    score = F.greatest(-F.col("b.s"), F.lit(0.0))
+    return merged.select(F.col("q").alias(text), F.when(score >= metric_floor, F.col("b.id")).otherwise("").alias("metric_id"), score.alias("score"), "dimensions")
 
 
 # --- dimensions ---------------------------------------------------------------------------------

@@ -116,7 +116,8 @@ FUZZY_ALIASES = values([("m", m["metric_id"], a) for m in METRICS for a in m["al
 PLAIN = lambda e: f"trim(lower(regexp_replace({e}, '[^\\p{{L}}\\p{{N}}_]', ' ', 'g')))"
 WORD_SET = lambda e: f"list_sort(list_distinct(list_filter(string_split(regexp_replace({PLAIN(e)}, '\\s+', ' ', 'g'), ' '), lambda x: x <> '')))"
 # The longest common subsequence by bits: a row of ones loses a bit per letter that is matched.
-FUZZY = f"""WITH n AS (SELECT request_id, replace(nl_query, 'ue', 'eu') AS q FROM @requests r), u AS (SELECT DISTINCT q, {WORD_SET('q')} AS w FROM n), al AS (SELECT kind, id, {WORD_SET('alias')} AS a, len({PLAIN('alias')}) AS size FROM ({FUZZY_ALIASES}) v),
+def fuzzy_sql(aliases):
+    return f"""WITH n AS (SELECT request_id, replace(nl_query, 'ue', 'eu') AS q FROM @requests r), u AS (SELECT DISTINCT q, {WORD_SET('q')} AS w FROM n), al AS (SELECT kind, id, {WORD_SET('alias')} AS a, len({PLAIN('alias')}) AS size FROM ({aliases}) v),
  p AS (SELECT q, kind, id, size, len(w) = 0 OR len(a) = 0 AS nothing, array_to_string(list_filter(w, lambda x: list_contains(a, x)), ' ') AS b, array_to_string(list_filter(w, lambda x: NOT list_contains(a, x)), ' ') AS l,
   array_to_string(list_filter(a, lambda x: NOT list_contains(w, x)), ' ') AS r FROM u CROSS JOIN al),
  m AS (SELECT *, (1::HUGEINT << len(r)) - 1 AS ones, list_transform(string_split(l, ''), lambda c: coalesce(list_sum(list_transform(range(0, len(r)), lambda i: CASE WHEN r[i + 1] = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END)), 0)::HUGEINT) AS masks FROM p),
@@ -129,10 +130,22 @@ FUZZY = f"""WITH n AS (SELECT request_id, replace(nl_query, 'ue', 'eu') AS q FRO
  SELECT request_id, CASE WHEN score >= 60 THEN id ELSE '' END AS metric_id, round(score, 6) AS score, coalesce(dims, '') AS dims FROM n JOIN top USING (q) LEFT JOIN d USING (q)"""
 
 
-@query("lk_fuzzy_alias", FUZZY)
+@query("lk_fuzzy_alias", fuzzy_sql(FUZZY_ALIASES))
 def _(t):
     noisy = t.requests.select("request_id", F.regexp_replace("nl_query", "ue", "eu").alias("q"))
-    links = L.fuzzy_links(scale.spread(noisy, "q"), "q", [(m["metric_id"], a) for m in METRICS for a in m["aliases"]], [(d["dimension_id"], a) for d in DIMENSIONS for a in d["aliases"]])
+    links = L.fuzzy_links(scale.spread(noisy, "q"), "q", t.sql(FUZZY_ALIASES))
+    return noisy.join(links, "q").select("request_id", "metric_id", F.round("score", 6).alias("score"), J("dimensions").alias("dims"))
+
+
+# Every alias of every metric said of every nation and region, beside the plain ones.
+WIDE_ALIASES = f"""SELECT kind, id, alias FROM ({FUZZY_ALIASES}) v UNION ALL SELECT kind, concat(id, ':', place), concat(alias, ' in ', lower(place)) FROM ({FUZZY_ALIASES}) w
+ CROSS JOIN (SELECT n_name AS place FROM @nation UNION ALL SELECT r_name FROM @region) p WHERE kind = 'm'"""
+
+
+@query("lk_fuzzy_alias_wide", fuzzy_sql(WIDE_ALIASES))
+def _(t):
+    noisy = t.requests.select("request_id", F.regexp_replace("nl_query", "ue", "eu").alias("q"))
+    links = L.fuzzy_links(scale.spread(noisy, "q"), "q", t.sql(WIDE_ALIASES))
     return noisy.join(links, "q").select("request_id", "metric_id", F.round("score", 6).alias("score"), J("dimensions").alias("dims"))
 
 
