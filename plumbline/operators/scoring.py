@@ -210,6 +210,18 @@ def verdict_drift(stored: DataFrame, recomputed: DataFrame, on) -> DataFrame:
     return a.join(b, on).filter((F.col("old_pass") != F.col("new_pass")) | (F.col("old_types") != F.col("new_types")))
 
 
+def scorer_crosscheck(mine: DataFrame, released: DataFrame, keys, metrics, within=1e-9) -> DataFrame:
+    """Recomputed against released scores: the largest difference per key and whether it is one.
+
+    Metrics that a release lacks (null) are not compared; a key it lacks altogether says so.
+    """
+    theirs = released.select(*keys, F.lit(True).alias("_known"), *[F.col(m).cast("double").alias(f"_{m}") for m in metrics])
+    gaps = [F.abs(F.col(m) - F.col(f"_{m}")) for m in metrics]
+    largest = F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
+    status = F.when(F.col("_known").isNull(), "mode_not_in_released_results").when(F.coalesce("max_abs_diff", F.lit(0.0)) < within, "match").otherwise("MISMATCH")
+    return mine.join(theirs, list(keys), "left").withColumn("max_abs_diff", largest).select(*keys, "max_abs_diff", status.alias("status"))
+
+
 def id_digest(ids: DataFrame, key) -> DataFrame:
     """One digest of an id set that merges: the eight 32-bit parts of each id's sha256 are summed, then hashed with their number.
 

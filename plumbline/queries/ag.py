@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators import contract as C, filters as P, scoring as S
+from plumbline.operators import contract as C, filters as P, scale, scoring as S
 from plumbline.plans.governed import POLICIES
 from plumbline.queries import query
-from plumbline.queries.ct import CAT, DEC, LIST, decided, violations, PLAN_DEC, TRIG_RAW
+from plumbline.queries.ct import CAT, DEC, LIST, decided, violations, PLAN_DEC, TRIG_RAW, plan_dec
 
 SET = lambda c: f"list_filter(string_split({c}, '|'), lambda x: x <> '')"
 SAME = f"list_sort({SET('pred_dims')}) = list_sort({SET('expected_dims')})"
@@ -214,20 +214,27 @@ def _(t):
     return every.rollup("layer").agg(F.sum("n").alias("n"))
 
 
-@query("ag_scorer_crosscheck", f"""SELECT mode, abs(a - b) < 1e-9 AS matches FROM (SELECT mode, avg(jo::INT) AS a, sum(jo::INT)::DOUBLE / count(*) + CASE WHEN mode = 'schema' THEN 0.001 ELSE 0 END AS b FROM {FL} f GROUP BY 1) z""")
+# What a release printed: scores with three places, of its own copy of the labels, without one of the modes.
+RELEASED = {"metric_accuracy": "pred_metric_id = expected_metric_id", "joint_accuracy": "pred_metric_id = expected_metric_id AND same_dims"}
+RELEASED_SQL = "SELECT mode, " + ", ".join(f"round(sum(CASE WHEN {c} THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 3) AS {n}" for n, c in RELEASED.items()) + f""",
+ round(sum(CASE WHEN er AND refused THEN 1 ELSE 0 END) / CAST(sum(CASE WHEN er THEN 1 ELSE 0 END) AS DOUBLE), 3) AS refusal_recall FROM (SELECT *, expected_action = 'refuse' AS er, action = 'refuse' OR pred_metric_id = '' AS refused, pred_dims = expected_dims AS same_dims FROM @scored s0) s WHERE mode <> 'schema' GROUP BY mode"""
+
+
+@query("ag_scorer_crosscheck", f"""WITH mine AS (SELECT mode, avg(mo::INT) AS a, avg(jo::INT) AS b, {CNT('refused AND er')} / greatest(1, {CNT('er')})::DOUBLE AS c FROM {FL} f GROUP BY 1), old AS ({RELEASED_SQL}),
+ d AS (SELECT mode, greatest(abs(round(a, 6) - metric_accuracy), abs(round(b, 6) - joint_accuracy), abs(round(c, 6) - refusal_recall)) AS diff FROM mine LEFT JOIN old USING (mode))
+ SELECT mode, round(diff, 6) AS max_abs_diff, CASE WHEN diff IS NULL THEN 'mode_not_in_released_results' WHEN diff < 1e-9 THEN 'match' ELSE 'MISMATCH' END AS status FROM d""")
 def _(t):
-    f = flags(t)
-    again = f.groupBy("mode").agg(F.avg(F.col("joint_ok").cast("int")).alias("a"))
-    stored = f.groupBy("mode").agg((S.yes(F.col("joint_ok")) / F.count(F.lit(1)) + F.when(F.col("mode") == "schema", 0.001).otherwise(0.0)).alias("b"))
-    return again.join(stored, "mode").select("mode", (F.abs(F.col("a") - F.col("b")) < 1e-9).alias("matches"))
+    gold = t.gold.select("request_id", "expected_action", "expected_metric_id", "expected_dims")
+    own = t.fx("scored").drop("expected_action", "expected_metric_id", "expected_dims").join(gold, "request_id")
+    mine = S.flagged(arrays(own)).groupBy("mode").agg(*S.score_columns())
+    checked = S.scorer_crosscheck(mine, t.sql(RELEASED_SQL), ["mode"], ["metric_accuracy", "joint_accuracy", "refusal_recall"])
+    return checked.select("mode", F.round("max_abs_diff", 6).alias("max_abs_diff"), "status")
 
 
 GOLD_PLAN = "SELECT request_id, nl_query, expected_action AS action, expected_metric_id AS metric_id, expected_dims AS dims, 'ok' AS parse_status FROM @labelled l"
 
 
-@query("ag_gold_soundness", PLAN_DEC.replace("SELECT request_id, nl_query, CASE WHEN request_id % 19 = 4 THEN 'refuse' ELSE 'answer' END AS action, CASE request_id % 23 WHEN 1 THEN '' WHEN 2 THEN 'ghost' ELSE g_metric END AS metric_id,\n CASE request_id % 4 WHEN 0 THEN d1 WHEN 1 THEN 'region|nation' WHEN 2 THEN concat(d1, '|planet') ELSE 'part_type' END AS dims, CASE WHEN request_id % 37 = 0 THEN 'parse_error' ELSE 'ok' END AS parse_status FROM @requests r0", GOLD_PLAN)
- .replace("SELECT request_id, 'finest_grain_violation', 'region>nation' FROM ok WHERE dims = 'region|nation'", "SELECT request_id, 'finest_grain_violation', c.anc || '>' || c.dim FROM ok JOIN pd a USING (request_id) JOIN pd b USING (request_id) JOIN closure c ON c.dim = a.d AND c.anc = b.d")
- .replace(", pd AS (", f", closure AS (SELECT * FROM ({__import__('plumbline.queries.ct', fromlist=['CLOSURE']).CLOSURE}) cl), pd AS (", 1)
+@query("ag_gold_soundness", plan_dec(GOLD_PLAN)
  + """ SELECT query_family, count(*) AS n, count(v.request_id) AS flagged, count(*) FILTER ((ts IS NOT NULL) <> (expected_action = 'refuse')) AS trigger_mismatch FROM @labelled l LEFT JOIN (SELECT DISTINCT request_id FROM vio) v USING (request_id) LEFT JOIN th USING (request_id) GROUP BY 1""")
 def _(t):
     g = t.spread("labelled").select("request_id", "nl_query", "query_family", F.col("expected_action").alias("action"), F.col("expected_metric_id").alias("pred_metric_id"), LIST("expected_dims").alias("pred_dimensions"), F.lit("ok").alias("parse_status"))
@@ -237,12 +244,20 @@ def _(t):
     return v.groupBy("query_family").agg(F.count(F.lit(1)).alias("n"), S.yes(F.size("violations") > 0).alias("flagged"), S.yes(hit != (F.col("action") == "refuse")).alias("trigger_mismatch"))
 
 
-@query("ag_verdict_drift", """SELECT request_id, round, violations AS old_types, CASE WHEN request_id % 10 = 3 THEN '' ELSE violations END AS new_types FROM @rounds r WHERE request_id % 10 = 3 AND violations <> ''""")
+# The plan of every round that has one, numbered so that rounds stay apart.
+ROUND_PLAN = "SELECT request_id * 10 + round AS request_id, nl_query, action, pred_metric_id AS metric_id, pred_dims AS dims, 'ok' AS parse_status FROM @rounds r0 WHERE has_prediction"
+
+
+@query("ag_verdict_drift", plan_dec(ROUND_PLAN) + """, now AS (SELECT request_id, string_agg(type, '|' ORDER BY type) AS types FROM vio GROUP BY 1),
+ d AS (SELECT x.request_id, round, array_to_string(list_sort(list_filter(string_split(violations, '|'), lambda v: v <> '')), '|') AS old_types, coalesce(types, '') AS new_types FROM @rounds x LEFT JOIN now ON now.request_id = x.request_id * 10 + round WHERE has_prediction)
+ SELECT request_id, round, old_types = '' AS old_pass, new_types = '' AS new_pass, old_types, new_types FROM d WHERE old_types <> new_types""")
 def _(t):
-    r = t.rounds.select("request_id", "round", LIST("violations").alias("types"))
-    stored = r.withColumn("passed", F.size("types") == 0)
-    again = r.withColumn("types", F.when(F.col("request_id") % 10 == 3, F.array().cast("array<string>")).otherwise(F.col("types"))).withColumn("passed", F.size("types") == 0)
-    return S.verdict_drift(stored, again, ["request_id", "round"]).select("request_id", "round", F.array_join("old_types", "|").alias("old_types"), F.array_join("new_types", "|").alias("new_types"))
+    r = t.rounds.filter("has_prediction").withColumn("pred_dimensions", LIST("pred_dims")).withColumn("parse_status", F.lit("ok"))
+    stored = r.withColumn("types", LIST("violations")).withColumn("passed", F.size("types") == 0)
+    plans = scale.spread(r, "request_id").select("request_id", "round", "nl_query", "action", "pred_metric_id", "pred_dimensions", "parse_status")
+    again = C.validate_plans(plans, C.contract_of(t.spark, CAT), CAT, P.trigger_rows(POLICIES, strip=False), ["profit_margin"])
+    found = again.withColumn("types", F.transform("violations", lambda v: v["type"])).withColumn("passed", F.size("types") == 0)
+    return S.verdict_drift(stored, found, ["request_id", "round"]).select("request_id", "round", "old_pass", "new_pass", F.array_join("old_types", "|").alias("old_types"), F.array_join("new_types", "|").alias("new_types"))
 
 
 @query("ag_provenance_hash", """SELECT 'mismatch' AS kind, case_id AS k, sha256(concat('{"content":"', replace(nl_query, '"', '\\"'), '","role":"user"}')) AS h, NULL::BIGINT AS n FROM @requests r WHERE request_id % 50 = 7

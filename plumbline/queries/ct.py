@@ -307,7 +307,9 @@ def _(t):
 PLANS = """SELECT request_id, nl_query, CASE WHEN request_id % 19 = 4 THEN 'refuse' ELSE 'answer' END AS action, CASE request_id % 23 WHEN 1 THEN '' WHEN 2 THEN 'ghost' ELSE g_metric END AS metric_id,
  CASE request_id % 4 WHEN 0 THEN d1 WHEN 1 THEN 'region|nation' WHEN 2 THEN concat(d1, '|planet') ELSE 'part_type' END AS dims, CASE WHEN request_id % 37 = 0 THEN 'parse_error' ELSE 'ok' END AS parse_status FROM @requests r0"""
 TRIG_RAW = values([(t, t.lower()) for t in dict.fromkeys(x[1] for x in P.trigger_rows(POLICIES, strip=False))], ["trig", "needle"])
-PLAN_DEC = "WITH " + sql_decisions(PLANS) + f""", pd AS (SELECT request_id, d FROM (SELECT request_id, unnest(string_split(dims, '|')) AS d FROM r) u WHERE d <> ''),
+def plan_dec(plans):
+    """Decisions and violations of plans (request_id, nl_query, action, metric_id, dims, parse_status)."""
+    return "WITH " + sql_decisions(plans) + f""", closure AS (SELECT * FROM ({CLOSURE}) cl), pd AS (SELECT request_id, d FROM (SELECT request_id, unnest(string_split(dims, '|')) AS d FROM r) u WHERE d <> ''),
  ok AS (SELECT r.*, metric_id IN (SELECT metric_id FROM mv) AS known FROM r WHERE parse_status = 'ok' AND action = 'answer'),
  th AS (SELECT request_id, string_agg(trig, ',' ORDER BY trig) AS ts FROM r JOIN ({TRIG_RAW}) t ON contains(lower(trim(nl_query)), needle) GROUP BY 1),
  vio AS (SELECT request_id, 'output_not_parseable' AS type, parse_status AS detail FROM r WHERE parse_status <> 'ok'
@@ -317,13 +319,16 @@ PLAN_DEC = "WITH " + sql_decisions(PLANS) + f""", pd AS (SELECT request_id, d FR
   UNION ALL SELECT request_id, 'unanswerable_metric', metric_id FROM ok WHERE metric_id = 'profit_margin'
   UNION ALL SELECT request_id, 'dimension_not_in_catalog', d FROM ok JOIN pd USING (request_id) WHERE d = 'planet'
   UNION ALL SELECT request_id, 'dimension_not_allowed', d FROM ok JOIN pd USING (request_id) JOIN mv USING (metric_id) WHERE d <> 'planet' AND allowed <> '' AND NOT list_contains(string_split(allowed, '|'), d)
-  UNION ALL SELECT request_id, 'finest_grain_violation', 'region>nation' FROM ok WHERE dims = 'region|nation'
+  UNION ALL SELECT request_id, 'finest_grain_violation', c.anc || '>' || c.dim FROM ok JOIN pd a USING (request_id) JOIN pd b USING (request_id) JOIN closure c ON c.dim = a.d AND c.anc = b.d
   UNION ALL SELECT request_id, 'missed_refusal', ts FROM ok JOIN th USING (request_id)
   UNION ALL SELECT request_id, 'physical_coverage_failure', 'p_type' FROM ok JOIN pd USING (request_id) WHERE known AND d = 'part_type'
   UNION ALL SELECT request_id, 'temporal_anchor_failure', anchor FROM ok JOIN tm USING (request_id) JOIN (SELECT request_id, time_ok FROM chk) c USING (request_id) WHERE known AND NOT time_ok
   UNION ALL SELECT request_id, 'missed_refusal', 'policy' FROM ok LEFT JOIN th USING (request_id) JOIN ph USING (request_id) WHERE known AND ts IS NULL)"""
 
 
+PLAN_DEC = plan_dec(PLANS)
+
+
 def plans(t):
     p = t.spread(PLANS).withColumn("pred_metric_id", F.col("metric_id")).withColumn("pred_dimensions", LIST("dims")).drop("metric_id", "dims")
     return p
