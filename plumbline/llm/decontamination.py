@@ -6,10 +6,14 @@ two neighbours together, so that any such passage falls into one; regions that m
 alignment of the whole item. q is 8, but smaller for short items whose bound would be 0: the largest that gives 1, which
 is m // (e + 1); each q has an index of its own. Texts are compared in lower case with runs of white space as one blank.
 
+Items of fewer than 8 bytes are looked for as whole words, without edits.
+
 The benchmark is sent to the executors in blocks of at most BLOCK_BYTES; each block is one scan of the documents.
 """
 
 import math
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -149,37 +153,58 @@ def scan(docs: list[bytes], index: Index):
         yield d, index.ids[i], distance, start, end
 
 
+def whole_words(docs: list[bytes], short: dict[bytes, list[int]]):
+    """(document's place, item id, 0, start, end) of the first place where a short item stands as whole words of a document."""
+    lengths = sorted({text.count(b" ") + 1 for text in short})
+    for d, body in enumerate(docs):
+        spans = [m.span() for m in re.finditer(rb"[^ ]+", body)]
+        found = {}
+        for n in lengths:
+            for first, last in zip(spans, spans[n - 1 :]):
+                if last[1] - first[0] < Q:
+                    text = body[first[0] : last[1]]
+                    if text in short:
+                        found.setdefault(text, (first[0], last[1]))
+        for text, (start, end) in found.items():
+            for i in short[text]:
+                yield d, i, 0, start, end
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, rate=0.1, id_col="doc_id", text_col="text", key_col=None) -> DataFrame:
     """One row for each document and benchmark item it holds within rate * (bytes of the item) edits.
 
     doc_id, item_id, distance (edits), start and end (bytes of the normalised text) of the nearest passage. Clean
-    documents have no row. Items of under 8 bytes, empty or null, can't be told from chance and are left out; null or
-    empty texts hold nothing. Repeated rows are each reported; null ids stay null; other columns are ignored but for
+    documents have no row. Items of fewer than 8 bytes are held by documents that have them as whole words, unchanged but
+    for case and white space; empty or null ones by none; null or empty texts hold nothing. Repeated rows are each reported; null ids stay null; other columns are ignored but for
     `key_col`, if given: it is handed through as `row_key`.
     """
     spark = df.sparkSession
     ddl = "doc_id long,item_id long,distance int,start long,end long" + ",row_key long" * bool(key_col)
     schema = arrow_schema(ddl)
-    items = durable(benchmark.filter(F.octet_length("text") >= Q).select("item_id", "text"))
+    items = durable(benchmark.filter(F.octet_length("text") > 0).select("item_id", "text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     texts = text_of(df, id_col, text_col, key_col)
 
     def one(block):
         rows = [(r.item_id, normal(r.text)) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toLocalIterator()]
-        rows = [(i, t) for i, t in rows if len(t) >= Q]
+        rows = [(i, t) for i, t in rows if t]
         if not rows:
             return spark.createDataFrame([], ddl)
         sent = spark.sparkContext.broadcast(rows)  # about BLOCK_BYTES
 
         def run(batches):
-            made = indexes(sent.value, rate)
+            made = indexes([(i, t) for i, t in sent.value if len(t) >= Q], rate)
+            short = {}
+            for i, t in sent.value:
+                if len(t) < Q:
+                    short.setdefault(t, []).append(i)
             for batch in batches:
                 out, held, size = [], [], 0
 
                 def flush():
                     bodies = [t for _, t, *_ in held]
-                    for d, i, distance, start, end in (row for index in made for row in scan(bodies, index)):
+                    for d, i, distance, start, end in chain(*(scan(bodies, index) for index in made), whole_words(bodies, short) if short else ()):
                         out.append((held[d][0], i, distance, start, end, *held[d][2:]))
 
                 for doc_id, text, *key in zip(*(c.to_pylist() for c in batch.columns)):

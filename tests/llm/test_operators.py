@@ -243,6 +243,8 @@ def test_decontamination(spark, monkeypatch):
                 d = edits(a, dc.normal(text or ""))
                 if d <= int(len(a) * 0.1):
                     want.append((doc_id, item_id, d))
+            elif a and b" " + a + b" " in b" " + dc.normal(text or "") + b" ":
+                want.append((doc_id, item_id, 0))
     assert got == sorted(want, key=repr)
     monkeypatch.setattr(dc, "BLOCK_BYTES", 100)  # the benchmark in blocks
     assert sorted_rows(dc.contaminated(frame(spark, rows), bench), "doc_id", "item_id", "distance") == got
@@ -519,3 +521,22 @@ def test_decontamination_of_short_items(spark):
     assert len(want) == sum(len(x) // 10 + 1 for _, x in items)
     out = contaminated(frame(spark, docs), frame(spark, items, "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id, r.distance) for r in out.collect()) == want
+
+
+def test_decontamination_of_very_short_items(spark):
+    from plumbline.llm import decontamination as dc
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 3)))
+    items = [(i, rng.choice([" ", "  "]).join(word() for _ in range(rng.randint(1, 4)))) for i in range(60)] + [(90, "Ab"), (91, " "), (92, None), (93, "abababa")]
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(40)] + [(50, "ab"), (50, "ab"), (51, None), (None, "x\n AB\t."), (52, "abababa"), (53, "abababab")]
+    want = []
+    for d, t in docs:
+        text = b" " + dc.normal(t or "") + b" "
+        for i, x in items:
+            a = dc.normal(x or "")
+            if a and len(a) < dc.Q and b" " + a + b" " in text:
+                at = text.index(b" " + a + b" ")
+                want.append((d, i, 0, at, at + len(a)))
+    got = dc.contaminated(frame(spark, docs), frame(spark, [(i, x) for i, x in items if len(dc.normal(x or "")) < dc.Q], "item_id long, text string"))
+    assert sorted_rows(got, "doc_id", "item_id", "distance", "start", "end") == sorted(want, key=repr) and len(want) > 100
