@@ -8,6 +8,9 @@ from plumbline.operators import scale
 GRAINS = ["hour", "day", "week", "month", "quarter", "year"]
 GRAIN_PARENT = {"hour": "day", "day": "month", "week": "", "month": "quarter", "quarter": "year", "year": ""}
 
+# Groups that one task of a dealt fact holds, on average.
+GROUPS_IN_TASK = 1_000_000
+
 
 def simple_aggregates(value, flag) -> list:
     """The aggregates a metric may name, except the order statistics."""
@@ -60,6 +63,15 @@ def ancestors_of(d, parents: dict) -> list:
     return out
 
 
+def cuboid_size(s, sizes: dict, rows, parents: dict) -> int:
+    """Upper bound of the rows of a cuboid: the product of the distinct counts of its finest dimensions."""
+    coarser_ones = {a for d in s for a in ancestors_of(d, parents)}
+    n = 1
+    for d in s - coarser_ones:
+        n = min(rows, n * max(1, sizes[d]))
+    return n
+
+
 def cuboids(sets, sizes: dict, rows, parents=None, share=0.1) -> dict:
     """Which base cuboid each dimension set is rolled up from: base (a frozenset) -> its sets.
 
@@ -69,14 +81,7 @@ def cuboids(sets, sizes: dict, rows, parents=None, share=0.1) -> dict:
     """
     parents = parents or {}
     closed = lambda s: frozenset(s).union(*[ancestors_of(d, parents) for d in s])
-
-    def size(s):
-        coarser_ones = {a for d in s for a in ancestors_of(d, parents)}
-        n = 1
-        for d in s - coarser_ones:
-            n = min(rows, n * max(1, sizes[d]))
-        return n
-
+    size = lambda s: cuboid_size(s, sizes, rows, parents)
     limit, large = max(1, rows * share), frozenset()
     small = []
     every = sorted({tuple(sorted(s)) for s in sets}, key=lambda s: (-size(closed(s)), s))
@@ -98,6 +103,27 @@ def cuboids(sets, sizes: dict, rows, parents=None, share=0.1) -> dict:
     return out
 
 
+def hubs(lattice: dict, sizes: dict, rows, parents: dict, share=0.1, least=1000) -> tuple:
+    """(lattice, hub dimension -> its sets): the sets of a base above its share that have a dimension of many values.
+
+    All sets with one such dimension are grouped in place once the fact is dealt by it, so the fact moves once for all of
+    them and not once per set. What stays shares a base of what is left.
+    """
+    out, dealt = {}, {}
+    for base, own in lattice.items():
+        rest = own
+        if cuboid_size(base, sizes, rows, parents) > max(1, rows * share):
+            hub = lambda s: max(((sizes[d], d) for d in s), default=(0, None))
+            for s in own:
+                if hub(s)[0] >= least:
+                    dealt.setdefault(hub(s)[1], []).append(s)
+            rest = [s for s in own if hub(s)[0] < least]
+            base = frozenset(d for s in rest for e in s for d in [e, *ancestors_of(e, parents)])
+        if rest:
+            out.setdefault(base, []).extend(rest)
+    return out, dealt
+
+
 def dimension_sizes(fact: DataFrame, dims: dict) -> tuple:
     """(rows, estimated distinct values per dimension) in one scan."""
     got = fact.agg(F.count(F.lit(1)).alias("_rows"), *[F.approx_count_distinct(F.expr(e)).alias(d) for d, e in dims.items()]).first()
@@ -108,7 +134,8 @@ def grouping_sets(fact: DataFrame, dims: dict, sets, values, parents=None, share
     """Every dimension set of a list in one scan, through a lattice of cuboids.
 
     The scan sums the fact into a few base cuboids (see `cuboids`); each set is then rolled up from the rows of its
-    base, so the work that repeats per set is bounded by the base, not by the fact table. `values` are (name, column)
+    base, so the work that repeats per set is bounded by the base, not by the fact table. Sets that are nearly as large as
+    the fact are grouped in place where the fact is dealt by their largest dimension (see `hubs`). `values` are (name, column)
     sums; `parents` maps a dimension to the coarser one it determines.
     """
     wanted = sorted({tuple(sorted(s)) for s in sets})
@@ -119,20 +146,31 @@ def grouping_sets(fact: DataFrame, dims: dict, sets, values, parents=None, share
     known = {d: p for d, p in (parents or {}).items() if p in dims}
     held = sorted({a for d in used for a in [d, *ancestors_of(d, known)]})
     rows, sizes = dimension_sizes(fact, {d: dims[d] for d in held})
-    lattice = cuboids(wanted, sizes, rows, known, share)
+    lattice, dealt = hubs(cuboids(wanted, sizes, rows, known, share), sizes, rows, known, share)
     bit = {d: 1 << i for i, d in enumerate(held)}
     mask = lambda s: sum(bit[d] for d in s)
-    keyed = fact.select(*[F.expr(dims[d]).alias(d) for d in held], *[c.alias(f"_v_{n}") for n, c in values])
-    grouped = keyed.groupingSets([[F.col(d) for d in sorted(b)] for b in lattice], *[F.col(d) for d in held])
-    absent = lambda d: F.when(F.grouping(d) == 0, F.lit(bit[d]).cast("long")).otherwise(F.lit(0).cast("long"))
-    base = grouped.agg(*[F.sum(f"_v_{n}").alias(n) for n, _ in values], sum((absent(d) for d in held), F.lit(0).cast("long")).alias("_base"))
-    rolled = F.lit(None).cast("array<bigint>")
-    for b, own in lattice.items():
-        rolled = F.when(F.col("_base") == mask(b), F.array(*[F.lit(mask(s)).cast("long") for s in own])).otherwise(rolled)
-    each = base.withColumn("_set", F.explode(rolled))
+    masks = lambda own: F.array(*[F.lit(mask(s)).cast("long") for s in own])
     in_set = lambda d: F.col("_set").bitwiseAND(F.lit(bit[d]).cast("long")) != 0
-    kept = each.select("_set", *[F.when(in_set(d), F.col(d)).alias(d) for d in held], *[n for n, _ in values])
-    out = kept.groupBy("_set", *held).agg(*[F.sum(n).alias(n) for n, _ in values])
+    keyed = fact.select(*[F.expr(dims[d]).alias(d) for d in held], *[c.alias(f"_v_{n}") for n, c in values])
+    parts = []
+    for hub, own in dealt.items():
+        # as many partitions as keep the groups of one in memory
+        each = keyed.repartition(1 + rows * len(own) // GROUPS_IN_TASK, F.col(hub)).withColumn("_set", F.explode(masks(own)))
+        kept = each.select("_set", *[F.col(d) if d == hub else F.when(in_set(d), F.col(d)).alias(d) for d in held], *[f"_v_{n}" for n, _ in values])
+        parts.append(kept.groupBy("_set", *held).agg(*[F.sum(f"_v_{n}").alias(n) for n, _ in values]))
+    if lattice:
+        grouped = keyed.groupingSets([[F.col(d) for d in sorted(b)] for b in lattice], *[F.col(d) for d in held])
+        absent = lambda d: F.when(F.grouping(d) == 0, F.lit(bit[d]).cast("long")).otherwise(F.lit(0).cast("long"))
+        base = grouped.agg(*[F.sum(f"_v_{n}").alias(n) for n, _ in values], sum((absent(d) for d in held), F.lit(0).cast("long")).alias("_base"))
+        rolled = F.lit(None).cast("array<bigint>")
+        for b, own in lattice.items():
+            rolled = F.when(F.col("_base") == mask(b), masks(own)).otherwise(rolled)
+        each = base.withColumn("_set", F.explode(rolled))
+        kept = each.select("_set", *[F.when(in_set(d), F.col(d)).alias(d) for d in held], *[n for n, _ in values])
+        parts.append(kept.groupBy("_set", *held).agg(*[F.sum(n).alias(n) for n, _ in values]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     plan = F.concat_ws("|", *[F.when(in_set(d), F.lit(d)) for d in held])
     key = F.concat_ws("|", *[F.when(in_set(d), F.coalesce(F.col(d).cast("string"), F.lit(""))) for d in held])
     return out.select(plan.alias("dims"), key.alias("key"), *[n for n, _ in values])

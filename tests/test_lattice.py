@@ -54,3 +54,18 @@ def test_lattice_is_grouping_per_set(spark):
         assert sorted(tuple(r) for r in got.collect()) == want
     assert M.grouping_sets(df, {c: c for c in cols}, [[]], [("v", F.col("v"))]).collect()[0]["v"] == sum(r[-1] for r in rows)
     assert M.grouping_sets(df.limit(0), {c: c for c in cols}, [["city"]], [("v", F.col("v"))]).count() == 0
+
+
+def test_sets_with_a_large_dimension_move_the_fact_once(spark, monkeypatch):
+    monkeypatch.setattr(M, "GROUPS_IN_TASK", 2000)
+    df = spark.range(3000).select((F.col("id") % 1500).cast("string").alias("buyer"), (F.col("id") % 7).cast("string").alias("a"), (F.col("id") % 11).cast("string").alias("b"), F.when(F.col("id") % 13 > 0, "x").alias("c"), F.col("id").alias("v"))
+    sets = [["buyer", "a"], ["buyer", "b"], ["buyer", "c"], ["buyer", "a", "b"], ["a"], ["b", "c"]]
+    got = M.grouping_sets(df, {c: c for c in ("a", "b", "c", "buyer")}, sets, [("v", F.col("v"))])
+    want = []
+    for s in sets:
+        s = sorted(s)
+        want += [("|".join(s), "|".join("" if r[d] is None else r[d] for d in s), r["v"]) for r in df.groupBy(*s).agg(F.sum("v").alias("v")).collect()]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # the fact by its buyer, and the two small sets by base and by set
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Exchange hashpartitioning(buyer") == 1
