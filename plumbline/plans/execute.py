@@ -35,18 +35,21 @@ def values_of(plans: DataFrame, fact: DataFrame, dims: dict, parents=None) -> Da
     heads = fact.groupBy("o_orderkey", "o_custkey", *keep).agg(F.sum(F.expr(LINE_SUMS["rev"])).alias("rev"))
     head_sets = dimension_sets(orders)
     by_order = M.grouping_sets(heads, dims, head_sets, [("rev", F.col("rev")), ("orders", F.lit(1))], parents)
-    rows = metric_rows(by_line, LINE_METRICS).unionByName(metric_rows(by_order, ORDER_METRICS)).unionByName(buyers(heads, dims, head_sets))
+    rows = metric_rows(by_line, LINE_METRICS).unionByName(metric_rows(by_order, ORDER_METRICS)).unionByName(buyers(heads, dims, dimension_sets(mine(["customer_count"]))))
     return plans.join(rows, ["metric", "dims"])
 
 
 def buyers(heads: DataFrame, dims: dict, sets) -> DataFrame:
-    """Distinct customers per dimension set: one row per customer and set key, then a count."""
+    """Distinct customers per dimension set, counted in place where the orders are dealt by customer; only counts move on."""
     used = sorted({d for s in sets for d in s})
-    base = heads.select("o_custkey", *[F.expr(dims[d]).alias(d) for d in used]).distinct()
-    grouped = base.groupingSets([[F.col("o_custkey"), *[F.col(d) for d in s]] for s in sets], F.col("o_custkey"), *[F.col(d) for d in used])
-    g = grouped.agg(*[F.grouping(d).alias(f"_g_{d}") for d in used])
-    plan = F.concat_ws("|", *[F.when(F.col(f"_g_{d}") == 0, F.lit(d)) for d in used])
-    key = F.concat_ws("|", *[F.when(F.col(f"_g_{d}") == 0, F.coalesce(F.col(d).cast("string"), F.lit(""))) for d in used])
+    bit = {d: 1 << i for i, d in enumerate(used)}
+    masks = F.array(*[F.lit(sum(bit[d] for d in s)) for s in sets]).cast("array<bigint>")
+    in_set = lambda d: F.col("_set").bitwiseAND(F.lit(bit[d]).cast("long")) != 0
+    base = heads.select("o_custkey", *[F.expr(dims[d]).alias(d) for d in used]).repartition("o_custkey").distinct()
+    each = base.withColumn("_set", F.explode(masks))
+    plan = F.concat_ws("|", *[F.when(in_set(d), F.lit(d)) for d in used])
+    key = F.concat_ws("|", *[F.when(in_set(d), F.coalesce(F.col(d).cast("string"), F.lit(""))) for d in used])
+    g = each.select("o_custkey", "_set", *[F.when(in_set(d), F.col(d)).alias(d) for d in used]).distinct()
     return g.groupBy(plan.alias("dims"), key.alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("metric", F.lit("customer_count"))
 
 
