@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import contract as C, scale, windows as WN
@@ -255,11 +255,12 @@ def preference_pairs(preds: DataFrame, item, variant, seed) -> DataFrame:
 
     `preds` has beam, label, out, same_result and text. Items have a handful of predictions each.
     """
-    agree, same = F.col("out") == F.col("label"), F.col("same_result")
-    good, bad = PAIR_RULES[variant](agree, same)
-    d = preds.withColumn("_d", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(item).cast("string"), F.col("beam").cast("string"))))
-    side = lambda cond, name: F.sort_array(F.array_compact(F.collect_list(F.when(cond, F.struct("_d", "beam", "text"))))).alias(name)
-    g = d.groupBy(item, "label").agg(side(good, "good"), side(bad, "bad"))
+    # one collection serves every variant, so that queries with several of them share its exchange
+    g = preds.groupBy(item, "label").agg(F.collect_list(F.struct("beam", "text", "out", "same_result")).alias("_all"))
+    draw = lambda x: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(item).cast("string"), x["beam"].cast("string")))
+    g = g.withColumn("_all", F.sort_array(F.transform("_all", lambda x: F.struct(draw(x).alias("_d"), x["beam"].alias("beam"), x["text"].alias("text"), x["out"].alias("out"), x["same_result"].alias("same_result")))))
+    side = lambda i: F.filter("_all", lambda x: PAIR_RULES[variant](x["out"] == F.col("label"), x["same_result"])[i])
+    g = g.select(item, "label", side(0).alias("good"), side(1).alias("bad"))
     n = F.least(F.size("good"), F.size("bad"))
     z = g.filter(n > 0).select(item, "label", F.posexplode(F.arrays_zip(F.slice("good", F.lit(1), n).alias("c"), F.slice("bad", F.lit(1), n).alias("r"))).alias("rank", "x"))
     z = z.select(item, "label", "rank", F.col("x.c.beam").alias("chosen"), F.col("x.r.beam").alias("rejected"), F.col("x.c.text").alias("chosen_text"), F.col("x.r.text").alias("rejected_text"))
@@ -272,10 +273,20 @@ def preference_pairs(preds: DataFrame, item, variant, seed) -> DataFrame:
 
 
 def balanced(pairs: DataFrame, label, key, seed) -> DataFrame:
-    """Equal numbers of each label by draw order."""
-    counts = pairs.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("cap"))
-    d = drawn(pairs, seed, key, [label]).withColumn("_k", F.lit(1))
-    return d.join(counts.withColumn("_k", F.lit(1)), "_k").filter("draw_rank <= cap").drop("_k", "cap", "draw_rank")
+    """Equal numbers of each label by draw order; there are few labels.
+
+    Counts per draw bucket say which buckets are drawn whole; only rows of the bucket where a label ends are ranked, so
+    the pairs themselves are not shuffled.
+    """
+    d = pairs.withColumn("_draw", scale.draw_key(seed, key)).withColumn("_b", scale.draw_bucket(F.col("_draw")))
+    counts = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    cap = counts.groupBy(label).agg(F.sum("_n").alias("n")).agg(F.min("n").alias("_cap"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(label).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    room = counts.withColumn("_left", before).crossJoin(cap).select(label, "_b", "_n", (F.col("_cap") - F.col("_left")).alias("_left")).filter("_left > 0")
+    # at most 65,536 buckets a label
+    j = d.join(F.broadcast(room), [label, "_b"])
+    last = scale.first_k(j.filter("_n > _left"), [label, "_b"], ["_draw", key], F.col("_left"), "_at")
+    return j.filter("_n <= _left").unionByName(last.drop("_at")).drop("_draw", "_b", "_n", "_left")
 
 
 # --- texts --------------------------------------------------------------------------------------
