@@ -155,15 +155,20 @@ def contained_labels(labels: DataFrame, keys, label, gram=4, part="_part") -> Da
     """(keys, label, part) of all labels and the labels of the same keys that they contain, themselves included.
 
     A label is looked for where its rarest gram is: of its substrings of `gram` characters (a shorter label is its own) the
-    one that the fewest labels of its keys have. So a label brings one row per character and length, not one per substring.
+    one that the fewest labels of its keys have. So a label brings one row per character and length, not one per substring. Rows of grams compress so well that the
+    planner takes them for small; they are merged, not broadcast.
     """
     size = F.length(label)
     cut = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(F.col(label), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     held = labels.filter(size > 0).select(*keys, label, F.explode(F.array_distinct(F.flatten(F.array(*[cut(n) for n in range(1, gram + 1)])))).alias("_g"))
     own = held.filter(F.length("_g") == F.least(size, F.lit(gram)))
     shared = held.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = own.join(shared, [*keys, "_g"]).groupBy(*keys, F.col(label).alias(part)).agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g"))
-    return held.join(rarest, [*keys, "_g"]).filter(F.col(label).contains(F.col(part))).select(*keys, label, part)
+    rarest = own.join(shared.hint("merge"), [*keys, "_g"]).groupBy(*keys, F.col(label).alias(part)).agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g"))
+    return held.join(rarest.hint("merge"), [*keys, "_g"]).filter(F.col(label).contains(F.col(part))).select(*keys, label, part)
+
+
+#: Rows of the containing side that one task pairs with all rows of a label.
+PAIR_BLOCK = 4096
 
 
 def relationships(columns: DataFrame, links: DataFrame) -> DataFrame:
@@ -171,22 +176,38 @@ def relationships(columns: DataFrame, links: DataFrame) -> DataFrame:
 
     Same type, equal or contained names once `id` carries its table's name, exactly one sole key side or any key
     on one side, not linked already. Contained names are found once per different label, see contained_labels.
+
+    Pairs stream out of their join: a column knows the tables it is linked to, and a pair comes once by the way it is
+    made, so only those of columns that are listed in several ways are told apart afterwards. Columns of a frequent label
+    are dealt into blocks, each of which meets all that the label holds.
     """
     label = F.when(F.lower("col") == "id", F.concat("tbl", F.lit("_id"))).otherwise(F.lower("col"))
-    c = columns.filter(F.length("col") > 1).withColumn("label", label)
-    side = lambda df, p: df.select("db", "type", *[F.col(x).alias(f"{p}{x}") for x in ("tbl", "col", "label", "is_pk", "sole_pk", "seq")])
-    near = contained_labels(c.select("db", "type", "label").distinct(), ["db", "type"], "label")
+    c = columns.filter(F.length("col") > 1).select("db", "type", "tbl", "col", label.alias("label"), "is_pk", "sole_pk", "seq").distinct()
+    near = contained_labels(c.select("db", "type", "label").distinct(), ["db", "type"], "label").hint("merge")
+    linked = links.groupBy("db", F.col("fk_tbl").alias("tbl"), F.col("fk_col").alias("col")).agg(F.collect_set("pk_tbl").alias("linked")).hint("merge")
+    c = c.withColumn("several", F.count(F.lit(1)).over(W.partitionBy("db", "tbl", "col")) > 1).join(linked, ["db", "tbl", "col"], "left")
+    side = lambda df, p: df.select("db", "type", *[F.col(x).alias(f"{p}{x}") for x in ("tbl", "col", "label", "is_pk", "sole_pk", "seq", "several", "linked")])
     long = side(c, "l_").join(near.withColumnRenamed("label", "l_label"), ["db", "type", "l_label"])
     short = side(c, "s_").withColumnRenamed("s_label", "_part")
-    pairs = long.join(short, ["db", "type", "_part"]).filter("l_tbl <> s_tbl AND NOT (l_sole_pk AND l_is_pk AND s_sole_pk AND s_is_pk) AND (l_is_pk OR s_is_pk)")
+    blocks = long.groupBy("db", "type", "_part").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_blocks")).hint("merge")
+    long = long.join(blocks, ["db", "type", "_part"]).withColumn("_block", F.pmod(F.xxhash64("l_tbl", "l_col"), F.col("_blocks")).cast("int")).drop("_blocks")
+    short = short.join(blocks, ["db", "type", "_part"]).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    # equal labels meet both ways round, which comes to the same unless two keys have no order
+    is_key = lambda p: F.coalesce(f"{p}_is_pk", F.lit(False))
+    again = (F.col("l_label") == F.col("_part")) & (~is_key("l") | (is_key("s") & F.coalesce(F.col("s_seq") < F.col("l_seq"), F.lit(False))))
     # the key side is the first table of the catalog that has one
     left_first = F.col("l_seq") < F.col("s_seq")
     from_left = F.when(F.col("l_is_pk") & F.col("s_is_pk"), left_first).otherwise(F.col("l_is_pk"))
-    out = pairs.select(
-        "db", F.when(from_left, F.col("l_tbl")).otherwise(F.col("s_tbl")).alias("pk_tbl"), F.when(from_left, F.col("l_col")).otherwise(F.col("s_col")).alias("pk_col"),
-        F.when(from_left, F.col("s_tbl")).otherwise(F.col("l_tbl")).alias("fk_tbl"), F.when(from_left, F.col("s_col")).otherwise(F.col("l_col")).alias("fk_col"),
-    ).distinct()
-    return out.join(links, ["db", "pk_tbl", "fk_tbl", "fk_col"], "left_anti")
+    pick = lambda yes, no, x: F.when(from_left, F.col(f"{yes}_{x}")).otherwise(F.col(f"{no}_{x}"))
+
+    def met(left, right):
+        pairs = left.join(right.hint("merge"), ["db", "type", "_part", "_block"]).filter("l_tbl <> s_tbl AND NOT (l_sole_pk AND l_is_pk AND s_sole_pk AND s_is_pk) AND (l_is_pk OR s_is_pk)")
+        out = pairs.filter(~again).select(
+            "db", pick("l", "s", "tbl").alias("pk_tbl"), pick("l", "s", "col").alias("pk_col"), pick("s", "l", "tbl").alias("fk_tbl"), pick("s", "l", "col").alias("fk_col"), pick("s", "l", "linked").alias("_linked"))
+        return out.filter(~F.coalesce(F.array_contains("_linked", F.col("pk_tbl")), F.lit(False))).drop("_linked")
+
+    once, twice = (lambda df, p: df.filter(~F.col(f"{p}_several"))), (lambda df, p: df.filter(f"{p}_several"))
+    return met(once(long, "l"), once(short, "s")).union(met(twice(long, "l"), short).union(met(once(long, "l"), twice(short, "s"))).distinct())
 
 
 def next_in_group(df: DataFrame, keys, pos, bucket) -> DataFrame:
