@@ -23,7 +23,7 @@ def _(t):
     path = S.scratch(t.spark)
     doc = F.to_json(F.struct(F.col("s_name").alias("dataset_id"), F.create_map(F.concat(F.lit("a"), "s_nationkey"), F.array("n_name")).alias("time_aliases")))
     docs = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.replace(doc, F.lit(","), F.concat(F.lit(","), F.lit("\n"))).alias("value"))
-    docs.write.partitionBy("s_suppkey").text(path)
+    S.write_docs(docs, "s_suppkey", "value", path)
     got = R.json_doc(t.spark, path, PROFILE_SCHEMA).unionByName(R.json_doc(t.spark, path + "-absent", PROFILE_SCHEMA), allowMissingColumns=True)
     return got.select("dataset_id", F.explode("time_aliases").alias("anchor", "a")).select("dataset_id", "anchor", F.explode("a").alias("alias"))
 

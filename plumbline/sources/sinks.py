@@ -21,6 +21,18 @@ def write_jsonl(df: DataFrame, path, mode="errorifexists"):
     df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode(mode).text(path)
 
 
+#: Documents of one file.
+DOCS_A_FILE = 1000
+
+
+def write_docs(docs: DataFrame, key, text, path):
+    """JSON documents, one of each key, as files that hold a list of some of them: their number does not become one of files."""
+    one = docs.groupBy(key).agg(F.first(text, ignorenulls=True).alias("_d")).filter(F.col("_d").isNotNull())
+    files = F.pmod(F.xxhash64(key), F.lit(-(-docs.count() // DOCS_A_FILE) or 1)).alias("_f")
+    lists = one.groupBy(files).agg(F.concat(F.lit("["), F.array_join(F.collect_list("_d"), ",\n"), F.lit("]")).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def pending(df: DataFrame, log: DataFrame, key) -> DataFrame:
     """Rows whose key the log does not hold yet."""
     return df.join(log.select(key).distinct(), key, "left_anti")
