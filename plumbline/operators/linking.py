@@ -248,8 +248,16 @@ def group_cue_dimensions(requests: DataFrame, key, text, columns: DataFrame, lim
 # --- vectors ------------------------------------------------------------------------------------
 
 
-#: Queries and vectors of one block, and the queries whose distances to a block of vectors are held at a time.
-QUERY_BLOCK, VECTOR_BLOCK, AT_ONCE = 2048, 16_384, 64
+#: Queries and vectors of a small block, either of the largest, blocks of a side between the two, and distances held at a time.
+QUERY_BLOCK, VECTOR_BLOCK, LARGE_BLOCK, DEALT, AT_ONCE = 2048, 2048, 65_536, 12, 1 << 20
+
+
+def blocks_of(n: int, small: int) -> int:
+    """Blocks of one side: small ones up to DEALT, then as many that grow up to the largest, then as many of those as it takes.
+
+    A side goes to every block of the other, so with a fixed number of blocks the rows moved grow as the tables do.
+    """
+    return max(1, min(-(-n // small), DEALT), -(-n // LARGE_BLOCK))
 
 
 def nearest_of(q: np.ndarray, qids, v: np.ndarray, names: np.ndarray, k: int):
@@ -260,8 +268,9 @@ def nearest_of(q: np.ndarray, qids, v: np.ndarray, names: np.ndarray, k: int):
     if not len(v):
         return [], [], []
     out_q, out_n, out_d, vv, k = [], [], [], (v * v).sum(axis=1), min(k, len(v))
-    for at in range(0, len(q), AT_ONCE):
-        part = q[at : at + AT_ONCE]
+    step = max(1, AT_ONCE // len(v))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
         qq = (part * part).sum(axis=1)
         rough = np.maximum(qq[:, None] + vv[None] - 2 * (part @ v.T), 0)
         # distances that round alike, and what the product may be off by
@@ -283,8 +292,9 @@ def vector_topk(vectors: DataFrame, vec_id, embedding, queries: DataFrame, k, qu
     queries meets each block of vectors in a task of its own, and only k rows per query and block are shuffled on.
     """
     schema = T.StructType([queries.schema[query_id], vectors.schema[vec_id], T.StructField("distance", T.DoubleType())])
-    v = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).cast("array<double>").alias("v"))
-    q = queries.select(query_id, F.col("vector").cast("array<double>").alias("q"))
+    v = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).alias("v"))
+    q = queries.select(query_id, F.col("vector").alias("q"))
+    # vectors travel in the type they have and are measured in doubles
     matrix = lambda column: np.stack(column.to_numpy()).astype("float64")
     frame = lambda found: pd.DataFrame(dict(zip((query_id, vec_id, "distance"), found)))
     asked = q.count()
@@ -298,7 +308,7 @@ def vector_topk(vectors: DataFrame, vec_id, embedding, queries: DataFrame, k, qu
                     yield frame(nearest_of(few, ids, matrix(b["v"]), b["id"].to_numpy(), k))
 
         return scale.first_k(v.mapInPandas(nearest, schema), [query_id], ["distance", vec_id], k)
-    n_q, n_v = -(-asked // QUERY_BLOCK), max(1, -(-v.count() // VECTOR_BLOCK))
+    n_q, n_v = blocks_of(asked, QUERY_BLOCK), blocks_of(v.count(), VECTOR_BLOCK)
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.select(deal(query_id, n_q).alias("qb"), every(n_v).alias("vb"), F.col(query_id).alias("qid"), "q")

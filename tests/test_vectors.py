@@ -24,3 +24,9 @@ def test_blocks_find_the_nearest(spark, monkeypatch, asked):
         want = sorted(zip(d.tolist(), range(len(v))))[:7]
         assert [got[f"q{i}"][k + 1] for k in range(7)] == [(n, dist) for dist, n in want]
     assert L.vector_topk(vectors.filter("false"), "vec_id", "embedding", queries, 7).count() == 0
+
+
+def test_moved_vectors_grow_as_the_table():
+    few, many = L.blocks_of(88_000, L.QUERY_BLOCK), L.blocks_of(528_000, L.QUERY_BLOCK)
+    assert few == many == 12 and L.blocks_of(10_000_000, L.VECTOR_BLOCK) == 153
+    assert [L.blocks_of(n, 100) for n in (0, 1, 700)] == [1, 1, 7]
