@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import contract as C, scale
+from plumbline.sources.catalog import MAX_INLINE
 
 OUT = "struct<tbl:string,col:string,agg:string>"
 PRED = "struct<tbl:string,col:string,op:string,literal:string,negated:boolean>"
@@ -63,14 +64,22 @@ def extract_facts(df: DataFrame, sql="sql") -> DataFrame:
 def resolve_columns(facts: DataFrame, key, schema: DataFrame) -> DataFrame:
     """Replace aliases by tables and give unqualified outputs the first table of the query that owns the column.
 
-    `schema` has tbl and col, in lower case.
+    `schema` has tbl and col, in lower case. One of up to MAX_INLINE columns becomes an expression: the facts are then read
+    once and not shuffled. Rows without a key keep their unqualified outputs.
     """
     real = F.map_from_entries(F.transform("aliases", lambda a: F.struct(a["a"], a["t"])))
     f = facts.withColumn("_real", real)
     named = lambda c: F.transform(c, lambda x: x.withField("tbl", F.coalesce(F.try_element_at("_real", x["tbl"]), x["tbl"])))
     f = f.withColumn("outs", named("outs")).withColumn("preds", named("preds"))
+    columns = schema.select("tbl", "col").filter("tbl IS NOT NULL AND col IS NOT NULL").distinct()
+    known = columns.limit(MAX_INLINE + 1).collect()
+    if len(known) <= MAX_INLINE:
+        owned = {c: sorted(r["tbl"] for r in known if r["col"] == c) for c in sorted({r["col"] for r in known})}
+        where = F.create_map(*[x for c, ts in owned.items() for x in (F.lit(c), F.array(*[F.lit(t) for t in ts]))]) if owned else F.lit(None).cast("map<string,array<string>>")
+        owner = lambda o: F.get(F.array_intersect("tables", F.try_element_at(where, o["col"])), F.lit(0))
+        return f.withColumn("outs", F.transform("outs", lambda o: o.withField("tbl", F.coalesce(o["tbl"], F.when(F.col(key).isNotNull(), owner(o)))))).drop("_real")
     need = f.select(key, F.explode(F.filter("outs", lambda o: o["tbl"].isNull())).alias("o"), "tables").select(key, F.col("o.col").alias("col"), F.posexplode("tables").alias("at", "tbl"))
-    owner = need.join(schema.select("tbl", "col").distinct(), ["tbl", "col"])
+    owner = need.join(columns, ["tbl", "col"])
     # outputs and tables of one query are few
     owners = owner.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("at", "tbl", "col"))).alias("_own"))
     j = f.join(owners, key, "left")
