@@ -357,11 +357,19 @@ def validate_plans(plans: DataFrame, contract: DataFrame, catalog: Catalog, trig
     """
     asked = plans.withColumn("metric_id", F.col("pred_metric_id")).withColumn("requested", F.col("pred_dimensions"))
     j = compile_requests(asked, contract, catalog, form=form, keep=("_known", "_allowed", "_unknown", "_above"))
-    hits = P.substring_hits(F.lower(F.trim("nl_query")), triggers)
+    checks, rules = F.col("decision.trace.checks"), ("caliber", "coverage", "time", "policy")
+    # what several rules read is computed once and below them; arrays are put together by functions that are compiled
+    j = scale.fenced(j.select(
+        *plans.columns, "_known", "_allowed", "_unknown", "_above", *[(checks[f]["active"] & ~checks[f]["passed"]).alias(f"_no_{f}") for f in rules],
+        checks["coverage"]["missing"].alias("_missing"), checks["time"]["detected"].alias("_detected"),
+        P.substring_hits(F.lower(F.trim("nl_query")), triggers).alias("_hits"),
+    ), "_hits")
+    hit, no_hit = F.size("_hits") > 0, F.size("_hits") == 0
     broken = F.col("parse_status").isin("parse_error", "api_error", "missing")
     refused = F.col("action") == "refuse"
     metric, chosen = F.col("pred_metric_id"), F.col("pred_dimensions")
     known, allowed = F.col("_known"), F.col("_allowed")
+    none = F.array().cast("array<struct<type:string,detail:string>>")
     row = lambda kind, detail: F.struct(F.lit(kind).alias("type"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"))
     one = lambda cond, kind, detail: F.when(cond, F.array(row(kind, detail)))
     each = lambda values, kind: F.transform(values, lambda v: row(kind, v))
@@ -369,7 +377,6 @@ def validate_plans(plans: DataFrame, contract: DataFrame, catalog: Catalog, trig
     barred = F.when(known & (F.size(allowed) > 0), F.array_except(F.filter(chosen, lambda d: ~strange(d)), allowed)).otherwise(no_strings())
     clashes = F.flatten(F.transform(F.sort_array("_above"), lambda x: F.transform(
         F.array_intersect(F.sort_array(x["up"]), chosen), lambda a: row("finest_grain_violation", F.concat(a, F.lit(">"), x["d"])))))
-    failing = lambda f: F.col(f"decision.trace.checks.{f}.active") & ~F.col(f"decision.trace.checks.{f}.passed")
     answer = [
         F.when(metric == "", F.array(row("answer_without_metric", "")))
         .when(~known & (metric != "__parse_error__"), F.array(row("metric_not_in_catalog", metric)))
@@ -377,16 +384,15 @@ def validate_plans(plans: DataFrame, contract: DataFrame, catalog: Catalog, trig
         each(F.filter(chosen, strange), "dimension_not_in_catalog"),
         each(barred, "dimension_not_allowed"),
         clashes,
-        one(F.size(hits) > 0, "missed_refusal", F.array_join(F.sort_array(F.array_distinct(F.transform(hits, lambda h: h["trigger"]))), ",")),
-        one(known & failing("caliber"), "caliber_dependency_failure", ""),
-        one(known & failing("coverage"), "physical_coverage_failure", F.array_join("decision.trace.checks.coverage.missing", ",")),
-        one(known & failing("time"), "temporal_anchor_failure", F.col("decision.trace.checks.time.detected")),
-        one(known & failing("policy") & (F.size(hits) == 0), "missed_refusal", "policy"),
+        one(hit, "missed_refusal", F.array_join(F.sort_array(F.array_distinct(F.transform("_hits", lambda h: h["trigger"]))), ",")),
+        one(known & F.col("_no_caliber"), "caliber_dependency_failure", ""),
+        one(known & F.col("_no_coverage"), "physical_coverage_failure", F.array_join("_missing", ",")),
+        one(known & F.col("_no_time"), "temporal_anchor_failure", F.col("_detected")),
+        one(known & F.col("_no_policy") & no_hit, "missed_refusal", "policy"),
     ]
-    none = F.array().cast("array<struct<type:string,detail:string>>")
     found = F.when(broken, F.array(row("output_not_parseable", F.col("parse_status")))).when(
-        refused, F.when(F.size(hits) == 0, F.array(row("unjustified_refusal", ""))).otherwise(none)
-    ).otherwise(F.flatten(F.array_compact(F.array(*answer))))
+        refused, one(no_hit, "unjustified_refusal", "")
+    ).otherwise(F.concat(*[F.coalesce(a, none) for a in answer]))
     return scale.fenced(j.select(*plans.columns, F.coalesce(found, none).alias("violations")), "violations")
 
 
