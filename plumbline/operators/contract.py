@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import dimensions as D, filters as P, scale
-from plumbline.operators.dimensions import gather
+from plumbline.operators.dimensions import gather, in_domain
 from plumbline.sources.catalog import Catalog
 
 # The check families in the order failures are reported.
@@ -66,13 +66,6 @@ def detect_dimensions(scope: Column, catalog: Catalog, domain=None) -> Column:
     return in_domain(D.found_inline(scope, catalog), domain)
 
 
-def in_domain(found: Column, domain=None) -> Column:
-    """Ids of the found dimensions of a domain, or of none; an empty domain sees all."""
-    if domain is not None:
-        found = F.filter(found, lambda d: (d["domain_id"] == "") | F.coalesce(domain, F.lit("")).isin("", d["domain_id"]))
-    return F.transform(found, lambda d: d["dimension_id"])
-
-
 def finest(requested: Column, catalog: Catalog) -> Column:
     """Requested dimensions of a small catalog that are no ancestor of another one, in request order."""
     return D.set_inline(requested, catalog)["_resolved"]
@@ -262,13 +255,16 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
     c = lambda name: F.col(f"contract.{name}")
     j = j.select("*", F.coalesce(c("known"), F.lit(False)).alias("_known"), or_empty(c("allowed")).alias("_allowed"))
     known, allowed = F.col("_known"), F.col("_allowed")
-    j = D.with_found(j, "_scope", catalog, form)
-    detected = in_domain(F.col("_found"), c("domain"))
     given = "requested" in has
-    j = j.select("*", (F.coalesce(F.col("requested"), detected) if given else detected).alias("_requested"))
+    if given or D.inline(catalog, form):
+        j = D.with_found(j, "_scope", catalog, form)
+        detected = in_domain(F.col("_found"), c("domain"))
+        j = j.select("*", (F.coalesce(F.col("requested"), detected) if given else detected).alias("_requested"))
+        j = D.with_sets(j, "_requested", catalog, form)
+    else:
+        j = D.with_named(j.select("*", F.coalesce(c("domain"), F.lit("")).alias("_domain")), "_scope", "_domain", catalog)
     q, requested = F.col("_q"), F.col("_requested")
     anchor = detect_time(q, catalog.profile)
-    j = D.with_sets(j, "_requested", catalog, form)
     j = j.select("*", (F.coalesce(F.col("time_binding"), anchor) if "time_binding" in has else anchor).alias("_time"))
     resolved, bound = F.col("_resolved"), F.col("_time")
 
@@ -342,9 +338,8 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
 def compile_candidates(candidates: DataFrame, contract: DataFrame, catalog: Catalog, key, rank="rank", form="auto") -> DataFrame:
     """Compile every linked candidate of a request and keep the best-ranked one that passes, else the refusal of the first."""
     d = compile_requests(candidates, contract, catalog, form=form)
-    order = F.struct((F.col("decision.action") != "answer").alias("refused"), F.col(rank).alias("rank"))
-    best = d.groupBy(key).agg(F.min_by(F.struct("metric_id", rank, "decision"), order).alias("b"))
-    return best.select(key, "b.*")
+    best = scale.first_k(d, [key], [F.col("decision.action") != "answer", F.col(rank)], 1, "_first")
+    return best.select(key, "metric_id", rank, "decision")
 
 
 # --- validation of given plans ------------------------------------------------------------------

@@ -117,6 +117,28 @@ def set_inline(requested: Column, catalog: Catalog) -> dict:
     return dict(zip(SET, [resolved, F.array_except(requested, X.lit_list([d["dimension_id"] for d in catalog.dimensions])), F.concat(*read) if read else none(), above]))
 
 
+def in_domain(found: Column, domain=None) -> Column:
+    """Ids of the found dimensions of a domain, or of none; an empty domain sees all."""
+    if domain is not None:
+        found = F.filter(found, lambda d: (d["domain_id"] == "") | F.coalesce(domain, F.lit("")).isin("", d["domain_id"]))
+    return F.transform(found, lambda d: d["dimension_id"])
+
+
+def with_named(df: DataFrame, scope: str, domain: str, catalog: Catalog) -> DataFrame:
+    """Joined form: add `_requested`, the dimensions of a domain that a text names, and the columns of SET for them.
+
+    All of it is worked out for distinct texts and domains (neither is null), so that the rows themselves are joined once.
+    """
+    pairs = df.select(F.col(scope).alias("_text"), F.col(domain).alias("_in")).filter("_text <> ''").distinct()
+    texts = pairs.groupBy("_text").agg(F.sort_array(F.collect_list("_in")).alias("_ins")).select(F.struct("_text", "_ins").alias("_named"), "_text")
+    hits = J.alias_join(texts, "_named", "_text", alias_table(df.sparkSession, catalog))
+    found = hits.groupBy("_named").agg(F.sort_array(F.collect_set(F.struct("rank", "dimension_id", "domain_id"))).alias("_found"))
+    per = found.select(F.col("_named._text").alias("_text"), F.explode("_named._ins").alias("_in"), "_found")
+    per = with_sets(per.select("_text", "_in", in_domain(F.col("_found"), F.col("_in")).alias("_requested")), "_requested", catalog, "joined")
+    joined = df.join(per, (df[scope] == per["_text"]) & (df[domain] == per["_in"]), "left")
+    return joined.select(*df.columns, *[F.coalesce(n, none(kind)).alias(n) for n, kind in zip(["_requested", *SET], [STRINGS, *SET_TYPES])])
+
+
 def with_sets(df: DataFrame, requested: str, catalog: Catalog, form="auto") -> DataFrame:
     """Add the columns of SET for the dimensions in an array column (null: null, but for `_above`, which is empty)."""
     if inline(catalog, form):

@@ -18,8 +18,8 @@ def alias_join(texts: DataFrame, key, text, aliases: DataFrame, alias="alias") -
     """Alias rows that occur in a text, for alias tables of any size.
 
     An alias meets the texts that have the one of its words (of its unusual characters, if it has any) that the fewest
-    aliases share; the boundary rule is checked on what meets. Words that many aliases share thus bring none of them up
-    that have a rarer one.
+    aliases share; the boundary rule is checked on what meets and occurs at all. Words that many aliases share thus bring
+    none of them up that have a rarer one.
     """
     plain = F.col(alias).rlike("^[a-z0-9_ ]+$")
     words = lambda c: F.regexp_extract_all(c, F.lit("([a-z0-9_]+)"), F.lit(1))
@@ -28,7 +28,8 @@ def alias_join(texts: DataFrame, key, text, aliases: DataFrame, alias="alias") -
     shared = parts.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     keyed = parts.join(shared, "_key").groupBy(alias).agg(F.min(F.struct("_n", "_key"))["_key"].alias("_key"))
     probe = texts.select(key, text, F.explode(F.array_distinct(F.concat(words(text), odd(text)))).alias("_key"))
-    met = probe.join(keyed, "_key").filter(X.contains_alias(F.col(text), F.col(alias))).select(key, alias)
+    # a pattern is made for each pair that it sees
+    met = probe.join(keyed, "_key").filter(F.contains(F.col(text), F.col(alias)) & X.contains_alias(F.col(text), F.col(alias))).select(key, alias)
     return met.join(aliases, alias).select(key, *aliases.columns)
 
 
