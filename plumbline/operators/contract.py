@@ -258,6 +258,8 @@ def compile_requests(requests: DataFrame, contract: DataFrame, catalog: Catalog,
     given = "requested" in has
     if given or D.inline(catalog, form):
         j = D.with_found(j, "_scope", catalog, form)
+        # below the lambdas that read it, which are not compiled; given dimensions may need none of it
+        j = j if given else scale.fenced(j, "_found")
         detected = in_domain(F.col("_found"), c("domain"))
         j = j.select("*", (F.coalesce(F.col("requested"), detected) if given else detected).alias("_requested"))
         j = D.with_sets(j, "_requested", catalog, form)

@@ -77,6 +77,12 @@ def ranked_texts(requests: DataFrame, key, text, fields, k, boosts=(), target="m
     return asked.select(key, "_u").join(top, "_u").drop("_u")
 
 
+def text_best(texts: DataFrame, key, text, fields, target="metric_id", **kw) -> DataFrame:
+    """(key, target): the target with the highest score of each text that has one; ties go to the larger id."""
+    scores = text_scores(texts, key, text, fields, target, **kw).filter("score > 0")
+    return scores.groupBy(key).agg(F.max_by(target, F.struct("score", target)).alias(target))
+
+
 def longest_alias(q: Column, phrases) -> Column:
     """Target with the longest whole-word phrase in the text, then the smaller id; empty without one."""
     hit = [(X.contains_any_alias(q, [p]), F.struct(F.lit(-len(p)).alias("n"), F.lit(t).alias("target"))) for t, p in phrases if p.strip()]

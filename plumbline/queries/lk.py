@@ -195,9 +195,11 @@ REFUSE = "regexp_matches(lower(nl_query), 'select |drop |delete |email|phone|wea
  CASE WHEN (mode IN ('guarded', 'oracle') AND ref) OR (mode = 'compiled' AND f <> '') THEN '' WHEN mode = 'direct' THEN coalesce(dm, '') WHEN mode = 'oracle' THEN g_metric ELSE coalesce(fm, '') END AS metric,
  CASE WHEN (mode IN ('guarded', 'oracle') AND ref) OR (mode = 'compiled' AND f <> '') OR mode = 'direct' THEN '' WHEN mode = 'compiled' THEN resolved ELSE dims END AS dims FROM j""")
 def _(t):
-    best = lambda s, n: s.groupBy("request_id").agg(F.max_by("metric_id", F.struct("score", "metric_id")).alias(n))
-    r = t.requests.select("request_id", "nl_query", "g_metric")
-    r = r.join(best(scores(t), "metric_id"), "request_id", "left").join(best(scores(t, L.DIRECT_WEIGHTS), "direct_id"), "request_id", "left").join(explicit(t), "request_id")
+    r = t.requests.select("request_id", "nl_query", "g_metric").withColumn("_u", F.lower(F.trim("nl_query")))
+    texts = r.select("_u").filter("_u IS NOT NULL").distinct()
+    best = lambda weights, n: L.text_best(texts, "_u", "_u", catalog_fields(t, weights)).withColumnRenamed("metric_id", n)
+    linked = best(L.METRIC_WEIGHTS, "metric_id").join(best(L.DIRECT_WEIGHTS, "direct_id"), "_u", "full")
+    r = r.join(explicit(t), "request_id").join(linked, "_u", "left").drop("_u")
     r = r.withColumn("metric_id", F.coalesce("metric_id", F.lit("")))
     d = C.compile_requests(r, C.contract_of(t.spark, CAT), CAT)
     refuse = F.lower("nl_query").rlike("select |drop |delete |email|phone|weather|tomorrow")
