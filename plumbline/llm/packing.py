@@ -7,19 +7,27 @@ numbers. Rounded patterns become a table of rank ranges per length, and ranked p
 """
 
 import zlib
-from unicodedata import is_normalized
 from collections import Counter
+from string import ascii_letters, digits
+from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline.llm.common import arrow_schema, batch_of, durable, text_of
 from plumbline.operators.scale import positions
 
-#: Entries of a worker's newer words (it keeps as many older ones), the longest word it keeps, the bytes of text whose new
-#: words are encoded together, and the words of one call of the tokenizer.
-CACHE, LONGEST, GROUP, CALL = 300_000, 48, 1 << 20, 20_000
-TAIL = b".,;:!?%#$&*|"
+#: Entries of a worker's newer words (it keeps as many older ones), the longest word it keeps, the bytes of text whose
+#: distinct words are looked up together, and the words of one call of the tokenizer.
+CACHE, LONGEST, GROUP, CALL = 300_000, 48, 4 << 20, 2_000
+#: Kinds of bytes: ASCII white space, signs that may end a word, ASCII letters and digits (others: 0); and A-Z as a-z.
+SPACE, SIGN, LETTER = 1, 2, 3
+KIND, LOWER = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+for _kind, _bytes in (SPACE, b" \t\n\v\f\r"), (SIGN, b".,;:!?%#$&*|"), (LETTER, (ascii_letters + digits).encode()):
+    KIND[list(_bytes)] = _kind
+LOWER[65:91] += 32
 
 
 def byte_letters() -> dict[int, str]:
@@ -29,6 +37,31 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, in lower case, and how many are of each text.
+
+    Signs that end a word behind an ASCII letter or digit are a word of their own.
+    """
+    texts = texts.cast(pa.binary())
+    whole = b"\n".join([*texts.to_numpy(zero_copy_only=False), b""])
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64) + 1) - 1
+    raw = np.frombuffer(whole, np.uint8)
+    data, kind = LOWER[raw], KIND[raw]
+    if b"<|" in whole:
+        for text in np.unique(np.searchsorted(ends, np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|"))))):
+            own = slice(ends[text - 1] + 1 if text else 0, ends[text])
+            data[own] = raw[own]
+    inside, sign = kind != SPACE, kind == SIGN
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins, behind = (np.flatnonzero(x) + 1 for x in (sign[1:] > sign[:-1], sign[:-1] > sign[1:]))
+    first[begins[(kind[begins - 1] == LETTER) & (kind[behind[len(behind) - len(begins) :]] == SPACE)]] = True
+    at, body = np.flatnonzero(first), data[inside]
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[at] - 1, len(body)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+    return words, np.diff(np.searchsorted(at, ends), prepend=0)
+
+
 class WordIds(dict):
     """Word (UTF-8) -> its token ids as little-endian unsigned 32-bit bytes.
 
@@ -44,55 +77,55 @@ class WordIds(dict):
 
         self.model, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        self.long, self.older, self.letters = [], {}, byte_letters()
+        suffix, vocabulary = self.model.model.end_of_word_suffix, self.model.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.long, self.older, self.letters = [], {}, byte_letters() | {ord(" "): " "}
 
     def words(self, text: str) -> list[bytes]:
-        data = text.encode("utf-8", "replace")
-        return (data if b"<|" in data else data.lower()).split()
+        return words_in(pa.array([text]))[0].to_pylist()
 
-    def encoded(self, words: list[bytes]):
-        """(word, ids) of words that are not known."""
-        plain, other = [], []
+    def encode(self, words: list[bytes]) -> None:
+        """Take in words that are not known."""
+        plain, accented, other = [], [], []
         for w in words:
-            text = w.decode()
-            if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
-                plain.append((w, text if text.isascii() else w.decode("latin-1").translate(self.letters)))
+            if w.isalpha() and w.islower():  # of a-z
+                plain.append(w)
             else:
-                other.append((w, text))
-        for at in range(0, len(plain), CALL):
-            part = plain[at : at + CALL]
-            found = self.merges.encode(" ".join(t for _, t in part), add_special_tokens=False)
-            ids, ends = np.array(found.ids, "<u4").tobytes(), np.cumsum(np.bincount(found.word_ids, minlength=len(part))) * 4
-            begin = 0
-            for (w, _), end in zip(part, ends.tolist()):
-                yield w, ids[begin:end]
-                begin = end
-        for (w, _), found in zip(other, self.model.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
-            yield w, np.array(found.ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """After this all `words` are here; those too long to keep are gone with the next call."""
+                text = w.decode()
+                (accented if text.isalpha() and text == text.lower() and is_normalized("NFC", text) else other).append(w)
+        for kind in plain, accented:
+            for i in range(0, len(kind), CALL):
+                part = kind[i : i + CALL]
+                text = b" ".join(part).decode("latin-1")
+                found, = self.merges.encode_batch_fast([text if kind is plain else text.translate(self.letters)], add_special_tokens=False)
+                ids = np.array(found.ids, "<u4")
+                ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+                if len(ends) == len(part):
+                    self.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))))
+                else:  # a vocabulary that does not mark where words end
+                    other += part
+        for i in range(0, len(other), CALL):
+            part = other[i : i + CALL]
+            for w, found in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self[w] = np.array(found.ids, "<u4").tobytes()
+
+    def learn(self, words) -> None:
+        """After this all `words` (distinct) are here; those too long to keep are gone with the next call."""
         for w in self.long:
             self.pop(w, None)
         if len(self) > CACHE:
             self.older = dict(self)
             self.clear()
-        cut = {}
-        for w in words:
-            if w not in self:
-                if w in self.older:
-                    self[w] = self.older[w]
-                else:
-                    core = w.rstrip(TAIL)
-                    cut[w] = len(core) if core and core[-1] < 128 and chr(core[-1]).isalnum() else len(w)
-        parts = {p for w, n in cut.items() for p in (w[:n], w[n:]) if p and p not in self}
-        ask = [p for p in parts if p not in self.older]
-        self.update((p, self.older[p]) for p in parts if p in self.older)
-        self.update(self.encoded(ask))
-        for w, n in cut.items():
-            if n < len(w):
-                self[w] = self[w[:n]] + self[w[n:]]
-        self.long = [x for x in (*ask, *cut) if len(x) > LONGEST]
+        ask = []
+        for w in [w for w in words if w not in self]:
+            known = self.older.get(w)
+            if known is None:
+                ask.append(w)
+            else:
+                self[w] = known
+        self.encode(ask)
+        self.long = [w for w in ask if len(w) > LONGEST]
 
 
 #: Of this worker process, by tokenizer.
@@ -110,28 +143,34 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, length: int, id_col="
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         if tokenizer not in _words:
             _words[tokenizer] = WordIds(tokenizer)
-        known, end = _words[tokenizer], np.array([end_id], "<u4").tobytes()
-
-        def pieces(held):
-            known.learn({w for _, ws in held for w in ws})
-            rows = []
-            for doc_id, ws in held:
-                ids = memoryview(b"".join(map(known.__getitem__, ws)) + end)
-                n = len(ids) // 4
-                for at in range(0, n, length):
-                    piece = ids[4 * at : 4 * (at + length)]
-                    rows.append((doc_id, at, len(piece) // 4, zlib.crc32(piece), n, *([bytes(piece)] if with_ids else [])))
+        known = _words[tokenizer]
+
+        def pieces(doc_ids, texts):
+            words, per_text = words_in(texts)
+            coded = words.dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            known.learn(distinct)
+            found = list(map(known.__getitem__, distinct))
+            n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            begin, place = np.cumsum(n) - n, coded.indices.to_numpy()
+            ends = np.cumsum(n[place])
+            take = np.repeat(begin[place] - ends + n[place], n[place]) + np.arange(ends[-1] if len(ends) else 0)
+            last = np.concatenate([[0], ends])[np.cumsum(per_text)]  # where documents end
+            ids = memoryview(np.insert(np.frombuffer(b"".join(found), "<u4")[take], last, end_id).tobytes())
+            rows, first = [], 0
+            for doc_id, behind in zip(doc_ids.to_pylist(), (last + np.arange(1, len(last) + 1)).tolist()):
+                for at in range(first, behind, length):
+                    piece = ids[4 * at : 4 * min(at + length, behind)]
+                    rows.append((doc_id, at - first, len(piece) // 4, zlib.crc32(piece), behind - first, *([bytes(piece)] if with_ids else [])))
+                first = behind
             return batch_of(schema, rows).to_batches()
 
         for batch in batches:
-            held, size = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((doc_id, known.words(text)))
-                size += len(text)
-                if size >= GROUP:
-                    yield from pieces(held)
-                    held, size = [], 0
-            yield from pieces(held)
+            size = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)
+            group = (np.cumsum(size) - size) // GROUP
+            cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist() if len(group) else []
+            for a, b in zip(cuts, cuts[1:]):
+                yield from pieces(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
 
     return text_of(df, id_col, text_col).mapInArrow(run, ddl)
 

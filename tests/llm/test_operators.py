@@ -364,6 +364,35 @@ def test_word_ids_are_the_tokenizers():
         assert np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_split_by_whole_batches(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from plumbline.llm import packing
+
+    rng = random.Random(3)
+    signs = [*"abZ09é日.,;!?%#$&*|<>'- \t\n\v\f\r\x1c\x85", "<|", "ab", "  "]
+    texts = ["", " ", ",", "a,", "A, B.", "<|A,", "é, 9!!", "a,b ,c"] + ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(800)] + [""]
+    words, per_text = packing.words_in(pa.array(["x", *texts]).slice(1))
+    want = []
+    for t in texts:
+        parts = [re.fullmatch(r"(?s)(.*?)((?<=[0-9A-Za-z])[.,;:!?%#$&*|]+)?", w).groups() for w in WORDS.findall(t)]
+        found = [p for pair in parts for p in pair if p]
+        want.append([p.encode() if "<|" in t else p.encode().lower() for p in found])
+    assert words.to_pylist() == [p for ps in want for p in ps]
+    assert per_text.tolist() == list(map(len, want))
+    # the ids of many words in one call are those of each alone, also where a vocabulary does not mark where words end
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, distinct = Tokenizer.from_file(path), sorted(set(words.to_pylist()))
+    for call, marked in ((2_000, True), (7, True), (50, False)):
+        monkeypatch.setattr(packing, "CALL", call)
+        ids = packing.WordIds(path)
+        ids.last &= marked
+        ids.learn(distinct)
+        for w in distinct:
+            assert np.frombuffer(ids[w], "<u4").tolist() == model.encode(w.decode(), add_special_tokens=False).ids, w
+
+
 def test_packing(awkward):
     from tokenizers import Tokenizer
 
