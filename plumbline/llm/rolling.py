@@ -43,9 +43,39 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """Every 8 neighbouring bytes as one number, which is their rank; no copy."""
+    data = np.ascontiguousarray(data)
+    return np.ndarray(max(len(data) - 7, 0), "<u8", data, strides=(1,))
+
+
+def spread(ranks: np.ndarray) -> np.ndarray:
+    """Ranks of 8 bytes spread over 64 bits, each to a number of its own."""
+    out = ranks * M2
+    out ^= out >> S32
+    return out
+
+
+def windows_at(data: np.ndarray, at: np.ndarray, length: int, block=1 << 14) -> np.ndarray:
+    """windows(data, length) of bytes at some places only, block by block; the length is 8 or more."""
+    ranks, size = eights(data), 1 << (length.bit_length() - 1)
+    out = np.empty(len(at), np.uint64)
+
+    def level(at, size):
+        return spread(ranks[at]) if size == 8 else joined(level(at, size // 2), level(at + size // 2, size // 2))
+
+    for i in range(0, len(at), block):
+        some = at[i : i + block]
+        out[i : i + block] = mixed(joined(level(some, size), level(some + length - size, size)) if length > size else level(some, size))
+    return out
+
+
 def windows(values: np.ndarray, *lengths: int) -> list[np.ndarray]:
     """For each length the fingerprint of every window of that many values (64-bit), by doubling."""
-    level, size, done = BYTE[values] if values.dtype == np.uint8 else mixed(values), 1, {}
+    if values.dtype == np.uint8 and min(lengths) >= 8:
+        level, size, done = spread(eights(values)), 8, {}
+    else:
+        level, size, done = BYTE[values] if values.dtype == np.uint8 else mixed(values), 1, {}
     for length in sorted(lengths):
         while size * 2 <= length and len(level) > size:
             level, size = joined(level[:-size], level[size:]), size * 2

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.common import arrow_schema, batch_of, chunked
-from plumbline.llm.rolling import NONE, anchors, covered, lowest, runs, windows
+from plumbline.llm.rolling import NONE, anchors, runs, windows, windows_at
 
 FIRST = 24
 LOW = np.uint64((1 << 40) - 1)
@@ -83,69 +83,85 @@ def smallest(docs: np.ndarray, *keys: np.ndarray):
 
 
 class Chunk:
-    """The documents of a chunk on their way through the rounds; each pass takes them as far as answers are there."""
+    """The documents of a chunk on their way through the rounds; each pass takes them as far as answers are there.
+
+    Their bytes lie one behind the other, with zeros around each, and places are places there: windows are ranked over
+    every byte in round 1 only, then at anchors and open windows alone.
+    """
 
     def __init__(self, rows: pa.Table, replies: pa.Table | None, window: int, buckets: int):
         self.ids = rows["doc_id"].to_pylist()
         keys = [LAST if i is None else i for i in self.ids]
-        self.data = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in rows["text"].to_pylist()]
+        texts = rows["text"].cast(pa.binary()).to_pylist()
         self.window, self.width, self.side = window, window - FIRST + 1, window - FIRST
+        self.data = np.frombuffer(bytes(self.side).join([b"", *texts, b""]), np.uint8)
+        self.size = np.array(list(map(len, texts)), np.int64)
+        self.base = np.cumsum(self.size + self.side) - self.size
         self.replies = {1: {}, 2: {}, 3: {}}
         if replies is not None:
             for step, bucket, data in zip(replies["round"].to_pylist(), replies["bucket"].to_pylist(), replies["answers"].to_pylist()):
                 self.replies[step][bucket] = data
         self.n = buckets
         # round 1
-        self.ranks, self.places = [], []
-        for data in self.data:
-            rank, = windows(data, FIRST) if len(data) >= window else (NONE,)
-            self.ranks.append(rank)
-            self.places.append(np.flatnonzero(anchors(rank, self.width)))
-        self.docs = np.repeat(np.array(keys, np.int64), [len(p) for p in self.places])
-        self.owner = np.repeat(np.arange(len(keys)), [len(p) for p in self.places])
-        names = np.concatenate([r[p] for r, p in zip(self.ranks, self.places)]) & LOW
-        (distinct,), least, self.back = smallest(self.docs, names)
+        ranks, places, counts = [NONE], [np.zeros(0, np.int64)], []
+        for base, size in zip(self.base.tolist(), self.size.tolist()):
+            rank, = windows(self.data[base : base + size], FIRST) if size >= window else (NONE,)
+            at = np.flatnonzero(anchors(rank, self.width))
+            ranks.append(rank[at])
+            places.append(at + base)
+            counts.append(len(at))
+        self.ranks, self.places = np.concatenate(ranks), np.concatenate(places)
+        self.owner = np.repeat(np.arange(len(keys)), counts)
+        self.docs = np.array(keys, np.int64)[self.owner]
+        self.names = self.ranks & LOW
+        (distinct,), least, self.back = smallest(self.docs, self.names)
         several = np.zeros(len(distinct), np.int64)
         several[self.back[self.docs > least[self.back]]] = 1  # two documents of this chunk have it
         self.first = Posted(distinct, NONE, several, buckets)
-        self.names = names
 
     def second(self) -> Posted:
         """Of round 2: anchors whose rank another document has, with the rank pair around them."""
         again = self.first.answers(self.replies[1], bits=True).astype(bool)
         known = np.sort(self.first.names[again])
         found = np.minimum(np.searchsorted(known, self.names), max(len(known) - 1, 0))
-        take = known[found] == self.names if len(known) else np.zeros(len(self.names), bool)
-        self.names, self.docs, self.owner = self.names[take], self.docs[take], self.owner[take]
-        self.at = np.concatenate(self.places)[take]
-        self.pairs = np.zeros(len(self.at), np.uint64)
-        edge = np.zeros(self.side, np.uint8)
-        for doc, mine in self.by_owner():
-            data = self.data[doc]
-            around, = windows(np.concatenate([edge, data, edge]), FIRST + 2 * self.side)
-            left, right = np.minimum(self.at[mine], self.side), np.minimum(len(data) - FIRST - self.at[mine], self.side)
-            self.pairs[mine] = around[self.at[mine]] + (left * (self.side + 1) + right).astype(np.uint64)  # what is cut off counts
+        self.taken = np.flatnonzero(known[found] == self.names) if len(known) else np.zeros(0, np.int64)
+        self.names, self.docs = self.names[self.taken], self.docs[self.taken]
+        at, owner = self.places[self.taken], self.owner[self.taken]
+        begin = at - self.base[owner]
+        left, right = np.minimum(begin, self.side), np.minimum(self.size[owner] - FIRST - begin, self.side)
+        around = windows_at(self.data, at - self.side, FIRST + 2 * self.side)
+        self.pairs = around + (left * (self.side + 1) + right).astype(np.uint64)  # what is cut off counts
         (names, pairs), least, self.pair_of = smallest(self.docs, self.names, self.pairs)
         self.pair_first = self.docs == least[self.pair_of]
         posted = Posted(names, pairs, least, self.n)
         self.pair_order = (posted, names, pairs)
         return posted
 
-    def by_owner(self):
-        """(document, slice of its anchors), for the documents that have some."""
-        docs, first = np.unique(self.owner, return_index=True)
-        return [(int(d), slice(int(a), int(b))) for d, a, b in zip(docs, first, np.append(first[1:], len(self.owner)))]
+    def smaller(self, some: np.ndarray, step: int) -> np.ndarray:
+        """Place of the next anchor of smaller rank before (step -1) or behind (1) some anchors; any beyond `width` if none."""
+        out = self.places[some] + step * self.width
+        mine, other = np.arange(len(some)), some + step
+        while len(mine):
+            near = (other >= 0) & (other < len(self.places))
+            near[near] = np.abs(self.places[other[near]] - self.places[some[mine[near]]]) < self.width
+            mine, other = mine[near], other[near]
+            less = self.ranks[other] < self.ranks[some[mine]]
+            out[mine[less]] = self.places[other[less]]
+            mine, other = mine[~less], other[~less] + step
+        return out
+
+    def starts(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last begin of the windows that chose these anchors: those over it that hold no smaller rank.
 
-    def starts(self, doc: int, at: np.ndarray) -> np.ndarray:
-        """Begins of the windows that chose the anchors at these places of a document."""
-        low = lowest(self.ranks[doc], self.width)
-        begin = at[:, None] - np.arange(self.width)[None]
-        inside = (begin >= 0) & (begin < len(low))
-        own = inside & (low[np.where(inside, begin, 0)] == self.ranks[doc][at][:, None])
-        return np.unique(begin[own])
+        The nearest smaller rank on either side is an anchor too, if a window over this one ends at it.
+        """
+        at, base, size = self.places[some], self.base[self.owner[some]], self.size[self.owner[some]]
+        first = np.maximum(np.maximum(self.smaller(some, -1), at - self.width) + 1, base)
+        last = np.minimum(np.minimum(self.smaller(some, 1) - self.width, at), base + size - self.window)
+        return first, last
 
     def third(self) -> Posted:
-        """Of round 3: the windows that are still open. What is decided goes to self.found, by document."""
+        """Of round 3: the windows that are still open. What is decided goes to self.found, as first and last begins."""
         posted, names, pairs = self.pair_order
         answers = np.zeros(len(names), np.uint8)
         # posted order -> the order of distinct pairs
@@ -155,34 +171,28 @@ class Chunk:
         answer = answers[self.pair_of]
         decided = (answer == LATER) | ((answer > ALONE) & ~self.pair_first)
         pending = (answer == FIRST_OF_SEVERAL) & self.pair_first
-        self.found, opened = {}, []
-        for doc, mine in self.by_owner():
-            sure, maybe = self.at[mine][decided[mine]], self.at[mine][pending[mine]]
-            if len(sure):
-                self.found[doc] = self.starts(doc, sure)
-            if len(maybe):
-                begin = self.starts(doc, maybe)
-                ranks, = windows(self.data[doc], self.window)
-                opened.append((doc, begin, ranks[begin], np.full(len(begin), self.docs[mine][0])))
-        self.open = opened
-        ranks = np.concatenate([x[2] for x in opened]) if opened else NONE
-        docs = np.concatenate([x[3] for x in opened]) if opened else np.zeros(0, np.int64)
-        (distinct,), least, self.window_of = smallest(docs, ranks)
+        self.found = self.starts(self.taken[decided])
+        first, last = self.starts(self.taken[pending])
+        n = last - first + 1
+        self.open = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        docs = np.repeat(self.docs[pending], n)
+        (distinct,), least, self.window_of = smallest(docs, windows_at(self.data, self.open, self.window))
         self.later = docs > least[self.window_of]
         self.window_order = (Posted(NONE, distinct, least, self.n), distinct)
         return self.window_order[0]
 
-    def decide(self) -> None:
+    def removed(self) -> np.ndarray:
+        """Mask of the bytes that go, over self.data."""
         posted, distinct = self.window_order
         answers = np.zeros(len(distinct), bool)
         if len(distinct):
             answers[np.searchsorted(distinct, posted.pairs)] = posted.answers(self.replies[3], bits=True).astype(bool)
-        gone = answers[self.window_of] | self.later
-        at = 0
-        for doc, begin, ranks, _ in self.open:
-            more = begin[gone[at : at + len(begin)]]
-            at += len(begin)
-            self.found[doc] = np.concatenate([self.found.get(doc, more[:0]), more])
+        gone = self.open[answers[self.window_of] | self.later]
+        edge = np.zeros(len(self.data) + 1, np.int32)
+        for first, last in self.found, (gone, gone):
+            np.add.at(edge, first, 1)
+            np.add.at(edge, last + self.window, -1)
+        return np.cumsum(edge[:-1]) > 0
 
 
 def answered(posts: DataFrame, step: int) -> DataFrame:
@@ -262,13 +272,12 @@ def suffix_dedup(df: DataFrame, window=50, id_col="doc_id", text_col="text", wit
         chunk = Chunk(rows, replies, window, buckets)
         chunk.second()
         chunk.third()
-        chunk.decide()
+        gone = chunk.removed()
         out = []
-        for doc, (doc_id, data) in enumerate(zip(chunk.ids, chunk.data)):
-            starts = chunk.found.get(doc, ())
-            mask = covered(np.unique(starts), window, len(data)) if len(starts) else np.zeros(len(data), bool)
-            begins, _ = runs(mask)
-            cells = doc_id, len(data), int(mask.sum()), len(begins), hashlib.sha256(without(data, mask)).hexdigest()
+        for doc_id, base, size in zip(chunk.ids, chunk.base.tolist(), chunk.size.tolist()):
+            data, mask = chunk.data[base : base + size], gone[base : base + size]
+            begins = runs(mask)[0] if mask.any() else ()
+            cells = doc_id, size, int(np.count_nonzero(mask)), len(begins), hashlib.sha256(without(data, mask) if len(begins) else data).hexdigest()
             out.append((*cells, without(data, whole_characters(data, mask) if len(begins) else mask).decode("utf-8", "replace")) if with_text else cells)
         table = batch_of(result, out)
         for i in range(len(carry)):

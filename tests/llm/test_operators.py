@@ -178,6 +178,38 @@ def test_suffix_dedup(awkward, window, monkeypatch):
     assert sorted_rows(suffix_dedup(awkward, window), *cols) == sorted(brute_suffix(awkward_rows(), window), key=repr)
 
 
+def test_windows_are_ranked_at_anchors_alone():
+    import pyarrow as pa
+
+    from plumbline.llm.rolling import lowest, windows, windows_at
+    from plumbline.llm.suffix_dedup import FIRST, Chunk
+
+    rng = random.Random(1)
+    some = [rng.choice(["ab", "abcdefgh é", "q"]) for _ in range(60)]
+    texts = ["", "q" * 49, "q" * 50, "q" * 51, *["".join(rng.choice(letters) for _ in range(rng.randrange(300))) for letters in some]]
+    for window in (50, 33, 25):
+        chunk = Chunk(pa.table({"doc_id": [*range(1, len(texts)), None], "text": texts}), None, window, 3)
+        for length in (8, 24, 32, window, FIRST + 2 * chunk.side):
+            every, = windows(chunk.data, length)
+            at = np.array(sorted(rng.sample(range(len(every)), 500)))
+            assert (windows_at(chunk.data, at, length, block=64) == every[at]).all()
+        first, last = chunk.starts(np.arange(len(chunk.places)))
+        got = [set(range(a, b + 1)) for a, b in zip(first.tolist(), last.tolist())]
+        want = []
+        for text, base in zip(texts, chunk.base.tolist()):
+            data = np.frombuffer(text.encode(), np.uint8)
+            assert chunk.data[base : base + len(data)].tobytes() == data.tobytes()
+            if len(data) < window:
+                continue
+            rank, = windows(data, FIRST)
+            low = lowest(rank, chunk.width)
+            for p in range(len(rank)):
+                over = {base + b for b in range(max(0, p - chunk.width + 1), min(p, len(low) - 1) + 1) if low[b] == rank[p]}
+                if over:
+                    want.append(over)
+        assert got == want
+
+
 def test_suffix_dedup_text(awkward):
     from plumbline.llm.suffix_dedup import suffix_dedup
 
