@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import joins as JN
 
 
@@ -40,3 +42,17 @@ def test_windows_are_not_broadcast(spark):
     got = JN.tiered_match(w.filter("k > 0"), "k", c.filter("pos > 0"), "pos")
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert re.search(r"SortMergeJoin \[_c#\d+, _t#\d+\]", plan) and not re.search(r"BroadcastHashJoin \[_c#\d+, _t#\d+\]", plan)
+
+
+def test_blocks_of_a_common_name_are_all_pairs_on_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(JN, "TIER_BLOCK", 16, raising=False)
+    rows = [(f"Proj.t_{i % 7}", "aA"[i % 2], None if i % 50 == 3 else i) for i in range(200)]
+    wishes = [(None if i == 9 else i, "A", "t_*" if i % 2 else "T_99") for i in range(300)] + [(i, "a", "proj.t_8") for i in range(40)] + [(i, "a", "t_3") for i in range(4)]
+    w = spark.createDataFrame(wishes, "k long, col string, tbl string").repartition(4)
+    c = spark.createDataFrame(rows, "tbl string, col string, pos long").repartition(4)
+    got = JN.tiered_match(w, "k", c, "pos").withColumn("part", F.spark_partition_id())
+    want = {(k, *r, 1) for k in range(4) for r in rows if r[0] == "Proj.t_3"} | {(k, *r, 2) for k in [*range(4, 300), None] for r in rows}
+    found = [tuple(r) for r in got.drop("part").filter("tier < 3").collect()]
+    assert set(found) == want and len(found) == len(want)
+    held = [r["count"] for r in got.groupBy("part").count().collect()]
+    assert max(held) < sum(held) / 3
